@@ -178,3 +178,189 @@ SELECT d.doc_id, (len(d.ws) + 1)::BIGINT AS n_tokens, coalesce(a.unk, 0)::BIGINT
        coalesce(a.s, 0)::BIGINT AS id_sum
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """
+
+# ---------------------------------------------------------------- evaluation
+_Z = "(SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+_CE = f"""z AS {_Z},
+c AS (SELECT vec_id, label, i, {R.CAP} * tanh(x / {R.CAP}) AS x FROM z),
+m AS (SELECT vec_id, max(x) AS m FROM c GROUP BY vec_id),
+ce AS (SELECT c.vec_id, any_value(c.label) AS target,
+              max(m.m) + ln(sum(exp(c.x - m.m))) - max(CASE WHEN c.i = c.label + 1 THEN c.x END) AS loss
+       FROM c JOIN m ON c.vec_id = m.vec_id GROUP BY c.vec_id),
+sq AS (SELECT vec_id // {R.EVAL_T} AS seq_index, avg(loss) AS seq_loss FROM ce GROUP BY 1)"""
+
+SQL["cross_entropy"] = f"""
+WITH {_CE}
+SELECT vec_id, target::BIGINT AS target, round(loss, 6) AS loss FROM ce
+"""
+
+SQL["validation"] = f"""
+WITH {_CE}
+SELECT round(avg(seq_loss), 6) AS loss, round(exp(avg(seq_loss)), 6) AS perplexity,
+       count(*)::BIGINT AS sequences, (count(*) * {R.EVAL_T})::BIGINT AS tokens FROM sq
+"""
+
+SQL["running_validation"] = f"""
+WITH {_CE}
+SELECT seq_index::BIGINT AS seq_index, (row_number() OVER (ORDER BY seq_index))::BIGINT AS processed,
+       round(avg(seq_loss) OVER (ORDER BY seq_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_loss
+FROM sq
+"""
+
+_CHOICES = """ch AS (SELECT 'task_' || CAST(label AS VARCHAR) AS task, vec_id * 16 + (i - 1) // 4 AS item_id,
+                     (i - 1) % 4 AS choice, x AS loglik, (i - 1) % 4 + 1 + (i - 1) // 4 AS n_bytes,
+                     (vec_id + (i - 1) // 4) % 4 AS gold
+              FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+                    FROM embeddings))"""
+_ACC = f"""{_CHOICES},
+it AS (SELECT task, item_id, arg_max(choice, (loglik, -choice)) AS pick,
+              arg_max(choice, (loglik / n_bytes, -choice)) AS pick_norm, any_value(gold) AS gold, count(*) AS nc
+       FROM ch GROUP BY task, item_id),
+t AS (SELECT task, count(*)::BIGINT AS items, avg(CASE WHEN pick = gold THEN 1.0 ELSE 0.0 END) AS acc,
+             avg(CASE WHEN pick_norm = gold THEN 1.0 ELSE 0.0 END) AS acc_norm, avg(1.0 / nc) AS chance
+      FROM it GROUP BY task)"""
+
+SQL["choice_accuracy"] = f"""
+WITH {_ACC}
+SELECT task, items, round(acc, 6) AS acc, round(acc_norm, 6) AS acc_norm, round(acc, 6) AS accuracy,
+       round(chance, 6) AS chance FROM t
+"""
+
+SQL["macro_accuracy"] = f"""
+WITH {_ACC}
+SELECT round(avg(acc), 6) AS macro_accuracy, sum(items)::BIGINT AS items,
+       round(avg(acc - chance), 6) AS margin_over_chance FROM t
+"""
+
+SQL["limit_per_task"] = f"""
+WITH {_CHOICES}, d AS (SELECT DISTINCT task, item_id FROM ch)
+SELECT task, item_id FROM d QUALIFY row_number() OVER (PARTITION BY task ORDER BY item_id) <= {R.TASK_LIMIT}
+"""
+
+# ---------------------------------------------------------------- candidates
+def _scores(temp: float) -> str:
+    return (f"sc AS (SELECT vec_id AS ctx_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS cand_id, "
+            f"unnest(embedding)::DOUBLE / {temp} AS score FROM embeddings)")
+
+
+_SOFT = "exp(score - max(score) OVER (PARTITION BY ctx_id)) / sum(exp(score - max(score) OVER (PARTITION BY ctx_id))) OVER (PARTITION BY ctx_id)"
+
+SQL["candidate_topk"] = f"""
+WITH {_scores(1.0)}
+SELECT ctx_id, cand_id, round(score, 6) AS score FROM sc
+QUALIFY rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) <= {R.TOPK}
+"""
+
+SQL["candidate_topp"] = f"""
+WITH {_scores(R.TEMP)},
+m0 AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM sc),
+p AS (SELECT ctx_id, cand_id, score, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id) AS prob FROM m0),
+k AS (SELECT ctx_id, cand_id, score FROM p
+      QUALIFY coalesce(sum(prob) OVER (PARTITION BY ctx_id ORDER BY score DESC, cand_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= {R.TOPP}),
+m1 AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM k)
+SELECT ctx_id, cand_id, round(exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id), 6) AS prob FROM m1
+"""
+
+SQL["candidate_minp"] = f"""
+WITH {_scores(R.TEMP)}
+SELECT ctx_id, cand_id FROM sc QUALIFY score >= max(score) OVER (PARTITION BY ctx_id) + ln({R.MINP})
+"""
+
+SQL["candidate_softmax"] = f"""
+WITH {_scores(1.0)}, m AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM sc)
+SELECT ctx_id, cand_id, round(exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id), 6) AS prob FROM m
+"""
+
+SQL["candidate_argmax"] = f"""
+WITH {_scores(1.0)}
+SELECT ctx_id, arg_max(cand_id, (score, -cand_id)) AS choice FROM sc GROUP BY ctx_id
+"""
+
+SQL["custom_selector"] = SQL["candidate_argmax"]
+
+
+def _race(seed: int, sample: str) -> str:
+    return (f"-ln((('0x' || substr(md5(concat_ws(':', {seed}, ctx_id, {sample}, cand_id)), 1, 8))::BIGINT + 0.5) "
+            f"/ 4294967296.0) / prob")
+
+
+SQL["candidate_sample"] = f"""
+WITH {_scores(R.TEMP)},
+k AS (SELECT * FROM sc QUALIFY rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) <= 10),
+m AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM k),
+p AS (SELECT ctx_id, cand_id, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id) AS prob FROM m),
+r AS (SELECT ctx_id, s AS sample, cand_id, prob FROM p, unnest(generate_series(1, {R.N_SAMPLES})) AS g(s) WHERE prob > 0)
+SELECT ctx_id, sample::BIGINT AS sample, arg_min(cand_id, ({_race(R.SAMPLE_SEED, 'sample')}, cand_id)) AS choice
+FROM r GROUP BY ctx_id, sample
+"""
+
+_HIST = f"h AS (SELECT doc_id AS ctx_id, list_transform({BYTES}[1:-2], lambda b: b % 64) AS ids FROM documents)"
+# n = 3: positions whose two ids equal the history's last two ban the id after them
+_BANNED = f"""hp AS (SELECT ctx_id, unnest(ids) AS id, unnest(range(len(ids))) AS i, len(ids) AS n FROM h),
+hl AS (SELECT ctx_id, i, n, id AS a, lead(id, 1) OVER w AS b, lead(id, 2) OVER w AS c FROM hp
+       WINDOW w AS (PARTITION BY ctx_id ORDER BY i)),
+last2 AS (SELECT ctx_id, a, b FROM hl WHERE i = n - 2),
+bn AS (SELECT DISTINCT hl.ctx_id, hl.c::BIGINT AS cand_id FROM hl JOIN last2 ON hl.ctx_id = last2.ctx_id
+       AND hl.a = last2.a AND hl.b = last2.b WHERE hl.i <= hl.n - 3)"""
+_POLICY_BASE = f"""{_scores(1.0)}, {_HIST},
+seen AS (SELECT DISTINCT ctx_id, unnest(ids)::BIGINT AS cand_id FROM h),
+{_BANNED},
+pen AS (SELECT sc.ctx_id, sc.cand_id,
+               CASE WHEN seen.cand_id IS NULL THEN sc.score WHEN sc.score < 0 THEN sc.score * {R.PENALTY}
+                    ELSE sc.score / {R.PENALTY} END AS score
+        FROM sc LEFT JOIN seen ON sc.ctx_id = seen.ctx_id AND sc.cand_id = seen.cand_id
+        WHERE sc.cand_id < {R.VOCAB_REAL}),
+ok AS (SELECT * FROM pen WHERE NOT EXISTS (SELECT 1 FROM bn WHERE bn.ctx_id = pen.ctx_id AND bn.cand_id = pen.cand_id))"""
+
+SQL["greedy_policy"] = f"""
+WITH {_POLICY_BASE}
+SELECT ctx_id, arg_max(cand_id, (score, -cand_id)) AS choice FROM ok GROUP BY ctx_id
+"""
+
+SQL["decode_policy"] = f"""
+WITH {_POLICY_BASE},
+t AS (SELECT ctx_id, cand_id, score / {R.TEMP} AS score FROM ok),
+k AS (SELECT * FROM t QUALIFY rank() OVER (PARTITION BY ctx_id ORDER BY score DESC) <= 20),
+k1 AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM k),
+p1 AS (SELECT ctx_id, cand_id, score, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id) AS prob FROM k1),
+tp AS (SELECT ctx_id, cand_id, score FROM p1
+       QUALIFY coalesce(sum(prob) OVER (PARTITION BY ctx_id ORDER BY score DESC, cand_id
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 0.9),
+mp AS (SELECT * FROM tp QUALIFY score >= max(score) OVER (PARTITION BY ctx_id) + ln(0.05)),
+mm AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM mp),
+p AS (SELECT ctx_id, cand_id, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id) AS prob FROM mm)
+SELECT ctx_id, arg_min(cand_id, ({_race(R.POLICY_SEED, '0')}, cand_id)) AS choice FROM p WHERE prob > 0 GROUP BY ctx_id
+"""
+
+SQL["ngram_loops"] = f"""
+WITH t AS (SELECT 'documents' AS source, doc_id AS text_id, {_WORDS} AS w FROM documents
+           UNION ALL
+           SELECT 'conversations' AS source, conv_id * 1000 + turn AS text_id, {_WORDS} AS w FROM conversations),
+g AS (SELECT source, text_id,
+             CASE WHEN len(w) >= {R.NGRAM} THEN list_transform(range(1, len(w) - {R.NGRAM} + 2),
+                  lambda i: w[i: i + {R.NGRAM - 1}]) ELSE [] END AS grams FROM t)
+SELECT source, text_id, len(grams)::BIGINT AS ngrams, len(list_distinct(grams))::BIGINT AS distinct_ngrams,
+       CASE WHEN len(grams) > 0 THEN round(1 - len(list_distinct(grams)) / len(grams), 6) ELSE 0.0 END AS repeated_share
+FROM g
+"""
+
+_CONV_BYTES = BYTES.replace("|| [256]", "")
+SQL["prompt_truncate"] = f"""
+WITH c AS (SELECT conv_id, turn, {_CONV_BYTES} AS ids FROM conversations),
+k AS (SELECT conv_id, turn, CASE WHEN len(ids) <= {max(1, R.PROMPT_T - R.MAX_NEW)} THEN ids
+                                  ELSE ids[len(ids) - {max(1, R.PROMPT_T - R.MAX_NEW) - 1}:] END AS k FROM c)
+SELECT conv_id, turn, len(k)::BIGINT AS n_kept, k[1]::BIGINT AS first_kept, coalesce(list_sum(k), 0)::BIGINT AS kept_sum
+FROM k
+"""
+
+SQL["stop_at_eos"] = f"""
+WITH c AS (SELECT conv_id, turn, {_CONV_BYTES} AS ids FROM conversations),
+o AS (SELECT conv_id, turn, CASE WHEN list_position(ids, {R.STOP_ID}) IS NULL THEN ids
+                                  ELSE ids[1: list_position(ids, {R.STOP_ID})] END AS o,
+             (list_position(ids, {R.STOP_ID}) IS NOT NULL)::INTEGER AS has_eos FROM c),
+p AS (SELECT *, max(len(o)) OVER (PARTITION BY conv_id) AS longest FROM o)
+SELECT conv_id, turn, len(o)::BIGINT AS n_out, has_eos, longest::BIGINT AS padded_len,
+       (coalesce(list_sum(o), 0) + (longest - len(o)) * {R.STOP_ID})::BIGINT AS padded_sum
+FROM p
+"""

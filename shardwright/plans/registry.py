@@ -203,3 +203,231 @@ def word_encode(spark, sf):
     return out.select("doc_id", "n_tokens",
                       F.size(F.filter("ids", lambda i: i == 1)).cast("long").alias("unknown"),
                       F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+# ---------------------------------------------------------------- evaluation
+CAP = 15.0            # logit soft-cap of the reference model
+EVAL_T = 8            # positions per evaluation sequence (embeddings rows)
+TASK_LIMIT = 5
+
+
+def logits(spark, sf):
+    """Embeddings as logits: 64 values per position, ``label`` = target."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("logits"),
+                    F.col("label").cast("int").alias("target"))
+
+
+def _pos_loss(spark, sf):
+    from shardwright.operators.evaluate import cross_entropy
+
+    return cross_entropy(logits(spark, sf), cap=CAP).withColumn(
+        "seq_index", F.floor(F.col("vec_id") / EVAL_T).cast("long"))
+
+
+@query
+def cross_entropy(spark, sf):
+    return _pos_loss(spark, sf).select("vec_id", F.col("target").cast("long").alias("target"),
+                                       _round(F.col("loss")).alias("loss"))
+
+
+@query
+def validation(spark, sf):
+    from shardwright.operators.evaluate import full_validation, sequence_loss
+
+    v = full_validation(sequence_loss(_pos_loss(spark, sf)), EVAL_T)
+    return v.select(_round(F.col("loss")).alias("loss"), _round(F.col("perplexity")).alias("perplexity"),
+                    "sequences", "tokens")
+
+
+@query
+def running_validation(spark, sf):
+    from shardwright.operators.evaluate import running_mean, sequence_loss
+
+    seqs = sequence_loss(_pos_loss(spark, sf))
+    out = running_mean(seqs, "seq_index", F.floor(F.col("seq_index") / 64).cast("long"))
+    return out.select("seq_index", "processed", _round(F.col("running_loss")).alias("running_loss"))
+
+
+def choices(spark, sf):
+    """Each embedding row holds 16 items × 4 choices; log-likelihood = value."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = e.select("vec_id", "label", F.posexplode("embedding").alias("p", "v"))
+    g = F.floor(F.col("p") / 4)
+    return x.select(F.concat(F.lit("task_"), F.col("label").cast("string")).alias("task"),
+                    (F.col("vec_id") * 16 + g).cast("long").alias("item_id"),
+                    F.pmod(F.col("p"), F.lit(4)).cast("int").alias("choice"),
+                    F.col("v").cast("double").alias("loglik"),
+                    (F.pmod(F.col("p"), F.lit(4)) + 1 + g).cast("int").alias("n_bytes"),
+                    F.pmod(F.col("vec_id") + g, F.lit(4)).cast("int").alias("gold"))
+
+
+@query
+def choice_accuracy(spark, sf):
+    from shardwright.operators import evaluate as ev
+
+    m = ev.task_metrics(ev.choice_accuracy(choices(spark, sf)))
+    return m.select("task", "items", _round(F.col("metrics")["acc,none"]).alias("acc"),
+                    _round(F.col("metrics")["acc_norm,none"]).alias("acc_norm"),
+                    _round(F.col("accuracy")).alias("accuracy"), _round(F.col("chance")).alias("chance"))
+
+
+@query
+def macro_accuracy(spark, sf):
+    from shardwright.operators import evaluate as ev
+
+    m = ev.macro_accuracy(ev.task_metrics(ev.choice_accuracy(choices(spark, sf))))
+    return m.select(_round(F.col("macro_accuracy")).alias("macro_accuracy"), "items",
+                    _round(F.col("margin_over_chance")).alias("margin_over_chance"))
+
+
+@query
+def limit_per_task(spark, sf):
+    from shardwright.functions.columns import normalize_limit
+    from shardwright.operators.evaluate import limit_per_group
+
+    items = choices(spark, sf).select("task", "item_id").distinct()
+    return limit_per_group(items, ["task"], ["item_id"], normalize_limit(TASK_LIMIT))
+
+
+# ---------------------------------------------------------------- candidates
+TOPK, TOPP, MINP, TEMP = 5, 0.5, 0.9, 0.05
+PENALTY, NGRAM, VOCAB_REAL = 1.3, 3, 60
+N_SAMPLES, SAMPLE_SEED, POLICY_SEED = 3, 7, 11
+
+
+def scores(spark, sf, temperature: float = 1.0):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = e.select(F.col("vec_id").alias("ctx_id"), F.posexplode("embedding").alias("cand_id", "score"))
+    return x.select("ctx_id", F.col("cand_id").cast("long").alias("cand_id"),
+                    (F.col("score").cast("double") / F.lit(temperature)).alias("score"))
+
+
+def history(spark, sf):
+    """Context history = every byte of the document with the same id, mod 64."""
+    d = ByteEncoder().encode(docs(spark, sf))
+    return d.select(F.col("doc_id").alias("ctx_id"), F.transform("ids", lambda i: F.pmod(i, F.lit(64))).alias("ids"))
+
+
+@query
+def candidate_topk(spark, sf):
+    from shardwright.operators.candidates import top_k
+
+    return top_k(scores(spark, sf), TOPK).select("ctx_id", "cand_id", _round(F.col("score")).alias("score"))
+
+
+@query
+def candidate_topp(spark, sf):
+    from shardwright.operators.candidates import softmax, top_p
+
+    return softmax(top_p(scores(spark, sf, TEMP), TOPP)).select("ctx_id", "cand_id", _round(F.col("prob")).alias("prob"))
+
+
+@query
+def candidate_minp(spark, sf):
+    from shardwright.operators.candidates import min_p
+
+    return min_p(scores(spark, sf, TEMP), MINP).select("ctx_id", "cand_id")
+
+
+@query
+def candidate_softmax(spark, sf):
+    from shardwright.operators.candidates import softmax
+
+    return softmax(scores(spark, sf)).select("ctx_id", "cand_id", _round(F.col("prob")).alias("prob"))
+
+
+@query
+def candidate_argmax(spark, sf):
+    from shardwright.operators.candidates import argmax
+
+    return argmax(scores(spark, sf))
+
+
+@query
+def candidate_sample(spark, sf):
+    from shardwright.operators.candidates import replicate, sample, softmax, top_k
+
+    probs = softmax(top_k(scores(spark, sf, TEMP), 10))
+    return sample(replicate(probs, N_SAMPLES), SAMPLE_SEED, sample_col="sample").select(
+        "ctx_id", F.col("sample").cast("long").alias("sample"), "choice")
+
+
+def _policy_cfg(greedy: bool):
+    from shardwright.config import DecodeConfig
+
+    return DecodeConfig(greedy=greedy, temperature=TEMP, top_k=20, top_p=0.9, min_p=0.05,
+                        repetition_penalty=PENALTY, no_repeat_ngram_size=NGRAM, seed=POLICY_SEED)
+
+
+@query
+def decode_policy(spark, sf):
+    from shardwright.operators.candidates import decode_policy as policy
+
+    raw = scores(spark, sf)
+    return policy(raw, history(spark, sf), _policy_cfg(False), vocab_size=VOCAB_REAL)
+
+
+@query
+def greedy_policy(spark, sf):
+    from shardwright.operators.candidates import decode_policy as policy
+
+    return policy(scores(spark, sf), history(spark, sf), _policy_cfg(True), vocab_size=VOCAB_REAL)
+
+
+@query
+def ngram_loops(spark, sf):
+    from shardwright.operators.candidates import ngram_loops as loops
+
+    d = docs(spark, sf).select(F.lit("documents").alias("source"), F.col("doc_id").alias("text_id"),
+                               WordEncoder.words().alias("w"))
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"),
+        WordEncoder.words().alias("w"))
+    return loops(d.unionByName(c), "w", NGRAM).select("source", "text_id", "ngrams", "distinct_ngrams",
+                                                       "repeated_share")
+
+
+PROMPT_T, MAX_NEW, STOP_ID = 256, 64, 10
+
+
+def _conv_ids(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
+    return ByteEncoder().encode(c).drop("text")
+
+
+@query
+def prompt_truncate(spark, sf):
+    from shardwright.functions.columns import prompt_budget, truncate_left
+
+    kept = truncate_left("ids", prompt_budget(PROMPT_T, MAX_NEW))
+    return _conv_ids(spark, sf).select("conv_id", "turn", kept.alias("k")).select(
+        "conv_id", "turn", F.size("k").cast("long").alias("n_kept"),
+        F.element_at("k", 1).cast("long").alias("first_kept"),
+        F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("kept_sum"))
+
+
+@query
+def stop_at_eos(spark, sf):
+    from pyspark.sql import Window
+
+    from shardwright.functions.columns import pad_with_eos, stop_at_eos as stop
+
+    out = _conv_ids(spark, sf).select("conv_id", "turn", stop("ids", STOP_ID).alias("o"),
+                                      F.array_contains("ids", STOP_ID).cast("int").alias("has_eos"))
+    longest = F.max(F.size("o")).over(Window.partitionBy("conv_id"))
+    padded = out.withColumn("p", pad_with_eos("o", longest, STOP_ID))
+    return padded.select("conv_id", "turn", F.size("o").cast("long").alias("n_out"), "has_eos",
+                         F.size("p").cast("long").alias("padded_len"),
+                         F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("padded_sum"))
+
+
+@query
+def custom_selector(spark, sf):
+    from shardwright.operators.candidates import apply_selector
+
+    def highest_lowest_id(pdf):
+        best = pdf.sort_values(["score", "cand_id"], ascending=[False, True]).iloc[0]
+        return int(best["cand_id"])
+
+    return apply_selector(scores(spark, sf), highest_lowest_id, 64)
