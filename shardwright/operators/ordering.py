@@ -106,3 +106,53 @@ def global_position(df: DataFrame, order: Sequence[str] | str, bucket: Column |
                     ) -> DataFrame:
     """0-based rank in ``order`` (ties broken by the order columns themselves)."""
     return prefix_sum(df, F.lit(1).cast("long"), order, bucket, out, partition)
+
+
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def prefix_agg(df: DataFrame, value: Column | str, order: Sequence[str] | str, bucket: Column | str,
+               out: str, partition: Sequence[str] | str | None = None, how: str = "max",
+               inclusive: bool = True) -> DataFrame:
+    """Running ``min``/``max``/``sum`` in two levels (nulls ignored, like SQL).
+
+    ``max`` over a struct ``(order…, x)`` gives "last non-null x so far"."""
+    agg = _AGG[how]
+    part = _cols(partition)
+    order_cols = _cols(order)
+    v = F.col(value) if isinstance(value, str) else value
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    tagged = df.withColumn("_av", v).withColumn("_ab", b)
+    per = tagged.groupBy(*part, "_ab").agg(agg("_av").alias("_as"))
+    before = Window.partitionBy(*part).orderBy("_ab").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per.select(*part, "_ab", agg("_as").over(before).alias("_abase"))
+    inner = Window.partitionBy(*part, "_ab").orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    run = agg("_av").over(inner)
+    if how == "sum":
+        comb = F.coalesce(F.col("_abase"), F.lit(0)) + F.coalesce(run, F.lit(0))
+    elif how == "min":
+        comb = F.least(F.col("_abase"), run)
+    else:
+        comb = F.greatest(F.col("_abase"), run)
+    return tagged.join(bases, [*part, "_ab"]).withColumn(out, comb).drop("_av", "_ab", "_abase")
+
+
+def previous_row(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str, bucket: Column | str,
+                 partition: Sequence[str] | str | None = None, prefix: str = "prev_") -> DataFrame:
+    """``prev_<col>`` = value on the row just before in ``order`` (two levels):
+    ``lag`` inside a bucket, else the last row of the nearest earlier bucket."""
+    part = _cols(partition)
+    order_cols = _cols(order)
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    tagged = df.withColumn("_qb", b)
+    payload = F.struct(*[F.col(c).alias(c) for c in order_cols], *[F.col(c).alias("v_" + c) for c in cols])
+    last = tagged.groupBy(*part, "_qb").agg(F.max(payload).alias("_ql"))
+    prev_b = Window.partitionBy(*part).orderBy("_qb")
+    carry = last.select(*part, "_qb", F.lag("_ql").over(prev_b).alias("_qc"))
+    inner = Window.partitionBy(*part, "_qb").orderBy(*order_cols)
+    out = tagged.join(carry, [*part, "_qb"])
+    first = F.row_number().over(inner) == 1
+    for c in cols:
+        out = out.withColumn(prefix + c, F.when(first, F.col("_qc")["v_" + c]).otherwise(F.lag(c).over(inner)))
+    return out.drop("_qb", "_qc")

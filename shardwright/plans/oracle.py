@@ -364,3 +364,147 @@ SELECT conv_id, turn, len(o)::BIGINT AS n_out, has_eos, longest::BIGINT AS padde
        (coalesce(list_sum(o), 0) + (longest - len(o)) * {R.STOP_ID})::BIGINT AS padded_sum
 FROM p
 """
+
+# ---------------------------------------------------------------- telemetry
+_CN = f"""ev AS (SELECT user_id AS run_id, event_id AS seq, epoch_us(ts) AS us, round(value * 100)::BIGINT AS added
+       FROM events),
+cn AS (SELECT run_id, seq, us, added,
+              sum(added) OVER (PARTITION BY run_id, us // {R.DAY_US} ORDER BY us, seq)::BIGINT AS units FROM ev)"""
+_W = int(R.RATE_WINDOW_S * 1_000_000)
+
+SQL["rolling_rate"] = f"""
+WITH {_CN},
+l AS (SELECT *, lag(units) OVER (PARTITION BY run_id ORDER BY us, seq) AS pu FROM cn),
+s AS (SELECT *, sum(CASE WHEN pu IS NOT NULL AND units < pu THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY run_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sg
+      FROM l),
+f AS (SELECT *, lag(us) OVER (PARTITION BY run_id, sg ORDER BY us, seq) AS pus,
+              lag(units) OVER (PARTITION BY run_id, sg ORDER BY us, seq) AS pun,
+              min(us) OVER (PARTITION BY run_id, sg ORDER BY us RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS fus,
+              arg_min(units, us) OVER (PARTITION BY run_id, sg ORDER BY us
+                                       RANGE BETWEEN {_W} PRECEDING AND CURRENT ROW) AS fun
+      FROM s),
+g AS (SELECT *, CASE WHEN pus < fus THEN pus ELSE fus END AS f_us, CASE WHEN pus < fus THEN pun ELSE fun END AS f_un
+      FROM f),
+r AS (SELECT *, CASE WHEN pus IS NULL OR (us - f_us) / 1e6 <= 0 THEN 0.0
+                     ELSE greatest(0.0, (units - f_un) / ((us - f_us) / 1e6)) END AS rate,
+             CASE WHEN pus IS NULL THEN 0.0 ELSE greatest((us - f_us) / 1e6, 0.0) END AS el FROM g)
+SELECT run_id, seq, units, round(rate * 3600, 6) AS rate_per_hour, round(el, 6) AS elapsed_s,
+       (CASE WHEN rate > 0 THEN floor(greatest(0.0, {R.RATE_TARGET} - units) / rate) ELSE 0 END)::BIGINT AS eta_s
+FROM r
+"""
+
+SQL["counter_audit"] = f"""
+WITH {_CN},
+l AS (SELECT *, lag(units) OVER (PARTITION BY run_id ORDER BY us, seq) AS pu FROM cn),
+v AS (SELECT run_id, seq, 'negative_delta' AS rule, 0.0 AS expected, added::DOUBLE AS found FROM l WHERE added < 0
+      UNION ALL
+      SELECT run_id, seq, 'delta_mismatch', added::DOUBLE, (units - pu)::DOUBLE FROM l
+      WHERE pu IS NOT NULL AND units - pu <> added
+      UNION ALL
+      SELECT run_id, seq, 'backwards', pu::DOUBLE, units::DOUBLE FROM l WHERE pu IS NOT NULL AND units < pu)
+SELECT run_id, seq, rule, round(expected, 6) AS expected, round(found, 6) AS found FROM v
+"""
+
+_LOG = """lg AS (SELECT user_id AS run_id, event_id AS step, value::DOUBLE AS train_loss,
+              CASE WHEN event_type = 'purchase' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10 END AS dev_loss,
+              event_type = 'purchase' AS is_eval FROM events),
+iv AS (SELECT *, coalesce(sum(is_eval::INTEGER) OVER (PARTITION BY run_id ORDER BY step
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS interval FROM lg),
+ia AS (SELECT run_id, interval, avg(train_loss) AS a FROM iv GROUP BY run_id, interval),
+ev AS (SELECT iv.run_id, iv.step, iv.interval, iv.dev_loss, ia.a AS average_train_loss
+       FROM iv JOIN ia ON iv.run_id = ia.run_id AND iv.interval = ia.interval WHERE iv.is_eval)"""
+
+SQL["interval_average"] = f"""
+WITH {_LOG}
+SELECT run_id, step, interval::BIGINT AS interval, round(average_train_loss, 6) AS average_train_loss,
+       round(min(dev_loss) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING), 6) AS best_dev_loss,
+       round(min(average_train_loss) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING), 6)
+         AS best_average_train_loss
+FROM ev
+"""
+
+SQL["hold_last"] = f"""
+WITH {_LOG},
+h AS (SELECT run_id, step, is_eval,
+             last_value(dev_loss IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held
+      FROM lg)
+SELECT run_id, step, round(held, 6) AS held_dev_loss FROM h WHERE NOT is_eval
+"""
+
+_POL = " UNION ALL ".join(f"SELECT '{n}' AS name, '{p}' AS policy" for n, p in R.POLICY)
+SQL["metric_summary"] = f"""
+WITH pol AS ({_POL}),
+a AS (SELECT user_id AS run_id, event_type AS name, arg_max(value, event_id) AS l, min(value) AS mn, max(value) AS mx
+      FROM events GROUP BY user_id, event_type)
+SELECT a.run_id, a.name, pol.policy,
+       round(CASE pol.policy WHEN 'last' THEN l WHEN 'min' THEN mn ELSE mx END, 6) AS summary
+FROM a JOIN pol ON a.name = pol.name
+"""
+
+SQL["loss_comparison"] = f"""
+WITH {_LOG}
+SELECT run_id, step, round(average_train_loss, 6) AS average_train_loss, round(dev_loss, 6) AS dev_loss FROM ev
+"""
+
+_TPS = R.SCHED["B"] * R.SCHED["grad_accum_steps"] * R.SCHED["T"]
+SQL["run_summary"] = f"""
+WITH {_LOG}
+SELECT run_id, max(step) AS current_step, round(arg_max(train_loss, step), 6) AS latest_train_loss,
+       round(arg_max(dev_loss, CASE WHEN is_eval THEN step END), 6) AS latest_dev_loss,
+       round(min(CASE WHEN is_eval THEN dev_loss END), 6) AS best_dev_loss,
+       sum(is_eval::INTEGER)::BIGINT AS evaluations, (max(step) * {_TPS})::BIGINT AS tokens_processed,
+       round(100.0 * max(step) / {R.SCHED["max_steps"]}, 6) AS progress_percent,
+       CASE WHEN max(step) >= {R.SCHED["max_steps"]} THEN 'finished' ELSE 'running' END AS status
+FROM lg GROUP BY run_id
+"""
+
+SQL["throughput"] = f"""
+WITH e AS (SELECT user_id AS run_id, epoch_us(ts) AS us, ts, event_type FROM events),
+t AS (SELECT run_id, count(*) AS sequences, (max(us) - min(us)) / 1e6 AS el, arg_min(event_type, us) AS first_type,
+             min(ts) AS start_ts FROM e GROUP BY run_id),
+r AS (SELECT *, CASE WHEN el > 0 THEN sequences * {R.TPS_SEQ_LEN} / el ELSE 0.0 END AS tps FROM t)
+SELECT run_id, sequences::BIGINT AS sequences, round(el, 6) AS elapsed_s, round(tps, 6) AS tokens_per_s,
+       CASE WHEN isnan(tps) OR tps <= 0 OR isinf(tps) THEN '— tok/s'
+            WHEN tps >= 1e9 THEN printf('%.2fG tok/s', tps / 1e9)
+            WHEN tps >= 1e6 THEN printf('%.2fM tok/s', tps / 1e6)
+            WHEN tps >= 1e3 THEN printf('%.1fk tok/s', tps / 1e3)
+            ELSE printf('%.1f tok/s', tps) END AS rate_text,
+       CASE WHEN first_type = 'signup' THEN strftime(start_ts, '%Y%m%d-%H%M%S') || '-pretraining'
+            ELSE 'pretraining' END AS run_name
+FROM r
+"""
+
+_G = int(R.THROTTLE_GAP_S * 1_000_000)
+SQL["throttle"] = f"""
+WITH RECURSIVE {_CN},
+nx AS (SELECT c.run_id, c.seq, c.us, c.units,
+              (SELECT min(d.seq) FROM cn d WHERE d.run_id = c.run_id AND d.seq > c.seq
+                 AND (d.us >= c.us + {_G} OR d.units >= {R.THROTTLE_TARGET})) AS nxt
+       FROM cn c),
+ch AS (SELECT run_id, seq, nxt FROM nx WHERE (run_id, seq) IN (SELECT run_id, min(seq) FROM cn GROUP BY run_id)
+       UNION ALL
+       SELECT nx.run_id, nx.seq, nx.nxt FROM ch JOIN nx ON nx.run_id = ch.run_id AND nx.seq = ch.nxt)
+SELECT ch.run_id, ch.seq, cn.units FROM ch JOIN cn ON cn.run_id = ch.run_id AND cn.seq = ch.seq
+"""
+
+_S = R.SCHED
+_DEC = int(0.8 * _S["max_steps"])
+SQL["wsd_schedule"] = f"""
+SELECT event_id AS step,
+       round(CASE WHEN event_id < {_S["warmup_steps"]} THEN {_S["learning_rate"]} * (event_id + 1) / {_S["warmup_steps"]}
+                  WHEN event_id < {_DEC} THEN {_S["learning_rate"]}
+                  ELSE {_S["min_lr"]} + (1.0 - (event_id - {_DEC}) / {max(1, _S["max_steps"] - _DEC)})
+                       * ({_S["learning_rate"]} - {_S["min_lr"]}) END, 12) AS lr,
+       round(0.04 * (CASE WHEN event_id < {_S["warmup_steps"]} THEN {_S["learning_rate"]} * (event_id + 1) / {_S["warmup_steps"]}
+                  WHEN event_id < {_DEC} THEN {_S["learning_rate"]}
+                  ELSE {_S["min_lr"]} + (1.0 - (event_id - {_DEC}) / {max(1, _S["max_steps"] - _DEC)})
+                       * ({_S["learning_rate"]} - {_S["min_lr"]}) END / {_S["learning_rate"]}), 12) AS matrix_lr,
+       (event_id % {_S["eval_interval"]} = 0 OR event_id = {_S["max_steps"]})::INTEGER AS is_eval,
+       (event_id * {_S["grad_accum_steps"]} // 572)::BIGINT AS epoch,
+       (event_id * {_S["grad_accum_steps"]} % 572)::BIGINT AS batch_offset,
+       (event_id * {_TPS})::BIGINT AS tokens_processed,
+       round(100.0 * event_id / {_S["max_steps"]}, 6) AS progress_percent
+FROM events
+"""

@@ -431,3 +431,153 @@ def custom_selector(spark, sf):
         return int(best["cand_id"])
 
     return apply_selector(scores(spark, sf), highest_lowest_id, 64)
+
+
+# ---------------------------------------------------------------- telemetry
+RATE_WINDOW_S, RATE_TARGET = 43_200.0, 20_000
+THROTTLE_GAP_S, THROTTLE_TARGET = 43_200.0, 8_000
+DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
+TPS_SEQ_LEN = 1024
+POLICY = [("view", "last"), ("signup", "last"), ("click", "max"), ("error", "min"), ("purchase", "min")]
+SCHED = dict(B=16, grad_accum_steps=4, T=1024, learning_rate=1.2e-3, min_lr=1.2e-4, warmup_steps=200,
+             max_steps=10_000, eval_interval=250)
+
+
+def events(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def counters(spark, sf):
+    """Per user: a counter of value cents that restarts every UTC day."""
+    from shardwright.operators.ordering import prefix_agg
+    from shardwright.operators.telemetry import micros
+
+    e = events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"),
+                                 micros("ts").alias("us"), F.round(F.col("value") * 100).cast("long").alias("added"))
+    e = e.withColumn("_day", F.floor(F.col("us") / DAY_US).cast("long")).withColumn(
+        "_hr", F.floor(F.col("us") / HOUR_US).cast("long"))
+    return prefix_agg(e, "added", ["us", "seq"], "_hr", "units", ["run_id", "_day"], how="sum").drop("_day", "_hr")
+
+
+def training_rows(spark, sf):
+    """Events as a training log: purchases are evaluations whose dev loss is
+    props.k / 10; every event's value is that step's train loss."""
+    from shardwright.operators.telemetry import micros
+
+    e = events(spark, sf)
+    is_eval = F.col("event_type") == "purchase"
+    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), micros("ts").alias("us"),
+                    F.col("value").cast("double").alias("train_loss"),
+                    F.when(is_eval, F.get_json_object("props", "$.k").cast("double") / 10).alias("dev_loss"),
+                    is_eval.alias("is_eval"))
+
+
+@query
+def rolling_rate(spark, sf):
+    from shardwright.operators.telemetry import eta, rolling_rate as rate
+
+    r = eta(rate(counters(spark, sf), RATE_WINDOW_S), RATE_TARGET)
+    return r.select("run_id", "seq", "units", _round(F.col("rate") * 3600).alias("rate_per_hour"),
+                    _round(F.col("elapsed_s")).alias("elapsed_s"), "eta_s")
+
+
+@query
+def counter_audit(spark, sf):
+    from shardwright.operators.telemetry import audit_counters
+
+    return audit_counters(counters(spark, sf)).select("run_id", "seq", "rule", _round(F.col("expected")).alias("expected"),
+                                                      _round(F.col("found")).alias("found"))
+
+
+@query
+def interval_average(spark, sf):
+    from shardwright.operators.telemetry import training_log
+
+    t = training_log(training_rows(spark, sf)).filter("is_eval")
+    return t.select("run_id", "step", F.col("interval").cast("long").alias("interval"),
+                    _round(F.col("average_train_loss")).alias("average_train_loss"),
+                    _round(F.col("best_dev_loss")).alias("best_dev_loss"),
+                    _round(F.col("best_average_train_loss")).alias("best_average_train_loss"))
+
+
+@query
+def hold_last(spark, sf):
+    from shardwright.operators.telemetry import training_log
+
+    t = training_log(training_rows(spark, sf)).filter(~F.col("is_eval"))
+    return t.select("run_id", "step", _round(F.col("held_dev_loss")).alias("held_dev_loss"))
+
+
+@query
+def metric_summary(spark, sf):
+    from shardwright.operators.telemetry import summarise
+
+    m = events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
+                                 F.col("event_type").alias("name"), F.col("value").cast("double").alias("value"))
+    pol = spark.createDataFrame(POLICY, "name string, policy string")
+    return summarise(m, pol).select("run_id", "name", "policy", _round(F.col("summary")).alias("summary"))
+
+
+@query
+def loss_comparison(spark, sf):
+    from shardwright.operators.telemetry import loss_comparison as pivot, training_log
+
+    t = training_log(training_rows(spark, sf)).filter("is_eval")
+    long = t.select("run_id", "step", F.explode(F.array(
+        F.struct(F.lit("average_train_loss").alias("name"), F.col("average_train_loss").alias("value")),
+        F.struct(F.lit("dev_loss").alias("name"), F.col("dev_loss").alias("value")))).alias("m")).select(
+        "run_id", "step", "m.name", "m.value")
+    p = pivot(long, ["average_train_loss", "dev_loss"])
+    return p.select("run_id", "step", _round(F.col("average_train_loss")).alias("average_train_loss"),
+                    _round(F.col("dev_loss")).alias("dev_loss"))
+
+
+@query
+def run_summary(spark, sf):
+    from shardwright.config import TrainConfig
+    from shardwright.operators.telemetry import run_summary as summary
+
+    cfg = TrainConfig(**SCHED)
+    s = summary(training_rows(spark, sf), cfg.tokens_per_step, cfg.max_steps)
+    return s.select("run_id", "current_step", _round(F.col("latest_train_loss")).alias("latest_train_loss"),
+                    _round(F.col("latest_dev_loss")).alias("latest_dev_loss"),
+                    _round(F.col("best_dev_loss")).alias("best_dev_loss"), "evaluations", "tokens_processed",
+                    _round(F.col("progress_percent")).alias("progress_percent"), "status")
+
+
+@query
+def throughput(spark, sf):
+    from shardwright.functions.columns import format_rate, run_name
+    from shardwright.operators.telemetry import average_throughput, micros
+
+    e = events(spark, sf).select(F.col("user_id").alias("run_id"), micros("ts").alias("us"), "ts", "event_type")
+    t = average_throughput(e, TPS_SEQ_LEN)
+    first = e.groupBy("run_id").agg(F.min_by("event_type", "us").alias("first_type"), F.min("ts").alias("start_ts"))
+    mode = F.when(F.col("first_type") == "signup", "fresh").otherwise("continue")
+    return t.join(first, "run_id").select(
+        "run_id", F.col("sequences").cast("long").alias("sequences"), _round(F.col("elapsed_s")).alias("elapsed_s"),
+        _round(F.col("tokens_per_s")).alias("tokens_per_s"), format_rate("tokens_per_s", "tok").alias("rate_text"),
+        run_name(mode, "start_ts", "pretraining").alias("run_name"))
+
+
+@query
+def throttle(spark, sf):
+    from shardwright.operators.telemetry import throttle as gate
+
+    c = counters(spark, sf)
+    return gate(c, THROTTLE_GAP_S, THROTTLE_TARGET).select("run_id", "seq", "units")
+
+
+@query
+def wsd_schedule(spark, sf):
+    from shardwright.config import TrainConfig
+    from shardwright.functions.columns import data_position, is_eval_step, matrix_lr, progress_columns, wsd_lr
+
+    cfg = TrainConfig(**SCHED)
+    s = events(spark, sf).select(F.col("event_id").alias("step"))
+    lr = wsd_lr("step", cfg)
+    epoch, off = data_position("step", cfg.grad_accum_steps, 572)
+    return s.select("step", _round(lr, 12).alias("lr"), _round(matrix_lr(lr, cfg), 12).alias("matrix_lr"),
+                    is_eval_step("step", cfg.eval_interval, cfg.max_steps).cast("int").alias("is_eval"),
+                    epoch, off, *progress_columns("step", cfg)[:1],
+                    _round(progress_columns("step", cfg)[2]).alias("progress_percent"))
