@@ -86,7 +86,7 @@ def with_range_bucket(df: DataFrame, key: str, out: str = "bucket",
     if not n or lo is None:
         return df.withColumn(out, F.lit(0).cast("long"))
     span = hi - lo + 1
-    if n * 2 >= span:
+    if n * 2 >= span or n_buckets == 1:
         # dense keys: equal-width buckets hold near-equal row counts
         return df.withColumn(out, F.floor((F.col(key) - F.lit(lo)) * F.lit(n_buckets)
                                           / F.lit(span)).cast("long"))

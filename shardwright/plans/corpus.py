@@ -92,3 +92,43 @@ def shard_window_summary(windows: DataFrame) -> DataFrame:
 
 __all__ = ["encode_with_offsets", "offsets_only", "committed_segments", "build_windows",
            "shard_window_summary", "count_tokens", "BYTE_EOS"]
+
+
+# ---------------------------------------------------------------- write path
+def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=None, identity=None,
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> dict:
+    """Batch corpus build into ``directory``: shard files, their metadata, the
+    pending tail and a ledger row — in that order, so a crash before the ledger
+    row leaves nothing a resume would trust. Returns the committed state."""
+    from shardwright.config import BuildIdentity
+    from shardwright.sources.manifests import Ledger, shard_meta_rows, write_shard_meta
+    from shardwright.sources.token_shards import write_token_shards
+
+    encoder = encoder or ByteEncoder()
+    identity = identity or BuildIdentity(tokenizer_name=encoder.name, tokenizer_revision=encoder.revision)
+    spark = docs.sparkSession
+    ledger = Ledger(spark, directory)
+    if ledger.exists():
+        raise RuntimeError("a build already exists here; resume it with the streaming build")
+    enc, total = encode_with_offsets(docs, encoder, rows_per_bucket)
+    comm, pend, n_comm = committed_segments(enc, total, cfg)
+    chunks = packing.chunk_segments(comm.select("shard", "pos", "tokens"), cfg.chunk_tokens)
+    write_token_shards(chunks, directory, cfg.shard_size)
+    n = spark.range(1).select(n_comm.alias("n")).first()["n"]
+    dim = packing.uniform_shard_dim(spark, int(n), cfg.shard_size, cfg.seq_len, cfg.stride)
+    write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
+    state = Ledger.new(identity, cfg.shard_size, cfg.max_shards)
+    cut = int(n) * cfg.shard_size
+    capped = cfg.max_shards * cfg.shard_size < spark.range(1).select(total.alias("t")).first()["t"]
+    pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
+    if capped:
+        pend_rows = pend_rows.filter(F.col("start") < F.lit(cut)) if "start" in pend.columns else pend_rows
+    pend_path = ledger.pending_path(1)
+    pend_rows.write.mode("overwrite").parquet(pend_path)
+    stats = spark.read.parquet(pend_path).agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("p")).first()
+    used = docs.agg(F.count(F.lit(1)).alias("c"), F.max("doc_id").alias("m")).first()
+    state.update(commit_id=1, batch_id=0, next_shard=int(n), committed_tokens=cut,
+                 pending_tokens=int(stats["p"]), pending_path=pend_path,
+                 source_documents_consumed=int(used["c"]), last_doc_id=used["m"])
+    ledger.commit(state)
+    return state
