@@ -508,3 +508,31 @@ SELECT event_id AS step,
        round(100.0 * event_id / {_S["max_steps"]}, 6) AS progress_percent
 FROM events
 """
+
+# ---------------------------------------------------------------- artifacts and audits
+SQL["shard_roundtrip"] = SQL["pack_windows"]
+
+SQL["corpus_totals"] = f"""
+SELECT {NCOMM}::BIGINT AS shards, ({NCOMM} * {R.S})::BIGINT AS tokens,
+       round({NCOMM} * {R.S} * 2 / {float(1 << 30)}, 6) AS gib
+"""
+
+SQL["audit_manifest"] = f"""
+WITH {_OFFS},
+segs AS (SELECT s AS shard, least(start + n, (s + 1) * {R.S}) - greatest(start, s * {R.S}) AS t
+         FROM offs, unnest(generate_series(start // {R.S}, (start + n - 1) // {R.S})) AS g(s)),
+st AS (SELECT shard, sum(t)::BIGINT AS tokens FROM segs GROUP BY shard),
+idx AS (SELECT unnest(generate_series(0, (SELECT max(shard) FROM st) + {R.CLAIMED_EXTRA})) AS shard),
+j AS (SELECT idx.shard, st.tokens FROM idx LEFT JOIN st ON idx.shard = st.shard)
+SELECT shard::BIGINT AS shard, 'file_missing' AS rule, CAST({2 * R.S} AS VARCHAR) AS expected, NULL::VARCHAR AS found
+FROM j WHERE tokens IS NULL
+UNION ALL
+SELECT shard::BIGINT, 'file_size', CAST({2 * R.S} AS VARCHAR), CAST(tokens * 2 AS VARCHAR) FROM j
+WHERE tokens IS NOT NULL AND tokens * 2 <> {2 * R.S}
+UNION ALL
+SELECT shard::BIGINT, 'meta_missing', 'metadata', NULL FROM j WHERE tokens IS NULL
+UNION ALL
+SELECT shard::BIGINT, 'meta_mismatch', CAST(shard AS VARCHAR) || '/{R.S}/uint16',
+       CAST(shard AS VARCHAR) || '/' || CAST(tokens AS VARCHAR) || '/uint16'
+FROM j WHERE tokens IS NOT NULL AND tokens <> {R.S}
+"""

@@ -581,3 +581,59 @@ def wsd_schedule(spark, sf):
                     is_eval_step("step", cfg.eval_interval, cfg.max_steps).cast("int").alias("is_eval"),
                     epoch, off, *progress_columns("step", cfg)[:1],
                     _round(progress_columns("step", cfg)[2]).alias("progress_percent"))
+
+
+# ---------------------------------------------------------------- artifacts and audits
+DATASET_REV, TOKENIZER_REV = "dataset-sha", "utf-8"
+CLAIMED_EXTRA = 10     # the manifest's state claims this many shards beyond those present
+
+
+def _shard_tokens(spark, sf):
+    """(shard, tokens) of every shard the stream touches, the partial tail included."""
+    off = corpus.offsets_only(docs(spark, sf))
+    segs = packing.cut_shards(off, S, ids_col=None)
+    return segs.groupBy("shard").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("tokens"))
+
+
+@query
+def audit_manifest(spark, sf):
+    """A1/A2 over a manifest derived from the documents: one file and one
+    metadata record per shard the stream touches (the partial tail written as
+    if it were a shard), and a state that claims CLAIMED_EXTRA more shards."""
+    from shardwright.operators.audit import audit_committed
+
+    st = _shard_tokens(spark, sf)
+    files = st.select("shard", (F.col("tokens") * 2).alias("length"))
+    meta = st.select(F.col("shard").cast("long").alias("shard_index"), "tokens", F.lit("uint16").alias("dtype"),
+                     F.lit(DATASET_REV).alias("dataset_revision"), F.lit(TOKENIZER_REV).alias("tokenizer_revision"))
+    claimed = st.select((F.max("shard") + 1 + CLAIMED_EXTRA).cast("long")).scalar()
+    v = audit_committed(spark, files, meta, claimed, S, (F.lit(DATASET_REV), F.lit(TOKENIZER_REV)))
+    return v.select("shard", "rule", "expected", "found")
+
+
+@query
+def corpus_totals(spark, sf):
+    from shardwright.operators.audit import corpus_totals as totals
+
+    return totals(_dim(spark, sf, S, MAX_SHARDS, T, STRIDE))
+
+
+@query
+def shard_roundtrip(spark, sf):
+    """S4 then S2: write the corpus as ``.bin`` shards into the session's
+    checkpoint folder and read the windows back through the data source."""
+    import uuid
+
+    from shardwright.session import checkpoint_dir
+    from shardwright.sources.token_shards import read_windows
+
+    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=MAX_SHARDS)
+    out = checkpoint_dir(spark).rstrip("/") + f"/corpus-{uuid.uuid4().hex}"
+    corpus.write_corpus(docs(spark, sf), out, cfg)
+    w = read_windows(spark, out, T, STRIDE)
+    return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
+                    F.size("window").cast("long").alias("n_tokens"),
+                    F.element_at("window", 1).cast("long").alias("first_token"),
+                    F.element_at("window", -1).cast("long").alias("last_token"),
+                    F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
+                    F.md5(F.array_join("window", ",")).alias("window_md5"))
