@@ -46,10 +46,17 @@ def banned_continuations(history: DataFrame, n: int, ctx: str = CTX) -> DataFram
         return history.select(ctx, F.lit(None).cast("int").alias("cand_id")).filter(F.lit(False))
     h = F.col("ids")
     size = F.size(h)
-    prefix = F.slice(h, F.greatest(size - (n - 1) + 1, F.lit(1)), n - 1) if n > 1 else F.array().cast("array<int>")
-    starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.slice(h, i + 1, n - 1) == prefix) if n > 1 else starts
-    banned = F.array_distinct(F.transform(hits, lambda i: F.element_at(h, i + n)))
+    if n == 1:
+        banned = F.array_distinct(h)
+    else:
+        # n shifted views of the history, zipped: position i holds h[i..i+n-1]
+        m = size - n + 1
+        views = [F.when(m > 0, F.slice(h, j + 1, m)).otherwise(F.array().cast("array<int>")) for j in range(n)]
+        grams = F.arrays_zip(*[v.alias(f"g{j}") for j, v in enumerate(views)])
+        last = [F.element_at(h, size - (n - 1) + 1 + j) for j in range(n - 1)]
+        hit = F.filter(grams, lambda g: F.forall(F.array(*[g[f"g{j}"] == last[j] for j in range(n - 1)]),
+                                                 lambda x: x))
+        banned = F.array_distinct(F.transform(hit, lambda g: g[f"g{n - 1}"]))
     return history.select(ctx, F.explode(banned).alias("cand_id"))
 
 
@@ -151,20 +158,30 @@ def decode_policy(scores: DataFrame, history: DataFrame, cfg: DecodeConfig, ctx:
 
 # C11
 def ngram_loops(df: DataFrame, ids_col: str, n: int) -> DataFrame:
-    """Per text: n-grams, distinct n-grams and the repeated share."""
+    """Per text: n-grams, distinct n-grams and the repeated share.
+
+    Each n-gram becomes one exact, hashable key (length-prefixed items joined)
+    built from n shifted views of the sequence, so the distinct count is a hash
+    set over strings rather than pairwise array comparisons."""
     h = F.col(ids_col)
-    grams = F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1),
-                                                 lambda i: F.slice(h, i, n))).otherwise(F.array())
-    # n-grams as JSON text: an exact key that array_distinct can hash (arrays of
-    # arrays would be compared pairwise)
-    keyed = F.transform("_g", lambda g: F.to_json(g))
-    return (df.withColumn("_g", grams)
-            .withColumn("ngrams", F.size("_g").cast("long"))
-            .withColumn("distinct_ngrams", F.size(F.array_distinct(keyed)).cast("long"))
+    m = F.size(h) - n + 1
+    views = [F.when(m > 0, F.slice(h, j + 1, m)).otherwise(F.array()) for j in range(n)]
+
+    def key(g):
+        parts = []
+        for j in range(n):
+            w = g[f"g{j}"].cast("string")
+            parts += [F.length(w).cast("string"), F.lit(":"), w]
+        return F.concat(*parts)
+
+    keys = F.transform(F.arrays_zip(*[v.alias(f"g{j}") for j, v in enumerate(views)]), key)
+    return (df.withColumn("_k", keys)
+            .withColumn("ngrams", F.size("_k").cast("long"))
+            .withColumn("distinct_ngrams", F.size(F.array_distinct("_k")).cast("long"))
             .withColumn("repeated_share", F.when(F.col("ngrams") > 0,
                                                  F.round(1 - F.col("distinct_ngrams") / F.col("ngrams"), 6))
                         .otherwise(F.lit(0.0)))
-            .drop("_g"))
+            .drop("_k"))
 
 
 # U1

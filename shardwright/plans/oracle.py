@@ -108,6 +108,8 @@ SELECT seq_index::BIGINT AS seq_index, CASE WHEN seq_index < {SPLIT1} THEN 'trai
 FROM w WHERE seq_index < {SPLIT1} OR seq_index >= {DEV1}
 """
 
+_PER = f"(({CUT} * {NW}) // {R.B})"
+_ACCUM = f"(CASE WHEN {_PER} % 4 = 0 THEN 4 WHEN {_PER} % 2 = 0 THEN 2 ELSE 1 END)"
 _TRAIN = f"tr AS (SELECT unnest(generate_series(0, {CUT} * {NW} - 1)) AS local_index)"
 _KEY = "md5(CAST({seed} + epoch AS VARCHAR) || ':' || CAST(local_index AS VARCHAR))"
 
@@ -123,22 +125,22 @@ WITH {_TRAIN}, e AS (SELECT 0 AS epoch),
 o AS (SELECT local_index, row_number() OVER (ORDER BY {_KEY.format(seed=R.SEED)}, local_index) - 1 AS position
       FROM tr, e)
 SELECT local_index::BIGINT AS local_index, position::BIGINT AS position, (position // {R.B})::BIGINT AS batch,
-       (position // {R.B} // {R.ACCUM})::BIGINT AS step, ((position // {R.B}) % {R.WORLD})::BIGINT AS rank
+       (position // {R.B} // {_ACCUM})::BIGINT AS step, ((position // {R.B}) % {R.WORLD})::BIGINT AS rank
 FROM o WHERE position < ((SELECT count(*) FROM tr) // {R.B}) * {R.B}
 """
 
-_PER = f"(({CUT} * {NW}) // {R.B})"
+
 SQL["remaining_plan"] = f"""
 WITH {_TRAIN},
-e AS (SELECT unnest(generate_series({R.RESUME_STEP * R.ACCUM} // {_PER}, ({R.MAX_STEPS * R.ACCUM} - 1) // {_PER})) AS epoch),
+e AS (SELECT unnest(generate_series({R.RESUME_STEP} * {_ACCUM} // {_PER}, ({R.MAX_STEPS} * {_ACCUM} - 1) // {_PER})) AS epoch),
 o AS (SELECT epoch, local_index,
              row_number() OVER (PARTITION BY epoch ORDER BY {_KEY.format(seed=R.SEED)}, local_index) - 1 AS position
       FROM tr, e),
 b AS (SELECT epoch, local_index, position, position // {R.B} AS batch FROM o WHERE position < {_PER} * {R.B})
 SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch,
-       (epoch * ({_PER} // {R.ACCUM}) + batch // {R.ACCUM})::BIGINT AS step,
+       (epoch * ({_PER} // {_ACCUM}) + batch // {_ACCUM})::BIGINT AS step,
        local_index::BIGINT AS local_index, position::BIGINT AS position
-FROM b WHERE epoch * {_PER} + batch >= {R.RESUME_STEP * R.ACCUM} AND epoch * {_PER} + batch < {R.MAX_STEPS * R.ACCUM}
+FROM b WHERE epoch * {_PER} + batch >= {R.RESUME_STEP} * {_ACCUM} AND epoch * {_PER} + batch < {R.MAX_STEPS} * {_ACCUM}
 """
 
 SQL["coverage"] = f"""
@@ -221,13 +223,13 @@ t AS (SELECT task, count(*)::BIGINT AS items, avg(CASE WHEN pick = gold THEN 1.0
       FROM it GROUP BY task)"""
 
 SQL["choice_accuracy"] = f"""
-WITH {_ACC}
+WITH {_ACCUM}
 SELECT task, items, round(acc, 6) AS acc, round(acc_norm, 6) AS acc_norm, round(acc, 6) AS accuracy,
        round(chance, 6) AS chance FROM t
 """
 
 SQL["macro_accuracy"] = f"""
-WITH {_ACC}
+WITH {_ACCUM}
 SELECT round(avg(acc), 6) AS macro_accuracy, sum(items)::BIGINT AS items,
        round(avg(acc - chance), 6) AS margin_over_chance FROM t
 """

@@ -23,7 +23,8 @@ from shardwright.sources.documents import read_documents
 S, T, STRIDE, MAX_SHARDS = 50_000, 256, 256, 1000
 CAP_SHARDS = 40                    # a cap that binds at sf0.01 (49 full shards)
 ONE_S, ONE_STRIDE = 1_000_000, 64   # single-shard geometry
-SEED, B, ACCUM, WORLD = 1337, 16, 4, 2
+SEED, B, WORLD = 1337, 16, 2
+ACCUM_CHOICES = (4, 2, 1)   # gradient accumulation: the largest of these that divides an epoch
 RESUME_STEP, MAX_STEPS = 100, 200
 DEV_B, EVAL_BATCHES, N_EVALS = 16, 20, 5
 VOCAB = 1000
@@ -146,6 +147,11 @@ def _train(spark, sf):
     return split, n_train
 
 
+def accum_for(batches_per_epoch: int) -> int:
+    """Exact resume needs an epoch to divide into whole optimizer steps."""
+    return next(a for a in ACCUM_CHOICES if batches_per_epoch % a == 0)
+
+
 @query
 def epoch_order(spark, sf):
     split, n_train = _train(spark, sf)
@@ -161,7 +167,7 @@ def batches(spark, sf):
     per_epoch = packing.n_batches(n_train, B, True)
     plan = packing.epoch_order(train, SEED, 0, n_rows=n_train)
     plan = packing.assign_batches(plan, B, n_train, True)
-    plan = packing.assign_ranks(packing.assign_steps(plan, ACCUM, per_epoch), WORLD)
+    plan = packing.assign_ranks(packing.assign_steps(plan, accum_for(per_epoch), per_epoch), WORLD)
     return plan.select("local_index", "position", "batch", "step", F.col("rank").cast("long").alias("rank"))
 
 
@@ -169,7 +175,8 @@ def batches(spark, sf):
 def remaining_plan(spark, sf):
     split, n_train = _train(spark, sf)
     train = split.filter(F.col("split") == "train").select("local_index")
-    plan = packing.remaining_plan(train, SEED, B, ACCUM, n_train, RESUME_STEP, MAX_STEPS)
+    accum = accum_for(packing.n_batches(n_train, B, True))
+    plan = packing.remaining_plan(train, SEED, B, accum, n_train, RESUME_STEP, MAX_STEPS)
     return plan.select(F.col("epoch").cast("long").alias("epoch"), "batch", "step", "local_index", "position")
 
 
@@ -304,8 +311,10 @@ def scores(spark, sf, temperature: float = 1.0):
 
 
 def history(spark, sf):
-    """Context history = every byte of the document with the same id, mod 64."""
-    d = ByteEncoder().encode(docs(spark, sf))
+    """Context history = every byte of the document with the same id, mod 64.
+    Only documents that have a context are encoded (semi join first)."""
+    ctx = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"))
+    d = ByteEncoder().encode(docs(spark, sf).join(ctx, "doc_id", "left_semi"))
     return d.select(F.col("doc_id").alias("ctx_id"), F.transform("ids", lambda i: F.pmod(i, F.lit(64))).alias("ids"))
 
 
