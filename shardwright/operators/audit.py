@@ -37,8 +37,9 @@ def audit_committed(spark: SparkSession, files: DataFrame, meta: DataFrame, next
     with the right index, token count and dtype (and revisions, when given)."""
     n = F.lit(next_shard) if isinstance(next_shard, int) else next_shard
     S = F.lit(shard_size) if isinstance(shard_size, int) else shard_size
-    idx = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("shard")) \
-        .filter(F.col("shard") >= 0)
+    from shardwright.operators.packing import upto
+
+    idx = spark.range(1).select(F.explode(upto(n)).alias("shard"))
     f = files.select(F.col("shard").cast("long").alias("shard"), F.col("length").alias("_len"), F.lit(True).alias("_hf"))
     m = meta.select(F.col("shard_index").cast("long").alias("shard"), F.lit(True).alias("_hm"),
                     F.col("shard_index").alias("_mi"), F.col("tokens").alias("_mt"), F.col("dtype").alias("_md"),

@@ -20,6 +20,12 @@ from shardwright.operators.ordering import (DEFAULT_ROWS_PER_BUCKET, global_posi
                                             prefix_sum, with_range_bucket)
 
 
+def upto(n: Column) -> Column:
+    """``[0, n)`` as an array; empty for n ≤ 0 (``sequence`` would count down)."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(
+        F.array().cast("array<long>"))
+
+
 def _floor_div(x: Column, d: int) -> Column:
     """Python-style floor division for integer columns (Spark ``div`` truncates)."""
     return F.floor(x / F.lit(d)).cast("long")
@@ -77,7 +83,7 @@ def cut_shards(df: DataFrame, shard_size: int, ids_col: str | None = "ids",
                                   (hi - lo).cast("int")).alias("tokens"))
         return F.struct(*fields)
 
-    segs = F.transform(F.sequence(s0, s1), seg)
+    segs = F.when(F.col("end") > F.col("start"), F.transform(F.sequence(s0, s1), seg))
     out = df.select(*keep, "start", "end", F.explode(segs).alias("g")).select(
         *keep, "start", "end", "g.*")
     return out.withColumn("shard", F.col("shard").cast("int")).withColumn(
@@ -124,7 +130,7 @@ def chunk_segments(segments: DataFrame, chunk_tokens: int) -> DataFrame:
         return F.struct(c.alias("chunk"), lo.alias("pos"),
                         F.slice("tokens", (lo - a + 1).cast("int"), (hi - lo).cast("int")).alias("tokens"))
 
-    parts = F.transform(F.sequence(_floor_div(a, C), _floor_div(b - 1, C)), piece)
+    parts = F.when(b > a, F.transform(F.sequence(_floor_div(a, C), _floor_div(b - 1, C)), piece))
     return segments.select("shard", F.explode(parts).alias("p")).select("shard", "p.*")
 
 
@@ -152,8 +158,7 @@ def uniform_shard_dim(spark, n_shards: Column | int, shard_size: int, seq_len: i
     """shard_dim of ``n_shards`` full shards of ``shard_size`` tokens."""
     nw = windows_in(shard_size, seq_len, seq_len if stride is None else stride)
     n = F.lit(n_shards) if isinstance(n_shards, int) else n_shards
-    return (spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("shard"))
-            .filter(F.col("shard") >= 0)
+    return (spark.range(1).select(F.explode(upto(n)).alias("shard"))
             .select(F.col("shard").cast("int").alias("shard"),
                     F.lit(shard_size).cast("long").alias("n_tokens"),
                     F.lit(nw).cast("long").alias("n_seqs"),

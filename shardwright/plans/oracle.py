@@ -223,13 +223,13 @@ t AS (SELECT task, count(*)::BIGINT AS items, avg(CASE WHEN pick = gold THEN 1.0
       FROM it GROUP BY task)"""
 
 SQL["choice_accuracy"] = f"""
-WITH {_ACCUM}
+WITH {_ACC}
 SELECT task, items, round(acc, 6) AS acc, round(acc_norm, 6) AS acc_norm, round(acc, 6) AS accuracy,
        round(chance, 6) AS chance FROM t
 """
 
 SQL["macro_accuracy"] = f"""
-WITH {_ACCUM}
+WITH {_ACC}
 SELECT round(avg(acc), 6) AS macro_accuracy, sum(items)::BIGINT AS items,
        round(avg(acc - chance), 6) AS margin_over_chance FROM t
 """
