@@ -22,8 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1 << 16
+# A bucket is one window partition. Document rows carry their text through that
+# shuffle, so a bucket is sized to ~0.5 GB of average web text, not to a row count
+# that only fits narrow rows.
+DEFAULT_ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 1 << 20
 MIN_BUCKETS_PER_CORE = 4   # enough buckets to keep every core busy in the inner window
 
 

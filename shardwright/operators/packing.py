@@ -306,6 +306,14 @@ def shuffle_key(seed: int, epoch: int | Column, idx: Column | str = "local_index
     return F.md5(F.concat((F.lit(seed) + e).cast("string"), F.lit(":"), i.cast("string")))
 
 
+def hash_digits(n_rows: int | None, rows_per_bucket: int = 250_000) -> int:
+    """Hex digits of the md5 prefix used as rank bucket: 16^d buckets of about
+    ``rows_per_bucket`` rows each (3 digits = 4,096 buckets when unknown)."""
+    if n_rows is None:
+        return 3
+    return max(1, min(6, math.ceil(math.log(max(n_rows / rows_per_bucket, 1), 16)) + 1))
+
+
 def epoch_order(df: DataFrame, seed: int, epoch: int, idx_col: str = "local_index",
                 n_rows: int | None = None, partition: str | None = None) -> DataFrame:
     """Seeded permutation for one epoch: ``position`` = rank by the md5 key.
@@ -314,7 +322,7 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, idx_col: str = "local_inde
     them) → bucket counts → bases → row_number inside a bucket."""
     if epoch < 0:
         raise ValueError("epoch cannot be negative")
-    digits = 3 if n_rows is None else max(1, min(6, math.ceil(math.log(max(n_rows, 2) / 1e6, 16)) + 1))
+    digits = hash_digits(n_rows)
     keyed = (df.withColumn("epoch", F.lit(epoch).cast("int"))
              .withColumn("_key", shuffle_key(seed, epoch, idx_col))
              .withColumn("_kb", F.conv(F.substring("_key", 1, digits), 16, 10).cast("long")))
@@ -322,13 +330,14 @@ def epoch_order(df: DataFrame, seed: int, epoch: int, idx_col: str = "local_inde
                            partition=[partition] if partition else None).drop("_key", "_kb")
 
 
-def multi_epoch_order(df: DataFrame, seed: int, epochs: list[int], idx_col: str = "local_index") -> DataFrame:
+def multi_epoch_order(df: DataFrame, seed: int, epochs: list[int], idx_col: str = "local_index",
+                      n_rows: int | None = None) -> DataFrame:
     """Permutations of several epochs at once (partitioned by epoch)."""
     if any(e < 0 for e in epochs):
         raise ValueError("epoch cannot be negative")
     ex = df.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("int") for e in epochs])))
     keyed = (ex.withColumn("_key", shuffle_key(seed, F.col("epoch"), idx_col))
-             .withColumn("_kb", F.conv(F.substring("_key", 1, 3), 16, 10).cast("long")))
+             .withColumn("_kb", F.conv(F.substring("_key", 1, hash_digits(n_rows)), 16, 10).cast("long")))
     return global_position(keyed, ["_key", idx_col], "_kb", "position", partition=["epoch"]).drop("_key", "_kb")
 
 
@@ -380,7 +389,7 @@ def remaining_plan(train: DataFrame, seed: int, batch_size: int, accum: int, n_t
     g_end = max_steps * accum
     e1 = (g_end - 1) // per_epoch if g_end > 0 else e0
     epochs = list(range(e0, max(e0, e1) + 1))
-    plan = multi_epoch_order(train, seed, epochs, idx_col)
+    plan = multi_epoch_order(train, seed, epochs, idx_col, n_rows=n_train)
     plan = assign_batches(plan, batch_size, n_train, True)
     g = F.col("epoch").cast("long") * per_epoch + F.col("batch")
     plan = plan.filter((g >= F.lit(step * accum)) & (g < F.lit(g_end)))

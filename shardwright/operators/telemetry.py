@@ -187,10 +187,10 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
     The emitted set is the chain ``first → next → next …`` where ``next(i)`` is
     the first later row that is due. ``next`` comes from the row's own time
     block and the one after it (blocks are ``gap`` wide); the chain is walked
-    by pointer doubling, O(log n) joins with every table checkpointed to the
+    by pointer doubling, O(log n) joins with every table written to the
     session's checkpoint folder (a lost executor recomputes one round only).
     """
-    from shardwright.session import checkpoint_dir
+    from shardwright.session import checkpoint_dir, materialize
 
     G = int(round(gap_s * 1_000_000))
     if G <= 0:
@@ -199,10 +199,12 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
     if checkpoint:
         checkpoint_dir(spark)
     due = (F.col(units) >= F.lit(target)) if target is not None else F.lit(False)
-    base = rows.select(run, "seq", "us", due.alias("_due")).withColumn("_b", _block("us", G))
 
     def cut(d: DataFrame) -> DataFrame:
-        return d.checkpoint() if checkpoint else d
+        return materialize(d) if checkpoint else d
+
+    # the input is read several times below: compute it once
+    base = cut(rows.select(run, "seq", "us", due.alias("_due")).withColumn("_b", _block("us", G)))
 
     # gap successor: the first row with us ≥ us_i + G. Probes go to block b+1
     # (blocks are G wide) and meet that block's rows in one bounded window.
@@ -234,7 +236,7 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
     else:
         nxt = gnext.select(run, "seq", F.col("_gap_next").alias("nxt"))
     jump = cut(nxt)
-    n_max = rows.groupBy(run).count().agg(F.max("count")).first()[0] or 1
+    n_max = base.groupBy(run).count().agg(F.max("count")).first()[0] or 1
     levels = [jump]
     for _ in range(max(1, math.ceil(math.log2(n_max + 1)))):
         j = levels[-1]
@@ -243,6 +245,7 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
         levels.append(cut(nj))
     chain = cut(base.groupBy(run).agg(F.min("seq").alias("seq")))
     for j in reversed(levels):
+        # the chain is checkpointed, so using it twice here recomputes nothing
         step = chain.join(j, [run, "seq"]).select(run, F.col("nxt").alias("seq")).filter(F.col("seq").isNotNull())
         chain = cut(chain.unionByName(step).distinct())
     return rows.join(chain, [run, "seq"], "left_semi")
