@@ -38,6 +38,15 @@ class Encoder(Protocol):
     def encode(self, df: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame: ...
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Per-row encoding is CPU bound: make sure it runs on every core (no-op
+    when the input already has enough partitions, e.g. after a shuffle)."""
+    from shardwright.sources.documents import balance
+
+    key = df.columns[0]
+    return balance(df, key)
+
+
 def _ids_schema(df: DataFrame, out: str) -> T.StructType:
     return T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -75,6 +84,7 @@ class ByteEncoder:
 
     def encode(self, df: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         check_vocab(self.vocab_size, self.eos_id)
+        df = _spread(df)
         schema = _ids_schema(df, out)
         names = df.columns
 
@@ -112,7 +122,7 @@ class WordEncoder:
     def build_vocab(cls, docs: DataFrame, vocab_size: int, text_col: str = "text") -> DataFrame:
         """(word, id, count): the ``vocab_size − 2`` most frequent words, ties by word."""
         check_vocab(vocab_size, WORD_EOS)
-        counts = (docs.select(F.explode(cls.words(text_col)).alias("word"))
+        counts = (_spread(docs).select(F.explode(cls.words(text_col)).alias("word"))
                   .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
         top = counts.orderBy(F.col("count").desc(), F.col("word")).limit(vocab_size - 2)
         rank = F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("word")))
@@ -132,6 +142,7 @@ class WordEncoder:
             raise ValueError("vocabulary larger than vocab_size")
         words = pa.array([r["word"] for r in rows], pa.string())
         ids = np.array([r["id"] for r in rows], dtype=np.int32)
+        df = _spread(df)
         split = df.withColumn("_words", self.words(text_col))
         names = df.columns
         schema = _ids_schema(df, out)
@@ -179,6 +190,7 @@ class TokenizerEncoder:
 
     def encode(self, df: DataFrame, text_col: str = "text", out: str = "ids",
                batch_size: int = 1000) -> DataFrame:
+        df = _spread(df)
         schema = _ids_schema(df, out)
         names = df.columns
         artifact = self.tokenizer_json

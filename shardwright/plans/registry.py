@@ -388,8 +388,10 @@ def greedy_policy(spark, sf):
 def ngram_loops(spark, sf):
     from shardwright.operators.candidates import ngram_loops as loops
 
-    d = docs(spark, sf).select(F.lit("documents").alias("source"), F.col("doc_id").alias("text_id"),
-                               WordEncoder.words().alias("w"))
+    from shardwright.sources.documents import balance
+
+    d = balance(docs(spark, sf), "doc_id").select(F.lit("documents").alias("source"), F.col("doc_id").alias("text_id"),
+                                                  WordEncoder.words().alias("w"))
     c = spark.read.parquet(f"{sf}/conversations.parquet").select(
         F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"),
         WordEncoder.words().alias("w"))

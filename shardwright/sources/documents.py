@@ -29,10 +29,31 @@ def _check_nulls(df: DataFrame, id_col: str, text_col: str, on_null: str) -> Dat
     raise ValueError("on_null must be 'error', 'skip' or 'empty'")
 
 
+def balance(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer input splits than cores.
+
+    Encoding and word splitting are CPU-bound per row; a corpus stored as a few
+    large row groups would otherwise run them in a handful of tasks. A large
+    corpus has far more splits than cores, so there this is a no-op. Hash
+    partitioning by ``key`` keeps retries deterministic.
+    """
+    spark = df.sparkSession
+    want = min_partitions or 2 * spark.sparkContext.defaultParallelism
+    # after a shuffle the partition count is already the cluster's; counting
+    # partitions of such a plan under AQE would run its shuffle stages
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    if df._jdf.rdd().getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
-                   on_null: str = "error") -> DataFrame:
+                   on_null: str = "error", min_partitions: int | None = None) -> DataFrame:
     df = spark.read.parquet(path).select(F.col(id_col).cast("long").alias("doc_id"),
                                          F.col(text_col).alias("text"))
+    if min_partitions:
+        df = balance(df, "doc_id", min_partitions)
     return _check_nulls(df, "doc_id", "text", on_null)
 
 
