@@ -159,3 +159,39 @@ def previous_row(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str,
     for c in cols:
         out = out.withColumn(prefix + c, F.when(first, F.col("_qc")["v_" + c]).otherwise(F.lag(c).over(inner)))
     return out.drop("_qb", "_qc")
+
+
+def prefix_aggs(df: DataFrame, specs: list[tuple], order: Sequence[str] | str, bucket: Column | str,
+                partition: Sequence[str] | str | None = None) -> DataFrame:
+    """Several running aggregates over the same order in one two-level pass.
+
+    ``specs`` = ``[(out, value, how, inclusive), …]`` with ``how`` in
+    sum/min/max. One per-bucket aggregate table, one join, one inner window
+    partitioning for all of them."""
+    part = _cols(partition)
+    order_cols = _cols(order)
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    tagged = df.withColumn("_mb", b)
+    for i, (_, v, _, _) in enumerate(specs):
+        tagged = tagged.withColumn(f"_mv{i}", F.col(v) if isinstance(v, str) else v)
+    per = tagged.groupBy(*part, "_mb").agg(*[_AGG[h](f"_mv{i}").alias(f"_ms{i}")
+                                            for i, (_, _, h, _) in enumerate(specs)])
+    before = Window.partitionBy(*part).orderBy("_mb").rowsBetween(Window.unboundedPreceding, -1)
+    bases = per.select(*part, "_mb", *[_AGG[h](f"_ms{i}").over(before).alias(f"_mbase{i}")
+                                       for i, (_, _, h, _) in enumerate(specs)])
+    out = tagged.join(bases, [*part, "_mb"])
+    inner = Window.partitionBy(*part, "_mb").orderBy(*order_cols)
+    drop = ["_mb"]
+    for i, (name, _, how, inclusive) in enumerate(specs):
+        w = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        run = _AGG[how](f"_mv{i}").over(w)
+        base = F.col(f"_mbase{i}")
+        if how == "sum":
+            comb = F.coalesce(base, F.lit(0)) + F.coalesce(run, F.lit(0))
+        elif how == "min":
+            comb = F.least(base, run)
+        else:
+            comb = F.greatest(base, run)
+        out = out.withColumn(name, comb)
+        drop += [f"_mv{i}", f"_mbase{i}"]
+    return out.drop(*drop)

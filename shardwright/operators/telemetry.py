@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.operators.ordering import prefix_agg, previous_row
+from shardwright.operators.ordering import prefix_agg, prefix_aggs, previous_row
 
 RUN = "run_id"
 DEFAULT_BLOCK_US = 3_600_000_000      # one hour of clock per block
@@ -114,27 +114,27 @@ def training_log(log: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: str = RU
     ``average_train_loss`` (M5), ``best_dev_loss`` and ``best_average_train_loss`` (M6).
     """
     df = log.withColumn("_tb", _block("us", block_us))
-    # Last dev loss of an earlier evaluation (struct max = latest by step)
+    # one two-level pass: W3 last dev loss of an earlier evaluation (struct max
+    # = latest by step), M5 interval = evaluations strictly before the row,
+    # M6 best dev loss so far (NaN never wins)
     ev = F.when(F.col("is_eval") & F.col("dev_loss").isNotNull(), F.struct("step", "dev_loss"))
-    df = prefix_agg(df.withColumn("_ev", ev), "_ev", ["step"], "_tb", "_held", [run], how="max", inclusive=False)
-    df = df.withColumn("held_dev_loss", F.col("_held")["dev_loss"]).drop("_held", "_ev")
-    # M5: interval = evaluations strictly before the row
-    df = prefix_agg(df.withColumn("_e1", F.col("is_eval").cast("long")), "_e1", ["step"], "_tb", "interval",
-                    [run], how="sum", inclusive=False).drop("_e1")
+    bd = F.when(F.col("is_eval") & _finite(F.col("dev_loss")), F.col("dev_loss"))
+    df = prefix_aggs(df, [("_held", ev, "max", False),
+                          ("interval", F.col("is_eval").cast("long"), "sum", False),
+                          ("best_dev_loss", bd, "min", True)], ["step"], "_tb", [run])
+    df = df.withColumn("held_dev_loss", F.col("_held")["dev_loss"]).drop("_held")
     ok = _finite(F.col("train_loss"))
     avg = (df.groupBy(run, "interval")
            .agg(F.sum(F.when(ok, F.col("train_loss"))).alias("_s"), F.sum(ok.cast("long")).alias("_n")))
     df = df.join(avg, [run, "interval"], "left")
     df = df.withColumn("average_train_loss", F.when(
         F.col("is_eval"), F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("train_loss"))))
-    # M6: running best over evaluations; NaN never wins
-    bd = F.when(F.col("is_eval") & _finite(F.col("dev_loss")), F.col("dev_loss"))
+    # M6: running best of the interval averages; NaN never wins
     ba = F.when(F.col("is_eval") & _finite(F.col("average_train_loss")), F.col("average_train_loss"))
-    df = prefix_agg(df.withColumn("_bd", bd), "_bd", ["step"], "_tb", "best_dev_loss", [run], how="min")
     df = prefix_agg(df.withColumn("_ba", ba), "_ba", ["step"], "_tb", "best_average_train_loss", [run], how="min")
     df = df.withColumn("best_dev_loss", F.when(F.col("is_eval"), F.col("best_dev_loss")))
     df = df.withColumn("best_average_train_loss", F.when(F.col("is_eval"), F.col("best_average_train_loss")))
-    return df.drop("_tb", "_s", "_n", "_bd", "_ba")
+    return df.drop("_tb", "_s", "_n", "_ba")
 
 
 # ---------------------------------------------------------------- M7, M8, M9, M12
