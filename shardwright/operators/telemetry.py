@@ -23,9 +23,12 @@ DEFAULT_BLOCK_US = 3_600_000_000      # one hour of clock per block
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ read as UTC (trap 4)."""
+    """Microseconds since 1970-01-01 00:00 of a TIMESTAMP_NTZ clock, whatever
+    the session time zone (trap 4). For TIMESTAMP (instant) columns use
+    ``F.unix_micros`` instead."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(t.cast("timestamp"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, t.cast("timestamp_ntz"))
 
 
 def _block(col: str, width: int) -> Column:

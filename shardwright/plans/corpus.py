@@ -85,7 +85,7 @@ def shard_window_summary(windows: DataFrame) -> DataFrame:
     """Per shard: window count, first token of the first window, token sum."""
     return (windows.groupBy("shard")
             .agg(F.count(F.lit(1)).cast("long").alias("n_windows"),
-                 F.min_by(F.element_at("window", 1), "k").cast("long").alias("first_token"),
+                 F.min_by(F.try_element_at("window", F.lit(1)), "k").cast("long").alias("first_token"),
                  F.sum(F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x)).cast("long")
                  .alias("token_sum")))
 

@@ -53,7 +53,7 @@ def doc_token_counts(spark, sf):
     enc = with_eos(ByteEncoder().encode(docs(spark, sf)), ByteEncoder.eos_id)
     return enc.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"),
                       F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-                      F.element_at("ids", 1).cast("long").alias("first_id"))
+                      F.try_element_at("ids", F.lit(1)).cast("long").alias("first_id"))
 
 
 @query
@@ -98,8 +98,8 @@ def pack_windows(spark, sf):
     w = _windows(spark, sf, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=MAX_SHARDS))
     return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
                     F.size("window").cast("long").alias("n_tokens"),
-                    F.element_at("window", 1).cast("long").alias("first_token"),
-                    F.element_at("window", -1).cast("long").alias("last_token"),
+                    F.try_element_at("window", F.lit(1)).cast("long").alias("first_token"),
+                    F.try_element_at("window", F.lit(-1)).cast("long").alias("last_token"),
                     F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
                     F.md5(F.array_join("window", ",")).alias("window_md5"))
 
@@ -414,7 +414,7 @@ def prompt_truncate(spark, sf):
     kept = truncate_left("ids", prompt_budget(PROMPT_T, MAX_NEW))
     return _conv_ids(spark, sf).select("conv_id", "turn", kept.alias("k")).select(
         "conv_id", "turn", F.size("k").cast("long").alias("n_kept"),
-        F.element_at("k", 1).cast("long").alias("first_kept"),
+        F.try_element_at("k", F.lit(1)).cast("long").alias("first_kept"),
         F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("kept_sum"))
 
 
@@ -644,7 +644,7 @@ def shard_roundtrip(spark, sf):
     w = read_windows(spark, out, T, STRIDE)
     return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
                     F.size("window").cast("long").alias("n_tokens"),
-                    F.element_at("window", 1).cast("long").alias("first_token"),
-                    F.element_at("window", -1).cast("long").alias("last_token"),
+                    F.try_element_at("window", F.lit(1)).cast("long").alias("first_token"),
+                    F.try_element_at("window", F.lit(-1)).cast("long").alias("last_token"),
                     F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
                     F.md5(F.array_join("window", ",")).alias("window_md5"))
