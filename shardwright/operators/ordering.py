@@ -41,7 +41,7 @@ def _cols(names: Sequence[str] | str | None) -> list[str]:
 def prefix_sum(df: DataFrame, value: Column | str, order: Sequence[str] | str,
                bucket: Column | str, out: str,
                partition: Sequence[str] | str | None = None,
-               inclusive: bool = False, return_sums: bool = False):
+               inclusive: bool = False, return_sums: bool = False, sums: DataFrame | None = None):
     """``out`` = sum of ``value`` over rows before this one in ``order``.
 
     ``bucket`` must be non-decreasing in ``order`` within ``partition`` and keep
@@ -52,7 +52,8 @@ def prefix_sum(df: DataFrame, value: Column | str, order: Sequence[str] | str,
     v = F.col(value) if isinstance(value, str) else value
     b = F.col(bucket) if isinstance(bucket, str) else bucket
     tagged = df.withColumn("_pv", v).withColumn("_pb", b)
-    sums = tagged.groupBy(*part, "_pb").agg(F.sum("_pv").alias("_ps"))
+    if sums is None:
+        sums = bucket_sums(df, value, bucket, partition)
     before = Window.partitionBy(*part).orderBy("_pb").rowsBetween(
         Window.unboundedPreceding, -1)
     bases = sums.select(*part, "_pb", F.coalesce(F.sum("_ps").over(before), F.lit(0))
@@ -69,6 +70,15 @@ def prefix_sum(df: DataFrame, value: Column | str, order: Sequence[str] | str,
     return result
 
 
+def bucket_sums(df: DataFrame, value: Column | str, bucket: Column | str,
+                partition: Sequence[str] | str | None = None) -> DataFrame:
+    """``(partition…, _pb, _ps)``: the per-bucket totals of a prefix sum."""
+    v = F.col(value) if isinstance(value, str) else value
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    return (df.select(*_cols(partition), b.alias("_pb"), v.alias("_pv"))
+            .groupBy(*_cols(partition), "_pb").agg(F.sum("_pv").alias("_ps")))
+
+
 def with_range_bucket(df: DataFrame, key: str, out: str = "bucket",
                       rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                       n_buckets: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.config import SPLIT_TRAIN_RATIO, windows_in
-from shardwright.operators.ordering import (DEFAULT_ROWS_PER_BUCKET, global_position,
+from shardwright.operators.ordering import (DEFAULT_ROWS_PER_BUCKET, bucket_sums, global_position,
                                             prefix_sum, with_range_bucket)
 
 
@@ -40,18 +40,25 @@ def token_offsets(df: DataFrame, id_col: str = "doc_id", n_col: str = "n_tokens"
 
     Order is ``id_col``. ``bucket_col`` (contiguous in id order, bounded) is
     taken from the input when given, else derived from id statistics. With
-    ``with_total`` also return the stream length as a scalar-subquery column
-    over the per-bucket sums (whose exchange the main plan reuses).
+    ``with_total`` the per-bucket token sums (one row per bucket) are computed
+    once and checkpointed; the stream length is returned as a number and the
+    offsets reuse the same table, so later actions never re-read the corpus
+    to learn its length.
     """
+    from shardwright.session import materialize
+
     if bucket_col is None:
         df = with_range_bucket(df, id_col, "_obkt", rows_per_bucket, n_buckets)
         bucket_col = "_obkt"
-    out, sums = prefix_sum(df, n_col, [id_col], bucket_col, "start", return_sums=True)
+    sums = None
+    if with_total:
+        sums = materialize(bucket_sums(df, n_col, bucket_col))
+    out = prefix_sum(df, n_col, [id_col], bucket_col, "start", sums=sums)
     b = F.lit(base) if isinstance(base, int) else base
     out = out.withColumn("start", (F.col("start") + b).cast("long"))
     out = out.withColumn("end", (F.col("start") + F.col(n_col)).cast("long")).drop("_obkt")
     if with_total:
-        return out, sums.select(F.coalesce(F.sum("_ps"), F.lit(0)).cast("long")).scalar()
+        return out, int(sums.agg(F.coalesce(F.sum("_ps"), F.lit(0))).first()[0])
     return out
 
 
@@ -61,8 +68,9 @@ def total_tokens(df: DataFrame, n_col: str = "n_tokens") -> Column:
 
 
 def committed_shards(total: Column | int, shard_size: int, max_shards: int) -> Column:
-    t = F.lit(total) if isinstance(total, int) else total
-    return F.least(F.lit(max_shards).cast("long"), _floor_div(t, shard_size))
+    if isinstance(total, int):
+        return F.lit(min(max_shards, total // shard_size)).cast("long")
+    return F.least(F.lit(max_shards).cast("long"), _floor_div(total, shard_size))
 
 
 # ---------------------------------------------------------------- G2, G3, M10

@@ -33,9 +33,9 @@ def count_tokens(encoder, text_col: str = "text") -> Column | None:
 
 
 def encode_with_offsets(docs: DataFrame, encoder=None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                        n_buckets: int | None = None, base: int | Column = 0) -> tuple[DataFrame, Column]:
+                        n_buckets: int | None = None, base: int | Column = 0) -> tuple[DataFrame, int]:
     """``(doc_id, n_tokens, start, end, ids)`` with EOS appended to ``ids``, and
-    the number of tokens in the stream (a scalar column)."""
+    the number of tokens the documents add to the stream."""
     encoder = encoder or ByteEncoder()
     bucketed = with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket, n_buckets)
     n = count_tokens(encoder)
@@ -64,7 +64,7 @@ def offsets_only(docs: DataFrame, encoder=None, rows_per_bucket: int = DEFAULT_R
     return packing.token_offsets(counted, rows_per_bucket=rows_per_bucket, n_buckets=n_buckets)
 
 
-def committed_segments(encoded: DataFrame, total: Column, cfg: PackingConfig
+def committed_segments(encoded: DataFrame, total: int | Column, cfg: PackingConfig
                        ) -> tuple[DataFrame, DataFrame, Column]:
     """(committed segments, pending segments, number of committed shards)."""
     segs = packing.cut_shards(encoded, cfg.shard_size, ids_col="ids")
@@ -119,7 +119,7 @@ def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=No
     write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
     state = Ledger.new(identity, cfg.shard_size, cfg.max_shards)
     cut = int(n) * cfg.shard_size
-    capped = cfg.max_shards * cfg.shard_size < spark.range(1).select(total.alias("t")).first()["t"]
+    capped = cfg.max_shards * cfg.shard_size < total
     pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
     if capped:
         pend_rows = pend_rows.filter(F.col("start") < F.lit(cut)) if "start" in pend.columns else pend_rows

@@ -55,8 +55,7 @@ def build_batch(batch: DataFrame, batch_id: int, directory: str, cfg: PackingCon
         segs = old.unionByName(new)
     else:
         segs = new
-    batch_tokens = spark.range(1).select(total.alias("t")).first()["t"]
-    end = base + int(batch_tokens)
+    end = base + int(total)
     n_full = min(cfg.max_shards, end // S)
     first = int(state["next_shard"])
     if n_full > first:
