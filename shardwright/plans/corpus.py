@@ -37,7 +37,8 @@ def encode_with_offsets(docs: DataFrame, encoder=None, rows_per_bucket: int = DE
     """``(doc_id, n_tokens, start, end, ids)`` with EOS appended to ``ids``, and
     the number of tokens the documents add to the stream."""
     encoder = encoder or ByteEncoder()
-    bucketed = with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket, n_buckets)
+    bucketed = docs if "_obkt" in docs.columns else with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket,
+                                                                       n_buckets)
     n = count_tokens(encoder)
     if n is not None:
         counted = bucketed.select("doc_id", "text", "_obkt", n.alias("n_tokens"))
@@ -110,19 +111,35 @@ def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=No
     ledger = Ledger(spark, directory)
     if ledger.exists():
         raise RuntimeError("a build already exists here; resume it with the streaming build")
-    enc, total = encode_with_offsets(docs, encoder, rows_per_bucket)
-    comm, pend, n_comm = committed_segments(enc, total, cfg)
+    bucketed = with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket)
+    enc, total = encode_with_offsets(bucketed, encoder, rows_per_bucket)
+    comm, _, n_comm = committed_segments(enc, total, cfg)
     chunks = packing.chunk_segments(comm.select("shard", "pos", "tokens"), cfg.chunk_tokens)
     write_token_shards(chunks, directory, cfg.shard_size)
-    n = spark.range(1).select(n_comm.alias("n")).first()["n"]
+    n = min(cfg.max_shards, total // cfg.shard_size)
     dim = packing.uniform_shard_dim(spark, int(n), cfg.shard_size, cfg.seq_len, cfg.stride)
     write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
     state = Ledger.new(identity, cfg.shard_size, cfg.max_shards)
     cut = int(n) * cfg.shard_size
     capped = cfg.max_shards * cfg.shard_size < total
-    pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
+    # the pending tail holds less than one shard of tokens: find its documents
+    # from token counts alone and encode just those, instead of running the
+    # whole build a second time
+    if count_tokens(encoder) is not None:
+        counts = bucketed.select("doc_id", "_obkt", count_tokens(encoder).alias("n_tokens"))
+    else:
+        counts = with_range_bucket(enc.select("doc_id", "n_tokens"), "doc_id", "_obkt", rows_per_bucket)
+    narrow = packing.token_offsets(counts, bucket_col="_obkt")
+    tail = narrow.filter(F.col("end") > cut)
     if capped:
-        pend_rows = pend_rows.filter(F.col("start") < F.lit(cut)) if "start" in pend.columns else pend_rows
+        tail = tail.filter(F.col("start") < cut)
+    tail_docs = bucketed.join(tail.select("doc_id"), "doc_id", "left_semi")
+    tail_enc, _ = encode_with_offsets(tail_docs.drop("_obkt"), encoder, base=0)
+    starts = tail.select("doc_id", F.col("start").alias("_s0"))
+    tail_enc = (tail_enc.drop("start", "end").join(starts, "doc_id")
+                .withColumn("start", F.col("_s0")).withColumn("end", F.col("_s0") + F.col("n_tokens")).drop("_s0"))
+    pend = packing.cut_shards(tail_enc, cfg.shard_size, ids_col="ids").filter(F.col("shard") >= int(n))
+    pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
     pend_path = ledger.pending_path(1)
     pend_rows.write.mode("overwrite").parquet(pend_path)
     stats = spark.read.parquet(pend_path).agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("p")).first()

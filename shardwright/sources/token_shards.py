@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
 SHARD_GLOB = "shard_*.bin"
@@ -50,12 +50,8 @@ def list_shards(path: str) -> list[str]:
 
 
 @dataclass
-class WindowRange(InputPartition):
-    path: str
-    shard: int
-    seq_start: int
-    k0: int
-    k1: int          # exclusive
+class WindowRanges(InputPartition):
+    ranges: list          # (path, shard, seq_start, k0, k1) with k1 exclusive
 
 
 class TokenShardReader(DataSourceReader):
@@ -65,53 +61,71 @@ class TokenShardReader(DataSourceReader):
         self.T = int(options.get("seq_len", "1024"))
         self.stride = int(options.get("stride", str(self.T)))
         self.per_part = int(options.get("windowsPerPartition", "65536"))
+        self.n_parts = int(options.get("numPartitions", "16"))
         self.chunk = int(options.get("chunkTokens", "65536"))
         if self.T <= 0 or self.stride <= 0:
             raise ValueError("sequence_length and step must be greater than zero")
 
     def partitions(self):
+        """Window ranges of all files, packed into about ``numPartitions``
+        partitions of at most ``windowsPerPartition`` units each. Only file
+        sizes are read here."""
         files = list_shards(self.path)
         if not files:
             raise FileNotFoundError(f"no token shards under {self.path}")
-        parts, start = [], 0
+        units_of, start = [], 0
         for idx, f in enumerate(files):
             n = os.path.getsize(f) // 2          # an odd trailing byte is ignored
-            if self.mode == "chunks":
-                units = -(-n // self.chunk)
-            else:
-                units = max(0, (n - (self.T + 1)) // self.stride + 1)
-            for k0 in range(0, units, self.per_part):
-                parts.append(WindowRange(f, idx, start, k0, min(units, k0 + self.per_part)))
+            units = -(-n // self.chunk) if self.mode == "chunks" else max(0, (n - (self.T + 1)) // self.stride + 1)
+            units_of.append((f, idx, start, units))
             start += units if self.mode != "chunks" else 0
-        return parts
-
-    def read(self, part: WindowRange):
-        if self.mode == "chunks":
-            C = self.chunk
-            lo = part.k0 * C
-            n = os.path.getsize(part.path) // 2
-            hi = min(n, part.k1 * C)
-            data = np.fromfile(part.path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
-            nch = part.k1 - part.k0
-            offs = np.minimum(np.arange(nch + 1, dtype=np.int64) * C, hi - lo)
-            ks = np.arange(part.k0, part.k1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ks), part.shard, np.int32)), pa.array(ks.astype(np.int64)),
-                 pa.array((ks * C).astype(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(data))],
-                names=["shard", "chunk", "pos", "tokens"])
-            return
+        total = sum(u for *_, u in units_of)
+        target = max(1, min(self.per_part, -(-total // max(1, self.n_parts))))
+        parts, cur, room = [], [], target
+        for f, idx, base, units in units_of:
+            k = 0
+            while k < units:
+                take = min(room, units - k)
+                cur.append((f, idx, base, k, k + take))
+                k += take
+                room -= take
+                if room == 0:
+                    parts.append(WindowRanges(cur))
+                    cur, room = [], target
+        if cur:
+            parts.append(WindowRanges(cur))
+        return parts or [WindowRanges([])]
+
+    def read(self, part: WindowRanges):
+        for path, shard, seq_start, k0, k1 in part.ranges:
+            yield from (self._chunks if self.mode == "chunks" else self._windows)(path, shard, seq_start, k0, k1)
+
+    def _chunks(self, path, shard, _start, k0, k1):
+        C = self.chunk
+        lo = k0 * C
+        n = os.path.getsize(path) // 2
+        hi = min(n, k1 * C)
+        data = np.fromfile(path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
+        offs = np.minimum(np.arange(k1 - k0 + 1, dtype=np.int64) * C, hi - lo)
+        ks = np.arange(k0, k1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ks), shard, np.int32)), pa.array(ks.astype(np.int64)),
+             pa.array((ks * C).astype(np.int64)),
+             pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(data))],
+            names=["shard", "chunk", "pos", "tokens"])
+
+    def _windows(self, path, shard, seq_start, k0, k1):
         L, s = self.T + 1, self.stride
-        lo = part.k0 * s
-        hi = (part.k1 - 1) * s + L
-        data = np.fromfile(part.path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
-        nwin = part.k1 - part.k0
+        lo = k0 * s
+        hi = (k1 - 1) * s + L
+        data = np.fromfile(path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
+        nwin = k1 - k0
         view = np.lib.stride_tricks.sliding_window_view(data, L)[::s][:nwin]
         flat = np.ascontiguousarray(view).reshape(-1)
         offs = np.arange(0, (nwin + 1) * L, L, dtype=np.int32)
-        ks = np.arange(part.k0, part.k1, dtype=np.int64)
+        ks = np.arange(k0, k1, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part.seq_start + ks), pa.array(np.full(nwin, part.shard, np.int32)), pa.array(ks),
+            [pa.array(seq_start + ks), pa.array(np.full(nwin, shard, np.int32)), pa.array(ks),
              pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
             names=["seq_index", "shard", "k", "window"])
 
@@ -121,36 +135,46 @@ class ShardFiles(WriterCommitMessage):
     staged: list          # (temporary path, final path)
 
 
-class TokenShardWriter(DataSourceWriter):
+class TokenShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options.get("path")
         self.size = int(options["shard_size"]) if "shard_size" in options else None
 
-    def write(self, rows):
+    def write(self, batches):
+        """Rows arrive sorted by (shard, pos) as Arrow batches; tokens of each
+        batch are flattened once and cut by shard with NumPy."""
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
         ctx = TaskContext.get()
         tag = f"{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0-0"
         staged, fh, cur, expect = [], None, None, 0
-        for r in rows:
-            shard = int(r["shard"])
-            if shard != cur:
-                if fh is not None:
-                    fh.close()
-                    self._check(cur, expect)
-                cur, expect = shard, 0
-                final = os.path.join(self.path, shard_name(shard))
-                tmp = os.path.join(self.path, f".{shard_name(shard)}.{tag}.tmp")
-                staged.append((tmp, final))
-                fh = open(tmp, "wb")
-            if int(r["pos"]) != expect:
-                raise ValueError(f"shard {shard}: chunk at {r['pos']} but {expect} expected (sort by shard, pos)")
-            arr = np.asarray(r["tokens"], dtype=np.int64)
-            if arr.size and (arr.min() < 0 or arr.max() > 65535):
+        for rb in batches:
+            shards = rb.column("shard").to_numpy(zero_copy_only=False)
+            poss = rb.column("pos").to_numpy(zero_copy_only=False)
+            lists = rb.column("tokens")
+            offs = np.asarray(lists.offsets)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if flat.size and (flat.min() < 0 or flat.max() > 65535):
                 raise ValueError("token id outside 0..65535")
-            fh.write(arr.astype("<u2").tobytes())
-            expect += arr.size
+            flat = flat.astype("<u2")
+            base = offs[0]
+            for i in range(len(shards)):
+                shard = int(shards[i])
+                if shard != cur:
+                    if fh is not None:
+                        fh.close()
+                        self._check(cur, expect)
+                    cur, expect = shard, 0
+                    final = os.path.join(self.path, shard_name(shard))
+                    tmp = os.path.join(self.path, f".{shard_name(shard)}.{tag}.tmp")
+                    staged.append((tmp, final))
+                    fh = open(tmp, "wb")
+                if int(poss[i]) != expect:
+                    raise ValueError(f"shard {shard}: chunk at {poss[i]} but {expect} expected (sort by shard, pos)")
+                piece = flat[offs[i] - base: offs[i + 1] - base]
+                fh.write(piece.tobytes())
+                expect += piece.size
         if fh is not None:
             fh.close()
             self._check(cur, expect)
@@ -195,16 +219,19 @@ def register(spark: SparkSession) -> None:
 
 
 def read_windows(spark: SparkSession, path: str, seq_len: int, stride: int | None = None,
-                 windows_per_partition: int = 65536) -> DataFrame:
+                 windows_per_partition: int = 65536, partitions: int | None = None) -> DataFrame:
     register(spark)
+    n = partitions or 2 * spark.sparkContext.defaultParallelism
     return (spark.read.format("token_shards").option("path", path).option("seq_len", seq_len)
-            .option("stride", stride or seq_len).option("windowsPerPartition", windows_per_partition).load())
+            .option("stride", stride or seq_len).option("windowsPerPartition", windows_per_partition)
+            .option("numPartitions", n).load())
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_tokens: int = 65536) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, chunk_tokens: int = 65536, partitions: int | None = None) -> DataFrame:
     register(spark)
+    n = partitions or 2 * spark.sparkContext.defaultParallelism
     return (spark.read.format("token_shards").option("path", path).option("mode", "chunks")
-            .option("chunkTokens", chunk_tokens).load())
+            .option("chunkTokens", chunk_tokens).option("numPartitions", n).load())
 
 
 def write_token_shards(chunks: DataFrame, path: str, shard_size: int | None = None,

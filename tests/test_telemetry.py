@@ -170,3 +170,62 @@ def test_streaming_rate_equals_batch(spark, tmpdir_path):
     q2.stop()
     got2 = [r["seq"] for r in spark.sql("select * from th_test order by seq").collect()]
     assert got2 == gate(samples, 10.0, None)
+
+
+def plain_log(rows):
+    """Sequential reference for held dev loss, interval averages and bests."""
+    out, held, acc, n, best_dev, best_avg = {}, None, 0.0, 0, math.inf, math.inf
+    for step, tr, dv, ev in rows:
+        rec = {"held": held}
+        if math.isfinite(tr):
+            acc, n = acc + tr, n + 1
+        if ev:
+            avg = acc / n if n else tr
+            acc, n = 0.0, 0
+            best_dev = min(best_dev, dv)
+            best_avg = min(best_avg, avg)
+            rec.update(avg=avg, best_dev=best_dev, best_avg=best_avg)
+            held = dv
+        out[step] = rec
+    return out
+
+
+def test_training_log_across_blocks_and_runs(spark):
+    rnd = random.Random(17)
+    rows, ref = [], {}
+    for run in (1, 2, 3):
+        n = 400 if run == 1 else 40          # one hot run
+        seq = []
+        for step in range(n):
+            ev = rnd.random() < 0.15
+            tr = rnd.choice([rnd.uniform(1, 5), float("nan")]) if rnd.random() < 0.1 else rnd.uniform(1, 5)
+            dv = rnd.uniform(1, 4) if ev else None
+            seq.append((step, tr, dv, ev))
+            rows.append((run, step, step * 7_000_000, tr, dv, ev))
+        ref[run] = plain_log(seq)
+    df = spark.createDataFrame(rows, "run_id long, step long, us long, train_loss double, dev_loss double, is_eval boolean")
+    got = tl.training_log(df, block_us=60_000_000).collect()     # ~9 rows per block
+    for r in got:
+        exp = ref[r["run_id"]][r["step"]]
+        assert r["held_dev_loss"] == pytest.approx(exp["held"]) if exp["held"] is not None else r["held_dev_loss"] is None
+        if r["is_eval"]:
+            assert r["average_train_loss"] == pytest.approx(exp["avg"], nan_ok=True)
+            assert r["best_dev_loss"] == pytest.approx(exp["best_dev"])
+            assert r["best_average_train_loss"] == pytest.approx(exp["best_avg"])
+
+
+def test_rolling_rate_interleaved_runs(spark):
+    rnd = random.Random(23)
+    rows, ref = [], {}
+    for run in (1, 2):
+        t, u, s = 0.0, 0.0, []
+        for i in range(150):
+            t += rnd.choice([0.5, 2, 9, 31])
+            u = u + rnd.randint(0, 9) if rnd.random() > 0.05 else 0
+            s.append((t, u))
+            rows.append((run, i, int(t * 1e6), float(u)))
+        ref[run] = meter(s, 30.0)
+    df = spark.createDataFrame(rows, "run_id long, seq long, us long, units double")
+    got = tl.rolling_rate(df, 30.0, block_us=120_000_000).collect()
+    for r in got:
+        assert r["rate"] == pytest.approx(ref[r["run_id"]][r["seq"]])
