@@ -9,13 +9,10 @@ from __future__ import annotations
 
 from shardwright.config import windows_in
 from shardwright.functions.encoders import WORD_PATTERN
-from shardwright.operators.packing import single_shard_split as _single_split
 from shardwright.plans import registry as R
 
 NW = windows_in(R.S, R.T, R.STRIDE)
 NW64 = windows_in(R.S, R.T, R.ONE_STRIDE)
-NW1 = windows_in(R.ONE_S, R.T, R.ONE_STRIDE)
-SPLIT1, DEV1 = _single_split(NW1, R.T, R.ONE_STRIDE)
 
 # UTF-8 bytes of each code point, then EOS (256)
 BYTES = ("(CASE WHEN text = '' THEN []::INTEGER[] ELSE flatten(list_transform(string_split(text, ''), "
@@ -26,6 +23,12 @@ BYTES = ("(CASE WHEN text = '' THEN []::INTEGER[] ELSE flatten(list_transform(st
          "128 + (unicode(c) & 63)] END)) END || [256])")
 NTOK = "(octet_length(encode(text)) + 1)"
 TOTAL = f"(SELECT sum({NTOK})::BIGINT FROM documents)"
+TOTAL_EXPR = TOTAL
+# one shard holding the whole stream: windows, train cut, first dev window
+NW1 = f"greatest(0, ({TOTAL_EXPR} - {R.T + 1}) // {R.ONE_STRIDE} + 1)"
+SPLIT1 = f"floor(0.95 * {NW1})::BIGINT"
+DEV1 = f"least({NW1}, {SPLIT1} + {(R.T + R.ONE_STRIDE - 1) // R.ONE_STRIDE})"
+
 NCOMM = f"least({R.MAX_SHARDS}, {TOTAL} // {R.S})"
 CUT = f"least({NCOMM} - 1, greatest(1, round_even(0.95 * {NCOMM}, 0)::BIGINT))"
 
@@ -100,9 +103,8 @@ SELECT shard::BIGINT AS shard, {R.S}::BIGINT AS n_tokens, {NW}::BIGINT AS n_seqs
 FROM sh
 """
 
-_ONE = f"least(1, {TOTAL} // {R.ONE_S})"
 SQL["single_shard_split"] = f"""
-WITH w AS (SELECT unnest(generate_series(0, {_ONE} * {NW1} - 1)) AS seq_index)
+WITH w AS (SELECT unnest(generate_series(0, {NW1} - 1)) AS seq_index)
 SELECT seq_index::BIGINT AS seq_index, CASE WHEN seq_index < {SPLIT1} THEN 'train' ELSE 'dev' END AS split,
        (CASE WHEN seq_index < {SPLIT1} THEN seq_index ELSE seq_index - {DEV1} END)::BIGINT AS local_index
 FROM w WHERE seq_index < {SPLIT1} OR seq_index >= {DEV1}
@@ -151,13 +153,14 @@ SELECT shard::BIGINT AS shard, {NW64}::BIGINT AS windows, ({NW64} * {R.T + 1})::
 FROM sh
 """
 
-_TR_TOK = (SPLIT1 - 1) * R.ONE_STRIDE + R.T + 1
-_DV_TOK = (NW1 - 1 - DEV1) * R.ONE_STRIDE + R.T + 1
-_OVER = max(0, ((SPLIT1 - 1) * R.ONE_STRIDE + R.T + 1) - DEV1 * R.ONE_STRIDE)
 SQL["leakage"] = f"""
-SELECT 0::BIGINT AS shard, {_TR_TOK + _DV_TOK - _OVER}::BIGINT AS all_tokens, {_TR_TOK}::BIGINT AS train_tokens,
-       {_DV_TOK}::BIGINT AS dev_tokens, {_OVER}::BIGINT AS leaked_tokens
-FROM (SELECT {_ONE} AS n) WHERE n = 1
+WITH g AS (SELECT {NW1} AS nw, {SPLIT1} AS sp, {DEV1} AS dv),
+t AS (SELECT nw, sp, dv, (sp - 1) * {R.ONE_STRIDE} + {R.T + 1} AS tr_tok,
+             (nw - 1 - dv) * {R.ONE_STRIDE} + {R.T + 1} AS dv_tok,
+             greatest(0, (sp - 1) * {R.ONE_STRIDE} + {R.T + 1} - dv * {R.ONE_STRIDE}) AS over FROM g)
+SELECT 0::BIGINT AS shard, (tr_tok + dv_tok - over)::BIGINT AS all_tokens, tr_tok::BIGINT AS train_tokens,
+       dv_tok::BIGINT AS dev_tokens, over::BIGINT AS leaked_tokens
+FROM t WHERE sp > 0 AND dv < nw
 """
 
 _WORDS = f"regexp_extract_all(text, '{WORD_PATTERN}')"
