@@ -105,24 +105,26 @@ def split_committed(segments: DataFrame, n_committed: Column) -> tuple[DataFrame
             segments.filter(F.col("shard") >= n_committed))
 
 
-def build_totals(offsets: DataFrame, shard_size: int, max_shards: int,
+def build_totals(offsets: DataFrame, shard_size: int, max_shards: int, total: int | None = None,
                  n_col: str = "n_tokens") -> DataFrame:
     """Documents used, shards/tokens committed and pending for a build.
 
     Without a cap the whole source is consumed; when ``max_shards`` binds, the
-    build stops with the document that completes the last shard."""
-    total = total_tokens(offsets, n_col)
-    n_comm = committed_shards(total, shard_size, max_shards)
-    cut = n_comm * F.lit(shard_size)
-    capped = F.lit(max_shards).cast("long") * shard_size < total
-    used = F.when(capped, F.col("start") < cut).otherwise(F.lit(True))
+    build stops with the document that completes the last shard. ``total`` is
+    the stream length when already known (``token_offsets(with_total=True)``)."""
+    if total is None:
+        total = int(offsets.agg(F.coalesce(F.sum(n_col), F.lit(0))).first()[0])
+    n_comm = min(max_shards, total // shard_size)
+    cut = n_comm * shard_size
+    capped = max_shards * shard_size < total
+    used = (F.col("start") < cut) if capped else F.lit(True)
     return offsets.agg(
         F.sum(F.when(used, 1).otherwise(0)).cast("long").alias("documents_used"),
-        F.first(n_comm).cast("long").alias("shards_committed"),
-        F.first(cut).cast("long").alias("committed_tokens"),
-        F.sum(F.when(used, F.greatest(F.col("end") - F.greatest(F.col("start"), cut),
+        F.lit(n_comm).cast("long").alias("shards_committed"),
+        F.lit(cut).cast("long").alias("committed_tokens"),
+        F.sum(F.when(used, F.greatest(F.col("end") - F.greatest(F.col("start"), F.lit(cut)),
                                       F.lit(0))).otherwise(0)).cast("long").alias("pending_tokens"),
-        F.first(total).cast("long").alias("stream_tokens"),
+        F.lit(total).cast("long").alias("stream_tokens"),
     )
 
 

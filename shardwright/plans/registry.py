@@ -77,8 +77,10 @@ def shard_segments(spark, sf):
 
 @query
 def build_totals(spark, sf):
-    off = corpus.offsets_only(docs(spark, sf))
-    return packing.build_totals(off, S, CAP_SHARDS)
+    off, total = packing.token_offsets(
+        docs(spark, sf).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens")),
+        with_total=True)
+    return packing.build_totals(off, S, CAP_SHARDS, total)
 
 
 def _windows(spark, sf, cfg):
