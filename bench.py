@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "doc_token_counts", "token_offsets", "pack_windows", "epoch_order", "remaining_plan", "word_encode",
+    "doc_token_counts", "token_offsets", "shard_segments", "pack_windows", "epoch_order", "remaining_plan", "word_encode",
     "cross_entropy", "validation", "choice_accuracy", "decode_policy", "candidate_sample", "rolling_rate",
     "interval_average", "throttle", "audit_manifest", "ngram_loops",
 ]
@@ -70,6 +70,18 @@ def main() -> None:
         extra["build_windows_tokens_per_s"] = round(tokens / times["pack_windows"])
     if "token_offsets" in times:
         extra["offsets_tokens_per_s"] = round(tokens / times["token_offsets"])
+    if "shard_segments" in times:
+        extra["offsets_and_cut_tokens_per_s"] = round(tokens / times["shard_segments"])
+    if "epoch_order" in times:
+        from shardwright.plans.registry import _train
+
+        _, n_train = _train(spark, sf_dir)
+        extra["epoch_order_windows_per_s"] = round(2 * n_train / times["epoch_order"])   # two epochs
+    # largest window partition of the offsets pass (documents in one bucket)
+    from shardwright.operators.ordering import with_range_bucket
+
+    b = with_range_bucket(docs.select("doc_id"), "doc_id", "_b")
+    extra["peak_bucket_docs"] = int(b.groupBy("_b").count().agg(F.max("count")).first()[0])
     if "corpus_write_bin" in times:
         extra["corpus_write_tokens_per_s"] = round(tokens / times["corpus_write_bin"])
         extra["windows_from_bin_tokens_per_s"] = round(committed / times["windows_from_bin"])
