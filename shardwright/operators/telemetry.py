@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.operators.ordering import prefix_agg, prefix_aggs, previous_row
+from shardwright.operators.ordering import prefix_agg, prefix_aggs
 
 RUN = "run_id"
 DEFAULT_BLOCK_US = 3_600_000_000      # one hour of clock per block
@@ -49,10 +49,7 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
         raise ValueError("window_seconds must be greater than zero")
     W = int(round(window_s * 1_000_000))
     blk = block_us or max(W, DEFAULT_BLOCK_US)
-    df = counters.withColumn("_tb", _block("us", blk))
-    df = previous_row(df, ["units", "us", "seq"], ["us", "seq"], "_tb", [run])
-    reset = (F.col("prev_units").isNotNull() & (F.col("units") < F.col("prev_units"))).cast("long")
-    df = prefix_agg(df.withColumn("_rs", reset), "_rs", ["us", "seq"], "_tb", "_seg", [run], how="sum")
+    df = _prev_and_segments(counters.withColumn("_tb", _block("us", blk)), run)
     # previous sample inside the same segment, else none
     same = F.col("_rs") == 0
     df = (df.withColumn("_pus", F.when(same, F.col("prev_us")))
@@ -79,6 +76,38 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
                     "prev_units", "prev_us", "prev_seq")
 
 
+def _prev_and_segments(df: DataFrame, run: str) -> DataFrame:
+    """Previous sample (``prev_us/units/seq``), rewind flag ``_rs`` and the
+    number of rewinds so far ``_seg``, in one two-level pass over clock
+    blocks ``_tb``: one window inside each block, one small per-block table
+    carrying each block's last sample and rewind count to the next block."""
+    inner = Window.partitionBy(run, "_tb").orderBy("us", "seq")
+    d = (df.withColumn("_rn", F.row_number().over(inner))
+         .withColumn("_lu", F.lag("units").over(inner))
+         .withColumn("_lus", F.lag("us").over(inner))
+         .withColumn("_lseq", F.lag("seq").over(inner)))
+    d = d.withColumn("_ri", (F.col("_lu").isNotNull() & (F.col("units") < F.col("_lu"))).cast("long"))
+    d = d.withColumn("_ci", F.sum("_ri").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    blocks = d.groupBy(run, "_tb").agg(
+        F.min(F.struct("us", "seq", "units")).alias("_first"),
+        F.max(F.struct("us", "seq", "units")).alias("_last"),
+        F.sum("_ri").alias("_ni"))
+    bw = Window.partitionBy(run).orderBy("_tb")
+    blocks = blocks.withColumn("_pl", F.lag("_last").over(bw))
+    blocks = blocks.withColumn("_bd", (F.col("_pl").isNotNull() & (F.col("_first")["units"] < F.col("_pl")["units"]))
+                               .cast("long"))
+    blocks = blocks.withColumn("_bb", F.coalesce(F.sum(F.col("_ni") + F.col("_bd")).over(
+        bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_bd"))
+    d = d.join(blocks.select(run, "_tb", "_pl", "_bd", "_bb"), [run, "_tb"])
+    first = F.col("_rn") == 1
+    return (d.withColumn("prev_units", F.when(first, F.col("_pl")["units"]).otherwise(F.col("_lu")))
+            .withColumn("prev_us", F.when(first, F.col("_pl")["us"]).otherwise(F.col("_lus")))
+            .withColumn("prev_seq", F.when(first, F.col("_pl")["seq"]).otherwise(F.col("_lseq")))
+            .withColumn("_rs", F.when(first, F.col("_bd")).otherwise(F.col("_ri")))
+            .withColumn("_seg", F.col("_bb") + F.col("_ci"))
+            .drop("_rn", "_lu", "_lus", "_lseq", "_ri", "_ci", "_pl", "_bd", "_bb"))
+
+
 def eta(df: DataFrame, target: float | Column, units: str = "units", rate: str = "rate") -> DataFrame:
     """⌊remaining / rate⌋ seconds, 0 when the rate is 0."""
     t = F.lit(target) if not isinstance(target, Column) else target
@@ -91,7 +120,7 @@ def audit_counters(counters: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: s
     """Violations ``(run, seq, rule, expected, found)`` of a counter log with
     ``added`` increments: negative increments, an increment that differs from
     the observed change, and units going backwards."""
-    df = previous_row(counters.withColumn("_tb", _block("us", block_us)), ["units"], ["us", "seq"], "_tb", [run])
+    df = _prev_and_segments(counters.withColumn("_tb", _block("us", block_us)), run)
     change = F.col("units") - F.col("prev_units")
     rules = F.array(
         F.when(F.col("added") < 0, F.struct(F.lit("negative_delta").alias("rule"), F.lit(0).cast("double").alias("expected"),
