@@ -156,17 +156,21 @@ def training_log(log: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: str = RU
                           ("best_dev_loss", bd, "min", True)], ["step"], "_tb", [run])
     df = df.withColumn("held_dev_loss", F.col("_held")["dev_loss"]).drop("_held")
     ok = _finite(F.col("train_loss"))
-    avg = (df.groupBy(run, "interval")
-           .agg(F.sum(F.when(ok, F.col("train_loss"))).alias("_s"), F.sum(ok.cast("long")).alias("_n")))
-    df = df.join(avg, [run, "interval"], "left")
-    df = df.withColumn("average_train_loss", F.when(
-        F.col("is_eval"), F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("train_loss"))))
-    # M6: running best of the interval averages; NaN never wins
-    ba = F.when(F.col("is_eval") & _finite(F.col("average_train_loss")), F.col("average_train_loss"))
-    df = prefix_agg(df.withColumn("_ba", ba), "_ba", ["step"], "_tb", "best_average_train_loss", [run], how="min")
+    # one row per interval: its average (the closing evaluation's own loss
+    # when nothing finite is left) and, over evaluations so far, the best one
+    per = (df.groupBy(run, "interval")
+           .agg(F.sum(F.when(ok, F.col("train_loss"))).alias("_s"), F.sum(ok.cast("long")).alias("_n"),
+                F.max(F.col("is_eval").cast("int")).alias("_has_eval"),
+                F.max(F.when(F.col("is_eval"), F.col("train_loss"))).alias("_own")))
+    per = per.withColumn("_avg", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("_own")))
+    fin = F.when((F.col("_has_eval") == 1) & _finite(F.col("_avg")), F.col("_avg"))
+    per = prefix_agg(per.withColumn("_ba", fin), "_ba", ["interval"], F.floor(F.col("interval") / 4096),
+                     "best_average_train_loss", [run], how="min")
+    df = df.join(per.select(run, "interval", "_avg", "best_average_train_loss"), [run, "interval"], "left")
+    df = df.withColumn("average_train_loss", F.when(F.col("is_eval"), F.col("_avg")))
     df = df.withColumn("best_dev_loss", F.when(F.col("is_eval"), F.col("best_dev_loss")))
     df = df.withColumn("best_average_train_loss", F.when(F.col("is_eval"), F.col("best_average_train_loss")))
-    return df.drop("_tb", "_s", "_n", "_ba")
+    return df.drop("_tb", "_avg")
 
 
 # ---------------------------------------------------------------- M7, M8, M9, M12
