@@ -71,3 +71,30 @@ def op10_chat_formatting(spark, sf):
     extra = spark.sql(f"select -1L conv_id, 0L turn, 'user' role, '{said}' text union all select -1L, 1L, 'assistant', '{said}'")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return C.digest(C.read_back(C.format_conversations(turns.withColumn("parts", C.text_part(F.col("text"))))))
+
+
+@query
+def op2_quality_rules(spark, sf):
+    from shardwright.llm import quality_rules as Q
+
+    docs = table(spark, sf, "documents")
+    return Q.judge(docs, Q.train(docs, table(spark, sf, "labels")))
+
+
+@query
+def op3_quality_classifier(spark, sf):
+    from shardwright.llm import quality_trees as Q
+    from shardwright.llm.common import fold
+
+    docs = table(spark, sf, "documents")
+    scored = Q.classify(docs, Q.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_language_id(spark, sf):
+    from shardwright.llm import language as L
+
+    docs = table(spark, sf, "documents")
+    model = L.train(docs, L.learnable())
+    return L.predict(docs, model).select("doc_id", (~L.learnable()).alias("held_out"), "lang_pred", "score")
