@@ -1,7 +1,7 @@
 """Quality rules and a hashed logistic regression.
 
 Fixed rules on word statistics come first. What they leave is judged by a logistic
-regression over hashed word unigrams and bigrams and byte 3- to 5-grams, trained on
+regression over hashed word unigrams and bigrams and byte 3- and 5-grams, trained on
 a bounded sample of labelled documents, calibrated by Platt's method on a part of
 it that the weights were not fitted to, and compared with a fixed threshold.
 Documents are scored in Arrow batches; no row is shuffled.
@@ -25,11 +25,11 @@ from shardwright.llm.labelled import fit_in_one_task, labelled_ids, with_labels
 from shardwright.llm.texts import SYMBOL, Texts, slices
 
 BITS = 16                  # buckets for words and as many for byte runs
-GRAMS = (3, 4, 5)
-SAMPLE = 3000              # labelled documents the model is fitted to, at most
+GRAMS = (3, 5)
+SAMPLE = 2000              # labelled documents the model is fitted to, at most
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-STEPS, RATE, RIDGE = 120, 0.5, 1e-6
+STEPS, RATE, RIDGE = 60, 0.5, 1e-6
 
 
 def buckets(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -98,3 +98,10 @@ def op6_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     model = L.train(docs, L.learnable())
     return L.predict(docs, model).select("doc_id", (~L.learnable()).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_token_binary(spark, sf):
+    from shardwright.llm.token_shards import encode_and_read
+
+    return encode_and_read(table(spark, sf, "documents"))

@@ -116,12 +116,12 @@ class Texts:
         """Lines that hold a word: hash, text number, number of bytes."""
         feed = np.flatnonzero(self.buf == 10)
         start = np.union1d(self.off[:-1], feed + 1)
-        start = start[start < len(self.buf)] if len(self.buf) else start[:0]
-        stop = np.union1d(feed, self.off[1:])
-        end = stop[np.searchsorted(stop, start)]
+        start = start[start < len(self.buf)]
+        doc = np.searchsorted(self.off, start, "right") - 1
+        end = np.minimum(np.append(feed, len(self.buf))[np.searchsorted(feed, start)], self.off[doc + 1])
         word = np.searchsorted(self.start, end) > np.searchsorted(self.start, start)
         start, end = start[word], end[word]
-        return self.spans(start, end) + (end - start).astype(np.uint64), np.searchsorted(self.off, start, "right") - 1, end - start
+        return self.spans(start, end) + (end - start).astype(np.uint64), doc[word], end - start
 
     def repeated_lines(self) -> np.ndarray:
         h, doc, _ = self.lines()
