@@ -9,7 +9,7 @@ reaches the driver's tables; ids are read back from the files.
 
 A byte-level BPE never merges across its pre-tokens, so a text's ids are those of
 its pre-tokens in a row. Texts of ASCII and Latin letters are cut by an equivalent pattern
-and every distinct pre-token is encoded by the library once per slice of texts (a table
+and every distinct pre-token is encoded by the library once per shard (a table
 of at most ``KNOWN`` pre-tokens is kept); any other text, and any text with ``<|``, goes
 through the library whole.
 
@@ -37,9 +37,9 @@ from shardwright.llm.common import scratch, staged
 from shardwright.llm.texts import slices
 from shardwright.operators.ordering import prefix_sum
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20
 END_ID = 2
-KNOWN = 300_000
+KNOWN = 1_000_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ſ"          # every one of these is a letter, none a number or space
 PLAIN = re.compile(rf"[\t\n\r -~{LETTER}]*")
 CUT = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
@@ -66,10 +66,27 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.asarray(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of each pre-token. Words are encoded many to a text, in which every one is a
+        pre-token again, and told apart by the library's word numbers."""
+        out: dict[str, bytes] = {}
+        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        bare = [w for w in new if w.isalpha()]
+        for words, between, step in ((spaced, "", 1), (bare, "\n", 2)):
+            groups = [words[i:i + 2000] for i in range(0, len(words), 2000)]
+            for group, e in zip(groups, self.tokenizer.encode_batch([between.join(g) for g in groups], add_special_tokens=False)):
+                at = np.searchsorted(np.asarray(e.word_ids), np.arange(0, step * len(group) + 1))
+                ids = np.asarray(e.ids, self.kind)
+                if at[-1] == len(ids) and (np.diff(at) > 0)[:step * len(group) - step + 1].all():
+                    out.update((w, ids[a:b].tobytes()) for w, a, b in zip(group, at[::step].tolist(), at[1::step].tolist()))
+        rest = [w for w in new if w not in out]
+        out.update(zip(rest, self.whole(rest)))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [CUT.findall(t) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         new = list(set(chain.from_iterable(c for c in cut if c)).difference(self.known))
-        self.known.update(zip(new, self.whole(new)))
+        self.known.update(self.pieces(new))
         rest = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
         look = self.known.__getitem__
         out = [next(rest) if c is None else b"".join(map(look, c)) for c in cut]
