@@ -105,3 +105,10 @@ def op9_token_binary(spark, sf):
     from shardwright.llm.token_shards import encode_and_read
 
     return encode_and_read(table(spark, sf, "documents"))
+
+
+@query
+def op1_decontamination(spark, sf):
+    from shardwright.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
