@@ -112,3 +112,10 @@ def op1_decontamination(spark, sf):
     from shardwright.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op4_jaccard_join(spark, sf):
+    from shardwright.llm.jaccard_join import classes
+
+    return classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
