@@ -223,7 +223,11 @@ def parts(benchmark: DataFrame, limit: int = INDEX_BYTES) -> list[list[tuple[int
     groups: list[list[tuple[int, str]]] = [[]]
     room = limit
     rows = benchmark.where("item_id is not null and text is not null and length(text) > 0").select(F.col("item_id").cast("long"), "text")
-    for item, text in rows.toLocalIterator():
+    seen: set[int] = set()
+    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
+        if hash(body := normal(text)) in seen:
+            continue
+        seen.add(hash(body))
         if 16 * len(text) > room and groups[-1]:
             groups.append([])
             room = limit
