@@ -8,9 +8,11 @@ shards' token counts by a two-level prefix sum. Nothing but file names and count
 reaches the driver's tables; ids are read back from the files.
 
 A byte-level BPE never merges across its pre-tokens, so a text's ids are those of
-its pre-tokens in a row. Texts of ASCII and Latin letters are cut by an equivalent pattern
-and every distinct pre-token is encoded by the library once per shard (a table
-of at most ``KNOWN`` pre-tokens is kept); any other text, and any text with ``<|``, goes
+its pre-tokens in a row. Texts of ASCII and Latin letters without two white-space
+characters in a row are cut at their spaces, for a whole shard at once in Arrow: a
+piece with the space or line feed before it starts and ends with a pre-token. The library
+encodes every different word and tail of a piece once for the shard, many in one call, and
+numpy puts the ids of the pieces together. Any other text, and any text with ``<|``, goes
 through the library whole.
 
 Defined cases: a null text is an empty document (its end id alone); null ``doc_id``s come
@@ -24,25 +26,25 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm import wavelet
 from shardwright.llm.common import scratch, staged
-from shardwright.llm.texts import slices
 from shardwright.operators.ordering import prefix_sum
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 END_ID = 2
-KNOWN = 1_000_000
-LETTER = "A-Za-zÀ-ÖØ-öø-ſ"          # every one of these is a letter, none a number or space
-PLAIN = re.compile(rf"[\t\n\r -~{LETTER}]*")
-CUT = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\n -~À-ÖØ-öø-ſ]*")     # beyond ASCII letters only, none of them a number or space
+START = "\r"                                # stands before a text's first piece
+_BYTES = np.arange(256)
+LETTER = (_BYTES >= 128) | (_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 97) & (_BYTES <= 122)
+JOINS = (_BYTES >= 48) & (_BYTES <= 57) | (_BYTES == 39)       # digits and the apostrophe: left to the library
 
 
 def _default_path() -> str:
@@ -51,8 +53,25 @@ def _default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def strings(data: np.ndarray, held: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Strings of the bytes of ``data`` that are ``held``, ``lens`` of them each."""
+    off = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[held]))])
+
+
+def stretches(pool: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """``pool[s:s + n]`` for each start and length, in a row."""
+    total = np.cumsum(lens)
+    out = np.empty(int(total[-1]) if len(total) else 0, pool.dtype)
+    for at in range(0, len(lens), 1 << 19):
+        n, done = lens[at:at + (1 << 19)], int(total[at - 1]) if at else 0
+        end = np.cumsum(n)
+        out[done:done + int(end[-1])] = pool[np.repeat(start[at:at + (1 << 19)] - end + n, n) + np.arange(int(end[-1]))]
+    return out
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes, two or four for each id."""
+    """Ids of the texts of a shard."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -60,43 +79,110 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         top = max(self.tokenizer.get_vocab(True).values())
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(e.ids, self.kind).tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    def pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of each pre-token. Words are encoded many to a text, in which every one is a
-        pre-token again, and told apart by the library's word numbers."""
-        out: dict[str, bytes] = {}
-        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        bare = [w for w in new if w.isalpha()]
-        for words, between, step in ((spaced, "", 1), (bare, "\n", 2)):
-            groups = [words[i:i + 2000] for i in range(0, len(words), 2000)]
-            for group, e in zip(groups, self.tokenizer.encode_batch([between.join(g) for g in groups], add_special_tokens=False)):
-                at = np.searchsorted(np.asarray(e.word_ids), np.arange(0, step * len(group) + 1))
-                ids = np.asarray(e.ids, self.kind)
-                if at[-1] == len(ids) and (np.diff(at) > 0)[:step * len(group) - step + 1].all():
-                    out.update((w, ids[a:b].tobytes()) for w, a, b in zip(group, at[::step].tolist(), at[1::step].tolist()))
-        rest = [w for w in new if w not in out]
-        out.update(zip(rest, self.whole(rest)))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [CUT.findall(t) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = list(set(chain.from_iterable(c for c in cut if c)).difference(self.known))
-        self.known.update(self.pieces(new))
-        rest = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
-        look = self.known.__getitem__
-        out = [next(rest) if c is None else b"".join(map(look, c)) for c in cut]
-        for piece in new[max(0, KNOWN - len(self.known) + len(new)):]:        # a full table keeps what it has
-            del self.known[piece]
-        return out
-
-
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID,
-                 shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.feed = self.whole(["\n"])[0]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.kind) for e in self.batch(texts, add_special_tokens=False)]
+
+    def pieces(self, texts: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without white space, each after ``lead``: all in a row, and how many
+        each has. Many go into one text, with a line feed, whose id nothing else has, between."""
+        if not texts:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        rows = []
+        for at in range(0, len(texts), 1 << 15):
+            part = texts[at:at + (1 << 15)]
+            rows += self.whole(["\n".join([lead + t for t in part[i:i + 500]]) + "\n" for i in range(0, len(part), 500)])
+        ids = np.concatenate(rows)
+        mark = ids == self.feed[0]
+        ends = np.flatnonzero(mark)
+        if len(ends) != len(texts):
+            raise ValueError("a piece holds a line feed")
+        return ids[~mark], np.diff(ends, prepend=-1) - 1
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with its end id, and how many each has."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        plain = np.array([PLAIN.fullmatch(t) is not None and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
+                          for t in column.to_pylist()], bool)
+        odd = self.whole(column.filter(pa.array(~plain)).to_pylist())
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(
+            pa.scalar(START, pa.large_string()), column.filter(pa.array(plain)), pa.scalar("", pa.large_string())), "\n", " \n"), " ")
+        sizes = np.diff(cut.offsets.to_numpy())
+        coded = cut.flatten().dictionary_encode()
+        index, keys = coded.indices.to_numpy(), coded.dictionary
+        del cut, coded
+        pool, start, lens = self.table(keys)
+        # the end mark and the texts taken whole are entries of the table like any other
+        extra = [np.array([end_id], self.kind), *odd]
+        more = np.array([len(x) for x in extra], np.int64)
+        start, lens = np.append(start, len(pool) + np.cumsum(more) - more), np.append(lens, more)
+        pool = np.concatenate([pool, *extra])
+        end, first = len(keys), len(keys) + 1
+        per_text = np.full(len(column), 2, np.int64)
+        per_text[plain] = sizes + 1
+        stop = np.cumsum(per_text)
+        entry = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
+        own = np.ones(len(entry), bool)
+        own[stop - 1] = own[stop[~plain] - 2] = False
+        entry[own] = index
+        entry[stop - 1], entry[stop[~plain] - 2] = end, first + np.arange(len(odd))
+        n = lens[entry]
+        return stretches(pool, start[entry], n), np.diff(np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], stop))])
+
+    def table(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the different pieces: a pool, and where each piece's ids stand in it."""
+        n = len(keys)
+        off = np.frombuffer(keys.buffers()[1], np.int64 if pa.types.is_large_string(keys.type) else np.int32)[keys.offset:keys.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(keys.buffers()[2], np.uint8)[off[0]:off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+        off = off - off[0]
+        size = np.diff(off)
+        first = np.where(size > 0, data[np.minimum(off[:-1], max(0, len(data) - 1))] if len(data) else 0, 0)
+        lead = np.isin(first, (10, 13)).astype(np.int64)                       # a line feed or the text's start
+        begin = off[:-1] + lead
+        count = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[off])
+        letter = LETTER[data]
+        rise = letter & ~np.concatenate(([False], letter[:-1]))
+        rise[off[:-1][size > 0]] = letter[off[:-1][size > 0]]
+        starts_so = (size > lead) & letter[np.minimum(begin, max(0, len(data) - 1))] if len(data) else np.zeros(n, bool)
+        simple = starts_so & (count(rise) == 1) & (count(JOINS[data]) == 0)    # one word, then a tail of signs
+        letters = count(letter)
+        held = np.repeat(simple, size)
+        tail = strings(data, held & ~letter & (np.arange(len(data)) >= np.repeat(begin, size)), (size - lead - letters)[simple])
+        word = strings(data, held & letter, letters[simple])
+        pool, place, width = [self.feed], np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
+        at = len(self.feed)
+
+        def put(where: np.ndarray, slot: int, what: pa.Array, before: str) -> None:
+            nonlocal at
+            coded = what.dictionary_encode()
+            ids, lens = self.pieces(coded.dictionary.to_pylist(), before)
+            code = coded.indices.to_numpy()
+            place[where, slot], width[where, slot] = (at + np.cumsum(lens) - lens)[code], lens[code]
+            pool.append(ids)
+            at += len(ids)
+
+        which, bare = np.flatnonzero(simple), (lead > 0)[simple]
+        put(which[bare], 1, word.filter(pa.array(bare)), "")
+        put(which[~bare], 1, word.filter(pa.array(~bare)), " ")
+        signs = (size - lead - letters)[simple] > 0
+        put(which[signs], 2, tail.filter(pa.array(signs)), "")
+        other = ~simple & (size > lead)
+        rest = strings(data, np.repeat(other, size) & (np.arange(len(data)) >= np.repeat(begin, size)), (size - lead)[other])
+        which, bare = np.flatnonzero(other), (lead > 0)[other]
+        put(which[bare], 1, rest.filter(pa.array(bare)), "")
+        put(which[~bare], 1, rest.filter(pa.array(~bare)), " ")
+        width[first == 10, 0] = len(self.feed)
+        space = self.whole([" "])[0]
+        place[size == 0, 1], width[size == 0, 1] = at, len(space)
+        pool = np.concatenate([*pool, space])
+        table, lens = stretches(pool, place.ravel(), width.ravel()), width.sum(1)
+        return table, np.cumsum(lens) - lens, lens
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES,
+                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``folder/shard-*.wm``; returns ``(shard, path, n_docs, n_tokens, start)``, one row a file."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -107,31 +193,41 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     folder = folder.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        ids, docs_, nulls, counts = [], [], [], []
-        for part, t in slices(batches, "text"):
-            encoder = encoder or Encoder(tokenizer or _default_path())
-            end = np.asarray([end_id], encoder.kind).tobytes()
-            got = [b + end for b in encoder.encode(t.array.to_pylist())]
-            ids.append(np.frombuffer(b"".join(got), encoder.kind))
-            counts.append(np.array([len(b) for b in got], np.int64) // encoder.kind.itemsize)
-            key = part.column("doc_id")
-            nulls.append(key.is_null().to_numpy(zero_copy_only=False))
-            docs_.append(key.fill_null(0).to_numpy())
-        if encoder is None:
-            return
-        shard = TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:09d}.wm"
-        every, n = np.concatenate(ids), np.concatenate(counts)
-        ids.clear()
-        store, local = wavelet.place(folder)
-        store.create_dir(local, recursive=True)
-        wavelet.write(path, every, np.concatenate(docs_), np.concatenate(nulls), n, end_id)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path],
-                                          "n_docs": pa.array([len(n)], pa.int64()), "n_tokens": pa.array([len(every)], pa.int64())})
-
-    written = staged(dealt.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-shards")
-    return prefix_sum(written, "n_tokens", "shard", F.floor(F.col("shard") / 1024), "start")
+        encoder, number = None, TaskContext.get().partitionId() << 20
+        held: list[pa.RecordBatch] = []
+
+        def ended() -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            key = rows["doc_id"].combine_chunks()
+            column = rows["text"].cast(pa.large_string()).combine_chunks()
+            ids, counts = encoder.encode(column, end_id)
+            path = f"{folder}/shard-{number:012d}.wm"
+            wavelet.write(path, ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, end_id)
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "path": [path],
+                                              "n_docs": pa.array([len(counts)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})
+            number += 1
+            return row
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if encoder is None:
+                encoder = Encoder(tokenizer or _default_path())
+                store, local = wavelet.place(folder)
+                store.create_dir(local, recursive=True)
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= 2 * shard_bytes:                                   # ranges of ids are drawn by sampling: some are larger
+                yield ended()
+                size = 0
+        if held:
+            yield ended()
+
+    written = staged(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "token-shards")
+    return prefix_sum(written, "n_tokens", "shard", F.shiftright("shard", 24), "start")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -149,11 +245,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids, pa.int64(), mask=null), "start": pa.array(row["start"] + ends - n),
                     "n_tokens": pa.array(n.astype(np.int64)), "ids_crc32": pa.array(crc),
-                    "shard": pa.array(np.full(len(n), row["shard"], np.int32))})
+                    "shard": pa.array(np.full(len(n), row["shard"], np.int64))})
 
     n = max(1, manifest.count())
     return (manifest.select("shard", "path", F.col("start").cast("long").alias("start")).repartitionByRange(n, "shard")
-            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"))
+            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"))
 
 
 def encode_and_read(docs: DataFrame, **options) -> DataFrame:

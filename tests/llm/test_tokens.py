@@ -68,14 +68,26 @@ def test_empty_table(make, library):
     assert check(make, library, []) == []
 
 
-def test_full_table_of_known_pieces_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(S, "KNOWN", 5)
+def encode(texts):
+    import pyarrow as pa
+
     e = S.Encoder(TOKENIZERS.path("byte_bpe_50k.json"))
-    rng = random.Random(1)
-    for _ in range(5):
-        texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(30)) for _ in range(4)]
-        assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-        assert len(e.known) <= 5
+    ids, n = e.encode(pa.array(texts, pa.string()), 2)
+    ends = np.cumsum(n)
+    return [ids[a:b].tolist() for a, b in zip(ends - n, ends)]
+
+
+def test_random_plain_strings(library):
+    rng = random.Random(11)
+    alphabet = ["a", "Bc", "é", "zz", "7", ".", ",", "'", "'s", "***", "|", "<", "-"]
+    texts = []
+    for _ in range(3000):
+        t = ""
+        for _ in range(rng.randint(0, 12)):
+            t += "".join(rng.choices(alphabet, k=rng.randint(1, 4))) + rng.choice([" ", "\n", " ", ""])
+        texts.append(t)
+    assert encode(texts) == [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert encode([]) == [] and encode([None, "x\ty"]) == [[2], [*library.encode("x\ty").ids, 2]]
 
 
 def test_a_repeated_task_leaves_the_same_file(tmpdir_path):
