@@ -10,18 +10,19 @@ a connected group of links.
    coordinate or two, and each entry moves on to the child named by its token there
    (the run of words with the least hash), so two sets go the same way with the
    probability of their similarity. Nodes of at most ``LIMIT`` entries are buckets; larger
-   ones split again. ``RUNS`` independent runs bring the recall of a link of
-   similarity 0.8 above 0.999 when buckets are reached within six levels.
+   ones split again, up to ``DEPTH`` times. ``RUNS`` independent runs bring the recall of a
+   link of similarity 0.8 above 0.999.
 3. Buckets are compared entry by entry on their vectors, and each gives the tree of
    what it joins, not its pairs. The trees make candidate groups.
 4. Candidate groups get their texts back and all their pairs are decided exactly, on the
    whole sets. Links are counted there and again only a tree leaves the task.
 
 No pair is listed, so a group of thousands of near copies gives thousands of rows, not
-millions. A node that will not split below ``LIMIT`` in ``DEPTH`` levels and a candidate group above
-``LIMIT`` are dealt into blocks, and every pair of blocks is compared in a task of its own:
-nothing is capped, and no task holds more than two blocks. The links of a group of g
-different near copies are g * g decisions, spread over (g / LIMIT) ** 2 tasks.
+millions. A node still above ``LIMIT`` after ``DEPTH`` splits (near copies agree nearly
+everywhere) and a candidate group above ``VERIFY`` are dealt into blocks, and every pair of
+blocks is compared by itself: nothing is capped, and nothing holds more than two blocks.
+The links of a group of g different near copies are g * g decisions, spread over
+2 * (g / VERIFY) ** 2 pairs of blocks.
 
 Defined cases: null texts and texts without a word have no set: a class of their own
 without links. Null ids take part; their class is named by the least id in it (null if there is
@@ -44,7 +45,9 @@ from shardwright.llm.texts import RUN, Texts, mix, slices
 
 WORDS, SIMILAR = 5, 0.8
 COORDS = 64                # length of a MinHash vector
-RUNS, DEPTH, LIMIT = 12, 20, 512
+RUNS, DEPTH = 12, 6
+LIMIT = 2048               # entries of a bucket, compared by their vectors
+VERIFY = 512               # sets of a task, compared exactly
 SECOND = 4                 # one node in four samples a second coordinate
 AGREE = 39                 # coordinates that must agree in a bucket: 0.8 less 3.8 standard deviations
 _SCALE = np.random.default_rng(0xC0DE).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,12 +154,12 @@ def _bucket_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"a": pa.array(rid[moved]), "b": pa.array(rid[label[moved]])})
 
 
-def dealt_in_blocks(rows: DataFrame, group: str, n: str, member: str) -> DataFrame:
-    """``key, block, cross``: a group of at most ``LIMIT`` is one key; a larger one is dealt into
+def dealt_in_blocks(rows: DataFrame, group: str, n: str, member: str, limit: int) -> DataFrame:
+    """``key, block, cross``: a group of at most ``limit`` is one key; a larger one is dealt into
     blocks by a hash of ``member``, and each pair of blocks is a key."""
-    blocks = F.ceil(F.col(n) * 2 / F.lit(LIMIT)).cast("int")
-    own = F.when(F.col(n) > LIMIT, F.pmod(F.xxhash64(F.lit(3), member), blocks)).otherwise(F.lit(0)).cast("int")
-    other = F.explode(F.when(F.col(n) > LIMIT, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    blocks = F.ceil(F.col(n) * 2 / F.lit(limit)).cast("int")
+    own = F.when(F.col(n) > limit, F.pmod(F.xxhash64(F.lit(3), member), blocks)).otherwise(F.lit(0)).cast("int")
+    other = F.explode(F.when(F.col(n) > limit, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
     return (rows.withColumn("block", own).withColumn("_o", other)
             .withColumn("key", F.xxhash64(F.col(group), F.least("block", "_o"), F.greatest("block", "_o")))
             .withColumn("cross", F.col("block") != F.col("_o")).drop("_o"))
@@ -175,7 +178,7 @@ def chosen_paths(entries: DataFrame, runs: int = RUNS, seed: int = 5) -> DataFra
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = staged(rows.join(counts, "node"), "paths")
         fit = sized if level == DEPTH else sized.where(F.col("n") <= LIMIT)
-        fit = dealt_in_blocks(fit, "node", "n", "rid").select("rid", "key")
+        fit = dealt_in_blocks(fit, "node", "n", "rid", LIMIT).select("rid", "key")
         found = fit if found is None else found.unionByName(fit)
         large = sized.where(F.col("n") > LIMIT)
         if level == DEPTH or large.isEmpty():
@@ -188,27 +191,29 @@ def chosen_paths(entries: DataFrame, runs: int = RUNS, seed: int = 5) -> DataFra
     return found
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``: the edges are stars."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 or (low = 1 and top = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(rid, root)`` for every end of an edge: the least id of its connected group.
 
     Alternating large and small stars: each round every entry points its neighbours to the
     least of them. Rows stay linear in the edges; a hub's rows are split by the join."""
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct(), "large-star")
+        large = staged(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))))
         e = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "small-star")
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            return e.select(F.col("u").alias("rid"), F.col("v").alias("root")).unionByName(
-                e.select(F.col("v").alias("rid"), F.col("v").alias("root")).distinct())
-        seen = tuple(state)
+    return e.select(F.col("u").alias("rid"), F.col("v").alias("root")).unionByName(
+        e.select(F.col("v").alias("rid"), F.col("v").alias("root")).distinct())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +291,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, runs: int = RUNS, doc_i
     texts = own.join(members.hint("shuffle_hash"), own["doc_id"].eqNullSafe(members["_id"]) & (own["_h"] == members["_h"]))
     sets = texts.select("rid", "copies", "root", "n", "text").mapInArrow(
         _sets, "rid long, copies long, root long, n long, runs binary")
-    verified = staged(dealt_in_blocks(sets, "root", "n", "rid").repartition("key").sortWithinPartitions("key")
+    verified = staged(dealt_in_blocks(sets, "root", "n", "rid", VERIFY).repartition("key").sortWithinPartitions("key")
                       .select("key", "rid", "copies", "block", "cross", "runs").mapInArrow(_verify(threshold), "rid long, tree long, links long"), "verified")
     links = verified.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(verified.select(F.col("rid").alias("a"), F.col("tree").alias("b")))

@@ -75,6 +75,7 @@ def test_classes_and_links(make, rows):
 def test_large_groups_in_blocks(make, monkeypatch):
     """A group of near copies, a group of exact ones and a common passage, all above the limit."""
     monkeypatch.setattr(J, "LIMIT", 16)
+    monkeypatch.setattr(J, "VERIFY", 16)
     monkeypatch.setattr(J, "DEPTH", 2)
     rng = random.Random(2)
     base, passage = prose(rng, 150), prose(rng, 50)
