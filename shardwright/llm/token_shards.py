@@ -23,6 +23,7 @@ interchangeable; an empty table writes no file and gives an empty result; other
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -74,6 +75,7 @@ class Encoder:
     """Ids of the texts of a shard."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"                         # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
