@@ -20,6 +20,7 @@ from shardwright.operators.ordering import prefix_agg, prefix_aggs
 
 RUN = "run_id"
 DEFAULT_BLOCK_US = 3_600_000_000      # one hour of clock per block
+DEFAULT_BLOCK_STEPS = 65_536          # steps of a training log per block
 
 
 def micros(ts: Column | str) -> Column:
@@ -37,18 +38,24 @@ def _block(col: str, width: int) -> Column:
 
 # ---------------------------------------------------------------- W1, W2
 def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | None = None,
-                 run: str = RUN) -> DataFrame:
+                 run: str = RUN, seeds: DataFrame | None = None) -> DataFrame:
     """Rate over the trailing ``window_s`` seconds of each counter sample.
 
     Samples restart after a rewind (units below the previous sample); the two
     latest samples are always kept even if older than the window; the rate is
     ≥ 0 and 0 with a single sample or no elapsed time.
-    Adds ``rate`` (units/s) and ``elapsed_s``.
+    Adds ``rate`` (units/s) and ``elapsed_s``. ``seeds (run, us, units)`` are samples
+    known before the log starts (a resumed run); they are compared against but
+    not returned.
     """
     if window_s <= 0:
-        raise ValueError("window_seconds must be greater than zero")
+        raise ValueError("a rate needs a window longer than zero seconds")
     W = int(round(window_s * 1_000_000))
     blk = block_us or max(W, DEFAULT_BLOCK_US)
+    if seeds is not None:
+        before = seeds.select(run, F.lit(-1).cast("long").alias("seq"), "us", "units", F.lit(True).alias("_seed"))
+        both = counters.withColumn("_seed", F.lit(False)).unionByName(before, allowMissingColumns=True)
+        return rolling_rate(both, window_s, block_us, run).where("not _seed").drop("_seed")
     df = _prev_and_segments(counters.withColumn("_tb", _block("us", blk)), run)
     # previous sample inside the same segment, else none
     same = F.col("_rs") == 0
@@ -140,12 +147,12 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def training_log(log: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: str = RUN) -> DataFrame:
+def training_log(log: DataFrame, block_steps: int = DEFAULT_BLOCK_STEPS, run: str = RUN) -> DataFrame:
     """Per-step training log ``(run, step, us, train_loss, dev_loss, is_eval)``
     → adds ``held_dev_loss`` (W3), ``interval`` and, on evaluation rows,
     ``average_train_loss`` (M5), ``best_dev_loss`` and ``best_average_train_loss`` (M6).
     """
-    df = log.withColumn("_tb", _block("us", block_us))
+    df = log.withColumn("_tb", _block("step", block_steps))      # blocks follow the order, not the clock
     # one two-level pass: W3 last dev loss of an earlier evaluation (struct max
     # = latest by step), M5 interval = evaluations strictly before the row,
     # M6 best dev loss so far (NaN never wins)
@@ -175,10 +182,10 @@ def training_log(log: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: str = RU
 
 # ---------------------------------------------------------------- M7, M8, M9, M12
 def summarise(metrics: DataFrame, policy: DataFrame, run: str = RUN) -> DataFrame:
-    """M7: summary value per (run, name) by policy last/min/max."""
+    """M7: summary value per (run, name) by policy last/min/max; ``last`` without a policy."""
     agg = metrics.groupBy(run, "name").agg(
         F.max_by("value", "step").alias("_last"), F.min("value").alias("_min"), F.max("value").alias("_max"))
-    j = agg.join(F.broadcast(policy), "name")
+    j = agg.join(policy, "name", "left").withColumn("policy", F.coalesce("policy", F.lit("last")))
     return j.select(run, "name", "policy",
                     F.when(F.col("policy") == "last", F.col("_last"))
                     .when(F.col("policy") == "min", F.col("_min"))
@@ -247,21 +254,23 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
     probes = base.select(run, (F.col("_b") + 1).alias("_b"), (F.col("us") + G).alias("us"),
                          F.col("seq").alias("_src"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("seq"))
     data = base.select(run, "_b", "us", F.lit(None).cast("long").alias("_src"), F.lit(1).alias("_kind"), "seq")
-    w = Window.partitionBy(run, "_b").orderBy("us", "_kind", "seq").rowsBetween(Window.currentRow,
-                                                                                Window.unboundedFollowing)
-    found = (probes.unionByName(data).withColumn("_n", F.first("seq", ignorenulls=True).over(w))
+    # walked backwards, so the frame only grows: the last data row seen is the successor
+    w = Window.partitionBy(run, "_b").orderBy(F.desc("us"), F.desc("_kind"), F.desc("seq")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = (probes.unionByName(data).withColumn("_n", F.last("seq", ignorenulls=True).over(w))
              .filter(F.col("_kind") == 0).select(run, F.col("_src").alias("seq"), "_b", "_n"))
     # nothing due in block b+1: the first row of the first non-empty block
     # ≥ b+2, read from the per-block table (one row per non-empty block)
     firsts = base.groupBy(run, "_b").agg(F.min("seq").alias("_f"))
-    far = firsts.select(run, (F.col("_b") + 1).alias("_b"), F.min("_f").over(
-        Window.partitionBy(run).orderBy("_b").rangeBetween(2, Window.unboundedFollowing)).alias("_far"))
+    near = Window.partitionBy(run).orderBy("_b")
+    far = firsts.select(run, (F.col("_b") + 1).alias("_b"), F.when(F.lead("_b", 1).over(near) > F.col("_b") + 1, F.lead("_f", 1).over(near))
+                        .otherwise(F.lead("_f", 2).over(near)).alias("_far"))
     gnext = (found.join(far, [run, "_b"], "left")
              .select(run, "seq", F.coalesce("_n", "_far").alias("_gap_next")))
     # due successor: first later row with units ≥ target
     if target is not None:
         dd = base.withColumn("_dseq", F.when(F.col("_due"), F.col("seq")))
-        wd = Window.partitionBy(run, "_b").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        wd = Window.partitionBy(run, "_b").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
         inb = dd.withColumn("_dn", F.min("_dseq").over(wd))
         bmin = dd.groupBy(run, "_b").agg(F.min("_dseq").alias("_bm"))
         after = bmin.withColumn("_am", F.min("_bm").over(Window.partitionBy(run).orderBy(F.col("_b").desc())

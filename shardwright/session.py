@@ -36,19 +36,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and written tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is read from the session and used as is. Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` names a folder that driver and executors reach; it is
+    read from the session and used as is. Only a local master, where one machine is
+    all there is, gets a scratch folder when it is unset; a cluster without it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="shardwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if path.removeprefix("file://").rstrip("/") not in (spark.sparkContext.getCheckpointDir() or ""):
+        spark.sparkContext.setCheckpointDir(path)                 # once: Spark adds a folder of its own
     return path
 
 

@@ -1,15 +1,20 @@
 """Live rolling rate and throttled emission on Structured Streaming.
 
-Both keep per-run state with ``applyInPandasWithState``: the rate meter keeps
-the samples of the trailing window (at least the last two), the throttle keeps
-the time of the last emitted row. State per run is bounded by the sample rate
-times the window, never by the length of the run.
+Per-run state with ``applyInPandasWithState``. A micro-batch of a run is one NumPy
+computation: the rate of a sample is taken against the earliest sample of its
+segment (samples since the last rewind) inside the trailing window, or against
+the sample before it when the window holds no other; a throttle jumps from one
+emitted row to the next by binary search. State is the segment's samples of the
+last window (rate) or one time (throttle). With ``idle_ms`` the state of a run that
+has been silent for so long is dropped (Spark then runs empty batches to notice);
+without it a run is remembered for as long as the query lives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,57 +25,85 @@ GATE_OUT = "run_id long, seq long, us long, units double"
 GATE_STATE = "last_us long"
 
 
-def _rate_fn(window_us: int):
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        us, units = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        out = []
-        rows = pd.concat(list(pdfs)).sort_values(["us", "seq"])
-        for r in rows.itertuples(index=False):
-            now, total = int(r.us), float(r.units)
-            if units and total < units[-1]:
-                us, units = [], []
-            us.append(now)
-            units.append(total)
-            while len(us) > 2 and now - us[0] > window_us:
-                us.pop(0)
-                units.pop(0)
-            elapsed = (now - us[0]) / 1e6
-            rate = 0.0 if elapsed <= 0 or len(us) < 2 else max(0.0, (total - units[0]) / elapsed)
-            out.append((int(key[0]), int(r.seq), now, total, rate, max(0.0, elapsed)))
-        state.update((us, units))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "us", "units", "rate", "elapsed_s"])
-
-    return update
-
-
-def rolling_rate_stream(counters: DataFrame, window_s: float = 30.0) -> DataFrame:
-    """Streaming W1: same numbers as the batch ``rolling_rate``."""
-    if window_s <= 0:
-        raise ValueError("window_seconds must be greater than zero")
-    W = int(round(window_s * 1_000_000))
-    return counters.groupBy("run_id").applyInPandasWithState(
-        _rate_fn(W), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
+def rates(us: np.ndarray, units: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rate, elapsed seconds and index of the compared sample, for samples in time order."""
+    i = np.arange(len(us))
+    begin = np.maximum.accumulate(np.where(np.diff(units, prepend=units[:1]) < 0, i, 0))
+    against = np.maximum(np.searchsorted(us, us - window_us, "left"), begin)
+    against = np.where((against == i) & (i > begin), i - 1, against)
+    elapsed = (us - us[against]) / 1e6
+    gained = np.maximum(0.0, units - units[against])
+    return np.divide(gained, elapsed, out=np.zeros(len(us)), where=elapsed > 0), elapsed, against
+
+
+def emitted(us: np.ndarray, due: np.ndarray, gap_us: int, last_us: int | None) -> np.ndarray:
+    """Indexes of the rows a throttle lets through, for rows in time order."""
+    n = len(us)
+    next_due = np.append(np.minimum.accumulate(np.where(due, np.arange(n), n)[::-1])[::-1], n)
+    at = 0 if last_us is None else min(int(np.searchsorted(us, last_us + gap_us, "left")), int(next_due[0]))
+    out = []
+    while at < n:
+        out.append(at)
+        at = min(max(at + 1, int(np.searchsorted(us, us[at] + gap_us, "left"))), int(next_due[at + 1]))
+    return np.array(out, np.int64)
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(pdfs)).sort_values(["us", "seq"], ignore_index=True)
 
 
-def _gate_fn(gap_us: int, target: float | None):
+def rolling_rate_stream(counters: DataFrame, window_s: float = 30.0, idle_ms: int | None = None) -> DataFrame:
+    """Streaming W1: same numbers as the batch ``rolling_rate`` for rows that arrive in time order."""
+    if window_s <= 0:
+        raise ValueError("a rate needs a window longer than zero seconds")
+    window_us = int(round(window_s * 1_000_000))
+
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values(["us", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            due = last is None or int(r.us) - last >= gap_us or (target is not None and float(r.units) >= target)
-            if due:
-                last = int(r.us)
-                out.append((int(key[0]), int(r.seq), int(r.us), float(r.units)))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "us", "units"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = _rows(pdfs)
+        old_us, old_units = state.get if state.exists else ([], [])
+        us = np.maximum.accumulate(np.concatenate((np.asarray(old_us, np.int64), new["us"].to_numpy(np.int64))))
+        units = np.concatenate((np.asarray(old_units, float), new["units"].to_numpy(float)))
+        rate, elapsed, _ = rates(us, units, window_us)
+        rewinds = np.flatnonzero(np.diff(units) < 0)
+        keep = max(int(np.searchsorted(us, us[-1] - window_us, "left")), int(rewinds[-1]) + 1 if len(rewinds) else 0)
+        state.update((us[keep:].tolist(), units[keep:].tolist()))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        n = len(old_us)
+        yield pd.DataFrame({"run_id": int(key[0]), "seq": new["seq"], "us": new["us"], "units": units[n:],
+                            "rate": rate[n:], "elapsed_s": elapsed[n:]})
 
-    return update
+    return counters.groupBy("run_id").applyInPandasWithState(
+        update, RATE_OUT, RATE_STATE, "append", _timeout(idle_ms))
 
 
-def throttle_stream(rows: DataFrame, gap_s: float = 0.5, target: float | None = None) -> DataFrame:
+def throttle_stream(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, idle_ms: int | None = None) -> DataFrame:
     """Streaming W5: emit a row when ``gap_s`` passed since the last emitted
     one, or when ``units`` reached ``target``."""
-    G = int(round(gap_s * 1_000_000))
+    gap_us = int(round(gap_s * 1_000_000))
+
+    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = _rows(pdfs)
+        us, units = new["us"].to_numpy(np.int64), new["units"].to_numpy(float)
+        due = units >= target if target is not None else np.zeros(len(us), bool)
+        last = int(state.get[0]) if state.exists else None
+        out = emitted(us, due, gap_us, last)
+        if len(out):
+            last = int(us[out[-1]])
+        state.update((last,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"run_id": int(key[0]), "seq": new["seq"].to_numpy()[out], "us": us[out], "units": units[out]})
+
     return rows.groupBy("run_id").applyInPandasWithState(
-        _gate_fn(G, target), GATE_OUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+        update, GATE_OUT, GATE_STATE, "append", _timeout(idle_ms))

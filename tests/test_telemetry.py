@@ -29,16 +29,14 @@ def test_rolling_rate_rewind(spark):
 
 
 def meter(samples, window):
-    """Plain sequential meter for comparison."""
-    out, buf = [], []
-    for t, u in samples:
-        if buf and u < buf[-1][1]:
-            buf = []
-        buf.append((t, u))
-        while len(buf) > 2 and t - buf[0][0] > window:
-            buf.pop(0)
-        el = t - buf[0][0]
-        out.append(0.0 if el <= 0 or len(buf) < 2 else max(0.0, (u - buf[0][1]) / el))
+    """The rate by its definition: every sample against all earlier ones."""
+    out = []
+    for i, (t, u) in enumerate(samples):
+        earlier = [k for k in range(i) if all(samples[j][1] <= samples[j + 1][1] for j in range(k, i))]
+        inside = [k for k in earlier if samples[k][0] >= t - window]
+        against = min(inside) if inside else max(earlier, default=i)
+        span = t - samples[against][0]
+        out.append(max(0.0, u - samples[against][1]) / span if span > 0 else 0.0)
     return out
 
 
@@ -172,6 +170,77 @@ def test_streaming_rate_equals_batch(spark, tmpdir_path):
     assert got2 == gate(samples, 10.0, None)
 
 
+@pytest.mark.parametrize("cuts", [(), (1,), (40, 41, 90), tuple(range(1, 150))])
+def test_live_meters_agree_for_any_cut(cuts):
+    import numpy as np
+    import pandas as pd
+
+    from shardwright.streaming import telemetry as live
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            assert ms > 0
+
+    rnd = random.Random(31)
+    t, u, s = 0.0, 0.0, []
+    for _ in range(150):
+        t += rnd.choice([0.5, 1, 3, 12, 40])
+        u = u + rnd.randint(0, 9) if rnd.random() > 0.05 else float(rnd.randint(0, 5))
+        s.append((t, u))
+    rows = pd.DataFrame({"run_id": 1, "seq": range(150), "us": [int(t * 1e6) for t, _ in s], "units": [u for _, u in s]})
+    parts = [rows.iloc[a:b] for a, b in zip((0, *cuts), (*cuts, 150))]
+
+    class Source:                                            # takes the update function a stream would run
+        def groupBy(self, _):
+            return self
+
+        def applyInPandasWithState(self, update, *_):
+            state = State()
+            return pd.concat([out for part in parts for out in update((1,), iter([part]), state)])
+
+    assert live.rolling_rate_stream(Source(), 10.0, idle_ms=1000)["rate"].tolist() == pytest.approx(meter(s, 10.0))
+    assert live.throttle_stream(Source(), 5.0, 30)["seq"].tolist() == gate(s, 5.0, 30)
+    assert np.array_equal(live.emitted(np.zeros(0, np.int64), np.zeros(0, bool), 5, None), [])
+
+
+def test_clock_set_back(spark):
+    """Steps order the log, whatever the clock says."""
+    rows = [(1, 1, 10 ** 12, 2.0, 2.0, True), (1, 2, 0, 1.0, None, False), (1, 3, 10 ** 12 + 5, 7.0, 3.0, True)]
+    df = spark.createDataFrame(rows, "run_id long, step long, us long, train_loss double, dev_loss double, is_eval boolean")
+    got = {r["step"]: r for r in tl.training_log(df, block_steps=1).collect()}
+    assert got[2]["held_dev_loss"] == 2.0
+    assert [got[s]["average_train_loss"] for s in (1, 3)] == [2.0, 4.0]
+
+
+def test_metric_without_a_policy_is_kept(spark):
+    m = spark.createDataFrame([(1, 1, "a", 3.0), (1, 2, "a", 1.0), (1, 1, "zzz", 5.0), (1, 2, "zzz", 4.0)], "run_id long, step long, name string, value double")
+    pol = spark.createDataFrame([("a", "max")], "name string, policy string")
+    assert sorted(map(tuple, tl.summarise(m, pol).collect())) == [(1, "a", "max", 3.0), (1, "zzz", "last", 4.0)]
+
+
+def test_dense_run_is_throttled_fast(spark):
+    """Many rows inside one gap: cost stays near linear."""
+    import time
+
+    df = spark.range(60_000).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("seq"), (F.col("id") * 7).alias("us"),
+                                    (F.col("id") % 1000).cast("double").alias("units"))
+    t0 = time.time()
+    got = sorted(r["seq"] for r in tl.throttle(df, 0.1, 999).select("seq").collect())
+    assert got == gate([(i * 7 / 1e6, i % 1000) for i in range(60_000)], 0.1, 999) and time.time() - t0 < 120
+
+
+def test_seed_samples_start_a_meter(spark):
+    df = counters(spark, [(5, 200), (6, 230)])
+    seeds = spark.createDataFrame([(1, 0, 100.0)], "run_id long, us long, units double")
+    got = [r["rate"] for r in tl.rolling_rate(df, 30.0, seeds=seeds).orderBy("seq").collect()]
+    assert got == pytest.approx([20.0, 130 / 6])
+
+
 def plain_log(rows):
     """Sequential reference for held dev loss, interval averages and bests."""
     out, held, acc, n, best_dev, best_avg = {}, None, 0.0, 0, math.inf, math.inf
@@ -204,7 +273,7 @@ def test_training_log_across_blocks_and_runs(spark):
             rows.append((run, step, step * 7_000_000, tr, dv, ev))
         ref[run] = plain_log(seq)
     df = spark.createDataFrame(rows, "run_id long, step long, us long, train_loss double, dev_loss double, is_eval boolean")
-    got = tl.training_log(df, block_us=60_000_000).collect()     # ~9 rows per block
+    got = tl.training_log(df, block_steps=9).collect()     # ~9 rows per block
     for r in got:
         exp = ref[r["run_id"]][r["step"]]
         assert r["held_dev_loss"] == pytest.approx(exp["held"]) if exp["held"] is not None else r["held_dev_loss"] is None
