@@ -60,14 +60,16 @@ def strings(data: np.ndarray, held: np.ndarray, lens: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[held]))])
 
 
-def stretches(pool: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """``pool[s:s + n]`` for each start and length, in a row."""
-    total = np.cumsum(lens)
-    out = np.empty(int(total[-1]) if len(total) else 0, pool.dtype)
-    for at in range(0, len(lens), 1 << 19):
-        n, done = lens[at:at + (1 << 19)], int(total[at - 1]) if at else 0
+def stretches(pool: np.ndarray, start: np.ndarray, lens: np.ndarray, entry: np.ndarray, total: int) -> np.ndarray:
+    """``pool[start[e]:start[e] + lens[e]]`` of each entry ``e``, in a row."""
+    out, done = np.empty(total, pool.dtype), 0
+    for at in range(0, len(entry), 1 << 18):
+        e = entry[at:at + (1 << 18)]
+        n = lens[e]
         end = np.cumsum(n)
-        out[done:done + int(end[-1])] = pool[np.repeat(start[at:at + (1 << 19)] - end + n, n) + np.arange(int(end[-1]))]
+        here = int(end[-1])
+        out[done:done + here] = pool[np.repeat(start[e] - end + n, n) + np.arange(here)]
+        done += here
     return out
 
 
@@ -107,14 +109,15 @@ class Encoder:
         """Ids of all texts in a row, each with its end id, and how many each has."""
         column = pc.fill_null(column, "").cast(pa.large_string())
         plain = np.array([PLAIN.fullmatch(t) is not None and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
-                          for t in column.to_pylist()], bool)
+                          for at in range(0, len(column), 2000) for t in column.slice(at, 2000).to_pylist()], bool)
         odd = self.whole(column.filter(pa.array(~plain)).to_pylist())
+        mark, nothing = pa.scalar(START, pa.large_string()), pa.scalar("", pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(
-            pa.scalar(START, pa.large_string()), column.filter(pa.array(plain)), pa.scalar("", pa.large_string())), "\n", " \n"), " ")
+            mark, column if plain.all() else column.filter(pa.array(plain)), nothing), "\n", " \n"), " ")
         sizes = np.diff(cut.offsets.to_numpy())
         coded = cut.flatten().dictionary_encode()
+        del cut
         index, keys = coded.indices.to_numpy(), coded.dictionary
-        del cut, coded
         pool, start, lens = self.table(keys)
         # the end mark and the texts taken whole are entries of the table like any other
         extra = [np.array([end_id], self.kind), *odd]
@@ -125,13 +128,14 @@ class Encoder:
         per_text = np.full(len(column), 2, np.int64)
         per_text[plain] = sizes + 1
         stop = np.cumsum(per_text)
-        entry = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
+        entry = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
         own = np.ones(len(entry), bool)
         own[stop - 1] = own[stop[~plain] - 2] = False
         entry[own] = index
         entry[stop - 1], entry[stop[~plain] - 2] = end, first + np.arange(len(odd))
-        n = lens[entry]
-        return stretches(pool, start[entry], n), np.diff(np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], stop))])
+        del coded, index, own
+        counts = np.add.reduceat(lens.astype(np.int32)[entry], stop - per_text, dtype=np.int64) if len(stop) else np.zeros(0, np.int64)
+        return stretches(pool, start, lens, entry, int(counts.sum())), counts
 
     def table(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the different pieces: a pool, and where each piece's ids stand in it."""
@@ -179,7 +183,8 @@ class Encoder:
         space = self.whole([" "])[0]
         place[size == 0, 1], width[size == 0, 1] = at, len(space)
         pool = np.concatenate([*pool, space])
-        table, lens = stretches(pool, place.ravel(), width.ravel()), width.sum(1)
+        lens = width.sum(1)
+        table = stretches(pool, place.ravel(), width.ravel(), np.arange(3 * n), int(lens.sum()))
         return table, np.cumsum(lens) - lens, lens
 
 
@@ -200,11 +205,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         def ended() -> pa.RecordBatch:
             nonlocal number
-            rows = pa.Table.from_batches(held).combine_chunks()
+            key = pa.chunked_array([b.column("doc_id") for b in held]).combine_chunks()
+            column = pa.chunked_array([b.column("text").cast(pa.large_string()) for b in held]).combine_chunks()
             held.clear()
-            key = rows["doc_id"].combine_chunks()
-            column = rows["text"].cast(pa.large_string()).combine_chunks()
             ids, counts = encoder.encode(column, end_id)
+            del column
+            pa.default_memory_pool().release_unused()
             path = f"{folder}/shard-{number:012d}.wm"
             wavelet.write(path, ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, end_id)
             row = pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "path": [path],

@@ -7,10 +7,14 @@ the number of ones before it. So one file answers, reading a few chunks each:
 token at a place, occurrences of a token up to a place (rank), place of its k-th
 occurrence (select), all its places, and the whole sequence again.
 
+Tokens are stored as their place among the different tokens of the file, so a file has as
+many planes as its own alphabet needs.
+
 Layout (little endian): magic, then ``HEAD`` (tokens, documents, planes, chunks of a
-plane, end id), the number of zeros of each plane (u64), the directory (u64 place,
-u32 stored size, u32 flags, u64 ones before; per plane and chunk), the documents (i64 ids, u8
-null flags, u32 token counts; compressed, their stored size in front) and the chunks.
+plane, end id, different tokens), these tokens (u32, ascending), the number of zeros of each
+plane (u64), the directory (u64 place, u32 stored size, u32 flags, u64 ones before; per plane
+and chunk), the documents (i64 ids, u8 null flags, u32 token counts; compressed, their
+stored size in front) and the chunks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
-MAGIC, HEAD, SLOT = b"WAVEMAT1", "<QQIIQ", np.dtype([("at", "<u8"), ("size", "<u4"), ("packed", "<u4"), ("ones", "<u8")])
+MAGIC, HEAD, SLOT = b"WAVEMAT1", "<QQIIQQ", np.dtype([("at", "<u8"), ("size", "<u4"), ("packed", "<u4"), ("ones", "<u8")])
 CHUNK = 1 << 19            # bits of a chunk
 
 
@@ -39,12 +43,21 @@ def write(uri: str, ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray,
     """Writes ``ids`` under a temporary name and moves it to ``uri``; returns the bytes written.
 
     A repeated task writes the same bytes to the same name."""
-    planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
-    seq = pa.array(ids)
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    for part in np.array_split(ids, -(-len(ids) // (1 << 20)) or 1):     # indexing widens: not all at once
+        seen[part] = True
+    alphabet = np.flatnonzero(seen).astype("<u4")
+    planes = max(1, (len(alphabet) - 1).bit_length())
+    place_of = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if planes <= 16 else np.uint32)
+    place_of[alphabet] = np.arange(len(alphabet))
+    codes = np.empty(len(ids), place_of.dtype)
+    for at in range(0, len(ids), 1 << 20):
+        codes[at:at + (1 << 20)] = place_of[ids[at:at + (1 << 20)]]
+    seq = pa.array(codes)
     n, per_plane = len(ids), -(-len(ids) // CHUNK)
     zeros, slots, body = np.zeros(planes, "<u8"), np.zeros((planes, per_plane), SLOT), []
     for k in range(planes):
-        bits = np.packbits((seq.to_numpy() & ids.dtype.type(1 << (planes - 1 - k))).astype(bool), bitorder="little")
+        bits = np.packbits((seq.to_numpy() & place_of.dtype.type(1 << (planes - 1 - k))).astype(bool), bitorder="little")
         mask = pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(bits)])
         low, high = seq.filter(pa.compute.invert(mask)), seq.filter(mask)
         zeros[k] = len(low)
@@ -58,7 +71,7 @@ def write(uri: str, ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray,
             body.append(stored)
     docs = doc_ids.astype("<i8").tobytes() + null_ids.astype("u1").tobytes() + counts.astype("<u4").tobytes()
     packed_docs, flag = _pack(docs)
-    front = MAGIC + struct.pack(HEAD, n, len(doc_ids), planes, per_plane, end_id) + zeros.tobytes()
+    front = MAGIC + struct.pack(HEAD, n, len(doc_ids), planes, per_plane, end_id, len(alphabet)) + alphabet.tobytes() + zeros.tobytes()
     after = len(front) + slots.nbytes + 12 + len(packed_docs)
     slots["at"] = (after + np.concatenate(([0], np.cumsum(slots["size"].ravel(), dtype=np.uint64)))[:-1]).reshape(slots.shape)
     store, path = place(uri)
@@ -82,8 +95,10 @@ class Wavelet:
         head = self.file.read_at(len(MAGIC) + struct.calcsize(HEAD), 0)
         if head[:len(MAGIC)] != MAGIC:
             raise ValueError(f"not a wavelet matrix file: {uri}")
-        self.n, self.n_docs, self.planes, self.per_plane, self.end_id = struct.unpack_from(HEAD, head, len(MAGIC))
+        self.n, self.n_docs, self.planes, self.per_plane, self.end_id, size = struct.unpack_from(HEAD, head, len(MAGIC))
         at = len(head)
+        self.alphabet = np.frombuffer(self.file.read_at(4 * size, at), "<u4")
+        at += 4 * size
         self.zeros = np.frombuffer(self.file.read_at(8 * self.planes, at), "<u8").astype(np.int64)
         at += 8 * self.planes
         size = self.planes * self.per_plane * SLOT.itemsize
@@ -129,6 +144,11 @@ class Wavelet:
         c = int(np.searchsorted(before, k, "right")) - 1
         return c * CHUNK + int(np.flatnonzero(self.chunk(plane, c) == bit)[k - before[c]])
 
+    def code(self, token: int) -> int:
+        """The token's place in the alphabet; -1 if the file does not hold it."""
+        at = int(np.searchsorted(self.alphabet, token)) if token >= 0 else 0
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
+
     def _down(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         for k in range(self.planes):
             a, b = self.rank1(k, lo), self.rank1(k, hi)
@@ -147,18 +167,20 @@ class Wavelet:
             bit, ones = int(self.chunk(k, i // CHUNK)[i % CHUNK]), self.rank1(k, i)
             token = token << 1 | bit
             i = int(self.zeros[k]) + ones if bit else i - ones
-        return token
+        return int(self.alphabet[token])
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of ``token`` in places ``lo`` to before ``hi``."""
-        if token >> self.planes or token < 0:
+        token = self.code(token)
+        if token < 0:
             return 0
         a, b = self._down(token, max(0, lo), min(self.n, self.n if hi is None else hi))
         return max(0, b - a)
 
     def locate(self, token: int, k: int) -> int:
         """Place of the ``k``-th (from 0) occurrence of ``token``."""
-        if token < 0 or token >> self.planes:
+        token = self.code(token)
+        if token < 0:
             raise IndexError(k)
         lo, hi = self._down(token, 0, self.n)
         if not 0 <= k < hi - lo:
@@ -171,7 +193,8 @@ class Wavelet:
 
     def occurrences(self, token: int) -> np.ndarray:
         """All places of ``token``, ascending; a plane is read once."""
-        if token < 0 or token >> self.planes:
+        token = self.code(token)
+        if token < 0:
             return np.zeros(0, np.int64)
         lo, hi = self._down(token, 0, self.n)
         at = np.arange(lo, hi)
@@ -192,4 +215,7 @@ class Wavelet:
             up, z = np.empty(self.n, kind), int(self.zeros[p])
             up[~ones], up[ones] = seq[:z], seq[z:] | kind(1 << (self.planes - 1 - p))
             seq = up
-        return seq
+        out = np.empty(self.n, "<u4")
+        for at in range(0, self.n, 1 << 20):
+            out[at:at + (1 << 20)] = self.alphabet[seq[at:at + (1 << 20)]]
+        return out
