@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import staged
-from shardwright.llm.texts import RUN, Texts, mix, slices
+from shardwright.llm.texts import RUN, Texts, give_back, mix, slices
 
 WORDS, SIMILAR = 5, 0.8
 COORDS = 64                # length of a MinHash vector
@@ -152,6 +152,7 @@ def _bucket_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         label = roots(len(rid), a, b)
         moved = np.flatnonzero(rid != rid[label])
         yield pa.RecordBatch.from_pydict({"a": pa.array(rid[moved]), "b": pa.array(rid[label[moved]])})
+    give_back()
 
 
 def dealt_in_blocks(rows: DataFrame, group: str, n: str, member: str, limit: int) -> DataFrame:
@@ -267,6 +268,7 @@ def _verify(threshold: float):
                 label = roots(len(keep), i, j)
                 yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[keep]), "tree": pa.array(rid[keep][label]),
                                                   "links": pa.array(link.astype(np.int64) @ copies[keep])})
+        give_back()
 
     return run
 

@@ -166,13 +166,15 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict[str, np.
     return fit_in_one_task(rows, fit_with(idf))
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred`` and ``score``, the calibrated probability of it."""
-    kept = docs.select(*columns, F.col("text").alias("_text"))
-    schema = docs.select(*columns).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+def predict(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...] = ("doc_id",),
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of ``docs`` with the predicted language and its calibrated probability, called
+    ``names`` (which must not be among ``columns``)."""
+    kept = docs.select(*columns, *(() if "text" in columns else ("text",)))
+    out = docs.select(*columns).withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in slices(batches, "_text"):
+        for part, t in slices(batches, "text"):
             cps, off = characters(t)
             has = letters(cps, off) & bool(model)
             if model:
@@ -192,9 +194,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, .
             else:
                 name, value = np.full(t.n, UND, object), np.zeros(t.n)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(name.tolist(), pa.string()), pa.array(value)], names=[*part.schema.names[:-1], "lang_pred", "score"])
+                [*part.columns[:len(columns)], pa.array(name.tolist(), pa.string()), pa.array(value)], names=[*columns, *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, out.schema)
 
 
 def learnable(doc_id: str = "doc_id") -> Column:

@@ -7,13 +7,14 @@ Equality of words, lines and word runs is equality of 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 # fixed values: the bytes that separate words, and those counted as symbols
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -146,10 +147,21 @@ class Texts:
         return np.bincount(self.doc[covered], minlength=self.n)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker stays and serves other stages next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass                                                   # another C library: nothing to do
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """The batches cut into runs of rows with about ``limit`` bytes of text."""
     powers = Powers()
     for batch in batches:
+        if not batch.num_rows:
+            continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
         total = np.cumsum(size)
         at = 0
@@ -159,3 +171,5 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(at, to - at)
             yield part, Texts(part.column(text), powers)
             at = to
+        del batch, part
+        give_back()

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from shardwright.llm import wavelet
 from shardwright.llm.common import scratch, staged
+from shardwright.llm.texts import give_back
 from shardwright.operators.ordering import prefix_sum
 
 SHARD_BYTES = 32 << 20
@@ -210,7 +211,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             held.clear()
             ids, counts = encoder.encode(column, end_id)
             del column
-            pa.default_memory_pool().release_unused()
+            give_back()
             path = f"{folder}/shard-{number:012d}.wm"
             wavelet.write(path, ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, end_id)
             row = pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "path": [path],
@@ -233,6 +234,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 size = 0
         if held:
             yield ended()
+            give_back()
 
     written = staged(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "token-shards")
     return prefix_sum(written, "n_tokens", "shard", F.shiftright("shard", 24), "start")
@@ -254,6 +256,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     "doc_id": pa.array(ids, pa.int64(), mask=null), "start": pa.array(row["start"] + ends - n),
                     "n_tokens": pa.array(n.astype(np.int64)), "ids_crc32": pa.array(crc),
                     "shard": pa.array(np.full(len(n), row["shard"], np.int64))})
+                del file, seq
+                give_back()
 
     n = max(1, manifest.count())
     return (manifest.select("shard", "path", F.col("start").cast("long").alias("start")).repartitionByRange(n, "shard")
