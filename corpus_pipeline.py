@@ -31,8 +31,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs, language.learnable())
-    seen = language.predict(docs, model, tuple(docs.columns))
-    return seen.where((F.col("lang_pred") != language.UND) & (F.col("score") >= MIN_LANG_SCORE)).select(*docs.columns)
+    seen = language.predict(docs, model, tuple(docs.columns), ("_language", "_certainty"))
+    return seen.where((F.col("_language") != language.UND) & (F.col("_certainty") >= MIN_LANG_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
