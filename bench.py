@@ -49,11 +49,11 @@ def main() -> None:
 
         from shardwright.config import PackingConfig
         from shardwright.plans import corpus
-        from shardwright.plans.registry import MAX_SHARDS, S, STRIDE, T, docs as read_docs
+        from shardwright.plans.registry import S, STRIDE, T, docs as read_docs
         from shardwright.sources.token_shards import read_windows
 
         out = checkpoint_dir(spark).rstrip("/") + f"/bench-corpus-{uuid.uuid4().hex}"
-        cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=MAX_SHARDS)
+        cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE)
         t0 = time.perf_counter()
         state = corpus.write_corpus(read_docs(spark, sf_dir), out, cfg)
         times["corpus_write_bin"] = round(time.perf_counter() - t0, 3)

@@ -31,15 +31,14 @@ def _explode(df: DataFrame, checks: list[Column]) -> DataFrame:
 
 
 # A1 (three metadata fields) and the shard part of A2 (five fields)
-def audit_committed(spark: SparkSession, files: DataFrame, meta: DataFrame, next_shard: int | Column,
+def audit_committed(spark: SparkSession, files: DataFrame, meta: DataFrame, next_shard: int,
                     shard_size: int | Column, revisions: tuple | None = None) -> DataFrame:
     """Every index below ``next_shard`` needs a file of 2·S bytes and metadata
     with the right index, token count and dtype (and revisions, when given)."""
-    n = F.lit(next_shard) if isinstance(next_shard, int) else next_shard
     S = F.lit(shard_size) if isinstance(shard_size, int) else shard_size
-    from shardwright.operators.packing import upto
+    from shardwright.operators.packing import range_of
 
-    idx = spark.range(1).select(F.explode(upto(n)).alias("shard"))
+    idx = range_of(spark, next_shard).select(F.col("id").alias("shard"))
     f = files.select(F.col("shard").cast("long").alias("shard"), F.col("length").alias("_len"), F.lit(True).alias("_hf"))
     m = meta.select(F.col("shard_index").cast("long").alias("shard"), F.lit(True).alias("_hm"),
                     F.col("shard_index").alias("_mi"), F.col("tokens").alias("_mt"), F.col("dtype").alias("_md"),
@@ -70,10 +69,11 @@ def audit_complete(spark: SparkSession, ledger: DataFrame, files: DataFrame, met
         return spark.createDataFrame([(None, "state_missing", "state", None)], VIOLATION)
     row = st.first()
     inc = []
-    if row["next_shard"] != row["max_shards"] or row["committed_tokens"] != row["max_shards"] * row["shard_size_tokens"]:
-        inc.append((None, "incomplete", f"{row['max_shards']}/{row['max_shards'] * row['shard_size_tokens']}",
+    want = row["next_shard"] if row["max_shards"] is None else row["max_shards"]     # no limit: what is committed
+    if row["next_shard"] != want or row["committed_tokens"] != want * row["shard_size_tokens"]:
+        inc.append((None, "incomplete", f"{want}/{want * row['shard_size_tokens']}",
                     f"{row['next_shard']}/{row['committed_tokens']}"))
-    shards = audit_committed(spark, files, meta, int(row["max_shards"]), int(row["shard_size_tokens"]),
+    shards = audit_committed(spark, files, meta, int(want), int(row["shard_size_tokens"]),
                              (row["dataset_revision"], row["tokenizer_revision"]))
     return spark.createDataFrame(inc, VIOLATION).unionByName(shards)
 
@@ -113,8 +113,9 @@ def audit_pending(spark: SparkSession, state: dict, pending: DataFrame | None) -
 
 
 def is_complete(state: dict) -> bool:
-    """All shards committed and the token total matches."""
-    return (state["next_shard"] == state["max_shards"]
+    """All shards committed and the token total matches. Without a limit a build
+    can always go on."""
+    return (state["max_shards"] is not None and state["next_shard"] == state["max_shards"]
             and state["committed_tokens"] == state["max_shards"] * state["shard_size_tokens"])
 
 

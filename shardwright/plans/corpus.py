@@ -12,6 +12,8 @@ session's checkpoint folder, so both offset passes read the written table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,10 @@ def encode_with_offsets(docs: DataFrame, encoder=None, rows_per_bucket: int = DE
         enc = encoder.encode(off.select("doc_id", "n_tokens", "start", "end", "text"))
         return with_eos(enc.drop("text"), encoder.eos_id, n_col="n_tokens"), total
     spark = docs.sparkSession
-    path = checkpoint_dir(spark).rstrip("/") + f"/encoded-{id(docs):x}"
+    path = checkpoint_dir(spark).rstrip("/") + f"/encoded-{uuid.uuid4().hex}"
     enc = with_eos(encoder.encode(bucketed.select("doc_id", "text", "_obkt")).drop("text"),
                    encoder.eos_id, n_col="n_tokens")
-    enc.write.mode("overwrite").parquet(path)
+    enc.write.parquet(path)
     stored = spark.read.parquet(path)
     return packing.token_offsets(stored, bucket_col="_obkt", base=base, with_total=True)
 
@@ -111,41 +113,40 @@ def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=No
     ledger = Ledger(spark, directory)
     if ledger.exists():
         raise RuntimeError("a build already exists here; resume it with the streaming build")
+    state = ledger.load(identity, cfg)                        # refuses shards that no state knows of
     bucketed = with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket)
     enc, total = encode_with_offsets(bucketed, encoder, rows_per_bucket)
-    comm, _, n_comm = committed_segments(enc, total, cfg)
+    comm, _, _ = committed_segments(enc, total, cfg)
     chunks = packing.chunk_segments(comm.select("shard", "pos", "tokens"), cfg.chunk_tokens)
-    write_token_shards(chunks, directory, cfg.shard_size)
-    n = min(cfg.max_shards, total // cfg.shard_size)
-    dim = packing.uniform_shard_dim(spark, int(n), cfg.shard_size, cfg.seq_len, cfg.stride)
+    n = packing.full_shards(total, cfg.shard_size, cfg.max_shards)
+    write_token_shards(chunks, directory, cfg.shard_size, partitions=max(1, n))
+    dim = packing.uniform_shard_dim(spark, n, cfg.shard_size, cfg.seq_len, cfg.stride)
     write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
-    state = Ledger.new(identity, cfg.shard_size, cfg.max_shards)
-    cut = int(n) * cfg.shard_size
-    capped = cfg.max_shards * cfg.shard_size < total
-    # the pending tail holds less than one shard of tokens: find its documents
-    # from token counts alone and encode just those, instead of running the
-    # whole build a second time
+    cut = n * cfg.shard_size
+    capped = cfg.max_shards is not None and cfg.max_shards * cfg.shard_size < total
+    # The pending tail is less than one shard: the documents past the cut are one range of
+    # ids, read by a filter that reaches the scan. With a limit it ends with the document
+    # that completes the last shard, and no later document counts as consumed.
     if count_tokens(encoder) is not None:
         counts = bucketed.select("doc_id", "_obkt", count_tokens(encoder).alias("n_tokens"))
     else:
         counts = with_range_bucket(enc.select("doc_id", "n_tokens"), "doc_id", "_obkt", rows_per_bucket)
     narrow = packing.token_offsets(counts, bucket_col="_obkt")
-    tail = narrow.filter(F.col("end") > cut)
-    if capped:
-        tail = tail.filter(F.col("start") < cut)
-    tail_docs = bucketed.join(tail.select("doc_id"), "doc_id", "left_semi")
-    tail_enc, _ = encode_with_offsets(tail_docs.drop("_obkt"), encoder, base=0)
-    starts = tail.select("doc_id", F.col("start").alias("_s0"))
-    tail_enc = (tail_enc.drop("start", "end").join(starts, "doc_id")
-                .withColumn("start", F.col("_s0")).withColumn("end", F.col("_s0") + F.col("n_tokens")).drop("_s0"))
-    pend = packing.cut_shards(tail_enc, cfg.shard_size, ids_col="ids").filter(F.col("shard") >= int(n))
-    pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
+    used = narrow.where(F.col("start") < cut) if capped else narrow
+    seen = used.agg(F.count(F.lit(1)).alias("c"), F.max("doc_id").alias("m"),
+                    F.min(F.when(F.col("end") > cut, F.struct("doc_id", "start"))).alias("tail")).first()
     pend_path = ledger.pending_path(1)
+    if seen["tail"] is None:
+        pend_rows = spark.createDataFrame([], "doc_id long, pos long, tokens array<int>")
+    else:
+        tail_docs = docs.where((F.col("doc_id") >= seen["tail"]["doc_id"]) & (F.col("doc_id") <= seen["m"]))
+        tail_enc, _ = encode_with_offsets(tail_docs, encoder, base=int(seen["tail"]["start"]))
+        pend = packing.cut_shards(tail_enc, cfg.shard_size, ids_col="ids").filter(F.col("shard") >= n)
+        pend_rows = pend.select("doc_id", F.col("lo").alias("pos"), "tokens")
     pend_rows.write.mode("overwrite").parquet(pend_path)
     stats = spark.read.parquet(pend_path).agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("p")).first()
-    used = docs.agg(F.count(F.lit(1)).alias("c"), F.max("doc_id").alias("m")).first()
-    state.update(commit_id=1, batch_id=0, next_shard=int(n), committed_tokens=cut,
+    state.update(commit_id=1, batch_id=None, stream_id=None, next_shard=n, committed_tokens=cut,
                  pending_tokens=int(stats["p"]), pending_path=pend_path,
-                 source_documents_consumed=int(used["c"]), last_doc_id=used["m"])
+                 source_documents_consumed=int(seen["c"]), last_doc_id=seen["m"])
     ledger.commit(state)
     return state

@@ -29,7 +29,8 @@ NW1 = f"greatest(0, ({TOTAL_EXPR} - {R.T + 1}) // {R.ONE_STRIDE} + 1)"
 SPLIT1 = f"floor(0.95 * {NW1})::BIGINT"
 DEV1 = f"least({NW1}, {SPLIT1} + {(R.T + R.ONE_STRIDE - 1) // R.ONE_STRIDE})"
 
-NCOMM = f"least({R.MAX_SHARDS}, {TOTAL} // {R.S})"
+NCOMM = f"({TOTAL} // {R.S})"
+CAP = f"greatest(1, {TOTAL} // {R.S} // 2)"
 CUT = f"least({NCOMM} - 1, greatest(1, round_even(0.95 * {NCOMM}, 0)::BIGINT))"
 
 SQL: dict[str, str] = {}
@@ -55,14 +56,14 @@ segs AS (SELECT doc_id, s AS shard, greatest(start, s * {R.S}) AS lo, least(star
          FROM offs, unnest(generate_series(start // {R.S}, (start + n - 1) // {R.S})) AS g(s))
 SELECT shard::BIGINT AS shard, count(*)::BIGINT AS segments, min(doc_id) AS first_doc, max(doc_id) AS last_doc,
        sum(hi - lo)::BIGINT AS tokens,
-       (shard < least({R.CAP_SHARDS}, {TOTAL} // {R.S}))::INTEGER AS committed
+       (shard < least({CAP}, {TOTAL} // {R.S}))::INTEGER AS committed
 FROM segs GROUP BY shard
 """
 
 SQL["build_totals"] = f"""
 WITH {_OFFS},
-p AS (SELECT t::BIGINT AS t, least({R.CAP_SHARDS}, t // {R.S}) AS nc, least({R.CAP_SHARDS}, t // {R.S}) * {R.S} AS cut,
-             ({R.CAP_SHARDS} * {R.S} < t) AS capped FROM (SELECT sum(n) AS t FROM offs))
+p AS (SELECT t::BIGINT AS t, least({CAP}, t // {R.S}) AS nc, least({CAP}, t // {R.S}) * {R.S} AS cut,
+             ({CAP} * {R.S} < t) AS capped FROM (SELECT sum(n) AS t FROM offs))
 SELECT sum(CASE WHEN NOT p.capped OR start < p.cut THEN 1 ELSE 0 END)::BIGINT AS documents_used,
        max(p.nc)::BIGINT AS shards_committed, max(p.cut)::BIGINT AS committed_tokens,
        sum(CASE WHEN NOT p.capped OR start < p.cut THEN greatest(start + n - greatest(start, p.cut), 0) ELSE 0 END)::BIGINT
@@ -339,9 +340,9 @@ SELECT ctx_id, arg_min(cand_id, ({_race(R.POLICY_SEED, '0')}, cand_id)) AS choic
 """
 
 SQL["ngram_loops"] = f"""
-WITH t AS (SELECT 'documents' AS source, doc_id AS text_id, {_WORDS} AS w FROM documents
+WITH t AS (SELECT 'documents' AS source, doc_id::VARCHAR AS text_id, {_WORDS} AS w FROM documents
            UNION ALL
-           SELECT 'conversations' AS source, conv_id * 1000 + turn AS text_id, {_WORDS} AS w FROM conversations),
+           SELECT 'conversations' AS source, conv_id || '/' || turn AS text_id, {_WORDS} AS w FROM conversations),
 g AS (SELECT source, text_id,
              CASE WHEN len(w) >= {R.NGRAM} THEN list_transform(range(1, len(w) - {R.NGRAM} + 2),
                   lambda i: w[i: i + {R.NGRAM - 1}]) ELSE [] END AS grams FROM t)

@@ -20,8 +20,14 @@ from shardwright.plans import corpus
 from shardwright.sources.documents import read_documents
 
 # Fixed query parameters (shared with the oracle SQL).
-S, T, STRIDE, MAX_SHARDS = 50_000, 256, 256, 1_000_000   # no cap: windows cover the whole stream
-CAP_SHARDS = 40                    # a cap that binds at sf0.01 (49 full shards)
+S, T, STRIDE = 50_000, 256, 256
+
+
+def cap_shards(total: int) -> int:
+    """The limit of the capped builds: half of the stream's full shards."""
+    return max(1, total // S // 2)
+
+
 ONE_STRIDE = 64                     # single-shard geometry: the whole stream is one shard
 SEED, B, WORLD = 1337, 16, 2
 ACCUM_CHOICES = (4, 2, 1)   # gradient accumulation: the largest of these that divides an epoch
@@ -66,7 +72,7 @@ def shard_segments(spark, sf):
     off, total = packing.token_offsets(docs(spark, sf).select("doc_id", (F.octet_length("text") + 1)
                                                               .cast("long").alias("n_tokens")), with_total=True)
     segs = packing.cut_shards(off, S, ids_col=None)
-    n_comm = packing.committed_shards(total, S, CAP_SHARDS)
+    n_comm = packing.committed_shards(total, S, cap_shards(total))
     return (segs.groupBy("shard")
             .agg(F.count(F.lit(1)).cast("long").alias("segments"),
                  F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
@@ -80,24 +86,25 @@ def build_totals(spark, sf):
     off, total = packing.token_offsets(
         docs(spark, sf).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens")),
         with_total=True)
-    return packing.build_totals(off, S, CAP_SHARDS, total)
+    return packing.build_totals(off, S, cap_shards(total), total)
 
 
 def _windows(spark, sf, cfg):
     return corpus.build_windows(docs(spark, sf), cfg)
 
 
-def _dim(spark, sf, shard_size, max_shards, seq_len, stride):
-    off, total = packing.token_offsets(
-        docs(spark, sf).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens")),
-        with_total=True)
-    n_comm = packing.committed_shards(total, shard_size, max_shards)
-    return packing.uniform_shard_dim(spark, n_comm, shard_size, seq_len, stride)
+def _total(spark, sf) -> int:
+    """Length of the whole token stream."""
+    return docs(spark, sf).agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("long")).first()[0]
+
+
+def _n_shards(spark, sf) -> int:
+    return packing.full_shards(_total(spark, sf), S)
 
 
 @query
 def pack_windows(spark, sf):
-    w = _windows(spark, sf, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=MAX_SHARDS))
+    w = _windows(spark, sf, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE))
     return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
                     F.size("window").cast("long").alias("n_tokens"),
                     F.try_element_at("window", F.lit(1)).cast("long").alias("first_token"),
@@ -108,17 +115,16 @@ def pack_windows(spark, sf):
 
 @query
 def window_lookup(spark, sf):
-    dim = _dim(spark, sf, S, MAX_SHARDS, T, STRIDE).collect()
     req = docs(spark, sf).select("doc_id", (F.col("doc_id") * LOOKUP_MUL - LOOKUP_OFF).alias("idx"))
-    out = packing.lookup_windows(req, dim, "idx")
+    out = packing.lookup_uniform(req, _n_shards(spark, sf), windows_in(S, T, STRIDE), "idx")
     return out.select("doc_id", "idx", F.col("shard").cast("long").alias("shard"), "k",
                       F.col("error").isNotNull().cast("int").alias("out_of_range"))
 
 
 @query
 def split_plan(spark, sf):
-    dim = _dim(spark, sf, S, MAX_SHARDS, T, STRIDE)
-    n = dim.count()
+    n = _n_shards(spark, sf)
+    dim = packing.uniform_shard_dim(spark, n, S, T, STRIDE)
     cut = packing.train_shard_count(n)
     return dim.select(F.col("shard").cast("long").alias("shard"), "n_tokens", "n_seqs", "seq_start", "seq_end",
                       F.when(F.col("shard") < cut, "train").otherwise("dev").alias("split"))
@@ -126,11 +132,8 @@ def split_plan(spark, sf):
 
 def _single_spans(spark, sf):
     """The whole token stream as one shard (a single-file corpus)."""
-    _, total = packing.token_offsets(
-        docs(spark, sf).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("n_tokens")),
-        with_total=True)
-    dim = packing.uniform_shard_dim(spark, 1, total, T, ONE_STRIDE)
-    spans = packing.window_spans(spark, dim, T, ONE_STRIDE)
+    total = _total(spark, sf)
+    spans = packing.uniform_window_spans(spark, 1, total, T, ONE_STRIDE)
     nw = windows_in(total, T, ONE_STRIDE)
     return packing.split_windows(spans, 1, nw, T, ONE_STRIDE)
 
@@ -141,14 +144,11 @@ def single_shard_split(spark, sf):
 
 
 def _train(spark, sf):
-    dim = _dim(spark, sf, S, MAX_SHARDS, T, STRIDE)
-    rows = dim.collect()
-    cut = packing.train_shard_count(len(rows))
-    spans = packing.window_spans(spark, dim, T, STRIDE)
-    dev_base = [r for r in rows if r["shard"] == cut][0]["seq_start"]
-    split = packing.split_windows(spans, len(rows), 0, T, STRIDE, dev_base=dev_base)
-    n_train = sum(r["n_seqs"] for r in rows if r["shard"] < cut)
-    n_dev = sum(r["n_seqs"] for r in rows if r["shard"] >= cut)
+    n, nw = _n_shards(spark, sf), windows_in(S, T, STRIDE)
+    cut = packing.train_shard_count(n)
+    spans = packing.uniform_window_spans(spark, n, S, T, STRIDE)
+    split = packing.split_windows(spans, n, 0, T, STRIDE, dev_base=cut * nw)
+    n_train, n_dev = cut * nw, (n - cut) * nw
     packing.check_split(n_train, n_dev)
     return split, n_train
 
@@ -162,7 +162,7 @@ def accum_for(batches_per_epoch: int) -> int:
 def epoch_order(spark, sf):
     split, n_train = _train(spark, sf)
     train = split.filter(F.col("split") == "train").select("local_index")
-    return packing.multi_epoch_order(train, SEED, [0, 1]).select(
+    return packing.multi_epoch_order(train, SEED, [0, 1], n_rows=n_train).select(
         F.col("epoch").cast("long").alias("epoch"), "local_index", "position")
 
 
@@ -188,8 +188,7 @@ def remaining_plan(spark, sf):
 
 @query
 def coverage(spark, sf):
-    dim = _dim(spark, sf, S, MAX_SHARDS, T, ONE_STRIDE)
-    spans = packing.window_spans(spark, dim, T, ONE_STRIDE)
+    spans = packing.uniform_window_spans(spark, _n_shards(spark, sf), S, T, ONE_STRIDE)
     return packing.coverage_report(spans).select(
         F.col("shard").cast("long").alias("shard"), "windows", "nominal_tokens", "unique_tokens", "overlap_share")
 
@@ -396,10 +395,10 @@ def ngram_loops(spark, sf):
 
     from shardwright.sources.documents import balance
 
-    d = balance(docs(spark, sf), "doc_id").select(F.lit("documents").alias("source"), F.col("doc_id").alias("text_id"),
+    d = balance(docs(spark, sf), "doc_id").select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("text_id"),
                                                   WordEncoder.words().alias("w"))
     c = spark.read.parquet(f"{sf}/conversations.parquet").select(
-        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"),
+        F.lit("conversations").alias("source"), F.concat_ws("/", "conv_id", "turn").alias("text_id"),
         WordEncoder.words().alias("w"))
     return loops(d.unionByName(c), "w", NGRAM).select("source", "text_id", "ngrams", "distinct_ngrams",
                                                        "repeated_share")
@@ -618,12 +617,13 @@ def audit_manifest(spark, sf):
     metadata record per shard the stream touches (the partial tail written as
     if it were a shard), and a state that claims CLAIMED_EXTRA more shards."""
     from shardwright.operators.audit import audit_committed
+    from shardwright.session import materialize
 
-    st = _shard_tokens(spark, sf)
+    st = materialize(_shard_tokens(spark, sf))
     files = st.select("shard", (F.col("tokens") * 2).alias("length"))
     meta = st.select(F.col("shard").cast("long").alias("shard_index"), "tokens", F.lit("uint16").alias("dtype"),
                      F.lit(DATASET_REV).alias("dataset_revision"), F.lit(TOKENIZER_REV).alias("tokenizer_revision"))
-    claimed = st.select((F.max("shard") + 1 + CLAIMED_EXTRA).cast("long")).scalar()
+    claimed = int(st.agg(F.max("shard")).first()[0]) + 1 + CLAIMED_EXTRA
     v = audit_committed(spark, files, meta, claimed, S, (F.lit(DATASET_REV), F.lit(TOKENIZER_REV)))
     return v.select("shard", "rule", "expected", "found")
 
@@ -632,7 +632,7 @@ def audit_manifest(spark, sf):
 def corpus_totals(spark, sf):
     from shardwright.operators.audit import corpus_totals as totals
 
-    return totals(_dim(spark, sf, S, MAX_SHARDS, T, STRIDE))
+    return totals(packing.uniform_shard_dim(spark, _n_shards(spark, sf), S, T, STRIDE))
 
 
 @query
@@ -644,7 +644,7 @@ def shard_roundtrip(spark, sf):
     from shardwright.session import checkpoint_dir
     from shardwright.sources.token_shards import read_windows
 
-    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=MAX_SHARDS)
+    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE)
     out = checkpoint_dir(spark).rstrip("/") + f"/corpus-{uuid.uuid4().hex}"
     corpus.write_corpus(docs(spark, sf), out, cfg)
     w = read_windows(spark, out, T, STRIDE)

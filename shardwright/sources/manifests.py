@@ -9,15 +9,15 @@ row per commit; the latest row is the state) and the pending buffer. Audits in
 from __future__ import annotations
 
 import json
-import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardwright.config import SHARD_DTYPE, STATE_SCHEMA_VERSION, BuildIdentity, TrainConfig
+from shardwright.config import CONFIG_COLUMNS, SHARD_DTYPE, STATE_SCHEMA_VERSION, BuildIdentity, PackingConfig, TrainConfig
+from shardwright.sources import store
 
+# Fixed names and types: the metadata of a shard and the state of a build.
 META_SCHEMA = T.StructType([
     T.StructField("shard_index", T.LongType()), T.StructField("tokens", T.LongType()),
     T.StructField("vocab_size", T.LongType()), T.StructField("dtype", T.StringType()),
@@ -33,7 +33,7 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("max_shards", T.IntegerType()), T.StructField("next_shard", T.IntegerType()),
     T.StructField("source_documents_consumed", T.LongType()), T.StructField("committed_tokens", T.LongType()),
     T.StructField("pending_tokens", T.LongType()), T.StructField("pending_path", T.StringType()),
-    T.StructField("last_doc_id", T.LongType()),
+    T.StructField("last_doc_id", T.LongType()), T.StructField("stream_id", T.StringType()),
 ])
 
 SHARD_FILE_RE = r"shard_(\d+)\.bin$"
@@ -41,7 +41,7 @@ SHARD_FILE_RE = r"shard_(\d+)\.bin$"
 
 # S3
 def discover_shards(spark: SparkSession, globs: list[str], fallback: str | None = None) -> DataFrame:
-    """``(path, shard, length)`` for every shard file, ordered by path; only
+    """``(path, shard, length)`` for every shard file, by folder and number; only
     ``path`` and ``length`` are read (the content column is pruned)."""
     frames = []
     for g in globs:
@@ -54,11 +54,12 @@ def discover_shards(spark: SparkSession, globs: list[str], fallback: str | None
     for f in frames:
         files = f if files is None else files.unionByName(f)
     if files is None or files.limit(1).count() == 0:
-        if fallback and os.path.exists(fallback):
+        if fallback and store.exists(fallback):
             files = spark.read.format("binaryFile").load(fallback).select("path", "length")
         else:
-            raise FileNotFoundError("No binary dataset shards found")
-    w = Window.orderBy("path")   # one row per file: a small table
+            raise FileNotFoundError(f"no shard file under {', '.join(globs)}")
+    number = F.regexp_extract("path", r"(\d+)\.bin$", 1).try_cast("long")
+    w = Window.orderBy(F.regexp_extract("path", r"^(.*)/", 1), number, "path")   # one row per file: a small table
     return files.withColumn("shard", (F.row_number().over(w) - 1).cast("int")).select("path", "shard", "length")
 
 
@@ -80,21 +81,14 @@ def write_shard_meta(meta: DataFrame, directory: str) -> None:
     def put(rows):
         for r in rows:
             d = r.asDict()
-            final = os.path.join(directory, f"shard_{int(d['shard_index']):05d}_meta.json")
-            tmp = final + ".tmp"
-            with open(tmp, "w") as fh:
-                json.dump(d, fh)
-                fh.flush()
-                os.fsync(fh.fileno())
-            os.replace(tmp, final)
-
-    os.makedirs(directory, exist_ok=True)
+            store.put(store.below(directory, f"shard_{int(d['shard_index']):05d}_meta.json"), json.dumps(d).encode())
+
     meta.select(*[F.col(f.name).cast(f.dataType) for f in META_SCHEMA.fields]).foreachPartition(put)
 
 
 def read_shard_meta(spark: SparkSession, directory: str) -> DataFrame:
     try:
-        m = spark.read.schema(META_SCHEMA).json(os.path.join(directory, "shard_*_meta.json"))
+        m = spark.read.schema(META_SCHEMA).json(store.below(directory, "shard_*_meta.json"))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], META_SCHEMA)
@@ -116,16 +110,17 @@ class Ledger:
 
     Data (shards, metadata, pending chunks under ``pending/commit=N``) is
     written first; the ledger row last. The state is the row with the largest
-    ``commit_id``; a replayed micro-batch finds its ``batch_id`` and does nothing.
+    ``commit_id``; a replayed micro-batch finds its stream and ``batch_id`` and does
+    nothing. ``load`` is the only way to go on from a state: it audits it first.
     """
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.dir = directory
-        self.path = os.path.join(directory, "_ledger")
+        self.path = store.below(directory, "_ledger")
 
     def exists(self) -> bool:
-        return os.path.isdir(self.path) and any(p.endswith(".parquet") for p in os.listdir(self.path))
+        return bool(store.listing(self.path, "*.parquet"))
 
     def table(self) -> DataFrame:
         if not self.exists():
@@ -137,9 +132,38 @@ class Ledger:
         row = t.agg(F.max_by(F.struct(*t.columns), "commit_id").alias("s")).first()["s"]
         return row.asDict() if row is not None else None
 
+    def load(self, identity: BuildIdentity, cfg: PackingConfig) -> dict:
+        """The state to go on from, or a new one; raises on the first violation of A1, A3, A4 or A5.
+
+        Outputs without a state, another dataset, tokenizer or geometry, a committed shard
+        that is missing or wrong, and a pending buffer that is missing or wrong all refuse."""
+        from shardwright.operators import audit as A
+
+        state = self.latest()
+        files = shard_files(self.spark, self.dir)
+        if state is None:
+            A.raise_first(A.audit_orphans(files, self.table()))
+            return Ledger.new(identity, cfg.shard_size, cfg.max_shards)
+        want = Ledger.new(identity, cfg.shard_size, cfg.max_shards)
+        pinned = ["schema_version", *identity.as_dict(), "shard_size_tokens", "max_shards"]
+        A.raise_first(A.config_drift(self.spark, state, {k: want[k] for k in pinned}))
+        A.raise_first(A.audit_committed(self.spark, files, read_shard_meta(self.spark, self.dir), int(state["next_shard"]),
+                                        int(state["shard_size_tokens"]), (state["dataset_revision"], state["tokenizer_revision"])))
+        kept = not state["pending_path"] or store.exists(state["pending_path"])
+        A.raise_first(A.audit_pending(self.spark, state, self.pending(state) if kept else None))
+        return state
+
+    def retire(self, state: dict) -> None:
+        """Removes pending buffers that ``state``, once committed, has superseded."""
+        where, path = store.place(store.below(self.dir, "_pending"))
+        for f in where.get_file_info(store.fs.FileSelector(path, allow_not_found=True)):
+            number = f.base_name.removeprefix("commit=")
+            if number.isdigit() and int(number) < int(state["commit_id"]):
+                store.remove(store.below(self.dir, "_pending", f.base_name))
+
     @staticmethod
-    def new(identity: BuildIdentity, shard_size: int, max_shards: int) -> dict:
-        return {"commit_id": 0, "batch_id": -1, "schema_version": STATE_SCHEMA_VERSION,
+    def new(identity: BuildIdentity, shard_size: int, max_shards: int | None) -> dict:
+        return {"commit_id": 0, "batch_id": None, "stream_id": None, "schema_version": STATE_SCHEMA_VERSION,
                 **identity.as_dict(), "shard_size_tokens": shard_size, "max_shards": max_shards,
                 "next_shard": 0, "source_documents_consumed": 0, "committed_tokens": 0, "pending_tokens": 0,
                 "pending_path": None, "last_doc_id": None}
@@ -149,7 +173,7 @@ class Ledger:
         self.spark.createDataFrame([row], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def pending_path(self, commit_id: int) -> str:
-        return os.path.join(self.dir, "_pending", f"commit={commit_id}")
+        return store.below(self.dir, "_pending", f"commit={commit_id}")
 
     def pending(self, state: dict) -> DataFrame:
         return self.spark.read.parquet(state["pending_path"]) if state.get("pending_path") else \
@@ -161,12 +185,7 @@ def config_to_row(spark: SparkSession, cfg: TrainConfig, extra: dict | None = No
     return spark.createDataFrame([{**(extra or {}), "model_config": cfg.to_json()}])
 
 
-CONFIG_SCHEMA = T.StructType([T.StructField(f, t) for f, t in [
-    ("B", T.LongType()), ("grad_accum_steps", T.LongType()), ("T", T.LongType()),
-    ("learning_rate", T.DoubleType()), ("min_lr", T.DoubleType()), ("warmup_steps", T.LongType()),
-    ("max_steps", T.LongType()), ("eval_interval", T.LongType()), ("eval_batches", T.LongType()),
-    ("data_seed", T.LongType()), ("num_processes", T.LongType()), ("logit_softcap", T.DoubleType()),
-    ("vocab_size", T.LongType())]])
+CONFIG_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in CONFIG_COLUMNS.items())
 
 
 def config_from_row(df: DataFrame, col: str = "model_config") -> DataFrame:
@@ -180,25 +199,24 @@ def config_keys(df: DataFrame, col: str = "model_config") -> DataFrame:
 
 
 # S11
-def publish_corpus(files: DataFrame, target: str, allow: list[str]) -> DataFrame:
+def publish_corpus(files: DataFrame, target: str, allow: list[str], directory: str | None = None) -> DataFrame:
     """Copy only files whose path matches an allow-list pattern to ``target``.
 
-    The copy runs on the executors (temp name + rename, so a retried task is
-    harmless); returns the table of published files. Private buffers such as
-    the ledger and pending chunks never match the allow-list."""
+    With ``directory`` the build there is audited first (A2) and a violation stops the
+    publication. The copy runs on the executors, each file whole or not at all, so a retried
+    task is harmless; returns the table of published files. Private buffers such as the
+    ledger and pending chunks never match the allow-list."""
+    if directory is not None:
+        from shardwright.operators import audit as A
+
+        spark = files.sparkSession
+        A.raise_first(A.audit_complete(spark, Ledger(spark, directory).table(), shard_files(spark, directory), read_shard_meta(spark, directory)))
     pattern = "|".join(f"(?:{p})" for p in allow)
     chosen = files.filter(F.col("path").rlike(pattern)).select("path")
 
     def copy(rows):
-        import shutil
-
-        os.makedirs(target, exist_ok=True)
         for r in rows:
-            src = re.sub(r"^file:", "", r["path"])
-            dst = os.path.join(target, os.path.basename(src))
-            tmp = dst + ".part"
-            shutil.copyfile(src, tmp)
-            os.replace(tmp, dst)
+            store.copy(r["path"], store.below(target, r["path"].rsplit("/", 1)[1]))
 
     chosen.foreachPartition(copy)
     return chosen

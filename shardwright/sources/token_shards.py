@@ -15,8 +15,9 @@ retried task never leaves a partial shard under a final name. Use
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import posixpath
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
+from shardwright.sources import store
+
 SHARD_GLOB = "shard_*.bin"
+BATCH_WINDOWS, BATCH_VALUES = 1024, 1 << 22      # of one Arrow batch
 WINDOWS_SCHEMA = "seq_index long, shard int, k long, window array<int>"
 CHUNKS_SCHEMA = "shard int, chunk long, pos long, tokens array<int>"
 
@@ -39,14 +43,26 @@ def meta_name(index: int) -> str:
     return f"shard_{index:05d}_meta.json"
 
 
-def list_shards(path: str) -> list[str]:
-    """S3: sorted ``.bin`` files of a directory, a glob, or a list of globs."""
-    pats = path.split(",") if "," in path else [path]
-    files: list[str] = []
-    for p in pats:
+def list_shards(path: str) -> list[tuple[str, int]]:
+    """S3: ``(uri, bytes)`` of the shards of a folder, a pattern, or several of them with commas
+    between, folder by folder and by number in each. A number that is missing is an error."""
+    found: dict[str, list[tuple[int, str, int]]] = {}
+    for p in path.split(","):
         p = p.strip()
-        files.extend(glob.glob(os.path.join(p, SHARD_GLOB)) if os.path.isdir(p) else glob.glob(p))
-    return sorted(set(files))
+        folder, name = (posixpath.dirname(p), posixpath.basename(p)) if "*" in posixpath.basename(p) else (p.rstrip("/"), SHARD_GLOB)
+        for uri, size in store.listing(folder, name):
+            m = re.search(r"(\d+)\.bin$", uri)
+            if m and fnmatch.fnmatch(posixpath.basename(uri), "*.bin"):
+                found.setdefault(folder, []).append((int(m[1]), uri, size))
+    out = []
+    for folder in sorted(found):
+        files = sorted(set(found[folder]))
+        first = files[0][0]
+        gap = next((first + i for i, (n, _, _) in enumerate(files) if n != first + i), None)
+        if gap is not None:
+            raise FileNotFoundError(f"{folder} has no shard {gap}")
+        out += [(uri, size) for _, uri, size in files]
+    return out
 
 
 @dataclass
@@ -64,7 +80,7 @@ class TokenShardReader(DataSourceReader):
         self.n_parts = int(options.get("numPartitions", "16"))
         self.chunk = int(options.get("chunkTokens", "65536"))
         if self.T <= 0 or self.stride <= 0:
-            raise ValueError("sequence_length and step must be greater than zero")
+            raise ValueError(f"no windows of length {self.T} at stride {self.stride}: both must be positive")
 
     def partitions(self):
         """Window ranges of all files, packed into about ``numPartitions``
@@ -74,8 +90,8 @@ class TokenShardReader(DataSourceReader):
         if not files:
             raise FileNotFoundError(f"no token shards under {self.path}")
         units_of, start = [], 0
-        for idx, f in enumerate(files):
-            n = os.path.getsize(f) // 2          # an odd trailing byte is ignored
+        for idx, (f, size) in enumerate(files):
+            n = size // 2                        # an odd trailing byte is ignored
             units = -(-n // self.chunk) if self.mode == "chunks" else max(0, (n - (self.T + 1)) // self.stride + 1)
             units_of.append((f, idx, start, units))
             start += units if self.mode != "chunks" else 0
@@ -97,16 +113,18 @@ class TokenShardReader(DataSourceReader):
         return parts or [WindowRanges([])]
 
     def read(self, part: WindowRanges):
+        """A range of bytes at a time: never more than a batch is held."""
+        many = max(1, BATCH_VALUES // (self.chunk if self.mode == "chunks" else self.T + 1))
+        step = min(many, BATCH_WINDOWS)
         for path, shard, seq_start, k0, k1 in part.ranges:
-            yield from (self._chunks if self.mode == "chunks" else self._windows)(path, shard, seq_start, k0, k1)
+            for k in range(k0, k1, step):
+                yield from (self._chunks if self.mode == "chunks" else self._windows)(path, shard, seq_start, k, min(k1, k + step))
 
     def _chunks(self, path, shard, _start, k0, k1):
         C = self.chunk
-        lo = k0 * C
-        n = os.path.getsize(path) // 2
-        hi = min(n, k1 * C)
-        data = np.fromfile(path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
-        offs = np.minimum(np.arange(k1 - k0 + 1, dtype=np.int64) * C, hi - lo)
+        data = np.frombuffer(store.read(path, k0 * C * 2, (k1 - k0) * C * 2 & ~1), np.uint8)
+        data = data[:len(data) & ~1].view("<u2").astype(np.int32)
+        offs = np.minimum(np.arange(k1 - k0 + 1, dtype=np.int64) * C, len(data))
         ks = np.arange(k0, k1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(ks), shard, np.int32)), pa.array(ks.astype(np.int64)),
@@ -116,9 +134,7 @@ class TokenShardReader(DataSourceReader):
 
     def _windows(self, path, shard, seq_start, k0, k1):
         L, s = self.T + 1, self.stride
-        lo = k0 * s
-        hi = (k1 - 1) * s + L
-        data = np.fromfile(path, dtype="<u2", count=hi - lo, offset=lo * 2).astype(np.int32)
+        data = np.frombuffer(store.read(path, k0 * s * 2, ((k1 - k0 - 1) * s + L) * 2), "<u2").astype(np.int32)
         nwin = k1 - k0
         view = np.lib.stride_tricks.sliding_window_view(data, L)[::s][:nwin]
         flat = np.ascontiguousarray(view).reshape(-1)
@@ -145,7 +161,8 @@ class TokenShardWriter(DataSourceArrowWriter):
         batch are flattened once and cut by shard with NumPy."""
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        files, folder = store.place(self.path)
+        files.create_dir(folder, recursive=True)
         ctx = TaskContext.get()
         tag = f"{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0-0"
         staged, fh, cur, expect = [], None, None, 0
@@ -166,10 +183,10 @@ class TokenShardWriter(DataSourceArrowWriter):
                         fh.close()
                         self._check(cur, expect)
                     cur, expect = shard, 0
-                    final = os.path.join(self.path, shard_name(shard))
-                    tmp = os.path.join(self.path, f".{shard_name(shard)}.{tag}.tmp")
+                    final = store.below(self.path, shard_name(shard))
+                    tmp = store.below(self.path, f".{shard_name(shard)}.{tag}.tmp")
                     staged.append((tmp, final))
-                    fh = open(tmp, "wb")
+                    fh = files.open_output_stream(store.place(tmp)[1])
                 if int(poss[i]) != expect:
                     raise ValueError(f"shard {shard}: chunk at {poss[i]} but {expect} expected (sort by shard, pos)")
                 piece = flat[offs[i] - base: offs[i + 1] - base]
@@ -178,9 +195,6 @@ class TokenShardWriter(DataSourceArrowWriter):
         if fh is not None:
             fh.close()
             self._check(cur, expect)
-            for tmp, _ in staged:
-                with open(tmp, "rb+") as f:
-                    os.fsync(f.fileno())
         return ShardFiles(staged)
 
     def _check(self, shard, n):
@@ -190,13 +204,12 @@ class TokenShardWriter(DataSourceArrowWriter):
     def commit(self, messages):
         for m in messages:
             for tmp, final in (m.staged if m else []):
-                os.replace(tmp, final)
+                store.move(tmp, final)
 
     def abort(self, messages):
         for m in messages:
             for tmp, _ in (m.staged if m else []):
-                if os.path.exists(tmp):
-                    os.remove(tmp)
+                store.remove(tmp)
 
 
 class TokenShardSource(DataSource):

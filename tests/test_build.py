@@ -57,6 +57,93 @@ def test_incremental_equals_batch(spark, tmpdir_path):
         build_batch(d.filter(F.col("doc_id") < 7), 9, inc_dir, CFG, identity=ID)
 
 
+def batches(d, bounds):
+    return [d.filter((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)) for lo, hi in zip(bounds, bounds[1:])]
+
+
+def pending(spark, directory):
+    led = M.Ledger(spark, directory)
+    return sorted(map(tuple, led.pending(led.latest()).collect()))
+
+
+@pytest.mark.parametrize("limit", [None, 2, 5])
+def test_batch_then_stream_loses_nothing(spark, tmpdir_path, limit):
+    """A batch build resumed by a stream, whose batch numbers start at 0 again, twice."""
+    cfg = PackingConfig(shard_size=500, seq_len=16, max_shards=limit, chunk_tokens=64)
+    d = docs(spark, 90, seed=7)
+    whole = corpus.write_corpus(d, f"{tmpdir_path}/whole", cfg, identity=ID)
+    parts = batches(d, [0, 10, 20, 60, 90])
+    corpus.write_corpus(parts[0], f"{tmpdir_path}/steps", cfg, identity=ID)
+    for stream, batch, part in (("one", 0, parts[1]), ("one", 1, parts[2]), ("two", 0, parts[3])):
+        build_batch(part, batch, f"{tmpdir_path}/steps", cfg, identity=ID, stream_id=stream)
+    got = M.Ledger(spark, f"{tmpdir_path}/steps").latest()
+    keys = ("next_shard", "committed_tokens", "pending_tokens", "source_documents_consumed", "last_doc_id")
+    assert [got[k] for k in keys] == [whole[k] for k in keys]
+    assert pending(spark, f"{tmpdir_path}/steps") == pending(spark, f"{tmpdir_path}/whole")
+    assert _shard_bytes(f"{tmpdir_path}/steps") == _shard_bytes(f"{tmpdir_path}/whole")
+    assert len(os.listdir(f"{tmpdir_path}/steps/_pending")) == 1          # superseded buffers are gone
+
+
+@pytest.mark.parametrize("change", ["dataset_id", "dataset_config", "dataset_split", "dataset_revision", "tokenizer_name", "tokenizer_revision"])
+def test_resume_refuses_another_identity(spark, tmpdir_path, change):
+    import dataclasses
+
+    parts = batches(docs(spark, 20, seed=2), [0, 10, 20])
+    corpus.write_corpus(parts[0], tmpdir_path, CFG, identity=ID)
+    with pytest.raises(RuntimeError, match="config_drift"):
+        build_batch(parts[1], 0, tmpdir_path, CFG, identity=dataclasses.replace(ID, **{change: "other"}))
+
+
+def test_resume_refuses_another_geometry_and_damage(spark, tmpdir_path):
+    import dataclasses
+
+    parts = batches(docs(spark, 40, seed=2), [0, 30, 40])
+    corpus.write_corpus(parts[0], tmpdir_path, CFG, identity=ID)
+    for change in ({"shard_size": 250}, {"max_shards": 3}):
+        with pytest.raises(RuntimeError, match="config_drift"):
+            build_batch(parts[1], 0, tmpdir_path, dataclasses.replace(CFG, **change), identity=ID)
+    shard = os.path.join(tmpdir_path, "shard_00000.bin")
+    kept = open(shard, "rb").read()
+    open(shard, "wb").write(kept[:-2])
+    with pytest.raises(RuntimeError, match="file_size"):
+        build_batch(parts[1], 0, tmpdir_path, CFG, identity=ID)
+    open(shard, "wb").write(kept)
+    for f in os.listdir(f"{tmpdir_path}/_pending/commit=1"):
+        os.remove(f"{tmpdir_path}/_pending/commit=1/{f}")
+    os.rmdir(f"{tmpdir_path}/_pending/commit=1")
+    with pytest.raises(RuntimeError, match="pending_missing"):
+        build_batch(parts[1], 0, tmpdir_path, CFG, identity=ID)
+
+
+def test_outputs_without_a_state_are_refused(spark, tmpdir_path):
+    np.arange(500, dtype="<u2").tofile(f"{tmpdir_path}/shard_00000.bin")
+    with pytest.raises(RuntimeError, match="orphan_outputs"):
+        corpus.write_corpus(docs(spark, 5), tmpdir_path, CFG, identity=ID)
+    with pytest.raises(RuntimeError, match="orphan_outputs"):
+        build_batch(docs(spark, 5), 0, tmpdir_path, CFG, identity=ID)
+
+
+def test_shard_numbers_beyond_five_digits_and_gaps(spark, tmpdir_path):
+    for n in (99_998, 99_999, 100_000):
+        np.full(10, n % 1000, dtype="<u2").tofile(f"{tmpdir_path}/shard_{n:05d}.bin")
+    rows = read_windows(spark, f"file://{tmpdir_path}", 4).orderBy("seq_index").collect()
+    assert [r["window"][0] for r in rows] == [998, 998, 999, 999, 0, 0]
+    os.remove(f"{tmpdir_path}/shard_99999.bin")
+    with pytest.raises(Exception, match="99999"):
+        read_windows(spark, tmpdir_path, 4).count()
+
+
+def test_publish_audits_first(spark, tmpdir_path):
+    good_set(spark, tmpdir_path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tmpdir_path).select("path")
+    M.publish_corpus(files, f"{tmpdir_path}_ok", [r"shard_\d+\.bin$"], directory=tmpdir_path)
+    assert len(os.listdir(f"{tmpdir_path}_ok")) == 2
+    os.remove(f"{tmpdir_path}/shard_00001_meta.json")
+    with pytest.raises(RuntimeError, match="meta_missing"):
+        M.publish_corpus(files, f"{tmpdir_path}_bad", [r"shard_\d+\.bin$"], directory=tmpdir_path)
+    assert not os.path.exists(f"{tmpdir_path}_bad")
+
+
 def good_set(spark, d):
     cfg = PackingConfig(shard_size=8, seq_len=4, max_shards=2, chunk_tokens=8)
     corpus.write_corpus(docs(spark, 10, seed=5), d, cfg, identity=ID)

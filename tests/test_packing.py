@@ -32,12 +32,13 @@ def test_two_shards_of_twenty(spark, tmpdir_path):
     assert got[0][0] == [0, 1, 2, 3]
     assert got[4][0] == [100, 101, 102, 103]
     assert got[n - 1][0] == [112, 113, 114, 115]
-    dim = [{"shard": 0, "n_seqs": 4, "seq_start": 0, "seq_end": 4},
-           {"shard": 1, "n_seqs": 4, "seq_start": 4, "seq_end": 8}]
+    dim = spark.createDataFrame([(0, 4, 0, 4), (1, 0, 4, 4), (2, 4, 4, 8)], "shard int, n_seqs long, seq_start long, seq_end long")
     req = spark.createDataFrame([(0,), (4,), (-1,), (8,)], "idx long")
     res = {r["idx"]: (r["shard"], r["k"], r["error"]) for r in packing.lookup_windows(req, dim).collect()}
-    assert res[0][:2] == (0, 0) and res[4][:2] == (1, 0) and res[-1][:2] == (1, 3)
-    assert res[8][0] is None and "out of range" in res[8][2]
+    assert res[0][:2] == (0, 0) and res[4][:2] == (2, 0) and res[-1][:2] == (2, 3)
+    assert res[8][0] is None and "8" in res[8][2]
+    same = {r["idx"]: (r["shard"], r["k"], r["error"] is None) for r in packing.lookup_uniform(req, 2, 4).collect()}
+    assert same == {0: (0, 0, True), 4: (1, 0, True), -1: (1, 3, True), 8: (None, None, False)}
 
 
 def test_one_shard_of_seventeen(spark, tmpdir_path):
@@ -109,16 +110,16 @@ def test_packing_geometries(spark, S, T, stride):
     assert got == _plain_windows(docs, S, T, stride, 10_000)
 
 
-def test_local_whole_equals_shuffle(spark):
-    rnd = random.Random(3)
-    docs = [[rnd.randrange(0, 250) for _ in range(rnd.randint(1, 300))] for _ in range(40)]
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, ids array<int>").withColumn(
-        "n_tokens", F.size("ids").cast("long"))
-    off = packing.token_offsets(df, n_buckets=3)
-    segs = packing.cut_shards(off, 500, ids_col="ids").select("shard", "pos", "tokens")
-    a = sorted(map(tuple, packing.pack_windows(segs, 500, 32, 32).collect()))
-    b = sorted(map(tuple, packing.pack_windows(segs, 500, 32, 32, local_whole=True).collect()))
-    assert a == b
+def test_generated_windows_come_from_many_tasks(spark):
+    """One shard with many windows is no one task, in closed form or from a shard table."""
+    dim = packing.uniform_shard_dim(spark, 1, 200_000, 16, 4)
+    a, b = packing.window_spans(spark, dim, 16, 4), packing.uniform_window_spans(spark, 1, 200_000, 16, 4)
+    for spans in (a, b):
+        assert spans.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count() == 49_996
+    many = packing.uniform_window_spans(spark, 7, 100, 16, 16)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, packing.window_spans(
+        spark, packing.uniform_shard_dim(spark, 7, 100, 16, 16), 16, 16).select(*many.columns).collect()))
 
 
 def test_offsets_equal_for_any_bucketing(spark):
