@@ -101,8 +101,9 @@ class WordEncoder:
     """Frequency-ranked word vocabulary, built and applied in the JVM.
 
     ``build_vocab`` is a word count (map-side combined) followed by a top-V;
-    ``encode`` looks every word up in the vocabulary map, which is inlined as a
-    scalar subquery: its size is bounded by ``vocab_size`` ≤ 65,535.
+    ``encode`` collects the vocabulary (at most ``vocab_size`` ≤ 65,535 rows) and
+    sends it with the tasks. ``revision`` is a digest of the words and their ids, so
+    two vocabularies of one size are told apart.
     """
 
     name = "words"
@@ -112,7 +113,14 @@ class WordEncoder:
         check_vocab(vocab_size, WORD_EOS)
         self.vocab = vocab
         self.vocab_size = vocab_size
-        self.revision = f"top{vocab_size}"
+        self._revision: str | None = None
+
+    @property
+    def revision(self) -> str:
+        if self._revision is None:
+            entry = F.concat_ws(":", "id", F.hex("word"))
+            self._revision = self.vocab.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256)).first()[0]
+        return self._revision
 
     @staticmethod
     def words(text_col: str = "text"):

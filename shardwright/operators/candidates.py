@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardwright.config import DecodeConfig
+from shardwright.functions.columns import temperature
 from shardwright.functions.columns import strip_padding
 
 CTX = "ctx_id"
@@ -44,7 +45,12 @@ def banned_continuations(history: DataFrame, n: int, ctx: str = CTX) -> DataFram
     followed it. n = 1 bans every seen id; a history shorter than n bans none."""
     if n <= 0:
         return history.select(ctx, F.lit(None).cast("int").alias("cand_id")).filter(F.lit(False))
-    h = F.col("ids")
+    return history.select(ctx, F.explode(banned_ids("ids", n)).alias("cand_id"))
+
+
+def banned_ids(ids: str, n: int) -> Column:
+    """The ids that would repeat an n-gram, as an array expression over a history."""
+    h = F.col(ids)
     size = F.size(h)
     if n == 1:
         banned = F.array_distinct(h)
@@ -57,7 +63,7 @@ def banned_continuations(history: DataFrame, n: int, ctx: str = CTX) -> DataFram
         hit = F.filter(grams, lambda g: F.forall(F.array(*[g[f"g{j}"] == last[j] for j in range(n - 1)]),
                                                  lambda x: x))
         banned = F.array_distinct(F.transform(hit, lambda g: g[f"g{n - 1}"]))
-    return history.select(ctx, F.explode(banned).alias("cand_id"))
+    return banned
 
 
 def ban_ngrams(scores: DataFrame, history: DataFrame, n: int, ctx: str = CTX) -> DataFrame:
@@ -140,20 +146,33 @@ def decode_policy(scores: DataFrame, history: DataFrame, cfg: DecodeConfig, ctx:
                   vocab_size: int | None = None, samples: int = 1) -> DataFrame:
     """Whole selection in the reference's order: padding strip → penalty →
     n-gram ban → (greedy arg-max) or temperature → top-k → top-p → min-p →
-    softmax → seeded draw. Returns ``(ctx[, sample], choice)``."""
-    s = strip_padding(scores, vocab_size) if vocab_size else scores
-    s = repetition_penalty(s, history, cfg.repetition_penalty, ctx)
-    s = ban_ngrams(s, history, cfg.no_repeat_ngram_size, ctx)
+    softmax → seeded draw. Returns ``(ctx[, sample], choice)``; a context whose
+    candidates are all banned keeps its row with a NULL choice. ``history`` has one row per
+    context."""
+    real = strip_padding(scores, vocab_size) if vocab_size else scores
+    penalty, n = cfg.repetition_penalty, cfg.no_repeat_ngram_size
+    s = real
+    if penalty != 1.0 or n > 0:
+        # one pass over the history: per context the ids seen and the ids banned
+        none = F.array().cast("array<int>")
+        facts = history.select(ctx, (F.array_distinct("ids") if penalty != 1.0 else none).alias("_seen"),
+                               (banned_ids("ids", n) if n > 0 else none).alias("_ban"))
+        x, seen = F.col("score"), F.coalesce(F.array_contains("_seen", F.col("cand_id").cast("int")), F.lit(False))
+        penalised = F.when(seen & (x < 0), x * penalty).when(seen, x / penalty).otherwise(x)
+        s = (s.join(facts, ctx, "left").withColumn("score", penalised)
+             .where(~F.coalesce(F.array_contains("_ban", F.col("cand_id").cast("int")), F.lit(False))).drop("_seen", "_ban"))
+    contexts = real.select(ctx).distinct()
     if cfg.greedy:
-        return argmax(s, ctx)
-    s = s.withColumn("score", F.col("score") / F.lit(float(cfg.temperature)))
+        return contexts.join(argmax(s, ctx), ctx, "left")
+    s = s.withColumn("score", temperature(F.col("score"), float(cfg.temperature)))
     s = top_k(s, cfg.top_k, ctx)
     s = top_p(s, cfg.top_p, ctx)
     s = min_p(s, cfg.min_p, ctx)
     probs = softmax(s, ctx)
     if samples > 1:
-        return sample(replicate(probs, samples), cfg.seed, ctx, "sample").select(ctx, "sample", "choice")
-    return sample(probs, cfg.seed, ctx).select(ctx, "choice")
+        drawn = sample(replicate(probs, samples), cfg.seed, ctx, "sample").select(ctx, "sample", "choice")
+        return replicate(contexts, samples).join(drawn, [ctx, "sample"], "left").select(ctx, "sample", "choice")
+    return contexts.join(sample(probs, cfg.seed, ctx).select(ctx, "choice"), ctx, "left")
 
 
 # C11
@@ -185,23 +204,38 @@ def ngram_loops(df: DataFrame, ids_col: str, n: int) -> DataFrame:
 
 
 # U1
-def apply_selector(scores: DataFrame, fn, vocab_size: int, ctx: str = CTX) -> DataFrame:
-    """Run a caller's selector ``pandas.DataFrame(cand_id, score) → int`` per
-    context with ``applyInPandas``; the output must be one integer id in
-    ``[0, vocab_size)`` per context."""
+def apply_selector(scores: DataFrame, fn, vocab_size: int, ctx: str = CTX, batched: bool = False,
+                   contexts_per_batch: int = 4096) -> DataFrame:
+    """Run a caller's selector over the candidates; one id in ``[0, vocab_size)`` per context.
+
+    ``fn(DataFrame(cand_id, score)) → int`` for one context, or with ``batched``
+    ``fn(DataFrame(ctx, cand_id, score)) → Series of ids indexed by ctx`` for many contexts in
+    one call. Contexts are grouped by a hash into about ``contexts_per_batch`` each."""
     import pandas as pd
 
     schema = T.StructType([T.StructField(ctx, T.LongType()), T.StructField("choice", T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def checked(picks: pd.Series) -> pd.DataFrame:
         import numbers
 
-        pick = fn(pdf[["cand_id", "score"]].reset_index(drop=True))
-        if isinstance(pick, bool) or not isinstance(pick, numbers.Integral):
-            raise TypeError("selector must return one integer token id")
-        pick = int(pick)
-        if not 0 <= pick < vocab_size:
-            raise ValueError(f"selector returned id {pick} outside [0, {vocab_size})")
-        return pd.DataFrame({ctx: [int(pdf[ctx].iloc[0])], "choice": [pick]})
+        for pick in picks:
+            if isinstance(pick, bool) or not isinstance(pick, numbers.Integral):
+                raise TypeError(f"a selector must choose an integer id, not {pick!r}")
+            if not 0 <= int(pick) < vocab_size:
+                raise ValueError(f"selector chose id {pick} outside [0, {vocab_size})")
+        return pd.DataFrame({ctx: picks.index.astype("int64"), "choice": picks.to_numpy().astype("int64")})
 
-    return scores.groupBy(ctx).applyInPandas(run, schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = pdf[[ctx, "cand_id", "score"]]
+        if batched:
+            picks = fn(frame.reset_index(drop=True))
+            if set(picks.index) != set(frame[ctx]):
+                raise ValueError("a selector must choose once for every context")
+            return checked(picks)
+        return checked(pd.Series({c: fn(g[["cand_id", "score"]].reset_index(drop=True)) for c, g in frame.groupby(ctx, sort=False)},
+                                 dtype=object))
+
+    n = scores.select(F.approx_count_distinct(ctx).alias("n")).first()["n"]
+    groups = max(scores.sparkSession.sparkContext.defaultParallelism, -(-n // contexts_per_batch))
+    return (scores.withColumn("_g", F.pmod(F.xxhash64(ctx), F.lit(groups)))
+            .groupBy("_g").applyInPandas(run, schema))

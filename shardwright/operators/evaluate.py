@@ -106,9 +106,8 @@ def limit_per_group(df: DataFrame, group: list[str], order: list[str], n: int |
 
 def running_mean(seq_losses: DataFrame, order: str, bucket: Column) -> DataFrame:
     """Running mean of sequence losses in processing order (two-level)."""
-    from shardwright.operators.ordering import prefix_sum
+    from shardwright.operators.ordering import prefix_aggs
 
     base = seq_losses.withColumn("_one", F.lit(1).cast("long"))
-    a = prefix_sum(base, "seq_loss", [order], bucket, "_cum_loss", inclusive=True)
-    b = prefix_sum(a, "_one", [order], bucket, "processed", inclusive=True)
-    return b.withColumn("running_loss", F.col("_cum_loss") / F.col("processed")).drop("_cum_loss", "_one")
+    out = prefix_aggs(base, [("_cum_loss", "seq_loss", "sum", True), ("processed", "_one", "sum", True)], [order], bucket)
+    return out.withColumn("running_loss", F.col("_cum_loss") / F.col("processed")).drop("_cum_loss", "_one")

@@ -320,8 +320,9 @@ pen AS (SELECT sc.ctx_id, sc.cand_id,
 ok AS (SELECT * FROM pen WHERE NOT EXISTS (SELECT 1 FROM bn WHERE bn.ctx_id = pen.ctx_id AND bn.cand_id = pen.cand_id))"""
 
 SQL["greedy_policy"] = f"""
-WITH {_POLICY_BASE}
-SELECT ctx_id, arg_max(cand_id, (score, -cand_id)) AS choice FROM ok GROUP BY ctx_id
+WITH {_POLICY_BASE},
+best AS (SELECT ctx_id, arg_max(cand_id, (score, -cand_id)) AS choice FROM ok GROUP BY ctx_id)
+SELECT c.ctx_id, choice FROM (SELECT DISTINCT ctx_id FROM sc) c LEFT JOIN best ON c.ctx_id = best.ctx_id
 """
 
 SQL["decode_policy"] = f"""
@@ -336,7 +337,9 @@ tp AS (SELECT ctx_id, cand_id, score FROM p1
 mp AS (SELECT * FROM tp QUALIFY score >= max(score) OVER (PARTITION BY ctx_id) + ln(0.05)),
 mm AS (SELECT *, max(score) OVER (PARTITION BY ctx_id) AS mx FROM mp),
 p AS (SELECT ctx_id, cand_id, exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY ctx_id) AS prob FROM mm)
-SELECT ctx_id, arg_min(cand_id, ({_race(R.POLICY_SEED, '0')}, cand_id)) AS choice FROM p WHERE prob > 0 GROUP BY ctx_id
+SELECT c.ctx_id, choice FROM (SELECT DISTINCT ctx_id FROM sc) c LEFT JOIN (
+  SELECT ctx_id, arg_min(cand_id, ({_race(R.POLICY_SEED, '0')}, cand_id)) AS choice FROM p WHERE prob > 0 GROUP BY ctx_id) x
+  ON c.ctx_id = x.ctx_id
 """
 
 SQL["ngram_loops"] = f"""
@@ -542,3 +545,39 @@ SELECT shard::BIGINT, 'meta_mismatch', CAST(shard AS VARCHAR) || '/{R.S}/uint16'
        CAST(shard AS VARCHAR) || '/' || CAST(tokens AS VARCHAR) || '/uint16'
 FROM j WHERE tokens IS NOT NULL AND tokens <> {R.S}
 """
+
+SQL["resume_build"] = SQL["pack_windows"]
+
+SQL["dev_rotation"] = f"""
+WITH {_CE},
+b AS (SELECT seq_index // {R.DEV_ROWS} AS batch, seq_index, seq_loss FROM sq),
+kept AS (SELECT vec_id // {R.EVAL_T} AS seq_index, count(loss) AS n FROM ce GROUP BY 1),
+p AS (SELECT max(batch) + 1 AS n, least({R.ROTATION_BATCHES}, max(batch) + 1) AS k FROM b),
+e AS (SELECT j AS eval_no, (j * k + i) % n AS batch, ((j + 1) * k) % n AS cursor_after
+      FROM p, unnest(generate_series(0, {R.ROTATIONS - 1})) AS a(j), unnest(generate_series(0, {R.ROTATION_BATCHES - 1})) AS c(i) WHERE i < k)
+SELECT e.eval_no::BIGINT AS eval_no, e.cursor_after::BIGINT AS cursor_after, round(sum(seq_loss * kept.n) / sum(kept.n), 6) AS sampled_loss,
+       sum(kept.n)::BIGINT AS tokens, count(DISTINCT e.batch)::BIGINT AS batches
+FROM e JOIN b ON e.batch = b.batch JOIN kept ON kept.seq_index = b.seq_index GROUP BY e.eval_no, e.cursor_after
+"""
+
+_F = f"""sh AS (SELECT unnest(generate_series(0, {NCOMM} - 1))::BIGINT AS shard),
+k AS (SELECT shard, shard % 7 AS kind, 'shard_' || lpad(shard::VARCHAR, 5, '0') || '.bin' AS path,
+             CASE shard % 7 WHEN 4 THEN {2 * R.S - 2} WHEN 2 THEN {2 * R.S + 1} ELSE {2 * R.S} END AS len FROM sh),
+last AS (SELECT octet_length(encode(text)) AS n FROM documents ORDER BY doc_id DESC LIMIT 1)"""
+SQL["audit_faults"] = f"""
+WITH {_F}
+SELECT 'A2' AS audit, NULL::BIGINT AS shard, 'incomplete' AS rule, {NCOMM} || '/' || {NCOMM} * {R.S} AS expected,
+       ({NCOMM} - 1) || '/' || ({NCOMM} - 1) * {R.S} AS found
+UNION ALL SELECT 'A2', shard, 'file_missing', '{2 * R.S}', NULL FROM k WHERE kind = 3
+UNION ALL SELECT 'A2', shard, 'file_size', '{2 * R.S}', len::VARCHAR FROM k WHERE kind IN (2, 4)
+UNION ALL SELECT 'A2', shard, 'meta_missing', 'metadata', NULL FROM k WHERE kind = 5
+UNION ALL SELECT 'A2', shard, 'meta_mismatch', shard || '/{R.S}/uint16', shard || '/{R.S}/int32' FROM k WHERE kind = 6
+UNION ALL SELECT 'A2 empty', NULL, 'state_missing', 'state', NULL
+UNION ALL SELECT 'A3', shard, 'orphan_outputs', 'state', path FROM k WHERE kind <> 3
+UNION ALL SELECT 'A4', NULL, 'config_drift', 'dataset_config=default', 'dataset_config=other'
+UNION ALL SELECT 'A5', NULL, 'pending_mismatch', '0', n::VARCHAR FROM last WHERE n > 0
+UNION ALL SELECT 'A5 gone', NULL, 'pending_missing', 'p', NULL
+UNION ALL SELECT 'A7', NULL, 'seed_drift', '{R.CONFIG_SEED}', '{R.CONFIG_SEED + 1}' FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT 'A7', NULL, 'unknown_config', 'known field', 'mystery' FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT 'odd', shard, 'odd_length', 'even', len::VARCHAR FROM k WHERE kind = 2
+"""

@@ -257,7 +257,7 @@ def running_validation(spark, sf):
     from shardwright.operators.evaluate import running_mean, sequence_loss
 
     seqs = sequence_loss(_pos_loss(spark, sf))
-    out = running_mean(seqs, "seq_index", F.floor(F.col("seq_index") / 64).cast("long"))
+    out = running_mean(seqs, "seq_index", F.floor(F.col("seq_index") / 65_536).cast("long"))
     return out.select("seq_index", "processed", _round(F.col("running_loss")).alias("running_loss"))
 
 
@@ -443,10 +443,10 @@ def custom_selector(spark, sf):
     from shardwright.operators.candidates import apply_selector
 
     def highest_lowest_id(pdf):
-        best = pdf.sort_values(["score", "cand_id"], ascending=[False, True]).iloc[0]
-        return int(best["cand_id"])
+        best = pdf.sort_values(["score", "cand_id"], ascending=[False, True]).drop_duplicates("ctx_id")
+        return best.set_index("ctx_id")["cand_id"]
 
-    return apply_selector(scores(spark, sf), highest_lowest_id, 64)
+    return apply_selector(scores(spark, sf), highest_lowest_id, 64, batched=True)
 
 
 # ---------------------------------------------------------------- telemetry
@@ -654,3 +654,90 @@ def shard_roundtrip(spark, sf):
                     F.try_element_at("window", F.lit(-1)).cast("long").alias("last_token"),
                     F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
                     F.md5(F.array_join("window", ",")).alias("window_md5"))
+
+
+@query
+def resume_build(spark, sf):
+    """T1 after a batch build: the first third of the documents as a batch, the rest as two
+    micro-batches of a stream whose numbers start at 0; the windows read back are those of
+    the whole build."""
+    import uuid
+
+    from shardwright.session import checkpoint_dir
+    from shardwright.sources.token_shards import read_windows
+    from shardwright.streaming.corpus_build import build_batch
+
+    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE)
+    out = checkpoint_dir(spark).rstrip("/") + f"/resumed-{uuid.uuid4().hex}"
+    d = docs(spark, sf)
+    lo, hi = d.agg(F.min("doc_id"), F.max("doc_id")).first()
+    cuts = [lo + (hi - lo + 1) * k // 3 for k in range(4)]
+    parts = [d.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts, cuts[1:])]
+    corpus.write_corpus(parts[0], out, cfg)
+    for number, part in enumerate(parts[1:]):
+        build_batch(part, number, out, cfg, stream_id="resumed")
+    w = read_windows(spark, out, T, STRIDE)
+    return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
+                    F.size("window").cast("long").alias("n_tokens"),
+                    F.try_element_at("window", F.lit(1)).cast("long").alias("first_token"),
+                    F.try_element_at("window", F.lit(-1)).cast("long").alias("last_token"),
+                    F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
+                    F.md5(F.array_join("window", ",")).alias("window_md5"))
+
+
+DEV_ROWS, ROTATION_BATCHES, ROTATIONS = 4, 5, 7
+
+
+@query
+def dev_rotation(spark, sf):
+    """G15 + M4: evaluations that rotate over the dev batches, each with its token-weighted loss."""
+    from shardwright.operators.evaluate import sequence_loss
+
+    seqs = sequence_loss(_pos_loss(spark, sf)).withColumn("batch", F.floor(F.col("seq_index") / DEV_ROWS).cast("long"))
+    n = seqs.agg(F.max("batch")).first()[0] + 1
+    plan = packing.dev_sample_plan(spark, ROTATIONS, n, ROTATION_BATCHES)
+    rows = plan.join(seqs, F.col("dev_batch") == F.col("batch"))
+    out = packing.weighted_loss(rows, ["eval_no", "cursor_after"], "seq_loss", "n_tokens")
+    return out.select("eval_no", "cursor_after", _round(F.col("sampled_loss")).alias("sampled_loss"), "tokens", "batches")
+
+
+CONFIG_SEED = 1337
+
+
+@query
+def audit_faults(spark, sf):
+    """A2–A7 with one planted fault for every rule, over shards, pending tail and configurations
+    that the documents give."""
+    from shardwright.operators import audit as A
+    from shardwright.sources.manifests import LEDGER_SCHEMA
+
+    n = _n_shards(spark, sf)
+    shard = packing.range_of(spark, n).select(F.col("id").cast("int").alias("shard"))
+    kind = F.col("shard") % 7
+    files = shard.where(kind != 3).select(
+        F.concat(F.lit("shard_"), F.lpad(F.col("shard").cast("string"), 5, "0"), F.lit(".bin")).alias("path"), "shard",
+        F.when(kind == 4, 2 * S - 2).when(kind == 2, 2 * S + 1).otherwise(2 * S).cast("long").alias("length"))
+    meta = shard.where(kind != 5).select(
+        F.col("shard").cast("long").alias("shard_index"), F.lit(S).cast("long").alias("tokens"),
+        F.when(kind == 6, "int32").otherwise("uint16").alias("dtype"), F.lit(DATASET_REV).alias("dataset_revision"),
+        F.lit(TOKENIZER_REV).alias("tokenizer_revision"))
+    state = {"commit_id": 1, "schema_version": 1, "dataset_id": "documents", "dataset_config": "other", "shard_size_tokens": S,
+             "max_shards": n, "next_shard": n - 1, "committed_tokens": (n - 1) * S, "dataset_revision": DATASET_REV,
+             "tokenizer_revision": TOKENIZER_REV}
+    ledger = spark.createDataFrame([{f.name: state.get(f.name) for f in LEDGER_SCHEMA.fields}], LEDGER_SCHEMA)
+    empty = spark.createDataFrame([], LEDGER_SCHEMA)
+    d = docs(spark, sf)
+    last = d.agg(F.max("doc_id")).first()[0]
+    pending = ByteEncoder().encode(d.where(F.col("doc_id") == last)).select(F.col("ids").alias("tokens"))
+    stored = d.select((F.lit(CONFIG_SEED) + F.col("doc_id") % 2).alias("data_seed"),
+                      F.concat(F.lit('{"B": 16, "'), F.when(F.col("doc_id") % 3 == 0, "T").otherwise("mystery"), F.lit('": 1}')).alias("model_config"))
+    found = {
+        "A2": A.audit_complete(spark, ledger, files, meta), "A2 empty": A.audit_complete(spark, empty, files, meta),
+        "A3": A.audit_orphans(files, empty), "A4": A.config_drift(spark, state, {**state, "dataset_config": "default"}),
+        "A5": A.audit_pending(spark, {"pending_tokens": 0}, pending), "A5 gone": A.audit_pending(spark, {"pending_path": "p"}, None),
+        "A7": A.audit_plan(spark, stored, CONFIG_SEED, ["B", "T"]), "odd": A.odd_lengths(files)}
+    out = None
+    for name, v in found.items():
+        v = v.select(F.lit(name).alias("audit"), "shard", "rule", "expected", "found")
+        out = v if out is None else out.unionByName(v)
+    return out

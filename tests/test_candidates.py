@@ -84,6 +84,22 @@ def test_selector_output_is_checked(spark):
         C.apply_selector(df, lambda p: 5, 2).collect()
 
 
+def test_batched_selector(spark):
+    df = spark.createDataFrame([(c, i, float((c * 7 + i * 3) % 5)) for c in range(40) for i in range(4)], "ctx_id long, cand_id long, score double")
+    best = lambda p: p.sort_values(["score", "cand_id"], ascending=[False, True]).drop_duplicates("ctx_id").set_index("ctx_id")["cand_id"]
+    got = {r["ctx_id"]: r["choice"] for r in C.apply_selector(df, best, 4, batched=True, contexts_per_batch=8).collect()}
+    assert got == {r["ctx_id"]: r["choice"] for r in C.argmax(df).collect()} and len(got) == 40
+    with pytest.raises(Exception, match="every context"):
+        C.apply_selector(df, lambda p: best(p).iloc[1:], 4, batched=True).collect()
+
+
+def test_context_with_every_candidate_banned_keeps_its_row(spark):
+    df = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (1, 1, 1.0), (1, 9, 0.0)], "ctx_id long, cand_id long, score double")
+    h = spark.createDataFrame([(0, [1, 2]), (1, [1, 2])], "ctx_id long, ids array<int>")
+    for cfg in (DecodeConfig(greedy=True, no_repeat_ngram_size=1), DecodeConfig(no_repeat_ngram_size=1)):
+        assert {r["ctx_id"]: r["choice"] for r in C.decode_policy(df, h, cfg).collect()} == {0: None, 1: 9}
+
+
 def test_config_bounds():
     with pytest.raises(ValueError):
         DecodeConfig(temperature=0.0)
