@@ -5,14 +5,13 @@ Inputs are long tables keyed by run: ``counters(run_id, seq, us, units)`` and
 A run may hold a large share of all rows, so nothing here windows over a whole
 run: running aggregates are two-level scans over time blocks
 (``shardwright.operators.ordering``), the trailing rate window reads its own
-block plus a halo copy of the block before, and the greedy throttle is solved
-by pointer doubling over checkpointed jump tables.
+block plus a halo copy of the block before, and the greedy throttle composes
+small tables of its blocks.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +63,8 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
           .withColumn("_pseq", F.when(same, F.col("prev_seq"))))
     # trailing window: own W-block plus a halo copy of the W-block before
     df = df.withColumn("_wb", _block("us", W))
-    own = df.withColumn("_halo", F.lit(False))
-    halo = df.select(run, "_seg", (F.col("_wb") + 1).alias("_wb"), "us", "seq", "units").withColumn(
-        "_halo", F.lit(True))
-    both = own.unionByName(halo, allowMissingColumns=True)
+    both = df.withColumn("_h", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_wb", F.col("_wb") + F.col("_h")).withColumn("_halo", F.col("_h") == 1).drop("_h")
     w = (Window.partitionBy(run, "_seg", "_wb").orderBy("us")
          .rangeBetween(-W, Window.currentRow))
     first = F.min(F.struct("us", "seq", "units")).over(w)
@@ -221,76 +218,89 @@ def average_throughput(df: DataFrame, seq_len: int, run: str = RUN, count_col: s
 
 
 # ---------------------------------------------------------------- W5
+def successors(us: np.ndarray, due: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in time order: the row let through after each one, and the first due row at or
+    after each place (both may be the number of rows: none)."""
+    n = len(us)
+    next_due = np.append(np.minimum.accumulate(np.where(due, np.arange(n), n)[::-1])[::-1], n)
+    after = np.maximum(np.arange(n) + 1, np.searchsorted(us, us + gap_us, "left"))
+    return np.minimum(after, next_due[1:]), next_due
+
+
+def emitted(us: np.ndarray, due: np.ndarray, gap_us: int, last_us: int | None) -> np.ndarray:
+    """Indexes of the rows a throttle lets through after ``last_us``, for rows in time order."""
+    after, next_due = successors(us, due, gap_us)
+    at = 0 if last_us is None else min(int(np.searchsorted(us, last_us + gap_us, "left")), int(next_due[0]))
+    out = []
+    while at < len(us):
+        out.append(at)
+        at = int(after[at])
+    return np.array(out, np.int64)
+
+
+BLOCK_GAPS = 1024          # gaps of clock in one block of a throttled run
+
+
 def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, units: str = "units",
-             run: str = RUN, checkpoint: bool = True) -> DataFrame:
+             run: str = RUN, block_gaps: int = BLOCK_GAPS) -> DataFrame:
     """Rows a throttled emitter lets through: the first row of a run, every
     row ≥ ``gap_s`` after the last emitted one, and every row whose ``units``
     reached ``target``. Returns the input rows that are emitted.
 
-    The emitted set is the chain ``first → next → next …`` where ``next(i)`` is
-    the first later row that is due. ``next`` comes from the row's own time
-    block and the one after it (blocks are ``gap`` wide); the chain is walked
-    by pointer doubling, O(log n) joins with every table written to the
-    session's checkpoint folder (a lost executor recomputes one round only).
+    What a block of clock lets through depends on the rows before it only by the time of
+    the last emitted row, and only for the rows of its first gap. So each block is first
+    reduced to a table (entry row of the first gap → last row emitted), the small tables of
+    a run are composed in block order, and with its entry time known each block emits by
+    itself. Three passes, whatever the length of a run; a run's rows are dealt by block.
     """
-    from shardwright.session import checkpoint_dir, materialize
-
-    G = int(round(gap_s * 1_000_000))
-    if G <= 0:
-        raise ValueError("gap must be greater than zero")
-    spark = rows.sparkSession
-    if checkpoint:
-        checkpoint_dir(spark)
-    due = (F.col(units) >= F.lit(target)) if target is not None else F.lit(False)
-
-    def cut(d: DataFrame) -> DataFrame:
-        return materialize(d) if checkpoint else d
-
-    # the input is read several times below: compute it once
-    base = cut(rows.select(run, "seq", "us", due.alias("_due")).withColumn("_b", _block("us", G)))
-
-    # gap successor: the first row with us ≥ us_i + G. Probes go to block b+1
-    # (blocks are G wide) and meet that block's rows in one bounded window.
-    probes = base.select(run, (F.col("_b") + 1).alias("_b"), (F.col("us") + G).alias("us"),
-                         F.col("seq").alias("_src"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("seq"))
-    data = base.select(run, "_b", "us", F.lit(None).cast("long").alias("_src"), F.lit(1).alias("_kind"), "seq")
-    # walked backwards, so the frame only grows: the last data row seen is the successor
-    w = Window.partitionBy(run, "_b").orderBy(F.desc("us"), F.desc("_kind"), F.desc("seq")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    found = (probes.unionByName(data).withColumn("_n", F.last("seq", ignorenulls=True).over(w))
-             .filter(F.col("_kind") == 0).select(run, F.col("_src").alias("seq"), "_b", "_n"))
-    # nothing due in block b+1: the first row of the first non-empty block
-    # ≥ b+2, read from the per-block table (one row per non-empty block)
-    firsts = base.groupBy(run, "_b").agg(F.min("seq").alias("_f"))
-    near = Window.partitionBy(run).orderBy("_b")
-    far = firsts.select(run, (F.col("_b") + 1).alias("_b"), F.when(F.lead("_b", 1).over(near) > F.col("_b") + 1, F.lead("_f", 1).over(near))
-                        .otherwise(F.lead("_f", 2).over(near)).alias("_far"))
-    gnext = (found.join(far, [run, "_b"], "left")
-             .select(run, "seq", F.coalesce("_n", "_far").alias("_gap_next")))
-    # due successor: first later row with units ≥ target
-    if target is not None:
-        dd = base.withColumn("_dseq", F.when(F.col("_due"), F.col("seq")))
-        wd = Window.partitionBy(run, "_b").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-        inb = dd.withColumn("_dn", F.min("_dseq").over(wd))
-        bmin = dd.groupBy(run, "_b").agg(F.min("_dseq").alias("_bm"))
-        after = bmin.withColumn("_am", F.min("_bm").over(Window.partitionBy(run).orderBy(F.col("_b").desc())
-                                                          .rowsBetween(Window.unboundedPreceding, -1)))
-        dnext = inb.join(after.select(run, "_b", "_am"), [run, "_b"]).select(
-            run, "seq", F.coalesce("_dn", "_am").alias("_due_next"))
-        nxt = gnext.join(dnext, [run, "seq"]).select(run, "seq", F.least("_gap_next", "_due_next").alias("nxt"))
-    else:
-        nxt = gnext.select(run, "seq", F.col("_gap_next").alias("nxt"))
-    jump = cut(nxt)
-    n_max = base.groupBy(run).count().agg(F.max("count")).first()[0] or 1
-    levels = [jump]
-    for _ in range(max(1, math.ceil(math.log2(n_max + 1)))):
-        j = levels[-1]
-        nj = (j.alias("a").join(j.alias("b"), (F.col(f"a.{run}") == F.col(f"b.{run}")) & (F.col("a.nxt") == F.col("b.seq")), "left")
-              .select(F.col(f"a.{run}").alias(run), F.col("a.seq").alias("seq"), F.col("b.nxt").alias("nxt")))
-        levels.append(cut(nj))
-    chain = cut(base.groupBy(run).agg(F.min("seq").alias("seq")))
-    for j in reversed(levels):
-        # the chain is checkpointed, so using it twice here recomputes nothing
-        step = chain.join(j, [run, "seq"]).select(run, F.col("nxt").alias("seq")).filter(F.col("seq").isNotNull())
-        chain = cut(chain.unionByName(step).distinct())
-    return rows.join(chain, [run, "seq"], "left_semi")
+    gap = int(round(gap_s * 1_000_000))
+    if gap <= 0:
+        raise ValueError("a throttle needs a gap longer than zero")
+    width = gap * block_gaps
+    keyed = rows.withColumn("_b", _block("us", width))
+    kind, columns = rows.schema[run].dataType.simpleString(), rows.columns
+
+    def of(pdf) -> tuple:
+        pdf = pdf.sort_values(["us", "seq"], ignore_index=True)
+        us = pdf["us"].to_numpy(np.int64)
+        due = pdf[units].to_numpy(float) >= target if target is not None else np.zeros(len(us), bool)
+        return pdf, us, due
+
+    def reduce_block(key, pdf):
+        import pandas as pd
+
+        _, us, due = of(pdf)
+        after, next_due = successors(us, due, gap)
+        last = np.arange(len(us))                                   # where the chain of each row ends, by doubling
+        step = np.append(after, len(us))
+        while True:
+            go = step[last]
+            if (go == len(us)).all():
+                break
+            last = np.where(go < len(us), go, last)
+            step = np.append(np.where(step[:-1] < len(us), np.where(step[step[:-1]] < len(us), step[step[:-1]], step[:-1]), len(us)), len(us))
+        first = int(next_due[0])
+        n = min(len(us), int(np.searchsorted(us, int(key[1]) * width + gap, "left")) + 1, first + 1)
+        return pd.DataFrame({run: [key[0]], "_b": [key[1]], "entry": [us[:n].tolist()], "exit": [us[last[:n]].tolist()], "due": [first < n]})
+
+    def compose(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_b", ignore_index=True)
+        last, out = None, []
+        for entry, leave, due in zip(pdf["entry"], pdf["exit"], pdf["due"]):
+            out.append(last)
+            at = 0 if last is None else int(np.searchsorted(entry, last + gap, "left"))
+            at = len(entry) - 1 if at == len(entry) and due else at
+            last = int(leave[at]) if at < len(entry) else last
+        return pd.DataFrame({run: key[0], "_b": pdf["_b"], "_last": pd.array(out, dtype="Int64")})
+
+    def emit(pdf):
+        last = pdf["_last"].iloc[0]
+        pdf, us, due = of(pdf)
+        return pdf.iloc[emitted(us, due, gap, None if last is None or last != last else int(last))][columns]
+
+    narrow = keyed.select(run, "_b", "us", "seq", units)
+    tables = narrow.groupBy(run, "_b").applyInPandas(reduce_block, f"{run} {kind}, _b long, entry array<long>, exit array<long>, due boolean")
+    entries = tables.groupBy(run).applyInPandas(compose, f"{run} {kind}, _b long, _last long")
+    return keyed.join(entries, [run, "_b"]).groupBy(run, "_b").applyInPandas(emit, rows.schema)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shardwright.operators.telemetry import emitted
+
 RATE_OUT = "run_id long, seq long, us long, units double, rate double, elapsed_s double"
 RATE_STATE = "us array<long>, units array<double>"
 GATE_OUT = "run_id long, seq long, us long, units double"
@@ -36,18 +38,6 @@ def rates(us: np.ndarray, units: np.ndarray, window_us: int) -> tuple[np.ndarray
     return np.divide(gained, elapsed, out=np.zeros(len(us)), where=elapsed > 0), elapsed, against
 
 
-def emitted(us: np.ndarray, due: np.ndarray, gap_us: int, last_us: int | None) -> np.ndarray:
-    """Indexes of the rows a throttle lets through, for rows in time order."""
-    n = len(us)
-    next_due = np.append(np.minimum.accumulate(np.where(due, np.arange(n), n)[::-1])[::-1], n)
-    at = 0 if last_us is None else min(int(np.searchsorted(us, last_us + gap_us, "left")), int(next_due[0]))
-    out = []
-    while at < n:
-        out.append(at)
-        at = min(max(at + 1, int(np.searchsorted(us, us[at] + gap_us, "left"))), int(next_due[at + 1]))
-    return np.array(out, np.int64)
-
-
 def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 

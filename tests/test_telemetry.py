@@ -134,8 +134,9 @@ def test_throttle_matches_greedy(spark, target):
         t += rnd.choice([0.1, 0.2, 0.3, 0.7, 2.0])
         s.append((round(t, 3), float(i % 70)))
     df = counters(spark, s)
-    got = sorted(r["seq"] for r in tl.throttle(df, 0.5, target).collect())
-    assert got == gate(s, 0.5, target)
+    for blocks in (1, 2, 7, 1024):                 # blocks of so many gaps
+        got = sorted(r["seq"] for r in tl.throttle(df, 0.5, target, block_gaps=blocks).collect())
+        assert got == gate(s, 0.5, target)
 
 
 def test_streaming_rate_equals_batch(spark, tmpdir_path):
