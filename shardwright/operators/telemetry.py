@@ -194,19 +194,38 @@ def loss_comparison(evals_long: DataFrame, names: list[str], run: str = RUN) ->
     return evals_long.groupBy(run, "step").pivot("name", names).agg(F.first("value"))
 
 
-def run_summary(log: DataFrame, tokens_per_step: int, max_steps: int, run: str = RUN) -> DataFrame:
-    """M9: totals, latest, best, number of evaluations and status per run."""
+def run_summary(log: DataFrame, tokens_per_step: int, max_steps: int, run: str = RUN, schedule=None) -> DataFrame:
+    """M9: totals, latest, best, number of evaluations and status per run.
+
+    A log that ``training_log`` has gone over also gives the latest and best average train
+    loss of an interval; with ``us`` the run's rates; with a ``schedule`` (the learning rate
+    as a function of a step column) the current learning rate."""
     e = F.col("is_eval")
-    return (log.groupBy(run).agg(
+    aggs = [
         F.max("step").alias("current_step"),
         F.max_by("train_loss", "step").alias("latest_train_loss"),
         F.max_by(F.when(e, F.col("dev_loss")), F.when(e, F.col("step"))).alias("latest_dev_loss"),
         F.min(F.when(e & _finite(F.col("dev_loss")), F.col("dev_loss"))).alias("best_dev_loss"),
         F.sum(e.cast("long")).alias("evaluations"),
-        F.count(F.lit(1)).alias("rows"))
-        .withColumn("tokens_processed", (F.col("current_step") * F.lit(tokens_per_step)).cast("long"))
-        .withColumn("progress_percent", F.lit(100.0) * F.col("current_step") / F.lit(max_steps))
-        .withColumn("status", F.when(F.col("current_step") >= max_steps, "finished").otherwise("running")))
+        F.count(F.lit(1)).alias("rows")]
+    if "average_train_loss" in log.columns:
+        avg = F.col("average_train_loss")
+        aggs += [F.max_by(F.when(e, avg), F.when(e, F.col("step"))).alias("latest_average_train_loss"),
+                 F.min(F.when(e & _finite(avg), avg)).alias("best_average_train_loss")]
+    if "us" in log.columns:
+        aggs += [((F.max("us") - F.min("us")) / F.lit(1e6)).alias("elapsed_s"), (F.max("step") - F.min("step")).alias("_steps")]
+    out = (log.groupBy(run).agg(*aggs)
+           .withColumn("tokens_processed", (F.col("current_step") * F.lit(tokens_per_step)).cast("long"))
+           .withColumn("progress_percent", F.lit(100.0) * F.col("current_step") / F.lit(max_steps))
+           .withColumn("status", F.when(F.col("current_step") >= max_steps, "finished").otherwise("running")))
+    if "us" in log.columns:
+        rate = F.when(F.col("elapsed_s") > 0, F.col("_steps") / F.col("elapsed_s")).otherwise(F.lit(0.0))
+        out = (out.withColumn("steps_per_s", rate).withColumn("tokens_per_s", F.col("steps_per_s") * F.lit(tokens_per_step))
+               .withColumn("eta_s", F.when(F.col("steps_per_s") > 0, F.floor(F.greatest(F.lit(0), F.lit(max_steps) - F.col("current_step"))
+                                                                             / F.col("steps_per_s"))).otherwise(0).cast("long")).drop("_steps"))
+    if schedule is not None:
+        out = out.withColumn("learning_rate", schedule("current_step"))
+    return out
 
 
 def average_throughput(df: DataFrame, seq_len: int, run: str = RUN, count_col: str | None = None) -> DataFrame:

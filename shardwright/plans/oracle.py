@@ -581,3 +581,19 @@ UNION ALL SELECT 'A7', NULL, 'seed_drift', '{R.CONFIG_SEED}', '{R.CONFIG_SEED +
 UNION ALL SELECT 'A7', NULL, 'unknown_config', 'known field', 'mystery' FROM documents WHERE doc_id % 3 <> 0
 UNION ALL SELECT 'odd', shard, 'odd_length', 'even', len::VARCHAR FROM k WHERE kind = 2
 """
+
+_LR = (f"CASE WHEN {{0}} < {_S['warmup_steps']} THEN {_S['learning_rate']} * ({{0}} + 1) / {_S['warmup_steps']} "
+       f"WHEN {{0}} < {_DEC} THEN {_S['learning_rate']} ELSE {_S['min_lr']} + (1.0 - ({{0}} - {_DEC}) / {max(1, _S['max_steps'] - _DEC)}) "
+       f"* ({_S['learning_rate']} - {_S['min_lr']}) END")
+SQL["run_report"] = f"""
+WITH {_LOG},
+g AS (SELECT user_id AS run_id, max(event_id) AS current_step, max(event_id) - min(event_id) AS steps,
+             (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS el FROM events GROUP BY user_id),
+a AS (SELECT run_id, arg_max(average_train_loss, step) AS l, min(average_train_loss) AS b FROM ev GROUP BY run_id),
+r AS (SELECT g.*, l, b, CASE WHEN el > 0 THEN steps / el ELSE 0.0 END AS sps FROM g LEFT JOIN a ON g.run_id = a.run_id)
+SELECT run_id, current_step, round(l, 6) AS latest_average_train_loss, round(b, 6) AS best_average_train_loss,
+       round({_LR.format('current_step')}, 12) AS learning_rate, round(el, 6) AS elapsed_s, round(sps, 9) AS steps_per_s,
+       round(sps * {_TPS}, 3) AS tokens_per_s,
+       (CASE WHEN sps > 0 THEN floor(greatest(0, {_S["max_steps"]} - current_step) / sps) ELSE 0 END)::BIGINT AS eta_s
+FROM r
+"""

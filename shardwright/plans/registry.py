@@ -561,6 +561,21 @@ def run_summary(spark, sf):
                     _round(F.col("progress_percent")).alias("progress_percent"), "status")
 
 
+@query
+def run_report(spark, sf):
+    """M9 in full: interval averages, rates and the learning rate next to the totals."""
+    from shardwright.config import TrainConfig
+    from shardwright.functions.columns import wsd_lr
+    from shardwright.operators.telemetry import run_summary as summary, training_log
+
+    cfg = TrainConfig(**SCHED)
+    s = summary(training_log(training_rows(spark, sf)), cfg.tokens_per_step, cfg.max_steps, schedule=lambda c: wsd_lr(c, cfg))
+    return s.select("run_id", "current_step", _round(F.col("latest_average_train_loss")).alias("latest_average_train_loss"),
+                    _round(F.col("best_average_train_loss")).alias("best_average_train_loss"),
+                    _round(F.col("learning_rate"), 12).alias("learning_rate"), _round(F.col("elapsed_s")).alias("elapsed_s"),
+                    _round(F.col("steps_per_s"), 9).alias("steps_per_s"), _round(F.col("tokens_per_s"), 3).alias("tokens_per_s"), "eta_s")
+
+
 @query
 def throughput(spark, sf):
     from shardwright.functions.columns import format_rate, run_name
