@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import fold
@@ -155,13 +155,12 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict[str, np.
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = own.select("lang").distinct().count()
     share = max(1, sample // max(1, langs))
-    ids = None
-    # a fair share for each language: the least hashes of its ids (a bounded heap per task, not a sort)
-    for (lang,) in own.select("lang").distinct().limit(sample).collect():
-        least = (own.where(F.col("lang") == lang).select("doc_id", F.lit(lang).alias("label"), F.xxhash64(F.lit(31), "doc_id").alias("rank"))
-                 .orderBy("rank", "doc_id").limit(share))
-        ids = least if ids is None else ids.unionByName(least)
-    ids = ids.dropDuplicates(["doc_id"])
+    # a fair share for each language: the least hashes of its ids (cut down in every task before the shuffle)
+    ranked = Window.partitionBy("label").orderBy("rank", "doc_id")
+    ids = (own.where("doc_id is not null").select("doc_id", F.col("lang").alias("label"), F.xxhash64(F.lit(31), "doc_id").alias("rank"))
+           .withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= share).drop("_n")
+           .orderBy("rank", "doc_id", "label").limit(sample)
+           .groupBy("doc_id", "rank").agg(F.min("label").alias("label")))
     rows = with_labels(own.select("doc_id", "text"), ids).select("label", "rank", (F.pmod("rank", F.lit(5)) == 0).alias("tune"), "text")
     return fit_in_one_task(rows, fit_with(idf))
 
