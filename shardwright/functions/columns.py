@@ -131,7 +131,7 @@ def parse_list(text: Column | str) -> Column:
     """Comma list → trimmed, ordered, distinct; an empty result is an error."""
     parts = F.array_distinct(F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)),
                                       lambda x: x != ""))
-    return F.when(F.size(parts) == 0, F.raise_error(F.lit("at least one task is required"))
+    return F.when(F.size(parts) == 0, F.raise_error(F.lit("the list names nothing"))
                   ).otherwise(parts)
 
 
@@ -142,7 +142,7 @@ def parse_list_py(value: str) -> list[str]:
         if p and p not in out:
             out.append(p)
     if not out:
-        raise ValueError("at least one task is required")
+        raise ValueError("the list names nothing")
     return out
 
 

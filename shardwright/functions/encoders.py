@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardwright.config import check_vocab
+from shardwright.config import UINT16_MAX, check_vocab
 
 # Fixed values of the built-in encoders.
 BYTE_EOS = 256                 # byte encoder: ids 0..255 are UTF-8 bytes, 256 is EOS
@@ -74,6 +74,31 @@ def _utf8_bytes_to_ids(text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(rel.astype(np.int32)), pa.array(values))
 
 
+def pack_ids(df: DataFrame, ids_col: str = "ids", out: str = "tokens") -> DataFrame:
+    """An id array as little-endian 16-bit numbers in one BINARY: half the bytes, no
+    per-element work on the way to a shard file."""
+    names = [c for c in df.columns if c != ids_col]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.BinaryType())])
+
+    def run(batches):
+        for rb in batches:
+            lists = rb.column(ids_col)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if flat.size and (flat.min() < 0 or flat.max() > UINT16_MAX):
+                raise ValueError("token id outside 0..65535")
+            offs = np.asarray(lists.offsets).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), _binaries(flat.astype("<u2"), offs - offs[0])],
+                                             names=[*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def _binaries(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    off = pa.py_buffer((2 * offsets).astype(np.int64))
+    big = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, off, pa.py_buffer(np.ascontiguousarray(ids))])
+    return big.cast(pa.binary()) if 2 * int(offsets[-1]) < 2**31 else big
+
+
 class ByteEncoder:
     """UTF-8 bytes as ids; EOS = 256. Exactly reproducible by SQL oracles."""
 
@@ -97,6 +122,27 @@ class ByteEncoder:
         return df.mapInArrow(run, schema)
 
 
+    def encode_packed(self, df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
+        """Bytes and the EOS of each text, packed as by ``pack_ids``, in one Arrow pass; the
+        text itself does not come back."""
+        names = [c for c in df.columns if c != text_col]
+        schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.BinaryType())])
+
+        def run(batches):
+            for rb in batches:
+                lists = _utf8_bytes_to_ids(rb.column(text_col))
+                n = np.diff(np.asarray(lists.offsets).astype(np.int64))
+                ends = np.cumsum(n + 1)
+                ids = np.full(int(ends[-1]) if len(ends) else 0, BYTE_EOS, "<u2")
+                body = np.ones(len(ids), bool)
+                body[ends - 1] = False
+                ids[body] = lists.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), _binaries(ids, np.concatenate(([0], ends)))],
+                                                 names=[*names, out])
+
+        return df.mapInArrow(run, schema)
+
+
 class WordEncoder:
     """Frequency-ranked word vocabulary, built and applied in the JVM.
 

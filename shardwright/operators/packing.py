@@ -81,12 +81,25 @@ def committed_shards(total: Column | int, shard_size: int, max_shards: int | Non
 
 
 # ---------------------------------------------------------------- G2, G3, M10
+def _packed(df: DataFrame, ids_col: str) -> bool:
+    """Whether ids come as packed 16-bit numbers rather than as an array."""
+    return df.schema[ids_col].dataType.simpleString() == "binary"
+
+
+def _cutter(df: DataFrame, ids_col: str | None):
+    """``(first, n) → ids[first : first + n]``, for id arrays and packed ids alike."""
+    if ids_col and _packed(df, ids_col):
+        return lambda a, n: F.substring(F.col(ids_col), (2 * a + 1).cast("int"), (2 * n).cast("int"))
+    return lambda a, n: F.slice(F.col(ids_col), (a + 1).cast("int"), n.cast("int"))
+
+
 def cut_shards(df: DataFrame, shard_size: int, ids_col: str | None = "ids",
                keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per (document, shard) segment: ``shard, lo, hi`` in stream
     coordinates, ``pos`` = offset inside the shard and, when ``ids_col`` is
     given, ``tokens`` = the segment's ids. Works on [start, end) offsets."""
     S = shard_size
+    cut = _cutter(df, ids_col)
     s0, s1 = _floor_div(F.col("start"), S), _floor_div(F.col("end") - 1, S)
 
     def seg(s):
@@ -94,8 +107,7 @@ def cut_shards(df: DataFrame, shard_size: int, ids_col: str | None = "ids",
         hi = F.least(F.col("end"), (s + 1) * S)
         fields = [s.alias("shard"), lo.alias("lo"), hi.alias("hi")]
         if ids_col:
-            fields.append(F.slice(F.col(ids_col), (lo - F.col("start") + 1).cast("int"),
-                                  (hi - lo).cast("int")).alias("tokens"))
+            fields.append(cut(lo - F.col("start"), hi - lo).alias("tokens"))
         return F.struct(*fields)
 
     segs = F.when(F.col("end") > F.col("start"), F.transform(F.sequence(s0, s1), seg))
@@ -139,13 +151,14 @@ def chunk_segments(segments: DataFrame, chunk_tokens: int) -> DataFrame:
     """Split segments at multiples of ``chunk_tokens`` inside each shard, so no
     row holds more than one chunk: ``(shard, chunk, pos, tokens)``."""
     C = chunk_tokens
-    a, b = F.col("pos"), F.col("pos") + F.size("tokens")
+    size = F.octet_length("tokens") / 2 if _packed(segments, "tokens") else F.size("tokens")
+    a, b = F.col("pos"), F.col("pos") + size.cast("long")
+    cut = _cutter(segments, "tokens")
 
     def piece(c):
         lo = F.greatest(a, c * C)
         hi = F.least(b, (c + 1) * C)
-        return F.struct(c.alias("chunk"), lo.alias("pos"),
-                        F.slice("tokens", (lo - a + 1).cast("int"), (hi - lo).cast("int")).alias("tokens"))
+        return F.struct(c.alias("chunk"), lo.alias("pos"), cut(lo - a, hi - lo).alias("tokens"))
 
     parts = F.when(b > a, F.transform(F.sequence(_floor_div(a, C), _floor_div(b - 1, C)), piece))
     return segments.select("shard", F.explode(parts).alias("p")).select("shard", "p.*")

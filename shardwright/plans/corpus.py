@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shardwright.config import PackingConfig
 from shardwright.functions.columns import with_eos
-from shardwright.functions.encoders import BYTE_EOS, ByteEncoder, WordEncoder
+from shardwright.functions.encoders import BYTE_EOS, ByteEncoder, WordEncoder, pack_ids
 from shardwright.operators import packing
 from shardwright.operators.ordering import DEFAULT_ROWS_PER_BUCKET, with_range_bucket
 from shardwright.session import checkpoint_dir
@@ -35,9 +35,11 @@ def count_tokens(encoder, text_col: str = "text") -> Column | None:
 
 
 def encode_with_offsets(docs: DataFrame, encoder=None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                        n_buckets: int | None = None, base: int | Column = 0) -> tuple[DataFrame, int]:
+                        n_buckets: int | None = None, base: int | Column = 0,
+                        packed: bool = False) -> tuple[DataFrame, int]:
     """``(doc_id, n_tokens, start, end, ids)`` with EOS appended to ``ids``, and
-    the number of tokens the documents add to the stream."""
+    the number of tokens the documents add to the stream. ``packed`` ids are 16-bit
+    numbers in one BINARY."""
     encoder = encoder or ByteEncoder()
     bucketed = docs if "_obkt" in docs.columns else with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket,
                                                                        n_buckets)
@@ -45,15 +47,19 @@ def encode_with_offsets(docs: DataFrame, encoder=None, rows_per_bucket: int = DE
     if n is not None:
         counted = bucketed.select("doc_id", "text", "_obkt", n.alias("n_tokens"))
         off, total = packing.token_offsets(counted, bucket_col="_obkt", base=base, with_total=True)
-        enc = encoder.encode(off.select("doc_id", "n_tokens", "start", "end", "text"))
-        return with_eos(enc.drop("text"), encoder.eos_id, n_col="n_tokens"), total
+        off = off.select("doc_id", "n_tokens", "start", "end", "text")
+        if packed and isinstance(encoder, ByteEncoder):
+            return encoder.encode_packed(off, out="ids"), total
+        enc = with_eos(encoder.encode(off).drop("text"), encoder.eos_id, n_col="n_tokens")
+        return (pack_ids(enc, out="ids") if packed else enc), total
     spark = docs.sparkSession
     path = checkpoint_dir(spark).rstrip("/") + f"/encoded-{uuid.uuid4().hex}"
     enc = with_eos(encoder.encode(bucketed.select("doc_id", "text", "_obkt")).drop("text"),
                    encoder.eos_id, n_col="n_tokens")
     enc.write.parquet(path)
     stored = spark.read.parquet(path)
-    return packing.token_offsets(stored, bucket_col="_obkt", base=base, with_total=True)
+    out, total = packing.token_offsets(stored, bucket_col="_obkt", base=base, with_total=True)
+    return (pack_ids(out, out="ids") if packed else out), total
 
 
 def offsets_only(docs: DataFrame, encoder=None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
@@ -115,7 +121,7 @@ def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=No
         raise RuntimeError("a build already exists here; resume it with the streaming build")
     state = ledger.load(identity, cfg)                        # refuses shards that no state knows of
     bucketed = with_range_bucket(docs, "doc_id", "_obkt", rows_per_bucket)
-    enc, total = encode_with_offsets(bucketed, encoder, rows_per_bucket)
+    enc, total = encode_with_offsets(bucketed, encoder, rows_per_bucket, packed=True)
     comm, _, _ = committed_segments(enc, total, cfg)
     chunks = packing.chunk_segments(comm.select("shard", "pos", "tokens"), cfg.chunk_tokens)
     n = packing.full_shards(total, cfg.shard_size, cfg.max_shards)

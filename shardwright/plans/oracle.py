@@ -597,3 +597,34 @@ SELECT run_id, current_step, round(l, 6) AS latest_average_train_loss, round(b,
        (CASE WHEN sps > 0 THEN floor(greatest(0, {_S["max_steps"]} - current_step) / sps) ELSE 0 END)::BIGINT AS eta_s
 FROM r
 """
+
+_WIN = SQL["pack_windows"].split("SELECT (shard *")[0]
+SQL["windows_xy"] = f"""{_WIN}
+SELECT (shard * {NW} + k)::BIGINT AS seq_index, (count(*) - 1)::BIGINT AS n_x,
+       (sum(tok) - arg_max(tok, p))::BIGINT AS x_sum, (sum(tok) - arg_min(tok, p))::BIGINT AS y_sum, arg_max(tok, p)::BIGINT AS last_y
+FROM win GROUP BY shard, k
+"""
+
+SQL["checked_ids"] = f"""
+SELECT doc_id, (len(ids) - 1)::BIGINT AS n_ids, list_max(ids[1:len(ids) - 1])::BIGINT AS max_id
+FROM (SELECT doc_id, {BYTES} AS ids FROM documents)
+"""
+
+SQL["word_lists"] = """
+WITH p AS (SELECT doc_id, unnest(string_split('all,' || split_part(text, chr(10), 1), ',')) AS x,
+                  generate_subscripts(string_split('all,' || split_part(text, chr(10), 1), ','), 1) AS i FROM documents),
+t AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM p WHERE trim(x) <> '' GROUP BY 1, 2)
+SELECT doc_id, count(*)::BIGINT AS names, string_agg(x, '|' ORDER BY i) AS list FROM t GROUP BY doc_id
+"""
+
+SQL["cross_entropy_long"] = f"""
+WITH z AS {_Z}, m AS (SELECT vec_id, max(x) AS m FROM z GROUP BY vec_id)
+SELECT z.vec_id AS ctx_id, round(max(m.m) + ln(sum(exp(z.x - m.m))) - max(CASE WHEN z.i = z.label + 1 THEN z.x END), 6) AS loss
+FROM z JOIN m ON z.vec_id = m.vec_id GROUP BY z.vec_id
+"""
+
+SQL["artifact_tables"] = f"""
+SELECT s::BIGINT AS shard, {2 * R.S}::BIGINT AS bytes, 'shard_' || lpad(s::VARCHAR, 5, '0') || '.bin' AS file, {R.S}::BIGINT AS tokens,
+       257::BIGINT AS vocab_size, 'uint16' AS dtype, 'utf-8' AS tokenizer_revision
+FROM unnest(generate_series(0, {NCOMM} - 1)) AS g(s)
+"""

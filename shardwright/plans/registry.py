@@ -756,3 +756,62 @@ def audit_faults(spark, sf):
         v = v.select(F.lit(name).alias("audit"), "shard", "rule", "expected", "found")
         out = v if out is None else out.unionByName(v)
     return out
+
+
+@query
+def windows_xy(spark, sf):
+    """P3 + P4: checked byte ids packed into windows, inputs and targets one token apart."""
+    from shardwright.functions.columns import xy
+
+    w = _windows(spark, sf, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE))
+    x, y = xy("window", T)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return w.select("seq_index", x, y).select(
+        "seq_index", F.size("x").cast("long").alias("n_x"), total("x").alias("x_sum"), total("y").alias("y_sum"),
+        F.try_element_at("y", F.lit(-1)).cast("long").alias("last_y"))
+
+
+@query
+def checked_ids(spark, sf):
+    """Byte ids of every document, each checked to fit two bytes."""
+    from shardwright.functions.encoders import assert_ids
+
+    ids = assert_ids(ByteEncoder().encode(docs(spark, sf)))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.array_max("ids").cast("long").alias("max_id"))
+
+
+@query
+def word_lists(spark, sf):
+    """The text before a document's first line feed as a comma list, trimmed, ordered, distinct."""
+    from shardwright.functions.columns import parse_list
+
+    head = F.concat(F.lit("all,"), F.substring_index("text", "\n", 1))
+    return docs(spark, sf).select("doc_id", parse_list(head).alias("l")).select(
+        "doc_id", F.size("l").cast("long").alias("names"), F.array_join("l", "|").alias("list"))
+
+
+@query
+def cross_entropy_long(spark, sf):
+    """M1 in long form: one row per candidate, for vocabularies too wide for an array."""
+    from shardwright.operators.evaluate import cross_entropy_long as long_form
+
+    sc = scores(spark, sf)
+    tg = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("ctx_id"), F.col("label").cast("long").alias("target"))
+    return long_form(sc, tg, ["ctx_id"]).select("ctx_id", _round(F.col("loss")).alias("loss"))
+
+
+@query
+def artifact_tables(spark, sf):
+    """A build's shard files, found by two patterns in order, next to their metadata."""
+    import uuid
+
+    from shardwright.session import checkpoint_dir
+    from shardwright.sources import manifests as M
+
+    out = checkpoint_dir(spark).rstrip("/") + f"/artifacts-{uuid.uuid4().hex}"
+    corpus.write_corpus(docs(spark, sf), out, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE))
+    files = M.discover_shards(spark, [f"{out}/shard_*[02468].bin", f"{out}/shard_*[13579].bin"])
+    meta = M.read_shard_meta(spark, out)
+    return files.join(meta, files["shard"] == meta["shard_index"]).select(
+        F.col("shard").cast("long").alias("shard"), F.col("length").alias("bytes"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+        "tokens", "vocab_size", "dtype", "tokenizer_revision")

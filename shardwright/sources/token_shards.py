@@ -7,7 +7,7 @@ byte range those windows need. ``mode=chunks`` yields ``(shard, chunk, pos,
 tokens)`` chunk rows instead.
 
 Write: ``df.write.format("token_shards").mode("append").save(dir)`` takes chunk
-rows ``(shard, pos, tokens)``; each task writes whole shards to temporary names
+rows ``(shard, pos, tokens)``, tokens as arrays or as packed 16-bit numbers; each task writes whole shards to temporary names
 and the driver's ``commit`` renames them (``abort`` removes them), so a lost or
 retried task never leaves a partial shard under a final name. Use
 ``write_token_shards`` to get the required ``repartition``/sort first.
@@ -169,12 +169,17 @@ class TokenShardWriter(DataSourceArrowWriter):
         for rb in batches:
             shards = rb.column("shard").to_numpy(zero_copy_only=False)
             poss = rb.column("pos").to_numpy(zero_copy_only=False)
-            lists = rb.column("tokens")
-            offs = np.asarray(lists.offsets)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if flat.size and (flat.min() < 0 or flat.max() > 65535):
-                raise ValueError("token id outside 0..65535")
-            flat = flat.astype("<u2")
+            tokens = rb.column("tokens")
+            if pa.types.is_list(tokens.type) or pa.types.is_large_list(tokens.type):
+                offs = np.asarray(tokens.offsets)
+                flat = tokens.flatten().to_numpy(zero_copy_only=False)
+                if flat.size and (flat.min() < 0 or flat.max() > 65535):
+                    raise ValueError("token id outside 0..65535")
+                flat = flat.astype("<u2")
+            else:                                       # packed by the encoder
+                packed = tokens.cast(pa.large_binary())
+                offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1] // 2
+                flat = np.frombuffer(packed.buffers()[2], "<u2")[offs[0]:offs[-1]] if offs[-1] > offs[0] else np.zeros(0, "<u2")
             base = offs[0]
             for i in range(len(shards)):
                 shard = int(shards[i])
@@ -256,8 +261,9 @@ def write_token_shards(chunks: DataFrame, path: str, shard_size: int | None = No
     spark = chunks.sparkSession
     register(spark)
     n = partitions or spark.sparkContext.defaultParallelism
+    kind = "binary" if chunks.schema["tokens"].dataType.simpleString() == "binary" else "array<int>"
     w = (chunks.select(F.col("shard").cast("int").alias("shard"), F.col("pos").cast("long").alias("pos"),
-                       F.col("tokens").cast("array<int>").alias("tokens"))
+                       F.col("tokens").cast(kind).alias("tokens"))
          .repartition(n, "shard").sortWithinPartitions("shard", "pos")
          .write.format("token_shards").mode("append"))
     if shard_size:

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 # these two materialise tables while being built (checkpoints, shard files)
-SIDE_EFFECTS = {"shard_roundtrip", "resume_build"}
+SIDE_EFFECTS = {"shard_roundtrip", "resume_build", "artifact_tables"}
 
 
 def plan_of(df):
