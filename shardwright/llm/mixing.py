@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.common import staged
 
-PREFIX_DIGITS = 3          # 4,096 stretches of keys for each leaf
+PREFIX_DIGITS = 2          # 256 stretches of keys for each leaf: a window of that many rows, however hot the leaf
 RESULT = ("n_tokens", "epoch", "epoch_key")
 NONE = "(none)"
 SEP = "\x1f"              # between the names of a path: no two paths can be confused
