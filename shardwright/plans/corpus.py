@@ -125,7 +125,7 @@ def write_corpus(docs: DataFrame, directory: str, cfg: PackingConfig, encoder=No
     comm, _, _ = committed_segments(enc, total, cfg)
     chunks = packing.chunk_segments(comm.select("shard", "pos", "tokens"), cfg.chunk_tokens)
     n = packing.full_shards(total, cfg.shard_size, cfg.max_shards)
-    write_token_shards(chunks, directory, cfg.shard_size, partitions=max(1, n))
+    write_token_shards(chunks, directory, cfg.shard_size, shards=n)
     dim = packing.uniform_shard_dim(spark, n, cfg.shard_size, cfg.seq_len, cfg.stride)
     write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
     cut = n * cfg.shard_size

@@ -252,15 +252,21 @@ def read_chunks(spark: SparkSession, path: str, chunk_tokens: int = 65536, parti
             .option("chunkTokens", chunk_tokens).option("numPartitions", n).load())
 
 
-def write_token_shards(chunks: DataFrame, path: str, shard_size: int | None = None,
-                       partitions: int | None = None) -> None:
+TASK_TOKENS = 1 << 26       # tokens that one task writes, about
+
+
+def write_token_shards(chunks: DataFrame, path: str, shard_size: int | None = None, shards: int | None = None) -> None:
     """Chunk rows → one ``.bin`` per shard, written atomically.
 
     Rows of one shard go to one task (hash by shard, sorted by position); a
-    shard is bounded by ``shard_size`` tokens, written chunk by chunk."""
+    shard is bounded by ``shard_size`` tokens, written chunk by chunk. The number of
+    tasks follows from the number of ``shards``: large shards get a task each, small
+    ones share it, on every core at least."""
     spark = chunks.sparkSession
     register(spark)
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = spark.sparkContext.defaultParallelism
+    if shards is not None:
+        n = max(1, min(shards, max(n, -(-shards * (shard_size or 0) // TASK_TOKENS))))
     kind = "binary" if chunks.schema["tokens"].dataType.simpleString() == "binary" else "array<int>"
     w = (chunks.select(F.col("shard").cast("int").alias("shard"), F.col("pos").cast("long").alias("pos"),
                        F.col("tokens").cast(kind).alias("tokens"))

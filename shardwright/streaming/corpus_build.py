@@ -72,7 +72,7 @@ def build_batch(batch: DataFrame, batch_id: int, directory: str, cfg: PackingCon
     if n_full > first:
         done = segs.filter((F.col("shard") >= first) & (F.col("shard") < n_full))
         chunks = packing.chunk_segments(done.select("shard", "pos", "tokens"), cfg.chunk_tokens)
-        write_token_shards(chunks, directory, S, partitions=n_full - first)
+        write_token_shards(chunks, directory, S, shards=n_full - first)
         dim = packing.uniform_shard_dim(spark, n_full, S, cfg.seq_len, cfg.stride).filter(F.col("shard") >= first)
         write_shard_meta(shard_meta_rows(dim, identity, encoder.vocab_size), directory)
     commit_id = int(state["commit_id"]) + 1
