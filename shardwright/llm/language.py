@@ -30,6 +30,7 @@ BITS, GRAMS = 14, (1, 2, 3)
 SAMPLE = 4000              # documents the weights are fitted to, at most (per language: a fair share)
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 2e-4, 1e-5, 4, 32
 SCALE = 30.0               # features are term shares times idf times this
+SALTS = 32                 # parts of a language when its sample is drawn
 UND = "und"
 
 
@@ -155,10 +156,14 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict[str, np.
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = own.select("lang").distinct().count()
     share = max(1, sample // max(1, langs))
-    # a fair share for each language: the least hashes of its ids (cut down in every task before the shuffle)
+    # a fair share for each language: the least hashes of its ids, first among each of the salts
+    # of a language and then among what these leave (SALTS shares at most)
     ranked = Window.partitionBy("label").orderBy("rank", "doc_id")
+    salted = Window.partitionBy("label", "_salt").orderBy("rank", "doc_id")
     ids = (own.where("doc_id is not null").select("doc_id", F.col("lang").alias("label"), F.xxhash64(F.lit(31), "doc_id").alias("rank"))
-           .withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= share).drop("_n")
+           .withColumn("_salt", F.pmod(F.xxhash64(F.lit(37), "doc_id"), F.lit(SALTS)))
+           .withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= share)
+           .withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= share).drop("_n", "_salt")
            .orderBy("rank", "doc_id", "label").limit(sample)
            .groupBy("doc_id", "rank").agg(F.min("label").alias("label")))
     rows = with_labels(own.select("doc_id", "text"), ids).select("label", "rank", (F.pmod("rank", F.lit(5)) == 0).alias("tune"), "text")
