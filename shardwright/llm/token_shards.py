@@ -115,6 +115,8 @@ class Encoder:
         mark, nothing = pa.scalar(START, pa.large_string()), pa.scalar("", pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(
             mark, column if plain.all() else column.filter(pa.array(plain)), nothing), "\n", " \n"), " ")
+        n_texts = len(column)
+        del column
         sizes = np.diff(cut.offsets.to_numpy())
         coded = cut.flatten().dictionary_encode()
         del cut
@@ -126,7 +128,7 @@ class Encoder:
         start, lens = np.append(start, len(pool) + np.cumsum(more) - more), np.append(lens, more)
         pool = np.concatenate([pool, *extra])
         end, first = len(keys), len(keys) + 1
-        per_text = np.full(len(column), 2, np.int64)
+        per_text = np.full(n_texts, 2, np.int64)
         per_text[plain] = sizes + 1
         stop = np.cumsum(per_text)
         entry = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
@@ -207,10 +209,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         def ended() -> pa.RecordBatch:
             nonlocal number
             key = pa.chunked_array([b.column("doc_id") for b in held]).combine_chunks()
-            column = pa.chunked_array([b.column("text").cast(pa.large_string()) for b in held]).combine_chunks()
+            column = [pa.chunked_array([b.column("text").cast(pa.large_string()) for b in held]).combine_chunks()]
             held.clear()
-            ids, counts = encoder.encode(column, end_id)
-            del column
+            ids, counts = encoder.encode(column.pop(), end_id)           # the encoder lets go of the texts when it has cut them
             give_back()
             path = f"{folder}/shard-{number:012d}.wm"
             wavelet.write(path, ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, end_id)
@@ -229,6 +230,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 store.create_dir(local, recursive=True)
             held.append(batch)
             size += batch.column("text").nbytes
+            del batch
             if size >= 2 * shard_bytes:                                   # ranges of ids are drawn by sampling: some are larger
                 yield ended()
                 size = 0
