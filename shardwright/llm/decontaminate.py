@@ -7,11 +7,12 @@ the document less place in the passage) at most ``e`` apart. So:
 1. q-grams of all passages are the index: hash to (passage, place);
 2. a document's q-grams are hashed by a rolling product and looked up in a bit table, so
    only hits cost more than a few array operations;
-3. hits are counted per passage and diagonal band. Bands are ``2 w`` wide and start every
+3. hits are counted per document, passage and diagonal band. Bands are ``2 w`` wide and start every
    ``w`` diagonals, with ``w`` above the largest edit budget: any ``e + 1`` neighbouring diagonals
    lie in one band, so no match is split;
 4. bands whose count of distinct passage q-grams meets the bound are verified: a banded
-   alignment of the passage against the band's stretch of text, many at a time.
+   alignment of the passage against the band's stretch of its document, many at a time.
+   Places outside the document take no part, so a result does not depend on neighbours.
 
 Texts are compared lower-cased, with runs of white space as one space. Documents are
 cut into pieces of ``PIECE`` characters that overlap by more than the longest passage
@@ -107,11 +108,13 @@ class Index:
         np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
         return bits
 
-    def bands(self, cps: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, first diagonal and last diagonal of each band that meets its bound."""
+    def bands(self, cps: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Passage, document, first diagonal and last diagonal of each band that meets its bound.
+
+        ``begin`` is where each document starts in ``cps``."""
         none = np.zeros(0, np.int64)
         if len(cps) < self.q or not len(self.keys):
-            return none, none, none
+            return none, none, none, none
         h = gram_hashes(cps, self.q)
         slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.uint32)
         pos = np.flatnonzero(bits[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & 1)
@@ -120,22 +123,34 @@ class Index:
         pos, near = pos[real], near[real]
         n = self.size[near]
         hit = np.repeat(self.first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        diagonal = np.repeat(pos, n) - self.at[hit] + (1 << 21)            # never negative
+        who = self.who[hit].astype(np.int64)
+        doc = np.repeat(np.searchsorted(begin, pos, "right") - 1, n)
+        # a pair with fewer hits than the bound has no band that meets it
+        _, pair, count = np.unique(who * len(begin) + doc, return_inverse=True, return_counts=True)
+        enough = count[pair] >= self.least[who]
+        hit, who, doc = hit[enough], who[enough], doc[enough]
+        base = int(self.chars.max())
+        diagonal = np.repeat(pos, n)[enough] - self.at[hit] + base         # never negative
         found = []
+        spread = len(cps) + base + 2
         for shift in (0, 1):                                               # the two bands a diagonal lies in
-            band = diagonal // self.width - shift
-            cell = np.unique(band << 24 | hit)                             # an index entry counts once in a band
-            keys, count = np.unique(self.who[cell & 0xFFFFFF].astype(np.int64) << 32 | cell >> 24, return_counts=True)
-            found.append(keys[count >= self.least[keys >> 32]])
+            band = diagonal // self.width + 1 - shift
+            keys, group = np.unique((who * len(begin) + doc) * spread + band, return_inverse=True)
+            cell = np.unique(group * len(self.hash) + hit)                 # an index entry counts once in a band
+            count = np.bincount(cell // len(self.hash), minlength=len(keys))
+            found.append(keys[count >= self.least[keys // spread // len(begin)]])
         keys = np.unique(np.concatenate(found))
-        low = (keys & 0xFFFFFFFF) * self.width - (1 << 21)
-        return keys >> 32, low, low + 2 * self.width - 1
+        who, doc = np.divmod(keys // spread, len(begin))
+        low = (keys % spread - 1) * self.width - base
+        return who, doc, low, low + 2 * self.width - 1
 
-    def verify(self, cps: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(passage, start, end, edits)`` of the best alignment in each band within budget.
+    def verify(self, cps: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray,
+               first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(band, start, end, edits)`` of the best alignment in each band within budget.
 
         Row i of the alignment is passage character i; column c is text place i + low + c - slack.
-        Start and end in the text are free; all bands of a batch advance row by row together."""
+        Start and end are free between ``first`` and ``last``, the ends of the band's document
+        in ``cps``; all bands of a batch advance row by row together."""
         out = []
         order = np.argsort(self.chars[who], kind="stable")
         for at in range(0, len(order), 256):
@@ -150,11 +165,12 @@ class Index:
                 pattern[r, :self.chars[x]] = self.cps[x]
             big = 1 << 20
             c = np.arange(cols)
-            cost = np.zeros((len(pick), cols), np.int64)                   # nothing of the passage used yet
+            head, tail = first[pick][:, None], last[pick][:, None]
             begin = left[:, None] + c                                      # where the alignment started
+            cost = np.where((begin >= head) & (begin <= tail), 0, big)     # nothing of the passage used yet
             for i in range(rows):
                 place = left[:, None] + c + i
-                inside = (place >= 0) & (place < len(cps))
+                inside = (place >= head) & (place < tail)
                 same = inside & (cps[np.clip(place, 0, max(0, len(cps) - 1))] == pattern[:, i:i + 1])
                 step = np.where(inside, cost + ~same, big)                 # match or replace
                 frm = begin.copy()
@@ -169,11 +185,12 @@ class Index:
                 frm = np.take_along_axis(frm, src, 1)
                 alive = (i < m)[:, None]
                 cost, begin = np.where(alive, np.minimum(run, big), cost), np.where(alive, frm, begin)
+            cost = np.where(left[:, None] + c + m[:, None] <= tail, cost, big)
             best = cost.argmin(1)
             r = np.arange(len(pick))
             edits = cost[r, best]
             start, end = begin[r, best], left + best + m
-            out += [(int(x), int(a), int(b), int(k)) for x, a, b, k, most in zip(w, start, end, edits, e) if k <= most]
+            out += [(int(x), int(a), int(b), int(k)) for x, a, b, k, most in zip(pick, start, end, edits, e) if k <= most]
         return out
 
 
@@ -197,15 +214,16 @@ def _search(index: Index):
             begin = np.cumsum(size + 1) - size - 1
             rows: dict[tuple[int, int], tuple[int, int, int]] = {}
             for at, piece in pieces(whole, index.overlap):
-                who, low, high = index.bands(piece, bits)
+                near = int(np.searchsorted(begin, at, "right")) - 1         # documents of this piece
+                there = begin[near:int(np.searchsorted(begin, at + len(piece)))] - at
+                who, doc, low, high = index.bands(piece, there, bits)
                 if not len(who):
                     continue
-                for item, a, b, edits in index.verify(piece, who, low, high):
-                    doc = int(np.searchsorted(begin, at + a, "right")) - 1
-                    a, b = at + a - begin[doc], at + b - begin[doc]
-                    if b > size[doc] + edits:
-                        continue
-                    key, new = (doc, item), (edits, int(a), int(min(b, size[doc])))
+                first = np.maximum(there[doc], 0)
+                last = np.minimum(there[doc] + size[near + doc], len(piece))
+                for band, a, b, edits in index.verify(piece, who, low, high, first, last):
+                    d = near + int(doc[band])
+                    key, new = (d, int(who[band])), (edits, int(at + a - begin[d]), int(at + b - begin[d]))
                     rows[key] = min(rows.get(key, new), new)
             ids = part.column("doc_id").to_pylist()
             keys = sorted(rows)

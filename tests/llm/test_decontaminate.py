@@ -119,3 +119,26 @@ def test_empty_tables_and_a_long_text(make, corpus):
     long = "filler words without end " * 120_000
     rows, got = found(make, [(1, long + items[4][1] + long)], items)
     assert got == {(1, 4): 0} and rows[0]["end"] - rows[0]["start"] == len(D.normal(items[4][1]))
+
+
+def searched(docs, items):
+    """The documents searched as one batch: they are neighbours in a slice."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in docs]), "text": pa.array([t for _, t in docs])})
+    rows = [r for out in D._search(D.Index(items))([batch]) for r in out.to_pylist()]
+    return rows, {(r["doc_id"], r["item_id"]): r["edits"] for r in rows}
+
+
+def test_passage_cut_at_an_end_of_a_document_behind_another():
+    rng = random.Random(11)
+    passage = D.normal(prose(rng, 40))
+    docs = [(0, prose(rng, 30))]
+    for d, cut in enumerate((passage[1:], passage[3:], passage[:-3]), 1):
+        docs += [(d, cut), (d + 10, cut + " " + prose(rng, 20)), (d + 20, prose(rng, 20) + " " + cut), (d + 30, prose(rng, 5))]
+    rows, got = searched(docs, [(7, passage)])
+    assert got == brute(docs, [(7, passage)]) and {1, 2, 3, 11, 12, 23} <= {d for d, _ in got}
+    text = {d: D.normal(t) for d, t in docs}
+    for r in rows:
+        assert 0 <= r["start"] <= r["end"] <= len(text[r["doc_id"]])
+        assert distance(passage, text[r["doc_id"]][r["start"]:r["end"]]) == r["edits"]
