@@ -8,7 +8,7 @@ the document less place in the passage) at most ``e`` apart. So:
 2. a document's q-grams are hashed by a rolling product and looked up in a bit table, so
    only hits cost more than a few array operations;
 3. hits are counted per document, passage and diagonal band. Bands are ``2 w`` wide and start every
-   ``w`` diagonals, with ``w`` above the largest edit budget: any ``e + 1`` neighbouring diagonals
+   ``w`` diagonals, with ``w = e + 1`` of the passage itself: any ``e + 1`` neighbouring diagonals
    lie in one band, so no match is split;
 4. bands whose count of distinct passage q-grams meets the bound are verified: a banded
    alignment of the passage against the band's stretch of its document, many at a time.
@@ -91,7 +91,7 @@ class Index:
         self.chars = np.array([len(c) for c in self.cps], np.int64)
         self.edits = np.array([budget(m, q, share) for m in self.chars], np.int64)
         self.least = self.chars + 1 - q * (self.edits + 1)
-        self.width = int(self.edits.max(initial=0)) + 1
+        self.width = self.edits + 1                                        # of a band's step, for each passage
         self.overlap = int((self.chars + self.edits).max(initial=0)) + 1
         grams = [gram_hashes(c, q) for c in self.cps]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -133,16 +133,17 @@ class Index:
         diagonal = np.repeat(pos, n)[enough] - self.at[hit] + base         # never negative
         found = []
         spread = len(cps) + base + 2
+        w = self.width[who]
         for shift in (0, 1):                                               # the two bands a diagonal lies in
-            band = diagonal // self.width + 1 - shift
+            band = (diagonal + shift * w) // (2 * w) * 2 + 1 - shift
             keys, group = np.unique((who * len(begin) + doc) * spread + band, return_inverse=True)
             cell = np.unique(group * len(self.hash) + hit)                 # an index entry counts once in a band
             count = np.bincount(cell // len(self.hash), minlength=len(keys))
             found.append(keys[count >= self.least[keys // spread // len(begin)]])
         keys = np.unique(np.concatenate(found))
         who, doc = np.divmod(keys // spread, len(begin))
-        low = (keys % spread - 1) * self.width - base
-        return who, doc, low, low + 2 * self.width - 1
+        low = (keys % spread - 1) * self.width[who] - base
+        return who, doc, low, low + 2 * self.width[who] - 1
 
     def verify(self, cps: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray,
                first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -155,7 +156,8 @@ class Index:
         order = np.argsort(self.chars[who], kind="stable")
         for at in range(0, len(order), 256):
             pick = order[at:at + 256]
-            w, slack = who[pick], self.width
+            w = who[pick]
+            slack = int(self.width[w].max())
             m, e = self.chars[w], self.edits[w]
             left = low[pick] - slack
             cols = int((high[pick] - low[pick]).max()) + 1 + 2 * slack

@@ -142,3 +142,25 @@ def test_passage_cut_at_an_end_of_a_document_behind_another():
     for r in rows:
         assert 0 <= r["start"] <= r["end"] <= len(text[r["doc_id"]])
         assert distance(passage, text[r["doc_id"]][r["start"]:r["end"]]) == r["edits"]
+
+
+def test_short_copies_in_neighbours_beside_a_long_item():
+    rng = random.Random(12)
+    short, long = D.normal(prose(rng, 40))[:60].strip(), D.normal(prose(rng, 1200))[:5000].strip()
+    items = [(1, short), (2, long)]
+    docs = [(d, prose(rng, 3) + " " + (edited(rng, short, 1) if d % 3 == 0 else short)) for d in range(12)] + [(50, long)]
+    rows, got = searched(docs, items)
+    assert got == brute(docs, items) and {d for d, i in got if i == 1} == set(range(12)) and got[50, 2] == 0
+    index = D.Index(items)
+    assert dict(zip(index.items.tolist(), index.width.tolist())) == {i: D.budget(len(t), D.Q, D.EDIT_SHARE) + 1 for i, t in items}
+
+
+def test_edited_passage_at_every_offset():
+    """Its hits lie on neighbouring diagonals, which must meet in one band wherever it starts."""
+    rng = random.Random(13)
+    passage = D.normal(prose(rng, 40))[:100].strip()
+    k = D.budget(len(passage), D.Q, D.EDIT_SHARE)
+    cuts = [len(passage) * i // (k + 1) for i in range(k + 2)]
+    body = "\u00e9".join(passage[a:b] for a, b in zip(cuts, cuts[1:]))     # one character more between any two stretches
+    docs = [(lead, "x" * lead + body) for lead in range(4 * k)]
+    assert k > 3 and searched(docs, [(1, passage)])[1] == {(lead, 1): k for lead, _ in docs}
