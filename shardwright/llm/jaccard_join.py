@@ -10,8 +10,11 @@ a connected group of links.
    coordinate or two, and each entry moves on to the child named by its token there
    (the run of words with the least hash), so two sets go the same way with the
    probability of their similarity. Nodes of at most ``LIMIT`` entries are buckets; larger
-   ones split again, up to ``DEPTH`` times. ``RUNS`` independent runs bring the recall of a
-   link of similarity 0.8 above 0.999.
+   ones split again, up to ``DEPTH`` times. The number of runs is worked out beforehand, not
+   measured: the least for which a single link exactly at the threshold, whose nodes stay
+   above ``LIMIT`` through all splits, meets in a bucket and agrees there with the chance
+   ``RECALL`` (20 runs for 0.8), over all ways in which its two vectors can agree, since runs
+   share one vector. Other members of a group find most links that its own paths miss.
 3. Buckets are compared entry by entry on their vectors, and each gives the tree of
    what it joins, not its pairs. The trees make candidate groups.
 4. Candidate groups get their texts back and all their pairs are decided exactly, on the
@@ -32,6 +35,7 @@ Sets are told apart by 64-bit digests, runs of words by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -45,14 +49,47 @@ from shardwright.llm.texts import RUN, Texts, give_back, mix, slices
 
 WORDS, SIMILAR = 5, 0.8
 COORDS = 64                # length of a MinHash vector
-RUNS, DEPTH = 12, 6
+RECALL = 0.999             # chance that a single link exactly at the threshold is found
+DEPTH = 6                  # splits of a node
 LIMIT = 2048               # entries of a bucket, compared by their vectors
 VERIFY = 512               # sets of a task, compared exactly
 SECOND = 4                 # one node in four samples a second coordinate
-AGREE = 39                 # coordinates that must agree in a bucket: 0.8 less 3.8 standard deviations
 _SCALE = np.random.default_rng(0xC0DE).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def agreements(similar: float) -> list[float]:
+    """Chance of each number of agreeing coordinates of two vectors."""
+    return [math.comb(COORDS, x) * similar ** x * (1 - similar) ** (COORDS - x) for x in range(COORDS + 1)]
+
+
+def least_agreeing(similar: float) -> int:
+    """Coordinates that must agree in a bucket: a quarter of the misses allowed may fall below."""
+    below = np.cumsum(agreements(similar))
+    return int(np.searchsorted(below, (1 - RECALL) / 4, "right"))
+
+
+def recall(similar: float, runs: int, agree: int) -> float:
+    """Chance that two sets meet in a bucket after all ``DEPTH`` splits, with ``agree`` coordinates alike.
+
+    The runs are independent only for a given number of coordinates that agree."""
+    total = 0.0
+    for x, chance in enumerate(agreements(similar)):
+        together = 1.0
+        for _ in range(DEPTH + 1):
+            on = x / COORDS * together
+            together = on + on * (1 - on) / SECOND
+        total += chance * (1 - (1 - together) ** runs) * (x >= agree)
+    return total
+
+
+def runs_needed(similar: float, agree: int) -> int:
+    """The least number of runs with a recall of ``RECALL``."""
+    high = 1
+    while recall(similar, high, agree) < RECALL:
+        high *= 2
+    return next(r for r in range(high // 2 + 1, high + 1) if recall(similar, r, agree) >= RECALL)
+
+
 def word_sets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Runs of five words of all texts in a row, and where each text's runs begin and end."""
     t.split()
@@ -129,30 +166,33 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _bucket_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, starts in groups_of(batches, "key"):
-        rid = table["rid"].to_numpy()
-        vector = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint32).reshape(-1, COORDS)
-        ends = np.append(starts[1:], len(rid))
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        left, right = [], []
-        small = (ends - starts <= 24)[group]
-        for step in range(1, 24):                                        # all small buckets together
-            i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]))
-            if not len(i):
-                break
-            i = i[(vector[i] == vector[i + step]).sum(1) >= AGREE]
-            left.append(i), right.append(i + step)
-        for g in np.flatnonzero(ends - starts > 24).tolist():
-            v = vector[starts[g]:ends[g]]
-            for at in range(0, len(v), 32):
-                i, j = np.nonzero((v[at:at + 32, None, :] == v[None, at:, :]).sum(2) >= AGREE)
-                left.append(starts[g] + at + i), right.append(starts[g] + at + j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        label = roots(len(rid), a, b)
-        moved = np.flatnonzero(rid != rid[label])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(rid[moved]), "b": pa.array(rid[label[moved]])})
-    give_back()
+def _bucket_trees(agree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups_of(batches, "key"):
+            rid = table["rid"].to_numpy()
+            vector = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint32).reshape(-1, COORDS)
+            ends = np.append(starts[1:], len(rid))
+            group = np.repeat(np.arange(len(starts)), ends - starts)
+            left, right = [], []
+            small = (ends - starts <= 24)[group]
+            for step in range(1, 24):                                        # all small buckets together
+                i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]))
+                if not len(i):
+                    break
+                i = i[(vector[i] == vector[i + step]).sum(1) >= agree]
+                left.append(i), right.append(i + step)
+            for g in np.flatnonzero(ends - starts > 24).tolist():
+                v = vector[starts[g]:ends[g]]
+                for at in range(0, len(v), 32):
+                    i, j = np.nonzero((v[at:at + 32, None, :] == v[None, at:, :]).sum(2) >= agree)
+                    left.append(starts[g] + at + i), right.append(starts[g] + at + j)
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            label = roots(len(rid), a, b)
+            moved = np.flatnonzero(rid != rid[label])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(rid[moved]), "b": pa.array(rid[label[moved]])})
+        give_back()
+
+    return run
 
 
 def dealt_in_blocks(rows: DataFrame, group: str, n: str, member: str, limit: int) -> DataFrame:
@@ -166,7 +206,7 @@ def dealt_in_blocks(rows: DataFrame, group: str, n: str, member: str, limit: int
             .withColumn("cross", F.col("block") != F.col("_o")).drop("_o"))
 
 
-def chosen_paths(entries: DataFrame, runs: int = RUNS, seed: int = 5) -> DataFrame:
+def chosen_paths(entries: DataFrame, runs: int, seed: int = 5) -> DataFrame:
     """``(rid, key)``: the buckets of every entry in which it is not alone."""
     draw = random.Random(seed)
     first = []
@@ -273,11 +313,13 @@ def _verify(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, threshold: float = SIMILAR, runs: int = RUNS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = SIMILAR, runs: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` and ``_h`` (a hash of the text) for each row of ``docs``.
 
     ``class_id`` is the least ``doc_id`` of the class, ``n_links`` the number of other rows whose sets
-    are at least ``threshold`` similar."""
+    are at least ``threshold`` similar. ``runs``: of chosen paths, by default as many as ``RECALL`` needs."""
+    agree = least_agreeing(threshold)
+    runs = runs or runs_needed(threshold, agree)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
     sketch = staged(own.mapInArrow(_sketch, "doc_id long, _h long, d1 long, d2 long, vector binary")
                     .withColumn("rid", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2"))), "sketch")
@@ -285,7 +327,7 @@ def classes(docs: DataFrame, threshold: float = SIMILAR, runs: int = RUNS, doc_i
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_h")).alias("row"), F.count(F.lit(1)).alias("copies"),
         F.first("vector").alias("vector")), "entries")
     buckets = chosen_paths(entries.select("rid", "vector"), runs).join(entries.select("rid", "vector"), "rid")
-    trees = buckets.repartition("key").sortWithinPartitions("key").select("key", "rid", "vector").mapInArrow(_bucket_trees, "a long, b long")
+    trees = buckets.repartition("key").sortWithinPartitions("key").select("key", "rid", "vector").mapInArrow(_bucket_trees(agree), "a long, b long")
     groups = staged(components(trees), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = staged(groups.join(sizes, "root").join(entries.select("rid", "row", "copies"), "rid")

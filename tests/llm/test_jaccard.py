@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from shardwright.llm import jaccard_join as J
@@ -138,3 +139,28 @@ def test_recall_of_single_links(make):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
     found = sum(n == 1 for _, _, n in answer(make, rows))
     assert found >= 0.99 * len(rows)
+
+
+def test_runs_reach_the_recall_under_one_shared_vector():
+    """Single links walked down all their splits, with coordinates drawn as the nodes draw them."""
+    assert J.least_agreeing(0.8) == 39 and J.runs_needed(0.8, 39) == 20
+    rng = np.random.default_rng(3)
+
+    for similar in (0.7, 0.8, 0.9):
+        agree = J.least_agreeing(similar)
+        runs = J.runs_needed(similar, agree)
+        assert J.recall(similar, runs, agree) >= 0.999 > J.recall(similar, runs - 1, agree)
+        alike = rng.random((4000, J.COORDS)) < similar
+        found = np.zeros(len(alike), bool)
+        for _ in range(runs):
+            paths = np.ones(len(alike), int)                              # a pair's common paths
+            for _ in range(J.DEPTH + 1):
+                left = np.zeros(len(alike), int)
+                for k in range(paths.max(initial=0)):
+                    a, b = rng.integers(0, J.COORDS, (2, len(alike)))
+                    r = np.arange(len(alike))
+                    left += (k < paths) * (alike[r, a].astype(int) + (alike[r, b] & (rng.integers(0, J.SECOND, len(alike)) == 0)))
+                paths = left
+            found |= paths > 0
+        found &= alike.sum(1) >= agree
+        assert found.mean() > 0.9965
