@@ -182,10 +182,12 @@ def _bucket_trees(agree: int):
                 i = i[(vector[i] == vector[i + step]).sum(1) >= agree]
                 left.append(i), right.append(i + step)
             for g in np.flatnonzero(ends - starts > 24).tolist():
-                v = vector[starts[g]:ends[g]]
+                v, one, two = vector[starts[g]:ends[g]], [], []
                 for at in range(0, len(v), 32):
                     i, j = np.nonzero((v[at:at + 32, None, :] == v[None, at:, :]).sum(2) >= agree)
-                    left.append(starts[g] + at + i), right.append(starts[g] + at + j)
+                    one.append((at + i).astype(np.int32)), two.append((at + j).astype(np.int32))
+                # only the tree of a large bucket is kept beside the next one's pairs
+                left.append(np.arange(starts[g], ends[g])), right.append(starts[g] + roots(len(v), np.concatenate(one), np.concatenate(two)))
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             label = roots(len(rid), a, b)
             moved = np.flatnonzero(rid != rid[label])
