@@ -119,3 +119,27 @@ def op4_jaccard_join(spark, sf):
     from shardwright.llm.jaccard_join import classes
 
     return classes(table(spark, sf, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op11_license_scan(spark, sf):
+    from shardwright.llm import license_scan as L
+
+    return L.digest(L.scan(table(spark, sf, "documents")))
+
+
+@query
+def op12_whitening(spark, sf):
+    from shardwright.llm import whitening as W
+
+    vectors = table(spark, sf, "embeddings")
+    return W.whiten(vectors, W.fit(vectors)).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    from shardwright.llm.hard_negatives import mine
+
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf, "embeddings").withColumn("label", noisy), F.col("id") % 100 == 0)

@@ -12,7 +12,7 @@ def test_matches_sql(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     df, rel = QUERIES[name](spark, small), con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
@@ -23,4 +23,4 @@ def test_every_operator_is_registered_once():
     from collections import Counter
 
     n = Counter(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert n == Counter(range(1, 11))
+    assert n == Counter(range(1, 14))
