@@ -128,8 +128,9 @@ def run_name(mode: Column | str, ts: Column | str, base: str) -> Column:
 
 # P14
 def parse_list(text: Column | str) -> Column:
-    """Comma list → trimmed, ordered, distinct; an empty result is an error."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(_c(text), ","), lambda x: F.trim(x)),
+    """Comma list → trimmed of ASCII white space, ordered, distinct; an empty result is an error."""
+    blank = F.lit("\t\n\x0b\x0c\r ")
+    parts = F.array_distinct(F.filter(F.transform(F.split(_c(text), ",", -1), lambda x: F.trim(x, blank)),
                                       lambda x: x != ""))
     return F.when(F.size(parts) == 0, F.raise_error(F.lit("the list names nothing"))
                   ).otherwise(parts)

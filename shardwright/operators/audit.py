@@ -32,13 +32,13 @@ def _explode(df: DataFrame, checks: list[Column]) -> DataFrame:
 
 # A1 (three metadata fields) and the shard part of A2 (five fields)
 def audit_committed(spark: SparkSession, files: DataFrame, meta: DataFrame, next_shard: int,
-                    shard_size: int | Column, revisions: tuple | None = None) -> DataFrame:
-    """Every index below ``next_shard`` needs a file of 2·S bytes and metadata
+                    shard_size: int | Column, revisions: tuple | None = None, first: int = 0) -> DataFrame:
+    """Every index from ``first`` to below ``next_shard`` needs a file of 2·S bytes and metadata
     with the right index, token count and dtype (and revisions, when given)."""
     S = F.lit(shard_size) if isinstance(shard_size, int) else shard_size
     from shardwright.operators.packing import range_of
 
-    idx = range_of(spark, next_shard).select(F.col("id").alias("shard"))
+    idx = range_of(spark, max(0, next_shard - first)).select((F.col("id") + first).alias("shard"))
     f = files.select(F.col("shard").cast("long").alias("shard"), F.col("length").alias("_len"), F.lit(True).alias("_hf"))
     m = meta.select(F.col("shard_index").cast("long").alias("shard"), F.lit(True).alias("_hm"),
                     F.col("shard_index").alias("_mi"), F.col("tokens").alias("_mt"), F.col("dtype").alias("_md"),

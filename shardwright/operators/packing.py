@@ -35,30 +35,38 @@ def _floor_div(x: Column, d: int) -> Column:
 def token_offsets(df: DataFrame, id_col: str = "doc_id", n_col: str = "n_tokens",
                   bucket_col: str | None = None, base: int | Column = 0,
                   rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                  n_buckets: int | None = None, with_total: bool = False):
+                  n_buckets: int | None = None, with_total: bool = False, tie: str | None = None,
+                  sums: DataFrame | None = None, unique: bool = False):
     """Add ``start``/``end``: the document's range in the global token stream.
 
-    Order is ``id_col``. ``bucket_col`` (contiguous in id order, bounded) is
+    Order is ``id_col``, documents without an id first, equal ids by ``tie`` (a 64-bit hash of what
+    the documents hold) and their number of tokens. ``bucket_col`` (contiguous in id order, bounded) is
     taken from the input when given, else derived from id statistics. With
     ``with_total`` the per-bucket token sums (one row per bucket) are computed
     once and checkpointed; the stream length is returned as a number and the
     offsets reuse the same table, so later actions never re-read the corpus
-    to learn its length.
+    to learn its length. ``sums`` of an earlier pass are taken as they are, without a total.
+    With ``unique`` a document without an id, or with the id of another one, is an error.
     """
     from shardwright.session import materialize
 
     if bucket_col is None:
-        df = with_range_bucket(df, id_col, "_obkt", rows_per_bucket, n_buckets)
+        df = with_range_bucket(df, id_col, "_obkt", rows_per_bucket, n_buckets, tie)
         bucket_col = "_obkt"
-    sums = None
-    if with_total:
+    given = sums is not None
+    if with_total and not given:
         sums = materialize(bucket_sums(df, n_col, bucket_col))
-    out = prefix_sum(df, n_col, [id_col], bucket_col, "start", sums=sums)
+    same = {"_same": lambda w: F.lag(id_col).over(w) == F.col(id_col)} if unique else None
+    out = prefix_sum(df, n_col, [id_col, *([tie] if tie else []), n_col], bucket_col, "start", sums=sums, also=same)
+    if unique:
+        refused = F.when(F.col(id_col).isNull(), F.raise_error(F.lit(f"a document has no {id_col}"))).when(
+            F.col("_same"), F.raise_error(F.concat(F.lit(f"two documents have the {id_col} "), F.col(id_col).cast("string"))))
+        out = out.withColumn(id_col, refused.otherwise(F.col(id_col))).drop("_same")
     b = F.lit(base) if isinstance(base, int) else base
     out = out.withColumn("start", (F.col("start") + b).cast("long"))
     out = out.withColumn("end", (F.col("start") + F.col(n_col)).cast("long")).drop("_obkt")
     if with_total:
-        return out, int(sums.agg(F.coalesce(F.sum("_ps"), F.lit(0))).first()[0])
+        return out, None if given else int(sums.agg(F.coalesce(F.sum("_ps"), F.lit(0))).first()[0])
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shardwright.operators.ordering import prefix_agg, prefix_aggs
 
 RUN = "run_id"
+RUN_KEY = "_run_id_key"
 DEFAULT_BLOCK_US = 3_600_000_000      # one hour of clock per block
 DEFAULT_BLOCK_STEPS = 65_536          # steps of a training log per block
 
@@ -42,7 +43,8 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
 
     Samples restart after a rewind (units below the previous sample); the two
     latest samples are always kept even if older than the window; the rate is
-    ≥ 0 and 0 with a single sample or no elapsed time.
+    ≥ 0 and 0 with a single sample or no elapsed time. A null run is a run. A sample without
+    a clock, or whose units are null or NaN, has rate 0 and is not seen by other samples.
     Adds ``rate`` (units/s) and ``elapsed_s``. ``seeds (run, us, units)`` are samples
     known before the log starts (a resumed run); they are compared against but
     not returned.
@@ -55,7 +57,8 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
         before = seeds.select(run, F.lit(-1).cast("long").alias("seq"), "us", "units", F.lit(True).alias("_seed"))
         both = counters.withColumn("_seed", F.lit(False)).unionByName(before, allowMissingColumns=True)
         return rolling_rate(both, window_s, block_us, run).where("not _seed").drop("_seed")
-    df = _prev_and_segments(counters.withColumn("_tb", _block("us", blk)), run)
+    odd = counters.where(~_measured()).withColumns({"elapsed_s": F.lit(0.0), "rate": F.lit(0.0)})
+    df = _prev_and_segments(counters.where(_measured()).withColumn("_tb", _block("us", blk)), run)
     # previous sample inside the same segment, else none
     same = F.col("_rs") == 0
     df = (df.withColumn("_pus", F.when(same, F.col("prev_us")))
@@ -76,8 +79,14 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
         F.greatest(F.lit(0.0), (F.col("units") - j0["units"]) / elapsed))
     out = got.withColumn("elapsed_s", F.when(j0.isNull(), F.lit(0.0)).otherwise(F.greatest(elapsed, F.lit(0.0))))
     out = out.withColumn("rate", rate)
-    return out.drop("_tb", "_rs", "_seg", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first",
-                    "prev_units", "prev_us", "prev_seq")
+    out = out.drop("_tb", "_rs", "_seg", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first",
+                   "prev_units", "prev_us", "prev_seq")
+    return out.unionByName(odd)
+
+
+def _measured() -> Column:
+    """Samples that can be compared: they have a clock, and units that are a number."""
+    return F.col("us").isNotNull() & F.col("units").isNotNull() & ~F.isnan(F.col("units").cast("double"))
 
 
 def _prev_and_segments(df: DataFrame, run: str) -> DataFrame:
@@ -85,31 +94,32 @@ def _prev_and_segments(df: DataFrame, run: str) -> DataFrame:
     number of rewinds so far ``_seg``, in one two-level pass over clock
     blocks ``_tb``: one window inside each block, one small per-block table
     carrying each block's last sample and rewind count to the next block."""
-    inner = Window.partitionBy(run, "_tb").orderBy("us", "seq")
+    df = df.withColumn(RUN_KEY, F.struct(run))                     # never null, so no run is lost in the join
+    inner = Window.partitionBy(RUN_KEY, "_tb").orderBy("us", "seq")
     d = (df.withColumn("_rn", F.row_number().over(inner))
          .withColumn("_lu", F.lag("units").over(inner))
          .withColumn("_lus", F.lag("us").over(inner))
          .withColumn("_lseq", F.lag("seq").over(inner)))
     d = d.withColumn("_ri", (F.col("_lu").isNotNull() & (F.col("units") < F.col("_lu"))).cast("long"))
     d = d.withColumn("_ci", F.sum("_ri").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    blocks = d.groupBy(run, "_tb").agg(
+    blocks = d.groupBy(RUN_KEY, "_tb").agg(
         F.min(F.struct("us", "seq", "units")).alias("_first"),
         F.max(F.struct("us", "seq", "units")).alias("_last"),
         F.sum("_ri").alias("_ni"))
-    bw = Window.partitionBy(run).orderBy("_tb")
+    bw = Window.partitionBy(RUN_KEY).orderBy("_tb")
     blocks = blocks.withColumn("_pl", F.lag("_last").over(bw))
     blocks = blocks.withColumn("_bd", (F.col("_pl").isNotNull() & (F.col("_first")["units"] < F.col("_pl")["units"]))
                                .cast("long"))
     blocks = blocks.withColumn("_bb", F.coalesce(F.sum(F.col("_ni") + F.col("_bd")).over(
         bw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_bd"))
-    d = d.join(blocks.select(run, "_tb", "_pl", "_bd", "_bb"), [run, "_tb"])
+    d = d.join(blocks.select(RUN_KEY, "_tb", "_pl", "_bd", "_bb"), [RUN_KEY, "_tb"])
     first = F.col("_rn") == 1
     return (d.withColumn("prev_units", F.when(first, F.col("_pl")["units"]).otherwise(F.col("_lu")))
             .withColumn("prev_us", F.when(first, F.col("_pl")["us"]).otherwise(F.col("_lus")))
             .withColumn("prev_seq", F.when(first, F.col("_pl")["seq"]).otherwise(F.col("_lseq")))
             .withColumn("_rs", F.when(first, F.col("_bd")).otherwise(F.col("_ri")))
             .withColumn("_seg", F.col("_bb") + F.col("_ci"))
-            .drop("_rn", "_lu", "_lus", "_lseq", "_ri", "_ci", "_pl", "_bd", "_bb"))
+            .drop("_rn", "_lu", "_lus", "_lseq", "_ri", "_ci", "_pl", "_bd", "_bb", RUN_KEY))
 
 
 def eta(df: DataFrame, target: float | Column, units: str = "units", rate: str = "rate") -> DataFrame:
@@ -123,8 +133,11 @@ def eta(df: DataFrame, target: float | Column, units: str = "units", rate: str =
 def audit_counters(counters: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: str = RUN) -> DataFrame:
     """Violations ``(run, seq, rule, expected, found)`` of a counter log with
     ``added`` increments: negative increments, an increment that differs from
-    the observed change, and units going backwards."""
-    df = _prev_and_segments(counters.withColumn("_tb", _block("us", block_us)), run)
+    the observed change, units going backwards, and samples without a clock or a number of
+    units (``missing``), which the other rules pass over."""
+    odd = counters.where(~_measured()).select(
+        run, "seq", F.lit("missing").alias("rule"), F.lit(None).cast("double").alias("expected"), F.col("units").cast("double").alias("found"))
+    df = _prev_and_segments(counters.where(_measured()).withColumn("_tb", _block("us", block_us)), run)
     change = F.col("units") - F.col("prev_units")
     rules = F.array(
         F.when(F.col("added") < 0, F.struct(F.lit("negative_delta").alias("rule"), F.lit(0).cast("double").alias("expected"),
@@ -136,7 +149,7 @@ def audit_counters(counters: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: s
                F.struct(F.lit("backwards").alias("rule"), F.col("prev_units").cast("double").alias("expected"),
                         F.col("units").cast("double").alias("found"))))
     return (df.select(run, "seq", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("v"))
-            .select(run, "seq", "v.rule", "v.expected", "v.found"))
+            .select(run, "seq", "v.rule", "v.expected", "v.found").unionByName(odd))
 
 
 # ---------------------------------------------------------------- W3, M5, M6
@@ -148,6 +161,7 @@ def training_log(log: DataFrame, block_steps: int = DEFAULT_BLOCK_STEPS, run: st
     """Per-step training log ``(run, step, us, train_loss, dev_loss, is_eval)``
     → adds ``held_dev_loss`` (W3), ``interval`` and, on evaluation rows,
     ``average_train_loss`` (M5), ``best_dev_loss`` and ``best_average_train_loss`` (M6).
+    A null run is a run; rows without a step come before its others.
     """
     df = log.withColumn("_tb", _block("step", block_steps))      # blocks follow the order, not the clock
     # one two-level pass: W3 last dev loss of an earlier evaluation (struct max
@@ -162,19 +176,20 @@ def training_log(log: DataFrame, block_steps: int = DEFAULT_BLOCK_STEPS, run: st
     ok = _finite(F.col("train_loss"))
     # one row per interval: its average (the closing evaluation's own loss
     # when nothing finite is left) and, over evaluations so far, the best one
-    per = (df.groupBy(run, "interval")
+    df = df.withColumn(RUN_KEY, F.struct(run))
+    per = (df.groupBy(RUN_KEY, "interval")
            .agg(F.sum(F.when(ok, F.col("train_loss"))).alias("_s"), F.sum(ok.cast("long")).alias("_n"),
                 F.max(F.col("is_eval").cast("int")).alias("_has_eval"),
                 F.max(F.when(F.col("is_eval"), F.col("train_loss"))).alias("_own")))
     per = per.withColumn("_avg", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("_own")))
     fin = F.when((F.col("_has_eval") == 1) & _finite(F.col("_avg")), F.col("_avg"))
     per = prefix_agg(per.withColumn("_ba", fin), "_ba", ["interval"], F.floor(F.col("interval") / 4096),
-                     "best_average_train_loss", [run], how="min")
-    df = df.join(per.select(run, "interval", "_avg", "best_average_train_loss"), [run, "interval"], "left")
+                     "best_average_train_loss", [RUN_KEY], how="min")
+    df = df.join(per.select(RUN_KEY, "interval", "_avg", "best_average_train_loss"), [RUN_KEY, "interval"], "left")
     df = df.withColumn("average_train_loss", F.when(F.col("is_eval"), F.col("_avg")))
     df = df.withColumn("best_dev_loss", F.when(F.col("is_eval"), F.col("best_dev_loss")))
     df = df.withColumn("best_average_train_loss", F.when(F.col("is_eval"), F.col("best_average_train_loss")))
-    return df.drop("_tb", "_avg")
+    return df.drop("_tb", "_avg", RUN_KEY)
 
 
 # ---------------------------------------------------------------- M7, M8, M9, M12

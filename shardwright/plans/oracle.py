@@ -547,6 +547,30 @@ FROM j WHERE tokens IS NOT NULL AND tokens <> {R.S}
 """
 
 SQL["resume_build"] = SQL["pack_windows"]
+SQL["resume_source"] = SQL["pack_windows"]
+
+SQL["build_progress"] = f"""
+WITH b AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS n, {CAP} AS cap FROM documents),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, sum({NTOK}) OVER (ORDER BY doc_id) AS e FROM documents),
+f AS (SELECT count(*) AS n0 FROM documents, b WHERE doc_id < lo + (hi - lo + 1) // 3),
+c AS (SELECT g.j + 1 AS commit_id, least(n0 + g.j * ((n + 2) // 3), n) AS upto, n0 + (g.j - 1) * ((n + 2) // 3) AS before, cap
+      FROM b, f, unnest(generate_series(0, 3)) AS g(j)),
+stop AS (SELECT min(i) AS last_used FROM d, b WHERE e >= cap * {R.S}),
+k AS (SELECT commit_id, least(upto, last_used) AS used, cap FROM c, stop WHERE commit_id = 1 OR (before < last_used AND before < (SELECT n FROM b)))
+SELECT commit_id::BIGINT AS commit_id, least(cap, coalesce(e, 0) // {R.S})::BIGINT AS next_shard,
+       (least(cap, coalesce(e, 0) // {R.S}) * {R.S})::BIGINT AS committed_tokens,
+       (coalesce(e, 0) - least(cap, coalesce(e, 0) // {R.S}) * {R.S})::BIGINT AS pending_tokens,
+       used::BIGINT AS source_documents_consumed, doc_id AS last_doc_id, (least(cap, coalesce(e, 0) // {R.S}) = cap)::INTEGER AS complete
+FROM k LEFT JOIN d ON d.i = k.used
+"""
+
+SQL["odd_ids"] = f"""
+WITH o AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id // 3 END AS doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key,
+                  {NTOK}::BIGINT AS n_tokens FROM documents)
+SELECT doc_id, text_key, n_tokens,
+       (sum(n_tokens) OVER (ORDER BY doc_id NULLS FIRST, text_key, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens)::BIGINT AS start,
+       sum(n_tokens) OVER (ORDER BY doc_id NULLS FIRST, text_key, n_tokens ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM o
+"""
 
 SQL["dev_rotation"] = f"""
 WITH {_CE},
@@ -554,7 +578,7 @@ b AS (SELECT seq_index // {R.DEV_ROWS} AS batch, seq_index, seq_loss FROM sq),
 kept AS (SELECT vec_id // {R.EVAL_T} AS seq_index, count(loss) AS n FROM ce GROUP BY 1),
 p AS (SELECT max(batch) + 1 AS n, least({R.ROTATION_BATCHES}, max(batch) + 1) AS k FROM b),
 e AS (SELECT j AS eval_no, (j * k + i) % n AS batch, ((j + 1) * k) % n AS cursor_after
-      FROM p, unnest(generate_series(0, {R.ROTATIONS - 1})) AS a(j), unnest(generate_series(0, {R.ROTATION_BATCHES - 1})) AS c(i) WHERE i < k)
+      FROM p, unnest(generate_series(0, n // {R.ROTATION_BATCHES} + 1)) AS a(j), unnest(generate_series(0, {R.ROTATION_BATCHES - 1})) AS c(i) WHERE i < k)
 SELECT e.eval_no::BIGINT AS eval_no, e.cursor_after::BIGINT AS cursor_after, round(sum(seq_loss * kept.n) / sum(kept.n), 6) AS sampled_loss,
        sum(kept.n)::BIGINT AS tokens, count(DISTINCT e.batch)::BIGINT AS batches
 FROM e JOIN b ON e.batch = b.batch JOIN kept ON kept.seq_index = b.seq_index GROUP BY e.eval_no, e.cursor_after
@@ -611,9 +635,9 @@ FROM (SELECT doc_id, {BYTES} AS ids FROM documents)
 """
 
 SQL["word_lists"] = """
-WITH p AS (SELECT doc_id, unnest(string_split('all,' || split_part(text, chr(10), 1), ',')) AS x,
-                  generate_subscripts(string_split('all,' || split_part(text, chr(10), 1), ','), 1) AS i FROM documents),
-t AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM p WHERE trim(x) <> '' GROUP BY 1, 2)
+WITH p AS (SELECT doc_id, unnest(string_split('all,' || text, ',')) AS x,
+                  generate_subscripts(string_split('all,' || text, ','), 1) AS i FROM documents),
+t AS (SELECT doc_id, trim(x, e'\\t\\n\\x0b\\f\\r ') AS x, min(i) AS i FROM p WHERE trim(x, e'\\t\\n\\x0b\\f\\r ') <> '' GROUP BY 1, 2)
 SELECT doc_id, count(*)::BIGINT AS names, string_agg(x, '|' ORDER BY i) AS list FROM t GROUP BY doc_id
 """
 

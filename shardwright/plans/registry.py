@@ -700,7 +700,74 @@ def resume_build(spark, sf):
                     F.md5(F.array_join("window", ",")).alias("window_md5"))
 
 
-DEV_ROWS, ROTATION_BATCHES, ROTATIONS = 4, 5, 7
+@query
+def resume_source(spark, sf):
+    """T1 inside the source: the first third of the documents as a batch build, then a stream over the
+    whole table, with a checkpoint of its own, that takes what the build has not consumed."""
+    import uuid
+
+    from shardwright.session import checkpoint_dir
+    from shardwright.sources.token_shards import read_windows
+    from shardwright.streaming import corpus_build
+
+    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE)
+    out = checkpoint_dir(spark).rstrip("/") + f"/goes-on-{uuid.uuid4().hex}"
+    d = docs(spark, sf)
+    lo, hi = d.agg(F.min("doc_id"), F.max("doc_id")).first()
+    corpus.write_corpus(d.where(F.col("doc_id") < lo + (hi - lo + 1) // 3), out, cfg)
+    corpus_build.resume_build(spark, f"{sf}/documents.parquet", out, cfg, out + "-checkpoint")
+    return _window_rows(read_windows(spark, out, T, STRIDE))
+
+
+def _window_rows(w):
+    return w.select("seq_index", F.col("shard").cast("long").alias("shard"), "k",
+                    F.size("window").cast("long").alias("n_tokens"),
+                    F.try_element_at("window", F.lit(1)).cast("long").alias("first_token"),
+                    F.try_element_at("window", F.lit(-1)).cast("long").alias("last_token"),
+                    F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
+                    F.md5(F.array_join("window", ",")).alias("window_md5"))
+
+
+@query
+def build_progress(spark, sf):
+    """A build limited to half of the stream's shards, as a batch of a third of the documents and a stream
+    over the table in micro-batches of a third; what each commit states, and whether it is complete."""
+    import uuid
+
+    from shardwright.operators.audit import is_complete
+    from shardwright.session import checkpoint_dir
+    from shardwright.sources.manifests import Ledger
+    from shardwright.streaming import corpus_build
+
+    d = docs(spark, sf)
+    n, lo, hi = d.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    cfg = PackingConfig(shard_size=S, seq_len=T, stride=STRIDE, max_shards=cap_shards(_total(spark, sf)))
+    out = checkpoint_dir(spark).rstrip("/") + f"/progress-{uuid.uuid4().hex}"
+    corpus.write_corpus(d.where(F.col("doc_id") < lo + (hi - lo + 1) // 3), out, cfg)
+    corpus_build.resume_build(spark, f"{sf}/documents.parquet", out, cfg, out + "-checkpoint", max_documents=-(-n // 3))
+    ledger = Ledger(spark, out)
+    done = ledger.table().withColumn("complete", (F.col("next_shard") == F.col("max_shards"))
+                                     & (F.col("committed_tokens") == F.col("max_shards") * F.col("shard_size_tokens")))
+    assert is_complete(ledger.latest()) == corpus_build.completion(spark, out)
+    return done.select("commit_id", F.col("next_shard").cast("long").alias("next_shard"), "committed_tokens", "pending_tokens",
+                       "source_documents_consumed", "last_doc_id", F.col("complete").cast("int").alias("complete"))
+
+
+@query
+def odd_ids(spark, sf):
+    """G1 over documents of which some have no id and some share one: nulls first, equal ids by what they hold."""
+    d = docs(spark, sf).withColumn("text_key", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+    some = d.select(F.when(F.col("doc_id") % 7 != 0, F.floor(F.col("doc_id") / 3)).cast("long").alias("doc_id"), "text", "text_key")
+    off = corpus.offsets_only(some, tie=F.col("text_key"), keep=("text_key",))
+    return off.select("doc_id", "text_key", "n_tokens", "start", "end")
+
+
+DEV_ROWS, ROTATION_BATCHES = 4, 5
+
+
+def rotations(n: int) -> int:
+    """Evaluations after which every one of ``n`` dev batches was read, and the first ones again."""
+    return n // ROTATION_BATCHES + 2
 
 
 @query
@@ -710,7 +777,7 @@ def dev_rotation(spark, sf):
 
     seqs = sequence_loss(_pos_loss(spark, sf)).withColumn("batch", F.floor(F.col("seq_index") / DEV_ROWS).cast("long"))
     n = seqs.agg(F.max("batch")).first()[0] + 1
-    plan = packing.dev_sample_plan(spark, ROTATIONS, n, ROTATION_BATCHES)
+    plan = packing.dev_sample_plan(spark, rotations(n), n, ROTATION_BATCHES)
     rows = plan.join(seqs, F.col("dev_batch") == F.col("batch"))
     out = packing.weighted_loss(rows, ["eval_no", "cursor_after"], "seq_loss", "n_tokens")
     return out.select("eval_no", "cursor_after", _round(F.col("sampled_loss")).alias("sampled_loss"), "tokens", "batches")
@@ -782,11 +849,10 @@ def checked_ids(spark, sf):
 
 @query
 def word_lists(spark, sf):
-    """The text before a document's first line feed as a comma list, trimmed, ordered, distinct."""
+    """Every whole text as a comma list, trimmed, ordered, distinct."""
     from shardwright.functions.columns import parse_list
 
-    head = F.concat(F.lit("all,"), F.substring_index("text", "\n", 1))
-    return docs(spark, sf).select("doc_id", parse_list(head).alias("l")).select(
+    return docs(spark, sf).select("doc_id", parse_list(F.concat(F.lit("all,"), "text")).alias("l")).select(
         "doc_id", F.size("l").cast("long").alias("names"), F.array_join("l", "|").alias("list"))
 
 

@@ -30,6 +30,11 @@ def exists(uri: str) -> bool:
     return store.get_file_info(path).type != fs.FileType.NotFound
 
 
+def is_file(uri: str) -> bool:
+    store, path = place(uri)
+    return store.get_file_info(path).type == fs.FileType.File
+
+
 def size(uri: str) -> int:
     store, path = place(uri)
     return store.get_file_info(path).size

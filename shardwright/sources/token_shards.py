@@ -7,10 +7,11 @@ byte range those windows need. ``mode=chunks`` yields ``(shard, chunk, pos,
 tokens)`` chunk rows instead.
 
 Write: ``df.write.format("token_shards").mode("append").save(dir)`` takes chunk
-rows ``(shard, pos, tokens)``, tokens as arrays or as packed 16-bit numbers; each task writes whole shards to temporary names
-and the driver's ``commit`` renames them (``abort`` removes them), so a lost or
-retried task never leaves a partial shard under a final name. Use
-``write_token_shards`` to get the required ``repartition``/sort first.
+rows ``(shard, pos, tokens)``, tokens as arrays or as packed 16-bit numbers; each attempt of a task
+writes whole shards to a folder of its own, and the driver's ``commit`` names the files that count
+in one small file (``shardwright.sources.commits``). Readers follow the commits; a folder
+without any is read by its file names. Use ``write_token_shards`` to get the required
+``repartition``/sort first.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
-from shardwright.sources import store
+from shardwright.sources import commits, store
 
 SHARD_GLOB = "shard_*.bin"
 BATCH_WINDOWS, BATCH_VALUES = 1024, 1 << 22      # of one Arrow batch
@@ -49,6 +51,10 @@ def list_shards(path: str) -> list[tuple[str, int]]:
     found: dict[str, list[tuple[int, str, int]]] = {}
     for p in path.split(","):
         p = p.strip()
+        named = None if "*" in posixpath.basename(p) else commits.committed(p)
+        if named is not None:
+            found.setdefault(p.rstrip("/"), []).extend((n, store.below(p, f.path), f.bytes) for n, f in named.items())
+            continue
         folder, name = (posixpath.dirname(p), posixpath.basename(p)) if "*" in posixpath.basename(p) else (p.rstrip("/"), SHARD_GLOB)
         for uri, size in store.listing(folder, name):
             m = re.search(r"(\d+)\.bin$", uri)
@@ -147,8 +153,8 @@ class TokenShardReader(DataSourceReader):
 
 
 @dataclass
-class ShardFiles(WriterCommitMessage):
-    staged: list          # (temporary path, final path)
+class Written(WriterCommitMessage):
+    files: list           # commits.ShardFile
 
 
 class TokenShardWriter(DataSourceArrowWriter):
@@ -159,13 +165,16 @@ class TokenShardWriter(DataSourceArrowWriter):
     def write(self, batches):
         """Rows arrive sorted by (shard, pos) as Arrow batches; tokens of each
         batch are flattened once and cut by shard with NumPy."""
-        from pyspark import TaskContext
+        folder = commits.attempt_folder()
+        where, path = store.place(store.below(self.path, folder))
+        done, fh, cur, expect, crc = [], None, None, 0, 0
+
+        def close():
+            fh.close()
+            if self.size is not None and expect != self.size:
+                raise ValueError(f"shard {cur} has {expect} tokens, expected {self.size}")
+            done.append(commits.ShardFile(cur, 2 * expect, crc, f"{folder}/{shard_name(cur)}"))
 
-        files, folder = store.place(self.path)
-        files.create_dir(folder, recursive=True)
-        ctx = TaskContext.get()
-        tag = f"{ctx.partitionId()}-{ctx.attemptNumber()}" if ctx else "0-0"
-        staged, fh, cur, expect = [], None, None, 0
         for rb in batches:
             shards = rb.column("shard").to_numpy(zero_copy_only=False)
             poss = rb.column("pos").to_numpy(zero_copy_only=False)
@@ -185,36 +194,29 @@ class TokenShardWriter(DataSourceArrowWriter):
                 shard = int(shards[i])
                 if shard != cur:
                     if fh is not None:
-                        fh.close()
-                        self._check(cur, expect)
-                    cur, expect = shard, 0
-                    final = store.below(self.path, shard_name(shard))
-                    tmp = store.below(self.path, f".{shard_name(shard)}.{tag}.tmp")
-                    staged.append((tmp, final))
-                    fh = files.open_output_stream(store.place(tmp)[1])
+                        close()
+                    else:
+                        where.create_dir(path, recursive=True)
+                    cur, expect, crc = shard, 0, 0
+                    fh = where.open_output_stream(f"{path}/{shard_name(shard)}")
                 if int(poss[i]) != expect:
                     raise ValueError(f"shard {shard}: chunk at {poss[i]} but {expect} expected (sort by shard, pos)")
-                piece = flat[offs[i] - base: offs[i + 1] - base]
-                fh.write(piece.tobytes())
-                expect += piece.size
+                piece = flat[offs[i] - base: offs[i + 1] - base].tobytes()
+                fh.write(piece)
+                crc = zlib.crc32(piece, crc)
+                expect += len(piece) // 2
         if fh is not None:
-            fh.close()
-            self._check(cur, expect)
-        return ShardFiles(staged)
-
-    def _check(self, shard, n):
-        if self.size is not None and n != self.size:
-            raise ValueError(f"shard {shard} has {n} tokens, expected {self.size}")
+            close()
+        return Written(done)
 
     def commit(self, messages):
-        for m in messages:
-            for tmp, final in (m.staged if m else []):
-                store.move(tmp, final)
+        commits.commit(self.path, [f for m in messages if m for f in m.files])
 
     def abort(self, messages):
+        """Nothing names the files of these attempts; they are only in the way."""
         for m in messages:
-            for tmp, _ in (m.staged if m else []):
-                store.remove(tmp)
+            for f in (m.files if m else []):
+                store.remove(store.below(self.path, f.path))
 
 
 class TokenShardSource(DataSource):
@@ -256,7 +258,7 @@ TASK_TOKENS = 1 << 26       # tokens that one task writes, about
 
 
 def write_token_shards(chunks: DataFrame, path: str, shard_size: int | None = None, shards: int | None = None) -> None:
-    """Chunk rows → one ``.bin`` per shard, written atomically.
+    """Chunk rows → one ``.bin`` per shard, all of them there at once or not at all.
 
     Rows of one shard go to one task (hash by shard, sorted by position); a
     shard is bounded by ``shard_size`` tokens, written chunk by chunk. The number of

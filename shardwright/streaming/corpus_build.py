@@ -8,7 +8,7 @@ is appended last. The state is audited before anything is added to it. A batch
 number counts only within its stream: a replayed batch of the same stream finds
 its row and does nothing, a first batch of another stream over the same build
 is not taken for a replay. A batch that died before its ledger row is
-recomputed and rewrites the same files. Batches must arrive in ``doc_id``
+recomputed; its earlier files no commit names. Batches must arrive in ``doc_id``
 order; an out-of-order batch is refused because it would change the stream.
 Shards, pending rows and documents consumed are those of the batch build for
 any way the documents are cut into batches, with a limit on the shards or without.
@@ -41,14 +41,17 @@ def build_batch(batch: DataFrame, batch_id: int, directory: str, cfg: PackingCon
     if is_complete(state):
         return None                                   # T2: nothing left to do
     docs = batch.select("doc_id", "text")
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"),
+                     F.max("doc_id").alias("hi")).first()
     if stats["n"] == 0:
         return None
+    if stats["ids"] < stats["n"]:
+        raise RuntimeError(f"{stats['n'] - stats['ids']} documents of the batch have no doc_id")
     if state["last_doc_id"] is not None and stats["lo"] <= state["last_doc_id"]:
         raise RuntimeError(f"documents out of order: batch starts at {stats['lo']} after {state['last_doc_id']}")
     S = cfg.shard_size
     base = int(state["committed_tokens"]) + int(state["pending_tokens"] or 0)
-    enc, total = encode_with_offsets(docs, encoder, base=base)
+    enc, total = encode_with_offsets(docs, encoder, base=base, unique=True)
     new = packing.cut_shards(enc, S, ids_col="ids").select("doc_id", "shard", "lo", "pos", "tokens")
     old = ledger.pending(state)
     if state.get("pending_path"):
@@ -96,10 +99,26 @@ def start_corpus_build(stream: DataFrame, directory: str, cfg: PackingConfig, ch
         build_batch(df, batch_id, directory, cfg, encoder, identity, stream_id=checkpoint)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="0 seconds")
     return w.start()
 
 
+def resume_build(spark: SparkSession, path: str, directory: str, cfg: PackingConfig, checkpoint: str, encoder=None,
+                 identity: BuildIdentity | None = None, max_documents: int | None = None):
+    """Goes on with a build over the table it has begun: a stream of the documents that its ledger does
+    not count yet, in ``doc_id`` order, which ends when the table or the build is complete."""
+    from shardwright.sources.document_stream import documents_after
+
+    stream = documents_after(spark, path, directory, max_documents=max_documents)
+    query = start_corpus_build(stream, directory, cfg, checkpoint, encoder, identity, available_now=max_documents is None)
+    if max_documents is None:
+        query.awaitTermination()
+    else:
+        query.processAllAvailable()
+        query.stop()
+    return Ledger(spark, directory).latest()
+
+
 def completion(spark: SparkSession, directory: str) -> bool:
     """Report completion from the ledger (not from the source running dry)."""
     st = Ledger(spark, directory).latest()

@@ -11,7 +11,8 @@ from shardwright.config import BuildIdentity, PackingConfig
 from shardwright.operators import audit as A
 from shardwright.plans import corpus
 from shardwright.sources import manifests as M
-from shardwright.sources.token_shards import read_chunks, read_windows
+from shardwright.sources import commits
+from shardwright.sources.token_shards import TokenShardWriter, list_shards, read_chunks, read_windows
 from shardwright.streaming.corpus_build import build_batch
 
 
@@ -37,8 +38,13 @@ def test_bin_round_trip_equals_in_memory_windows(spark, tmpdir_path):
     assert chunks.agg(F.sum(F.size("tokens"))).first()[0] == state["committed_tokens"]
 
 
+def shard_path(d, name):
+    """Where the file of a shard lies: in the folder of the attempt that wrote it."""
+    return next(uri for uri, _ in list_shards(d) if uri.endswith(name))
+
+
 def _shard_bytes(d):
-    return {f: open(os.path.join(d, f), "rb").read() for f in sorted(os.listdir(d)) if f.endswith(".bin")}
+    return {os.path.basename(uri): open(uri, "rb").read() for uri, _ in list_shards(d)}
 
 
 def test_incremental_equals_batch(spark, tmpdir_path):
@@ -102,7 +108,7 @@ def test_resume_refuses_another_geometry_and_damage(spark, tmpdir_path):
     for change in ({"shard_size": 250}, {"max_shards": 3}):
         with pytest.raises(RuntimeError, match="config_drift"):
             build_batch(parts[1], 0, tmpdir_path, dataclasses.replace(CFG, **change), identity=ID)
-    shard = os.path.join(tmpdir_path, "shard_00000.bin")
+    shard = shard_path(tmpdir_path, "shard_00000.bin")
     kept = open(shard, "rb").read()
     open(shard, "wb").write(kept[:-2])
     with pytest.raises(RuntimeError, match="file_size"):
@@ -170,8 +176,8 @@ def test_state_missing(spark, tmpdir_path):
 
 def test_file_missing_and_size(spark, tmpdir_path):
     good_set(spark, tmpdir_path)
-    os.remove(os.path.join(tmpdir_path, "shard_00001.bin"))
-    with open(os.path.join(tmpdir_path, "shard_00000.bin"), "ab") as fh:
+    os.remove(shard_path(tmpdir_path, "shard_00001.bin"))
+    with open(shard_path(tmpdir_path, "shard_00000.bin"), "ab") as fh:
         fh.write(b"\x00\x00")
     assert rules(audit(spark, tmpdir_path)) == ["file_missing", "file_size"]
 
@@ -218,7 +224,7 @@ def test_orphans_drift_pending_seed(spark, tmpdir_path):
 
 def test_odd_length_and_totals(spark, tmpdir_path):
     good_set(spark, tmpdir_path)
-    with open(os.path.join(tmpdir_path, "shard_00001.bin"), "ab") as fh:
+    with open(shard_path(tmpdir_path, "shard_00001.bin"), "ab") as fh:
         fh.write(b"\x01")
     assert rules(A.odd_lengths(M.shard_files(spark, tmpdir_path))) == ["odd_length"]
     # the reader ignores the odd byte
@@ -257,3 +263,97 @@ def test_config_round_trip(spark):
     assert back.to_metadata() == cfg.to_metadata() and back.decay_start_step == 80
     with pytest.raises(ValueError):
         TrainConfig.from_metadata(mystery=1)
+
+
+# ---------------------------------------------------------------- commits that name their files
+def chunk_batches(*shards, size=8):
+    import pyarrow as pa
+
+    return [pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "pos": pa.array([0], pa.int64()),
+                                        "tokens": pa.array([[s] * size], pa.list_(pa.int32()))}) for s in shards]
+
+
+def writer(d, size=8):
+    return TokenShardWriter({"path": d, "shard_size": str(size)}, False)
+
+
+def test_doubled_and_aborted_attempts_leave_nothing_to_read(tmpdir_path):
+    w = writer(tmpdir_path)
+    first, second = w.write(iter(chunk_batches(0, 1))), w.write(iter(chunk_batches(0, 1)))   # a speculative twin
+    assert commits.committed(tmpdir_path) is None and list_shards(tmpdir_path) == []
+    w.commit([second])
+    assert [os.path.basename(p) for p, _ in list_shards(tmpdir_path)] == ["shard_00000.bin", "shard_00001.bin"]
+    before = list_shards(tmpdir_path)
+    late = w.write(iter(chunk_batches(0)))                        # a late attempt changes nothing
+    assert list_shards(tmpdir_path) == before
+    assert sorted(commits.unnamed(tmpdir_path)) == sorted(f"{tmpdir_path}/{f.path}" for f in first.files + late.files)
+    w.abort([first, late, None])
+    assert list_shards(tmpdir_path) == before and commits.unnamed(tmpdir_path) == []
+    with pytest.raises(ValueError, match="expected 8"):
+        w.write(iter(chunk_batches(2, size=7)))
+    assert list_shards(tmpdir_path) == before
+
+
+def test_commits_are_whole_or_not_there_and_stay_few_to_read(tmpdir_path, monkeypatch):
+    w, opened = writer(tmpdir_path), []
+    for n in range(40):
+        w.commit([w.write(iter(chunk_batches(n)))])
+    whole = commits.committed(tmpdir_path)
+    assert sorted(whole) == list(range(40)) and [n for n in whole if whole[n].bytes != 16] == []
+    names = sorted(os.listdir(f"{tmpdir_path}/{commits.FOLDER}"))
+    read = commits._read
+    monkeypatch.setattr(commits, "_read", lambda *a: opened.append(a) or read(*a))
+    commits.committed(tmpdir_path)
+    assert len(opened) <= commits.SNAPSHOT + 1
+    last = f"{tmpdir_path}/{commits.FOLDER}/{names[-1]}"
+    text = open(last).read()
+    open(last, "w").write(text[:-4])                              # torn while being written
+    assert sorted(commits.committed(tmpdir_path)) == list(range(39))
+    open(last, "w").write(text)
+    again = w.write(iter(chunk_batches(3)))
+    w.commit([again])
+    assert commits.committed(tmpdir_path)[3] == again.files[0]    # the last commit counts
+
+
+def test_audit_opens_only_what_is_new(spark, tmpdir_path, monkeypatch):
+    parts = batches(docs(spark, 120, seed=4), [0, 30, 60, 90, 120])
+    corpus.write_corpus(parts[0], tmpdir_path, CFG, identity=ID)
+    opened, exists = [], M.store.exists
+    monkeypatch.setattr(M.store, "exists", lambda p: (opened.append(p) if "_meta" in p else None) or exists(p))
+    counts = []
+    for n, part in enumerate(parts[1:]):
+        opened.clear()
+        build_batch(part, n, tmpdir_path, CFG, identity=ID, stream_id="s")
+        counts.append(len(opened))
+    ledger = M.Ledger(spark, tmpdir_path)
+    steps = [r["next_shard"] for r in ledger.table().orderBy("commit_id").collect()]
+    assert counts == [0, *(b - a for a, b in zip(steps[:-2], steps[1:-1]))]   # the first load audits all, later ones what is new
+    state = ledger.load(ID, CFG)
+    assert state["audited_shards"] == steps[-1] > state["next_shard"] - 1
+    shard = shard_path(tmpdir_path, "shard_00000.bin")
+    kept = open(shard, "rb").read()
+    open(shard, "ab").write(b"\0\0")                              # an old shard, audited long ago
+    with pytest.raises(RuntimeError, match="file_size: shard 0"):
+        ledger.load(ID, CFG)
+    open(shard, "wb").write(kept)                                 # another time, the same content: audited anew and taken
+    assert ledger.load(ID, CFG)["audit_digest"] != ledger.latest()["audit_digest"]
+    meta = f"{tmpdir_path}/shard_00001_meta.json"
+    m = json.load(open(meta))
+    json.dump({**m, "tokens": 7}, open(meta, "w"))
+    with pytest.raises(RuntimeError, match="meta_mismatch: shard 1"):
+        ledger.load(ID, CFG)
+
+
+def test_a_commit_number_is_taken_once(spark, tmpdir_path):
+    state = corpus.write_corpus(docs(spark, 20), tmpdir_path, CFG, identity=ID)
+    with pytest.raises(RuntimeError, match="another build"):
+        M.Ledger(spark, tmpdir_path).commit(state)
+
+
+@pytest.mark.parametrize("ids, what", [([1, 2, 2, 3], "two documents have the doc_id 2"), ([1, None, 3], "no doc_id")])
+def test_a_build_refuses_ids_it_cannot_go_on_from(spark, tmpdir_path, ids, what):
+    d = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    with pytest.raises(Exception, match=what):
+        corpus.write_corpus(d, f"{tmpdir_path}/batch", CFG, identity=ID)
+    with pytest.raises(Exception, match=what if "two" in what else "have no doc_id"):
+        build_batch(d, 0, f"{tmpdir_path}/stream", CFG, identity=ID)
