@@ -72,6 +72,50 @@ def ban_ngrams(scores: DataFrame, history: DataFrame, n: int, ctx: str = CTX) ->
     return scores.join(banned_continuations(history, n, ctx), [ctx, "cand_id"], "left_anti")
 
 
+FACT_IDS = 1 << 22          # history ids that are looked at together
+
+
+def history_facts(history: DataFrame, n: int, ctx: str = CTX) -> DataFrame:
+    """``(ctx, cand_id, _seen, _ban)``: every id of a context's history once, and whether it would
+    repeat an n-gram (n = 0 bans none). One numpy pass over the histories, a batch of them at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = history.schema[ctx].dataType
+
+    def pairs(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = part.column("ids")
+        size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        ids = np.asarray(lists.flatten().cast(pa.int64()))
+        ends = np.cumsum(size)
+        row = np.repeat(np.arange(len(size)), size)
+        banned = np.zeros(len(ids), bool)
+        if n == 1:
+            banned[:] = True
+        elif n > 1:
+            at = np.arange(len(ids))                                # is the (n-1)-gram before this id the last one?
+            banned = at - (ends - size)[row] >= n - 1
+            for j in range(1, n):
+                banned[banned] = ids[at[banned] - j] == ids[ends[row[banned]] - j]
+        order = np.lexsort((~banned, ids, row))
+        r, i = row[order], ids[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+        return pa.RecordBatch.from_arrays([part.column(ctx).take(pa.array(r[first])), pa.array(i[first]),
+                                           pa.array(np.ones(int(first.sum()), bool)), pa.array(banned[order][first])], [ctx, "cand_id", "_seen", "_ban"])
+
+    def run(batches):
+        for batch in batches:
+            total = np.cumsum(np.asarray(batch.column("ids").value_lengths().fill_null(0)).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FACT_IDS, "right")))
+                yield pairs(batch.slice(at, to - at))
+                at = to
+
+    return history.select(ctx, "ids").mapInArrow(run, f"{ctx} {kind.simpleString()}, cand_id long, _seen boolean, _ban boolean")
+
+
 # C3
 def top_k(scores: DataFrame, k: int, ctx: str = CTX) -> DataFrame:
     """Keep scores ≥ the k-th largest (ties with it survive); 0 = off."""
@@ -153,14 +197,16 @@ def decode_policy(scores: DataFrame, history: DataFrame, cfg: DecodeConfig, ctx:
     penalty, n = cfg.repetition_penalty, cfg.no_repeat_ngram_size
     s = real
     if penalty != 1.0 or n > 0:
-        # one pass over the history: per context the ids seen and the ids banned
-        none = F.array().cast("array<int>")
-        facts = history.select(ctx, (F.array_distinct("ids") if penalty != 1.0 else none).alias("_seen"),
-                               (banned_ids("ids", n) if n > 0 else none).alias("_ban"))
-        x, seen = F.col("score"), F.coalesce(F.array_contains("_seen", F.col("cand_id").cast("int")), F.lit(False))
+        # candidates and the facts about a context's history meet in one shuffle by context: a fact is a
+        # row next to its candidate, however wide the vocabulary
+        facts = history_facts(history, n, ctx).select(ctx, F.col("cand_id").cast(s.schema["cand_id"].dataType).alias("cand_id"), "_seen", "_ban")
+        both = s.unionByName(facts, allowMissingColumns=True).withColumn("_own", F.col("_seen").isNull())
+        same = Window.partitionBy(ctx, "cand_id")
+        x, seen = F.col("score"), F.col("_seen")
         penalised = F.when(seen & (x < 0), x * penalty).when(seen, x / penalty).otherwise(x)
-        s = (s.join(facts, ctx, "left").withColumn("score", penalised)
-             .where(~F.coalesce(F.array_contains("_ban", F.col("cand_id").cast("int")), F.lit(False))).drop("_seen", "_ban"))
+        s = (both.repartition(ctx).withColumn("_seen", F.coalesce(F.max("_seen").over(same), F.lit(False)))
+             .withColumn("_ban", F.coalesce(F.max("_ban").over(same), F.lit(False)))
+             .where(F.col("_own") & ~F.col("_ban")).withColumn("score", penalised).drop("_seen", "_ban", "_own"))
     contexts = real.select(ctx).distinct()
     if cfg.greedy:
         return contexts.join(argmax(s, ctx), ctx, "left")

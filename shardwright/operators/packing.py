@@ -221,37 +221,46 @@ def uniform_window_spans(spark, n_shards: int, shard_size: int, seq_len: int, st
 
 
 # ---------------------------------------------------------------- G5
+WINDOW_CHUNK = 1 << 15      # tokens of a shard whose windows are cut together, about
+
+
 def pack_windows(segments: DataFrame, shard_size: int, seq_len: int,
-                 stride: int | None = None) -> DataFrame:
+                 stride: int | None = None, chunk_tokens: int = WINDOW_CHUNK) -> DataFrame:
     """Windows of T+1 tokens at ``stride`` inside full shards of S tokens.
 
     ``segments`` = committed ``(shard, pos, tokens)``. Output
     ``(seq_index, shard, k, window)``; windows never cross a shard.
+
+    Tokens are shuffled once, to chunks of a shard: a chunk holds the windows that begin in its
+    stretch, so the tokens they reach beyond it are copied to it as well (T of ``chunk_tokens``). Windows
+    are slices of their chunk, however much they overlap.
     """
     step = seq_len if stride is None else stride
     nw = windows_in(shard_size, seq_len, step)
     L = seq_len + 1
-    a = F.col("pos")
-    b = F.col("pos") + F.size("tokens")
-    k0 = F.greatest(F.lit(0).cast("long"), _floor_div(a - L, step) + 1)
-    k1 = F.least(F.lit(nw - 1).cast("long"), _floor_div(b - 1, step))
-
-    def piece(k):
-        ws = k * step
-        lo = F.greatest(a, ws)
-        hi = F.least(b, ws + L)
-        return F.struct(k.alias("k"), lo.alias("plo"),
-                        F.slice("tokens", (lo - a + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-
-    pieces = F.when(k1 >= k0, F.transform(F.sequence(k0, k1), piece))
-    exploded = segments.select("shard", F.explode(pieces).alias("p")).select("shard", "p.k", "p.plo", "p.piece")
+    many = max(1, chunk_tokens // step)                       # windows of a chunk
+    width = many * step
+    reach = (many - 1) * step + L                             # tokens from the chunk's first to its last window's end
+    chunks = -(-nw // many)
+    a, b = F.col("pos"), F.col("pos") + F.size("tokens")
+    c0 = F.greatest(F.lit(0).cast("long"), _floor_div(a - reach, width) + 1)
+    c1 = F.least(F.lit(chunks - 1).cast("long"), _floor_div(b - 1, width))
 
-    def assemble(d: DataFrame) -> DataFrame:
-        return (d.groupBy("shard", "k")
-                .agg(F.array_sort(F.collect_list(F.struct("plo", "piece"))).alias("ps"))
-                .select("shard", "k", F.flatten(F.transform("ps", lambda x: x["piece"])).alias("window")))
+    def piece(c):
+        lo = F.greatest(a, c * width)
+        hi = F.least(b, c * width + reach)
+        return F.struct(c.alias("c"), lo.alias("plo"),
+                        F.slice("tokens", (lo - a + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
 
-    out = assemble(exploded)
+    pieces = F.when((c1 >= c0) & (b > a), F.transform(F.sequence(c0, c1), piece))
+    held = (segments.select("shard", F.explode(pieces).alias("p"))
+            .select("shard", "p.c", F.struct("p.plo", "p.piece").alias("p")).where(F.size("p.piece") > 0)
+            .groupBy("shard", "c").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+            .select("shard", "c", F.flatten(F.transform("ps", lambda x: x["piece"])).alias("_tokens")))
+    first = F.col("c") * many
+    ks = F.sequence(first, F.least(first + many, F.lit(nw).cast("long")) - 1)
+    out = held.select("shard", "_tokens", "c", F.explode(ks).alias("k")).select(
+        "shard", "k", F.slice("_tokens", ((F.col("k") - first) * step + 1).cast("int"), L).alias("window"))
     return out.select((F.col("shard").cast("long") * nw + F.col("k")).cast("long").alias("seq_index"),
                       F.col("shard").cast("int").alias("shard"), F.col("k").cast("long").alias("k"),
                       F.col("window").cast("array<int>").alias("window"))
@@ -431,22 +440,22 @@ def data_position_py(step: int, accum: int, batches_per_epoch: int) -> tuple[int
     return divmod(step * accum, batches_per_epoch)
 
 
-def remaining_plan(train: DataFrame, seed: int, batch_size: int, accum: int, n_train: int,
-                   step: int, max_steps: int, idx_col: str = "local_index") -> DataFrame:
-    """The batches still to run after ``step``, epoch by epoch, each epoch
-    with its own permutation; consumed batches of the current epoch skipped."""
+def remaining_plan(spark, seed: int, batch_size: int, accum: int, n_train: int, step: int, max_steps: int) -> DataFrame:
+    """The batches still to run after ``step``, epoch by epoch, each epoch in its own order
+    (``operators.permutation``): ``(epoch, position, local_index, batch, step)``. Only what is left to run is
+    generated, whatever was consumed; a window's columns come by a join on ``local_index``."""
+    from shardwright.operators.permutation import orders
+
+    if batch_size <= 0:
+        raise ValueError("batch size must be greater than zero")
     per_epoch = n_batches(n_train, batch_size, True)
     if per_epoch == 0:
         raise ValueError("no full training batch")
-    e0, skip = data_position_py(step, accum, per_epoch)
-    g_end = max_steps * accum
-    e1 = (g_end - 1) // per_epoch if g_end > 0 else e0
-    epochs = list(range(e0, max(e0, e1) + 1))
-    plan = multi_epoch_order(train, seed, epochs, idx_col, n_rows=n_train)
-    plan = assign_batches(plan, batch_size, n_train, True)
-    g = F.col("epoch").cast("long") * per_epoch + F.col("batch")
-    plan = plan.filter((g >= F.lit(step * accum)) & (g < F.lit(g_end)))
-    return assign_steps(plan, accum, per_epoch)
+    if step < 0:
+        raise ValueError("step cannot be negative")
+    plan = orders(spark, n_train, per_epoch * batch_size, step * accum * batch_size, max_steps * accum * batch_size, seed)
+    plan = plan.withColumn("batch", F.floor(F.col("position") / batch_size).cast("long"))
+    return assign_steps(plan.withColumn("epoch", F.col("epoch").cast("int")), accum, per_epoch)
 
 
 # ---------------------------------------------------------------- G15, M4

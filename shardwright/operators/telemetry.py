@@ -1,21 +1,20 @@
-"""Telemetry analytics.
+"""Telemetry analytics (W1–W4, M5–M9, M12, A9); the throttle (W5) is in ``operators.throttle``.
 
 Inputs are long tables keyed by run: ``counters(run_id, seq, us, units)`` and
 ``metrics(run_id, step, us, name, value)``; the clock is integer microseconds.
 A run may hold a large share of all rows, so nothing here windows over a whole
 run: running aggregates are two-level scans over time blocks
-(``shardwright.operators.ordering``), the trailing rate window reads its own
-block plus a halo copy of the block before, and the greedy throttle composes
-small tables of its blocks.
+(``shardwright.operators.ordering``), and the trailing rate window reads its own
+block plus a halo copy of the block before.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.operators.ordering import prefix_agg, prefix_aggs
+from shardwright.operators.throttle import throttle  # noqa: F401  (W5)
 
 RUN = "run_id"
 RUN_KEY = "_run_id_key"
@@ -57,18 +56,17 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
         before = seeds.select(run, F.lit(-1).cast("long").alias("seq"), "us", "units", F.lit(True).alias("_seed"))
         both = counters.withColumn("_seed", F.lit(False)).unionByName(before, allowMissingColumns=True)
         return rolling_rate(both, window_s, block_us, run).where("not _seed").drop("_seed")
-    odd = counters.where(~_measured()).withColumns({"elapsed_s": F.lit(0.0), "rate": F.lit(0.0)})
-    df = _prev_and_segments(counters.where(_measured()).withColumn("_tb", _block("us", blk)), run)
+    df = _prev_and_segments(counters, blk, run)
     # previous sample inside the same segment, else none
     same = F.col("_rs") == 0
     df = (df.withColumn("_pus", F.when(same, F.col("prev_us")))
           .withColumn("_pun", F.when(same, F.col("prev_units")))
           .withColumn("_pseq", F.when(same, F.col("prev_seq"))))
     # trailing window: own W-block plus a halo copy of the W-block before
-    df = df.withColumn("_wb", _block("us", W))
+    df = df.withColumn("_wb", F.when(F.col("_ok"), _block("us", W)).otherwise(F.col("_tb")))
     both = df.withColumn("_h", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "_wb", F.col("_wb") + F.col("_h")).withColumn("_halo", F.col("_h") == 1).drop("_h")
-    w = (Window.partitionBy(run, "_seg", "_wb").orderBy("us")
+    w = (Window.partitionBy(run, "_ok", "_seg", "_wb").orderBy("us")
          .rangeBetween(-W, Window.currentRow))
     first = F.min(F.struct("us", "seq", "units")).over(w)
     got = both.withColumn("_first", first).filter(~F.col("_halo"))
@@ -77,11 +75,11 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
     elapsed = (F.col("us") - j0["us"]) / F.lit(1e6)
     rate = F.when(j0.isNull() | (elapsed <= 0), F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), (F.col("units") - j0["units"]) / elapsed))
-    out = got.withColumn("elapsed_s", F.when(j0.isNull(), F.lit(0.0)).otherwise(F.greatest(elapsed, F.lit(0.0))))
-    out = out.withColumn("rate", rate)
-    out = out.drop("_tb", "_rs", "_seg", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first",
-                   "prev_units", "prev_us", "prev_seq")
-    return out.unionByName(odd)
+    alone = j0.isNull() | ~F.col("_ok")
+    out = got.withColumn("elapsed_s", F.when(alone, F.lit(0.0)).otherwise(F.greatest(elapsed, F.lit(0.0))))
+    out = out.withColumn("rate", F.when(alone, F.lit(0.0)).otherwise(rate))
+    return out.drop("_tb", "_rs", "_seg", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first", "_ok",
+                    "prev_units", "prev_us", "prev_seq")
 
 
 def _measured() -> Column:
@@ -89,12 +87,15 @@ def _measured() -> Column:
     return F.col("us").isNotNull() & F.col("units").isNotNull() & ~F.isnan(F.col("units").cast("double"))
 
 
-def _prev_and_segments(df: DataFrame, run: str) -> DataFrame:
+def _prev_and_segments(df: DataFrame, block_us: int, run: str) -> DataFrame:
     """Previous sample (``prev_us/units/seq``), rewind flag ``_rs`` and the
     number of rewinds so far ``_seg``, in one two-level pass over clock
     blocks ``_tb``: one window inside each block, one small per-block table
-    carrying each block's last sample and rewind count to the next block."""
-    df = df.withColumn(RUN_KEY, F.struct(run))                     # never null, so no run is lost in the join
+    carrying each block's last sample and rewind count to the next block. Samples that cannot be
+    compared (``_ok`` false) are runs of their own, dealt by a hash."""
+    df = df.withColumn("_ok", _measured())
+    df = df.withColumn("_tb", F.when(F.col("_ok"), _block("us", block_us)).otherwise(F.pmod(F.xxhash64("seq"), F.lit(1 << 12))))
+    df = df.withColumn(RUN_KEY, F.struct(run, "_ok"))              # never null, so no run is lost in the join
     inner = Window.partitionBy(RUN_KEY, "_tb").orderBy("us", "seq")
     d = (df.withColumn("_rn", F.row_number().over(inner))
          .withColumn("_lu", F.lag("units").over(inner))
@@ -135,11 +136,10 @@ def audit_counters(counters: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: s
     ``added`` increments: negative increments, an increment that differs from
     the observed change, units going backwards, and samples without a clock or a number of
     units (``missing``), which the other rules pass over."""
-    odd = counters.where(~_measured()).select(
-        run, "seq", F.lit("missing").alias("rule"), F.lit(None).cast("double").alias("expected"), F.col("units").cast("double").alias("found"))
-    df = _prev_and_segments(counters.where(_measured()).withColumn("_tb", _block("us", block_us)), run)
+    df = _prev_and_segments(counters, block_us, run)
     change = F.col("units") - F.col("prev_units")
-    rules = F.array(
+    odd = F.struct(F.lit("missing").alias("rule"), F.lit(None).cast("double").alias("expected"), F.col("units").cast("double").alias("found"))
+    rules = F.when(~F.col("_ok"), F.array(odd)).otherwise(F.array(
         F.when(F.col("added") < 0, F.struct(F.lit("negative_delta").alias("rule"), F.lit(0).cast("double").alias("expected"),
                                             F.col("added").cast("double").alias("found"))),
         F.when(F.col("prev_units").isNotNull() & (change != F.col("added")),
@@ -147,9 +147,9 @@ def audit_counters(counters: DataFrame, block_us: int = DEFAULT_BLOCK_US, run: s
                         change.cast("double").alias("found"))),
         F.when(F.col("prev_units").isNotNull() & (F.col("units") < F.col("prev_units")),
                F.struct(F.lit("backwards").alias("rule"), F.col("prev_units").cast("double").alias("expected"),
-                        F.col("units").cast("double").alias("found"))))
+                        F.col("units").cast("double").alias("found")))))
     return (df.select(run, "seq", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("v"))
-            .select(run, "seq", "v.rule", "v.expected", "v.found").unionByName(odd))
+            .select(run, "seq", "v.rule", "v.expected", "v.found"))
 
 
 # ---------------------------------------------------------------- W3, M5, M6
@@ -249,92 +249,3 @@ def average_throughput(df: DataFrame, seq_len: int, run: str = RUN, count_col: s
     g = df.groupBy(run).agg(n.alias("sequences"), ((F.max("us") - F.min("us")) / F.lit(1e6)).alias("elapsed_s"))
     return g.withColumn("tokens_per_s", F.when(F.col("elapsed_s") > 0,
                                                F.col("sequences") * F.lit(seq_len) / F.col("elapsed_s")).otherwise(0.0))
-
-
-# ---------------------------------------------------------------- W5
-def successors(us: np.ndarray, due: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in time order: the row let through after each one, and the first due row at or
-    after each place (both may be the number of rows: none)."""
-    n = len(us)
-    next_due = np.append(np.minimum.accumulate(np.where(due, np.arange(n), n)[::-1])[::-1], n)
-    after = np.maximum(np.arange(n) + 1, np.searchsorted(us, us + gap_us, "left"))
-    return np.minimum(after, next_due[1:]), next_due
-
-
-def emitted(us: np.ndarray, due: np.ndarray, gap_us: int, last_us: int | None) -> np.ndarray:
-    """Indexes of the rows a throttle lets through after ``last_us``, for rows in time order."""
-    after, next_due = successors(us, due, gap_us)
-    at = 0 if last_us is None else min(int(np.searchsorted(us, last_us + gap_us, "left")), int(next_due[0]))
-    out = []
-    while at < len(us):
-        out.append(at)
-        at = int(after[at])
-    return np.array(out, np.int64)
-
-
-BLOCK_GAPS = 1024          # gaps of clock in one block of a throttled run
-
-
-def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, units: str = "units",
-             run: str = RUN, block_gaps: int = BLOCK_GAPS) -> DataFrame:
-    """Rows a throttled emitter lets through: the first row of a run, every
-    row ≥ ``gap_s`` after the last emitted one, and every row whose ``units``
-    reached ``target``. Returns the input rows that are emitted.
-
-    What a block of clock lets through depends on the rows before it only by the time of
-    the last emitted row, and only for the rows of its first gap. So each block is first
-    reduced to a table (entry row of the first gap → last row emitted), the small tables of
-    a run are composed in block order, and with its entry time known each block emits by
-    itself. Three passes, whatever the length of a run; a run's rows are dealt by block.
-    """
-    gap = int(round(gap_s * 1_000_000))
-    if gap <= 0:
-        raise ValueError("a throttle needs a gap longer than zero")
-    width = gap * block_gaps
-    keyed = rows.withColumn("_b", _block("us", width))
-    kind, columns = rows.schema[run].dataType.simpleString(), rows.columns
-
-    def of(pdf) -> tuple:
-        pdf = pdf.sort_values(["us", "seq"], ignore_index=True)
-        us = pdf["us"].to_numpy(np.int64)
-        due = pdf[units].to_numpy(float) >= target if target is not None else np.zeros(len(us), bool)
-        return pdf, us, due
-
-    def reduce_block(key, pdf):
-        import pandas as pd
-
-        _, us, due = of(pdf)
-        after, next_due = successors(us, due, gap)
-        last = np.arange(len(us))                                   # where the chain of each row ends, by doubling
-        step = np.append(after, len(us))
-        while True:
-            go = step[last]
-            if (go == len(us)).all():
-                break
-            last = np.where(go < len(us), go, last)
-            step = np.append(np.where(step[:-1] < len(us), np.where(step[step[:-1]] < len(us), step[step[:-1]], step[:-1]), len(us)), len(us))
-        first = int(next_due[0])
-        n = min(len(us), int(np.searchsorted(us, int(key[1]) * width + gap, "left")) + 1, first + 1)
-        return pd.DataFrame({run: [key[0]], "_b": [key[1]], "entry": [us[:n].tolist()], "exit": [us[last[:n]].tolist()], "due": [first < n]})
-
-    def compose(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("_b", ignore_index=True)
-        last, out = None, []
-        for entry, leave, due in zip(pdf["entry"], pdf["exit"], pdf["due"]):
-            out.append(last)
-            at = 0 if last is None else int(np.searchsorted(entry, last + gap, "left"))
-            at = len(entry) - 1 if at == len(entry) and due else at
-            last = int(leave[at]) if at < len(entry) else last
-        return pd.DataFrame({run: key[0], "_b": pdf["_b"], "_last": pd.array(out, dtype="Int64")})
-
-    def emit(pdf):
-        last = pdf["_last"].iloc[0]
-        pdf, us, due = of(pdf)
-        return pdf.iloc[emitted(us, due, gap, None if last is None or last != last else int(last))][columns]
-
-    narrow = keyed.select(run, "_b", "us", "seq", units)
-    tables = narrow.groupBy(run, "_b").applyInPandas(reduce_block, f"{run} {kind}, _b long, entry array<long>, exit array<long>, due boolean")
-    entries = tables.groupBy(run).applyInPandas(compose, f"{run} {kind}, _b long, _last long")
-    return keyed.join(entries, [run, "_b"]).groupBy(run, "_b").applyInPandas(emit, rows.schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from shardwright.config import windows_in
 from shardwright.functions.encoders import WORD_PATTERN
+from shardwright.operators.permutation import ROUNDS
 from shardwright.plans import registry as R
 
 NW = windows_in(R.S, R.T, R.STRIDE)
@@ -116,14 +117,14 @@ _ACCUM = f"(CASE WHEN {_PER} % 4 = 0 THEN 4 WHEN {_PER} % 2 = 0 THEN 2 ELSE 1 EN
 _TRAIN = f"tr AS (SELECT unnest(generate_series(0, {CUT} * {NW} - 1)) AS local_index)"
 _KEY = "md5(CAST({seed} + epoch AS VARCHAR) || ':' || CAST(local_index AS VARCHAR))"
 
-SQL["epoch_order"] = f"""
+SQL["hashed_order"] = f"""
 WITH {_TRAIN}, e AS (SELECT unnest([0, 1]) AS epoch)
 SELECT epoch::BIGINT AS epoch, local_index::BIGINT AS local_index,
        (row_number() OVER (PARTITION BY epoch ORDER BY {_KEY.format(seed=R.SEED)}, local_index) - 1)::BIGINT AS position
 FROM tr, e
 """
 
-SQL["batches"] = f"""
+SQL["hashed_batches"] = f"""
 WITH {_TRAIN}, e AS (SELECT 0 AS epoch),
 o AS (SELECT local_index, row_number() OVER (ORDER BY {_KEY.format(seed=R.SEED)}, local_index) - 1 AS position
       FROM tr, e)
@@ -133,17 +134,40 @@ FROM o WHERE position < ((SELECT count(*) FROM tr) // {R.B}) * {R.B}
 """
 
 
+# six Feistel rounds over a packed number, again while it is outside the range
+_T1 = "((a & m) * 73244475 + k) % 4294967296"
+_T2 = f"(xor({_T1}, ({_T1}) >> 16) * 73244475) % 4294967296"
+_FEISTEL = f"list_reduce(list_prepend({{0}}, ks), lambda a, k: ((a & m) << h) | xor(a >> h, xor({_T2}, ({_T2}) >> 15) & m))"
+
+
+def _walked(places: str) -> str:
+    """``w (epoch, position, x)``: the index at each ``(epoch, position)`` of ``places``, walks included."""
+    return f"""WITH RECURSIVE {_TRAIN}, nn AS (SELECT count(*)::BIGINT AS n FROM tr),
+hh AS (SELECT n, greatest(1, (length(bin(n - 1)) + 1) // 2) AS h FROM nn),
+mm AS (SELECT n, h, (1::BIGINT << h) - 1 AS m FROM hh),
+pl AS ({places}),
+kk AS (SELECT epoch, [('0x' || substr(md5(({R.SEED} + epoch) || ':' || r), 1, 8))::BIGINT FOR r IN range({ROUNDS})] AS ks FROM (SELECT DISTINCT epoch FROM pl)),
+w(epoch, position, x) AS (
+  SELECT pl.epoch, position, {_FEISTEL.format('position')} FROM pl JOIN kk USING (epoch), mm
+  UNION ALL SELECT w.epoch, position, {_FEISTEL.format('x')} FROM w JOIN kk USING (epoch), mm WHERE x >= n)"""
+
+
+SQL["epoch_order"] = f"""
+{_walked("SELECT epoch::BIGINT AS epoch, position::BIGINT AS position FROM nn, unnest([0, 1]) AS e(epoch), unnest(generate_series(0, n - 1)) AS g(position)")}
+SELECT epoch, x AS local_index, position FROM w, nn WHERE x < n
+"""
+
+SQL["batches"] = f"""
+{_walked(f"SELECT 0::BIGINT AS epoch, position::BIGINT AS position FROM nn, unnest(generate_series(0, n // {R.B} * {R.B} - 1)) AS g(position)")}
+SELECT x AS local_index, position, position // {R.B} AS batch, (position // {R.B} // {_ACCUM})::BIGINT AS step,
+       ((position // {R.B}) % {R.WORLD})::BIGINT AS rank FROM w, nn WHERE x < n
+"""
+
 SQL["remaining_plan"] = f"""
-WITH {_TRAIN},
-e AS (SELECT unnest(generate_series({R.RESUME_STEP} * {_ACCUM} // {_PER}, ({R.MAX_STEPS} * {_ACCUM} - 1) // {_PER})) AS epoch),
-o AS (SELECT epoch, local_index,
-             row_number() OVER (PARTITION BY epoch ORDER BY {_KEY.format(seed=R.SEED)}, local_index) - 1 AS position
-      FROM tr, e),
-b AS (SELECT epoch, local_index, position, position // {R.B} AS batch FROM o WHERE position < {_PER} * {R.B})
-SELECT epoch::BIGINT AS epoch, batch::BIGINT AS batch,
-       (epoch * ({_PER} // {_ACCUM}) + batch // {_ACCUM})::BIGINT AS step,
-       local_index::BIGINT AS local_index, position::BIGINT AS position
-FROM b WHERE epoch * {_PER} + batch >= {R.RESUME_STEP} * {_ACCUM} AND epoch * {_PER} + batch < {R.MAX_STEPS} * {_ACCUM}
+{_walked(f"""SELECT (q // ({_PER} * {R.B}))::BIGINT AS epoch, (q % ({_PER} * {R.B}))::BIGINT AS position
+FROM unnest(generate_series({R.RESUME_STEP} * {_ACCUM} * {R.B}, {R.MAX_STEPS} * {_ACCUM} * {R.B} - 1)) AS g(q)""")}
+SELECT epoch, position // {R.B} AS batch, (epoch * ({_PER} // {_ACCUM}) + position // {R.B} // {_ACCUM})::BIGINT AS step,
+       x AS local_index, position FROM w, nn WHERE x < n
 """
 
 SQL["coverage"] = f"""

@@ -160,6 +160,32 @@ def accum_for(batches_per_epoch: int) -> int:
 
 @query
 def epoch_order(spark, sf):
+    from shardwright.operators.permutation import orders
+
+    _, n_train = _train(spark, sf)
+    return orders(spark, n_train, n_train, 0, 2 * n_train, SEED).select("epoch", "local_index", "position")
+
+
+@query
+def batches(spark, sf):
+    _, n_train = _train(spark, sf)
+    per_epoch = packing.n_batches(n_train, B, True)
+    accum = accum_for(per_epoch)
+    plan = packing.assign_ranks(packing.remaining_plan(spark, SEED, B, accum, n_train, 0, per_epoch // accum), WORLD)
+    return plan.select("local_index", "position", "batch", "step", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def remaining_plan(spark, sf):
+    _, n_train = _train(spark, sf)
+    accum = accum_for(packing.n_batches(n_train, B, True))
+    plan = packing.remaining_plan(spark, SEED, B, accum, n_train, RESUME_STEP, MAX_STEPS)
+    return plan.select(F.col("epoch").cast("long").alias("epoch"), "batch", "step", "local_index", "position")
+
+
+@query
+def hashed_order(spark, sf):
+    """G10 by a hash key: the same contract with ranks, for tables whose indices are not dense."""
     split, n_train = _train(spark, sf)
     train = split.filter(F.col("split") == "train").select("local_index")
     return packing.multi_epoch_order(train, SEED, [0, 1], n_rows=n_train).select(
@@ -167,7 +193,8 @@ def epoch_order(spark, sf):
 
 
 @query
-def batches(spark, sf):
+def hashed_batches(spark, sf):
+    """G11-G13 over the hashed order."""
     split, n_train = _train(spark, sf)
     train = split.filter(F.col("split") == "train").select("local_index")
     per_epoch = packing.n_batches(n_train, B, True)
@@ -177,15 +204,6 @@ def batches(spark, sf):
     return plan.select("local_index", "position", "batch", "step", F.col("rank").cast("long").alias("rank"))
 
 
-@query
-def remaining_plan(spark, sf):
-    split, n_train = _train(spark, sf)
-    train = split.filter(F.col("split") == "train").select("local_index")
-    accum = accum_for(packing.n_batches(n_train, B, True))
-    plan = packing.remaining_plan(train, SEED, B, accum, n_train, RESUME_STEP, MAX_STEPS)
-    return plan.select(F.col("epoch").cast("long").alias("epoch"), "batch", "step", "local_index", "position")
-
-
 @query
 def coverage(spark, sf):
     spans = packing.uniform_window_spans(spark, _n_shards(spark, sf), S, T, ONE_STRIDE)

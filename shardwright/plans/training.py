@@ -54,10 +54,10 @@ def split_plan(windows: DataFrame, dim_rows: list, cfg: TrainConfig, stride: int
 
 def resume_plan(plan: TrainingPlan, cfg: TrainConfig, step: int) -> DataFrame:
     """Batches still to run from ``step`` to ``max_steps`` (G10–G14), with
-    worker ranks (G13)."""
-    out = packing.remaining_plan(plan.train, cfg.data_seed, cfg.B, cfg.grad_accum_steps, plan.n_train, step,
+    worker ranks (G13) and the windows' own columns."""
+    out = packing.remaining_plan(plan.train.sparkSession, cfg.data_seed, cfg.B, cfg.grad_accum_steps, plan.n_train, step,
                                  cfg.max_steps)
-    return packing.assign_ranks(out, cfg.num_processes)
+    return packing.assign_ranks(out.join(plan.train, "local_index"), cfg.num_processes)
 
 
 def evaluation_steps(spark, cfg: TrainConfig, start_step: int = 0) -> DataFrame:

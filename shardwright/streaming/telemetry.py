@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shardwright.operators.telemetry import emitted
+from shardwright.operators.throttle import emitted
 
 RATE_OUT = "run_id long, seq long, us long, units double, rate double, elapsed_s double"
 RATE_STATE = "us array<long>, units array<double>"

@@ -107,3 +107,42 @@ def test_config_bounds():
         DecodeConfig(top_p=0.0)
     with pytest.raises(ValueError):
         DecodeConfig(top_k=-1)
+
+
+def test_policy_over_a_wide_vocabulary(spark):
+    """50,000 candidates a context, next to a history of thousands of ids."""
+    import time
+
+    n = 50_000
+    scores = spark.range(3).withColumnRenamed("id", "ctx_id").select("ctx_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cand_id")).select(
+        "ctx_id", F.col("cand_id").cast("long").alias("cand_id"), (F.pmod(F.xxhash64("ctx_id", "cand_id"), F.lit(1000)) / 100.0).alias("score"))
+    history = spark.createDataFrame([(0, [i * 7 % n for i in range(4000)] + [1, 2, 9, 1, 2]), (1, []), (2, None)], "ctx_id long, ids array<int>")
+    began = time.time()
+    from shardwright.config import DecodeConfig
+    from shardwright.operators.candidates import decode_policy
+
+    got = {r["ctx_id"]: r["choice"] for r in decode_policy(scores, history, DecodeConfig(greedy=True, repetition_penalty=2.0, no_repeat_ngram_size=3)).collect()}
+    assert time.time() - began < 60
+    rows = scores.collect()
+    seen, banned = {i * 7 % n for i in range(4000)} | {1, 2, 9}, {9}
+    for ctx in range(3):
+        s = {r["cand_id"]: r["score"] / (2.0 if ctx == 0 and r["cand_id"] in seen else 1.0) for r in rows
+             if r["ctx_id"] == ctx and not (ctx == 0 and r["cand_id"] in banned)}
+        assert got[ctx] == min(s, key=lambda c: (-s[c], c))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
+def test_history_facts_by_definition(spark, monkeypatch, n):
+    import random
+
+    from shardwright.operators import candidates as C
+
+    monkeypatch.setattr(C, "FACT_IDS", 10)
+    rnd = random.Random(n)
+    rows = [(i, [rnd.randint(0, 3) for _ in range(rnd.randint(0, 12))]) for i in range(60)] + [(60, None), (61, [])]
+    got = {(r["ctx_id"], r["cand_id"]): r["_ban"] for r in C.history_facts(spark.createDataFrame(rows, "ctx_id long, ids array<int>"), n).collect()}
+    want = {}
+    for c, h in rows:
+        for x in set(h or []):
+            want[c, x] = n > 0 and len(h) >= n and any(h[i + n - 1] == x and h[i:i + n - 1] == h[len(h) - n + 1:] for i in range(len(h) - n + 1))
+    assert got == want

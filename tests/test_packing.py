@@ -206,3 +206,29 @@ def test_coverage_and_leakage(spark):
     assert packing.leakage_report(split).first()["leaked_tokens"] == 0
     nogap = spans.withColumn("split", F.when(F.col("seq_index") < 91, "train").otherwise("dev"))
     assert packing.leakage_report(nogap).first()["leaked_tokens"] > 0
+
+
+@pytest.mark.parametrize("stride, chunk", [(16, 32), (5, 20), (1, 7), (40, 8), (16, 1 << 15)])
+def test_windows_do_not_depend_on_their_chunks(spark, stride, chunk):
+    rnd = random.Random(stride)
+    S, T = 200, 16
+    stream = [rnd.randint(0, 500) for _ in range(3 * S)]
+    rows, at = [], 0
+    while at < len(stream):
+        n = min(rnd.choice([1, 2, 3, 50, 150]), S - at % S, len(stream) - at)
+        rows.append((at // S, at % S, stream[at:at + n]))
+        at += n
+    segs = spark.createDataFrame(rows + [(1, 30, [])], "shard int, pos long, tokens array<int>")
+    got = {(r["shard"], r["k"]): r["window"] for r in packing.pack_windows(segs, S, T, stride, chunk_tokens=chunk).collect()}
+    want = {(s, k): stream[s * S + k * stride:s * S + k * stride + T + 1] for s in range(3) for k in range((S - T - 1) // stride + 1)}
+    assert got == want
+
+
+def test_offsets_keep_null_and_repeated_ids(spark):
+    rows = [(None, "aa"), (None, "b"), (None, "aa"), (3, "x"), (3, "yy"), (1, ""), (9, "zzz")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    from shardwright.plans import corpus
+
+    runs = [sorted(((r["start"], r["end"], r["doc_id"]) for r in corpus.offsets_only(d.repartition(n), n_buckets=4).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert [s for s, _, _ in runs[0]] == [0, *(e for _, e, _ in runs[0][:-1])] and [i for _, _, i in runs[0]] == [None] * 3 + [1, 3, 3, 9]

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,86 @@ def test_rolling_rate_interleaved_runs(spark):
     got = tl.rolling_rate(df, 30.0, block_us=120_000_000).collect()
     for r in got:
         assert r["rate"] == pytest.approx(ref[r["run_id"]][r["seq"]])
+
+
+# ---------------------------------------------------------------- null runs, clocks, steps and counters
+def by_seq(df, *cols):
+    return {r["seq"]: tuple(r[c] for c in cols) for r in df.collect()}
+
+
+def test_a_null_run_is_a_run(spark):
+    s = 1_000_000
+    rows = [(r, i, i * s, float(10 * i), 10.0) for r in (1, None) for i in range(3)]
+    df = spark.createDataFrame([(r, i + (0 if r else 10), us, u, a) for r, i, us, u, a in rows],
+                               "run_id long, seq long, us long, units double, added double")
+    assert by_seq(tl.rolling_rate(df), "rate") == {0: (0.0,), 1: (10.0,), 2: (10.0,), 10: (0.0,), 11: (10.0,), 12: (10.0,)}
+    bad = df.withColumn("added", F.when(F.col("seq") == 12, 3.0).otherwise(F.col("added")))
+    assert [(r["run_id"], r["seq"], r["rule"]) for r in tl.audit_counters(bad).collect()] == [(None, 12, "delta_mismatch")]
+    assert sorted(r["seq"] for r in tl.throttle(df, 2.0).collect()) == [0, 2, 10, 12]
+
+
+def test_samples_that_cannot_be_compared_are_kept_and_seen_by_none(spark):
+    s = 1_000_000
+    rows = [(1, 0, 0, 0.0, 0.0), (1, 1, s, 10.0, 10.0), (1, 2, 2 * s, float("nan"), 1.0), (1, 3, None, 5.0, 1.0), (1, 4, 3 * s, None, 1.0),
+            (1, 5, 4 * s, 40.0, 30.0)]
+    df = spark.createDataFrame(rows, "run_id long, seq long, us long, units double, added double")
+    got = by_seq(tl.rolling_rate(df), "rate", "elapsed_s")
+    assert got == {0: (0.0, 0.0), 1: (10.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (10.0, 4.0)}
+    assert sorted((r["seq"], r["rule"]) for r in tl.audit_counters(df).collect()) == [(2, "missing"), (3, "missing"), (4, "missing")]
+    assert sorted(r["seq"] for r in tl.throttle(df, 2.0, 40.0).collect()) == [0, 2, 5]
+
+
+def test_training_log_keeps_null_runs_and_steps(spark):
+    rows = [(None, 1, 4.0, None, False), (None, 2, 2.0, 2.5, True), (7, None, 9.0, None, False), (7, 1, 1.0, 3.0, True)]
+    df = spark.createDataFrame([(r, s, 0, a, b, e) for r, s, a, b, e in rows],
+                               "run_id long, step long, us long, train_loss double, dev_loss double, is_eval boolean")
+    got = sorted(((r["run_id"] or 0, r["step"] or 0, r["interval"], r["average_train_loss"], r["best_dev_loss"]) for r in tl.training_log(df).collect()), key=str)
+    assert got == [(0, 1, 0, None, None), (0, 2, 0, 3.0, 2.5), (7, 0, 0, None, None), (7, 1, 0, 5.0, 3.0)]
+
+
+# ---------------------------------------------------------------- the throttle as composed jumps
+def greedy(rows, gap, target):
+    out, last = [], {}
+    for run, seq, us, units in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        due = target is not None and units is not None and units == units and units >= target
+        if run not in last or us >= last[run] + gap or due:
+            last[run] = us
+            out.append(seq)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("target", [None, 95.0])
+def test_throttle_in_small_blocks(spark, monkeypatch, target):
+    from shardwright.operators import throttle as th
+
+    monkeypatch.setattr(th, "EVENTS", 6)
+    monkeypatch.setattr(th, "GROUP", 3)
+    rnd = random.Random(4)
+    rows, seq = [], 0
+    for run, n, spread in ((1, 400, 40), (2, 120, 3000), (None, 60, 9), (3, 150, 0), (4, 1, 1)):   # run 3: one clock value
+        for _ in range(n):
+            rows.append((run, seq, rnd.randint(0, spread) * 100_000, rnd.random() * 100))
+            seq += 1
+    rows += [(5, seq + i, i * 1_700_000 + (i % 3) * 100_000, float("nan") if i % 5 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "run_id long, seq long, us long, units double").repartition(5)
+    for gap in (0.3, 5.0):
+        assert sorted(r["seq"] for r in th.throttle(df, gap, target).collect()) == greedy(rows, int(gap * 1_000_000), target)
+
+
+def test_jump_tables_compose_as_the_walk_does():
+    from shardwright.operators import throttle as th
+
+    rng = np.random.default_rng(8)
+    for trial in range(200):
+        us = np.unique(rng.integers(0, 200, int(rng.integers(2, 60))))
+        due = rng.random(len(us)) < rng.choice([0, 0.05, 0.3])
+        gap = int(rng.integers(1, 60))
+        cuts = np.sort(rng.choice(np.arange(1, len(us)), min(len(us) - 1, 4), replace=False)) if len(us) > 1 else []
+        tables = [th.jumps(u, d, gap) for u, d in zip(np.split(us, cuts), np.split(due, cuts))]
+        whole = tables[0]
+        for t in tables[1:]:
+            whole = th.composed(whole, t, gap)
+        for last in range(int(us[0]) - gap - 2, int(us[0])):
+            at = th.emitted(us, due, gap, last)
+            assert th.through(whole, np.array([last]), gap)[0] == (us[at[-1]] if len(at) else last)
+        assert th.entries(tables, None, gap)[1:] == [int(us[th.emitted(us[:c], due[:c], gap, None)[-1]]) for c in cuts]
