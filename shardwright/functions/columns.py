@@ -172,6 +172,29 @@ def temperature(score: Column | str, t: float) -> Column:
     return _c(score) / F.lit(float(t))
 
 
+# P18
+POSITIVE = ("B", "grad_accum_steps", "T", "max_steps", "eval_interval", "eval_batches", "num_processes", "learning_rate")
+NOT_NEGATIVE = ("warmup_steps", "min_lr")
+
+
+def config_faults(cfg: Column | str) -> Column:
+    """The fields of a stored configuration (a struct) outside their bounds, in the bounds' order; a
+    field that is not there has its default and is none."""
+    c = _c(cfg)
+    out = [F.when(c[n] <= 0, F.lit(n)) for n in POSITIVE] + [F.when(c[n] < 0, F.lit(n)) for n in NOT_NEGATIVE]
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+# G8, G9
+def split_sizes(n_tokens: Column | str, seq_len: int, stride: int, ratio: float) -> tuple[Column, Column, Column]:
+    """Train windows, dev windows and whether the split is refused, for a corpus of one shard: a gap of
+    ⌈T / stride⌉ windows lies between the sides, and neither may be empty."""
+    n = F.greatest(F.lit(0), F.floor((_c(n_tokens) - (seq_len + 1)) / stride) + 1).cast("long")
+    train = F.floor(n * F.lit(ratio)).cast("long")
+    dev = n - F.least(n, train + (seq_len + stride - 1) // stride)
+    return train, dev, (train == 0) | (dev == 0)
+
+
 # P19
 def is_eval_step(step: Column | str, interval: int, max_steps: int) -> Column:
     s = _c(step)

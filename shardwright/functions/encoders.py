@@ -187,6 +187,21 @@ class WordEncoder:
     def fit(cls, docs: DataFrame, vocab_size: int, text_col: str = "text") -> "WordEncoder":
         return cls(cls.build_vocab(docs, vocab_size, text_col), vocab_size)
 
+    def save(self, folder: str) -> str:
+        """Writes the vocabulary under its name and digest and returns where: an artifact to pin."""
+        path = f"{folder.rstrip('/')}/{self.name}-{self.vocab_size}-{self.revision}"
+        self.vocab.write.mode("ignore").parquet(path)
+        return path
+
+    @classmethod
+    def pinned(cls, spark, path: str) -> "WordEncoder":
+        """The encoder saved at ``path``; a vocabulary that does not have the digest its name states is refused."""
+        name, size, revision = path.rstrip("/").rsplit("/", 1)[-1].rsplit("-", 2)
+        encoder = cls(spark.read.parquet(path), int(size))
+        if name != cls.name or encoder.revision != revision:
+            raise ValueError(f"{path} holds the vocabulary {encoder.revision}")
+        return encoder
+
     def encode(self, df: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         """Words are split in the JVM; ids come from a hash lookup over whole
         Arrow batches (``pyarrow.compute.index_in``). The vocabulary travels

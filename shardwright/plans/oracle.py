@@ -676,3 +676,49 @@ SELECT s::BIGINT AS shard, {2 * R.S}::BIGINT AS bytes, 'shard_' || lpad(s::VARCH
        257::BIGINT AS vocab_size, 'uint16' AS dtype, 'utf-8' AS tokenizer_revision
 FROM unnest(generate_series(0, {NCOMM} - 1)) AS g(s)
 """
+
+SQL["window_fetch"] = f"""
+WITH l AS ({SQL["window_lookup"]}), w AS ({SQL["pack_windows"]})
+SELECT l.doc_id, l.idx, l.shard, l.k, l.out_of_range, w.window_md5 FROM l LEFT JOIN w ON l.shard = w.shard AND l.k = w.k
+"""
+
+SQL["published_files"] = f"""
+WITH s AS (SELECT unnest(generate_series(0, {NCOMM} - 1)) AS n),
+f AS (SELECT n, 'shard_' || lpad(n::VARCHAR, 5, '0') || '.bin' AS file, {2 * R.S}::BIGINT AS bytes,
+             CASE n WHEN 0 THEN 'damaged' WHEN 1 THEN 'size' ELSE 'ok' END AS found FROM s
+      UNION ALL SELECT n, 'shard_' || lpad(n::VARCHAR, 5, '0') || '_meta.json', NULL, CASE n WHEN 0 THEN 'missing' ELSE 'ok' END FROM s)
+SELECT file, bytes, found, (found <> 'ok')::INTEGER AS copied, 'ok' AS status FROM f
+"""
+
+SQL["rank_export"] = f"""
+WITH p AS ({SQL["remaining_plan"]})
+SELECT epoch, 1::BIGINT AS rank, batch // {R.RANK_BATCHES} AS part, batch, step, position, local_index FROM p WHERE batch % {R.WORLD} = 1
+"""
+
+SQL["metric_rows"] = """
+SELECT user_id AS run_id, event_type AS name, count(*)::BIGINT AS rows, round(sum(value), 4) AS total, max(event_id) AS last_step,
+       max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2
+"""
+
+SQL["summary_file"] = SQL["validation"]
+
+SQL["config_rows"] = """
+SELECT doc_id, doc_id % 5 AS batch, length(text)::BIGINT AS seq_len, floor(doc_id * 10 * 0.8)::BIGINT AS decay_start, round(doc_id % 7 / 10000.0, 6) AS learning_rate,
+       concat_ws(',', CASE WHEN doc_id % 5 <= 0 THEN 'B' END, CASE WHEN length(text) <= 0 THEN 'T' END, CASE WHEN doc_id * 10 <= 0 THEN 'max_steps' END,
+                 CASE WHEN doc_id % 7 <= 0 THEN 'learning_rate' END, CASE WHEN doc_id % 4 - 1 < 0 THEN 'warmup_steps' END) AS faults
+FROM documents
+"""
+
+SQL["split_sizes"] = f"""
+WITH n AS (SELECT doc_id, greatest(0, ({NTOK} - {R.T + 1}) // {R.ONE_STRIDE} + 1)::BIGINT AS n FROM documents),
+t AS (SELECT doc_id, n, floor(0.95 * n)::BIGINT AS train FROM n),
+d AS (SELECT doc_id, train, n - least(n, train + {(R.T + R.ONE_STRIDE - 1) // R.ONE_STRIDE}) AS dev FROM t)
+SELECT doc_id, train, dev, (train = 0 OR dev = 0)::INTEGER AS refused FROM d
+"""
+
+SQL["pinned_encoder"] = f"""
+WITH {_VOCAB},
+r AS (SELECT sha256(string_agg(x, ',' ORDER BY x)) AS revision FROM (SELECT id || ':' || hex(word) AS x FROM v)),
+w AS ({SQL["word_encode"]})
+SELECT doc_id, n_tokens, id_sum, revision FROM w, r
+"""

@@ -899,3 +899,132 @@ def artifact_tables(spark, sf):
     return files.join(meta, files["shard"] == meta["shard_index"]).select(
         F.col("shard").cast("long").alias("shard"), F.col("length").alias("bytes"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
         "tokens", "vocab_size", "dtype", "tokenizer_revision")
+
+
+def _shared(spark, name: str) -> str:
+    import uuid
+
+    from shardwright.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def window_fetch(spark, sf):
+    """G6 + S2: the windows that every document asks for by index, from the byte ranges that hold them."""
+    from shardwright.sources.token_shards import fetch_windows
+
+    out = _shared(spark, "fetch")
+    corpus.write_corpus(docs(spark, sf), out, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE))
+    req = docs(spark, sf).select("doc_id", (F.col("doc_id") * LOOKUP_MUL - LOOKUP_OFF).alias("idx"))
+    got = fetch_windows(req, out, T, STRIDE)
+    return got.select("doc_id", "idx", F.col("shard").cast("long").alias("shard"), "k", F.col("error").isNotNull().cast("int").alias("out_of_range"),
+                      F.md5(F.array_join("window", ",")).alias("window_md5"))
+
+
+@query
+def published_files(spark, sf):
+    """A build published, three of its files spoilt, found, published again and found whole."""
+    from shardwright.sources import manifests as M
+    from shardwright.sources import store
+
+    out, target = _shared(spark, "build"), _shared(spark, "published")
+    corpus.write_corpus(docs(spark, sf), out, PackingConfig(shard_size=S, seq_len=T, stride=STRIDE))
+    M.publish_build(spark, out, target)
+    spoil = lambda name, data: store.put(store.below(target, name), data)
+    first = store.read(store.below(target, "shard_00000.bin"), 0, 2 * S)
+    spoil("shard_00000.bin", bytes([first[0] ^ 1]) + first[1:])
+    spoil("shard_00001.bin", first[:-2])
+    store.remove(store.below(target, "shard_00000_meta.json"))
+    found = M.verify_published(spark, target).select("file", F.col("status").alias("found"))
+    found = spark.createDataFrame(found.collect(), found.schema)           # before it is mended: a row for each file
+    again = M.publish_build(spark, out, target).select("file", F.col("copied").cast("int").alias("copied"))
+    healed = M.verify_published(spark, target)
+    return healed.join(found, "file").join(again, "file").select(
+        "file", F.when(F.col("file").endswith(".bin"), F.col("bytes")).alias("bytes"), "found", "copied", "status")
+
+
+RANK_BATCHES = 3
+
+
+@query
+def rank_export(spark, sf):
+    """S12 + G13: the plan that is left, exported in files of a few batches, and one rank's batches of it read back."""
+    from shardwright.sources.sinks import export_batches, read_batches
+
+    _, n_train = _train(spark, sf)
+    per_epoch = packing.n_batches(n_train, B, True)
+    accum = accum_for(per_epoch)
+    plan = packing.assign_ranks(packing.remaining_plan(spark, SEED, B, accum, n_train, RESUME_STEP, MAX_STEPS), WORLD)
+    out = _shared(spark, "export")
+    export_batches(plan, out, RANK_BATCHES)
+    first = RESUME_STEP * accum // per_epoch
+    last = max(first, (MAX_STEPS * accum - 1) // per_epoch)
+    rows = None
+    for epoch in range(first, last + 1):
+        mine = read_batches(spark, out, 1, epoch)
+        rows = mine if rows is None else rows.unionByName(mine)
+    return rows.select(F.col("epoch").cast("long").alias("epoch"), F.col("rank").cast("long").alias("rank"), "part", "batch", "step", "position", "local_index")
+
+
+@query
+def metric_rows(spark, sf):
+    """Every event's value appended as a metric, in two appends, and read back by run and name."""
+    from shardwright.operators.telemetry import micros
+    from shardwright.sources.sinks import append_metrics, read_metrics
+
+    out = _shared(spark, "metrics")
+    e = events(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), micros("ts").alias("us"),
+                                 F.create_map(F.col("event_type"), F.col("value").cast("double")).alias("metrics"))
+    for half in (0, 1):
+        append_metrics(e.where(F.col("step") % 2 == half), out)
+    return read_metrics(spark, out).groupBy("run_id", "name").agg(
+        F.count(F.lit(1)).alias("rows"), _round(F.sum("value"), 4).alias("total"), F.max("step").alias("last_step"), F.max("us").alias("last_us"))
+
+
+@query
+def summary_file(spark, sf):
+    """The validation summary written as JSON and read back."""
+    from shardwright.operators.evaluate import full_validation, sequence_loss
+    from shardwright.sources.sinks import write_summary
+
+    out = _shared(spark, "summary")
+    write_summary(full_validation(sequence_loss(_pos_loss(spark, sf)), EVAL_T), out)
+    back = spark.read.schema("loss string, perplexity string, sequences long, tokens long").json(out)
+    return back.select(_round(F.col("loss")).alias("loss"), _round(F.col("perplexity")).alias("perplexity"), "sequences", "tokens")
+
+
+@query
+def config_rows(spark, sf):
+    """S13 + P18: a configuration for every document, stored as JSON, read back, and the fields out of their bounds."""
+    from shardwright.functions.columns import config_faults
+    from shardwright.sources.manifests import config_from_row
+
+    i = F.col("doc_id")
+    stored = docs(spark, sf).select("doc_id", F.to_json(F.struct(
+        (i % 5).alias("B"), F.length("text").cast("long").alias("T"), (i * 10).alias("max_steps"), (i % 4 - 1).alias("warmup_steps"),
+        (i % 7 / 10000.0).alias("learning_rate"), F.lit(0.0).alias("min_lr"))).alias("model_config"))
+    c = config_from_row(stored)
+    return c.select("doc_id", F.col("cfg.B").alias("batch"), F.col("cfg.T").alias("seq_len"),
+                    F.floor(F.col("cfg.max_steps") * 0.8).cast("long").alias("decay_start"), _round(F.col("cfg.learning_rate")).alias("learning_rate"),
+                    F.array_join(config_faults("cfg"), ",").alias("faults"))
+
+
+@query
+def split_sizes(spark, sf):
+    """G8 + G9: every document as a corpus of one shard: the sides of its split, and whether it is refused."""
+    from shardwright.config import SPLIT_TRAIN_RATIO
+    from shardwright.functions.columns import split_sizes as sizes
+
+    train, dev, refused = sizes(F.octet_length("text") + 1, T, ONE_STRIDE, SPLIT_TRAIN_RATIO)
+    return docs(spark, sf).select("doc_id", train.alias("train"), dev.alias("dev"), refused.cast("int").alias("refused"))
+
+
+@query
+def pinned_encoder(spark, sf):
+    """A vocabulary saved under its digest, pinned by name and digest, and applied."""
+    d = docs(spark, sf)
+    enc = WordEncoder.pinned(spark, WordEncoder.fit(d, VOCAB).save(_shared(spark, "vocabularies")))
+    out = with_eos(enc.encode(d), enc.eos_id)
+    return out.select("doc_id", "n_tokens", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+                      F.lit(enc.revision).alias("revision"))

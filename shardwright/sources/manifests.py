@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -290,3 +291,73 @@ def publish_corpus(files: DataFrame, target: str, allow: list[str], directory: s
 
     chosen.foreachPartition(copy)
     return chosen
+
+
+PUBLISHED = "published.json"
+PUBLISHED_SCHEMA = "file string, bytes long, crc32 long"
+
+
+def published(spark: SparkSession, target: str) -> DataFrame:
+    """``(file, bytes, crc32)`` of what a publication consists of; empty before its manifest is there."""
+    uri = store.below(target, PUBLISHED)
+    return spark.read.schema(PUBLISHED_SCHEMA).json(uri) if store.exists(uri) else spark.createDataFrame([], PUBLISHED_SCHEMA)
+
+
+def publish_build(spark: SparkSession, directory: str, target: str) -> DataFrame:
+    """Publishes the committed shards of a build and their metadata, flat, to ``target``: ``(file, bytes, crc32,
+    copied)``. The build is audited first (A1). A file is copied if the target's copy is missing or differs in size or
+    checksum from the source, and read back; the manifest with a digest of each file comes last, so a publication
+    that was stopped goes on where it stood and one without a manifest is none."""
+    ledger = Ledger(spark, directory)
+    state = ledger.latest()
+    if state is None:
+        raise RuntimeError(f"state_missing: no build in {directory}")
+    ledger.audit(state)
+    sources = shard_files(spark, directory).where(F.col("shard") < state["next_shard"]).select("path").unionByName(
+        meta_files(spark, directory).where(F.col("shard") < state["next_shard"]).select("path"))
+    known = {f"{directory.rstrip('/')}/{f.path}": f.crc32 for f in (commits.committed(directory) or {}).values()}
+    crcs = spark.createDataFrame([(k.rsplit("/", 1)[1], c) for k, c in known.items()], "file string, expected long")
+
+    def copy(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, name, expected in zip(pdf["path"], pdf["file"], pdf["expected"]):
+                size, crc = store.checksum(path)
+                if expected == expected and expected is not None and int(expected) != crc:
+                    raise RuntimeError(f"content: {path} is not what its commit says")
+                to = store.below(target, name)
+                there = store.exists(to) and store.size(to) == size and store.checksum(to)[1] == crc
+                if not there:
+                    store.copy(path, to)
+                    if store.checksum(to) != (size, crc):
+                        raise RuntimeError(f"content: the copy {to} differs from its source")
+                out.append((name, size, crc, not there))
+            yield pd.DataFrame(out, columns=["file", "bytes", "crc32", "copied"])
+
+    named = sources.withColumn("file", F.regexp_extract("path", "([^/]+)$", 1)).join(crcs, "file", "left")
+    n = max(2 * spark.sparkContext.defaultParallelism, int(state["next_shard"]) // 64)
+    path = store.below(directory, "_published", f"{state['commit_id']:012d}-{uuid.uuid4().hex}")
+    named.repartition(n, "file").select("path", "file", "expected").mapInPandas(copy, "file string, bytes long, crc32 long, copied boolean").write.parquet(path)
+    done = spark.read.parquet(path)
+    rows = done.select("file", "bytes", "crc32").orderBy("file").toLocalIterator(prefetchPartitions=True)     # a line for each file
+    store.put(store.below(target, PUBLISHED), "".join(json.dumps(r.asDict()) + "\n" for r in rows).encode())
+    return done
+
+
+def verify_published(spark: SparkSession, target: str) -> DataFrame:
+    """``(file, bytes, status)``: every file of the manifest read again: ok, missing, size or damaged."""
+    def check(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for name, size, crc in zip(pdf["file"], pdf["bytes"], pdf["crc32"]):
+                uri = store.below(target, name)
+                found = store.size(uri) if store.exists(uri) else None
+                status = "missing" if found is None else "size" if found != size else "ok" if store.checksum(uri)[1] == crc else "damaged"
+                out.append((name, size, status))
+            yield pd.DataFrame(out, columns=["file", "bytes", "status"])
+
+    return published(spark, target).repartition(2 * spark.sparkContext.defaultParallelism, "file").mapInPandas(check, "file string, bytes long, status string")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import uuid
+import zlib
 
 from pyarrow import fs
 
@@ -54,6 +55,16 @@ def read(uri: str, offset: int, n: int) -> bytes:
         return f.read_at(n, offset)
 
 
+def checksum(uri: str) -> tuple[int, int]:
+    """Bytes and CRC-32 of a file, read in pieces."""
+    store, path = place(uri)
+    n = crc = 0
+    with store.open_input_stream(path) as f:
+        while chunk := f.read(1 << 22):
+            n, crc = n + len(chunk), zlib.crc32(chunk, crc)
+    return n, crc
+
+
 def move(source: str, target: str) -> None:
     """Renames within a store; a file already there (of an earlier attempt) is replaced."""
     store, a = place(source)

@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual,
+                                    In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 
 from shardwright.sources import commits, store
 
@@ -71,6 +71,34 @@ def list_shards(path: str) -> list[tuple[str, int]]:
     return out
 
 
+END = 1 << 62
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans ``[lo, hi)``, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in spans:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def both(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What two sorted lists of disjoint spans have in common."""
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        lo, hi = max(a[i][0], b[j][0]), min(a[i][1], b[j][1])
+        if lo < hi:
+            out.append((lo, hi))
+        if a[i][1] < b[j][1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 @dataclass
 class WindowRanges(InputPartition):
     ranges: list          # (path, shard, seq_start, k0, k1) with k1 exclusive
@@ -85,9 +113,36 @@ class TokenShardReader(DataSourceReader):
         self.per_part = int(options.get("windowsPerPartition", "65536"))
         self.n_parts = int(options.get("numPartitions", "16"))
         self.chunk = int(options.get("chunkTokens", "65536"))
+        self.bounds: dict[str, list[tuple[int, int]]] = {}
         if self.T <= 0 or self.stride <= 0:
             raise ValueError(f"no windows of length {self.T} at stride {self.stride}: both must be positive")
 
+    def pushFilters(self, filters):
+        """Comparisons of ``shard``, ``seq_index`` and ``k`` (``chunk``) with numbers decide which byte
+        ranges are read at all; Spark keeps the others."""
+        for f in filters:
+            span = None
+            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in ("shard", "seq_index", "k", "chunk"):
+                whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+                if isinstance(f, In) and all(map(whole, f.value)):
+                    span = joined(sorted((v, v + 1) for v in f.value))
+                elif whole(getattr(f, "value", None)):
+                    v = f.value
+                    span = {EqualTo: [(v, v + 1)], GreaterThan: [(v + 1, END)], GreaterThanOrEqual: [(v, END)],
+                            LessThan: [(0, v)], LessThanOrEqual: [(0, v + 1)]}.get(type(f))
+            if span is None:
+                yield f
+                continue
+            name = "k" if f.attribute[0] == "chunk" else f.attribute[0]
+            self.bounds[name] = both(self.bounds.get(name, [(0, END)]), span)
+
+    def _wanted(self, shard: int, start: int, units: int) -> list[tuple[int, int]]:
+        """The windows (chunks) of a shard that the pushed filters leave."""
+        if not any(lo <= shard < hi for lo, hi in self.bounds.get("shard", [(0, END)])):
+            return []
+        own = both([(0, units)], self.bounds.get("k", [(0, END)]))
+        return both(own, [(lo - start, hi - start) for lo, hi in self.bounds["seq_index"]]) if "seq_index" in self.bounds else own
+
     def partitions(self):
         """Window ranges of all files, packed into about ``numPartitions``
         partitions of at most ``windowsPerPartition`` units each. Only file
@@ -99,15 +154,14 @@ class TokenShardReader(DataSourceReader):
         for idx, (f, size) in enumerate(files):
             n = size // 2                        # an odd trailing byte is ignored
             units = -(-n // self.chunk) if self.mode == "chunks" else max(0, (n - (self.T + 1)) // self.stride + 1)
-            units_of.append((f, idx, start, units))
+            units_of += [(f, idx, start, k0, k1) for k0, k1 in self._wanted(idx, start, units)]
             start += units if self.mode != "chunks" else 0
-        total = sum(u for *_, u in units_of)
+        total = sum(k1 - k0 for *_, k0, k1 in units_of)
         target = max(1, min(self.per_part, -(-total // max(1, self.n_parts))))
         parts, cur, room = [], [], target
-        for f, idx, base, units in units_of:
-            k = 0
-            while k < units:
-                take = min(room, units - k)
+        for f, idx, base, k, end in units_of:
+            while k < end:
+                take = min(room, end - k)
                 cur.append((f, idx, base, k, k + take))
                 k += take
                 room -= take
@@ -236,6 +290,43 @@ class TokenShardSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenShardSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")     # filters reach the reader
+
+
+READ_GAP = 1 << 16          # bytes between two windows that are read along rather than sought
+FETCH_SPAN = 4096           # windows of a shard that one task may fetch together
+
+
+def fetch_windows(requests: DataFrame, path: str, seq_len: int, stride: int | None = None, idx_col: str = "idx") -> DataFrame:
+    """The requests with ``shard``, ``k``, ``error`` and ``window``: windows by their global index (G6),
+    negative ones from the end. Only the byte ranges of the windows asked for are read, each once however
+    often it is asked for; a request out of range has an ``error`` and no window."""
+    from shardwright.operators.packing import lookup_windows, shard_dim
+
+    spark, step, L = requests.sparkSession, stride or seq_len, seq_len + 1
+    files = spark.createDataFrame([(n, uri, size // 2) for n, (uri, size) in enumerate(list_shards(path))], "shard int, uri string, n_tokens long")
+    dim = shard_dim(files, seq_len, step)
+    found = lookup_windows(requests.select(idx_col).distinct(), dim, idx_col)
+
+    def run(batches):
+        for b in batches:
+            uris, ks = b.column("uri").to_pylist(), b.column("k").to_pylist()
+            windows, at = [], 0
+            while at < len(ks):
+                to = at + 1
+                while to < len(ks) and uris[to] == uris[at] and 2 * step * (ks[to] - ks[to - 1]) - 2 * L <= READ_GAP \
+                        and (ks[to] - ks[at]) * step < BATCH_VALUES:
+                    to += 1
+                data = np.frombuffer(store.read(uris[at], 2 * step * ks[at], 2 * (step * (ks[to - 1] - ks[at]) + L)), "<u2").astype(np.int32)
+                windows += [data[(k - ks[at]) * step:(k - ks[at]) * step + L] for k in ks[at:to]]
+                at = to
+            yield pa.RecordBatch.from_arrays([b.column("idx"), pa.array(windows, pa.list_(pa.int32()))], ["idx", "window"])
+
+    wanted = (found.where(F.col("error").isNull()).select(F.col(idx_col).cast("long").alias("idx"), "shard", "k").join(files.select("shard", "uri"), "shard")
+              .repartition("shard", F.floor(F.col("k") / FETCH_SPAN)).sortWithinPartitions("shard", "k"))
+    got = wanted.select("idx", "uri", "k").mapInArrow(run, "idx long, window array<int>")
+    places = found.select(F.col(idx_col).alias("_i"), "shard", "k", "error").join(got.withColumnRenamed("idx", "_w"), F.col("_i") == F.col("_w"), "left").drop("_w")
+    return requests.join(places, F.col(idx_col).eqNullSafe(F.col("_i")), "left").drop("_i")
 
 
 def read_windows(spark: SparkSession, path: str, seq_len: int, stride: int | None = None,

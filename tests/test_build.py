@@ -357,3 +357,89 @@ def test_a_build_refuses_ids_it_cannot_go_on_from(spark, tmpdir_path, ids, what)
         corpus.write_corpus(d, f"{tmpdir_path}/batch", CFG, identity=ID)
     with pytest.raises(Exception, match=what if "two" in what else "have no doc_id"):
         build_batch(d, 0, f"{tmpdir_path}/stream", CFG, identity=ID)
+
+
+# ---------------------------------------------------------------- lookups that read only what they need
+def counted_reads(monkeypatch):
+    from shardwright.sources import store
+
+    read, seen = store.read, []
+    monkeypatch.setattr(store, "read", lambda uri, at, n: seen.append((os.path.basename(uri), at, n)) or read(uri, at, n))
+    return seen
+
+
+def test_pushed_filters_read_byte_ranges(spark, tmpdir_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan
+
+    from shardwright.sources.token_shards import TokenShardReader
+
+    for n in range(4):
+        (np.arange(1000, dtype="<u2") + 1000 * n).tofile(f"{tmpdir_path}/shard_{n:05d}.bin")
+    seen = counted_reads(monkeypatch)
+
+    def rows(*filters, **options):
+        r = TokenShardReader({"path": tmpdir_path, "seq_len": "9", "stride": "10", **options}, None)
+        kept = list(r.pushFilters(list(filters)))
+        seen.clear()
+        got = [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]
+        return kept, got, sum(n for _, _, n in seen)
+
+    kept, got, size = rows(EqualTo(("seq_index",), 205))
+    assert not kept and size == 20 and [(r["shard"], r["k"], r["window"][0]) for r in got] == [(2, 5, 2050)]
+    kept, got, size = rows(In(("seq_index",), (3, 4, 399, 10_000)), IsNotNull(("seq_index",)))
+    assert len(kept) == 1 and [r["seq_index"] for r in got] == [3, 4, 399] and size == 60
+    kept, got, size = rows(EqualTo(("shard",), 1), GreaterThanOrEqual(("k",), 10), LessThan(("k",), 12))
+    assert [(r["shard"], r["k"]) for r in got] == [(1, 10), (1, 11)] and size == 40
+    kept, got, size = rows(EqualTo(("chunk",), 1), EqualTo(("shard",), 3), mode="chunks", chunkTokens="100")
+    assert [(r["shard"], r["chunk"], r["tokens"][0]) for r in got] == [(3, 1, 3100)] and size == 200
+    assert rows(EqualTo(("seq_index",), "5"))[0] and rows(EqualTo(("window", "x"), 5))[0]
+    assert rows(LessThan(("seq_index",), 0))[1:] == ([], 0)
+    df = read_windows(spark, tmpdir_path, 9, 10).where("seq_index in (7, 205) or seq_index = 8").where("shard < 2")
+    assert sorted(r["seq_index"] for r in df.collect()) == [7, 8]
+    plan = read_windows(spark, tmpdir_path, 9, 10).where("seq_index = 205").collect()
+    assert len(plan) == 1 and plan[0]["window"] == list(range(2050, 2060))
+
+
+def test_fetch_by_index(spark, tmpdir_path):
+    from shardwright.sources.token_shards import fetch_windows
+
+    for n, size in enumerate((100, 57, 9, 300)):                    # the third is too short for a window
+        (np.arange(size, dtype="<u2") + 1000 * n).tofile(f"{tmpdir_path}/shard_{n:05d}.bin")
+    whole = {r["seq_index"]: r["window"] for r in read_windows(spark, tmpdir_path, 9, 4).collect()}
+    ask = [0, 5, 5, 5, len(whole) - 1, -1, -len(whole), len(whole), -len(whole) - 1, None, 30]
+    got = fetch_windows(spark.createDataFrame([(i, x) for i, x in enumerate(ask)], "r int, idx long"), tmpdir_path, 9, 4).collect()
+    assert sorted(r["r"] for r in got) == list(range(len(ask)))
+    for r in got:
+        i = ask[r["r"]]
+        want = None if i is None else whole.get(i if i >= 0 else i + len(whole))
+        assert r["window"] == want and (r["error"] is None) == (want is not None or i is None), r
+
+
+# ---------------------------------------------------------------- publications
+def test_publish_goes_on_and_finds_damage(spark, tmpdir_path, monkeypatch):
+    d, target = f"{tmpdir_path}/build", f"{tmpdir_path}/out"
+    state = corpus.write_corpus(docs(spark, 60, seed=9), d, CFG, identity=ID)
+    n = state["next_shard"]
+    put = M.store.put
+    monkeypatch.setattr(M.store, "put", lambda uri, data: 1 / 0 if uri.endswith(M.PUBLISHED) else put(uri, data))
+    with pytest.raises(ZeroDivisionError):                        # stopped before the manifest: nothing is published
+        M.publish_build(spark, d, target)
+    assert M.published(spark, target).count() == 0
+    monkeypatch.setattr(M.store, "put", put)
+    again = M.publish_build(spark, d, target).collect()
+    assert len(again) == 2 * n and not any(r["copied"] for r in again)                 # what was there already is not copied again
+    assert sorted(os.listdir(target)) == sorted([f"shard_{i:05d}{x}" for i in range(n) for x in (".bin", "_meta.json")] + [M.PUBLISHED])
+    assert {r["status"] for r in M.verify_published(spark, target).collect()} == {"ok"}
+    shard = f"{target}/shard_00000.bin"
+    data = open(shard, "rb").read()
+    open(shard, "wb").write(data[:-1] + bytes([data[-1] ^ 1]))
+    os.remove(f"{target}/shard_00001_meta.json")
+    assert sorted((r["file"], r["status"]) for r in M.verify_published(spark, target).collect() if r["status"] != "ok") == [
+        ("shard_00000.bin", "damaged"), ("shard_00001_meta.json", "missing")]
+    assert sorted(r["file"] for r in M.publish_build(spark, d, target).collect() if r["copied"]) == ["shard_00000.bin", "shard_00001_meta.json"]
+    source = shard_path(d, "shard_00000.bin")
+    open(source, "wb").write(data[:-1] + bytes([data[-1] ^ 1]))     # same size: only the checksum of the commit tells
+    with pytest.raises(Exception, match="not what its commit says"):
+        M.publish_build(spark, d, target)
+    with pytest.raises(RuntimeError, match="state_missing"):
+        M.publish_build(spark, f"{tmpdir_path}/none", target)

@@ -99,10 +99,53 @@ def test_training_plan_and_export(spark, tmpdir_path):
     samples = training.dev_samples(spark, plan, cfg, 2)
     assert samples.select("eval_no", "dev_batch").distinct().count() == 6
     export_batches(rest, f"{tmpdir_path}/plan", 8)
-    back = spark.read.parquet(f"{tmpdir_path}/plan")
+    back = spark.read.parquet(f"{tmpdir_path}/plan/batches")
     assert back.count() == rest.count()
 
 
+def test_a_rank_opens_only_its_files(spark, tmpdir_path):
+    from shardwright.operators import packing
+    from shardwright.sources.sinks import export_batches, read_batches
+
+    plan = packing.assign_ranks(packing.remaining_plan(spark, 3, 4, 1, 203, 0, 60), 3)       # 50 batches an epoch
+    index = export_batches(plan, tmpdir_path, 5).collect()
+    assert all(r["last_batch"] - r["first_batch"] < 5 and r["rows"] <= 20 for r in index)
+    assert sum(r["rows"] for r in index) == 240
+    rows = sorted((r["batch"], r["position"], r["local_index"]) for r in plan.where("epoch = 0 and rank = 2").collect())
+    mine = read_batches(spark, tmpdir_path, 2, 0)
+    assert [(r["batch"], r["position"], r["local_index"]) for r in mine.orderBy("batch", "position").collect()] == rows
+    assert len(mine.inputFiles()) == len([r for r in index if (r["rank"], r["epoch"]) == (2, 0)]) == 10
+    few = read_batches(spark, tmpdir_path, 2, 0, 11, 18)
+    assert sorted(few.select("batch").distinct().toPandas()["batch"]) == [11, 14, 17] and len(few.inputFiles()) == 2
+    assert read_batches(spark, tmpdir_path, 2, 9).count() == 0
+    with pytest.raises(ValueError):
+        export_batches(plan, tmpdir_path, 0)
+
+
+def test_pinned_vocabulary(spark, tmpdir_path):
+    from shardwright.functions.encoders import WordEncoder
+
+    d = spark.createDataFrame([(0, "a b a c"), (1, "b a")], "doc_id long, text string")
+    enc = WordEncoder.fit(d, 4)
+    path = enc.save(tmpdir_path)
+    assert path == WordEncoder.pinned(spark, path).save(tmpdir_path)
+    got = WordEncoder.pinned(spark, path)
+    assert (got.revision, got.vocab_size) == (enc.revision, 4)
+    assert [r["ids"] for r in got.encode(d).orderBy("doc_id").collect()] == [r["ids"] for r in enc.encode(d).orderBy("doc_id").collect()]
+    enc.vocab.where("id > 2").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="holds the vocabulary"):
+        WordEncoder.pinned(spark, path)
+
+
+def test_config_faults(spark):
+    from shardwright.functions.columns import config_faults
+    from shardwright.sources.manifests import config_from_row
+
+    rows = [({},), ({"B": 0, "min_lr": -1.0},), ({"T": 5, "warmup_steps": -1, "learning_rate": 0.0},)]
+    df = config_from_row(spark.createDataFrame([(json.dumps(r[0]),) for r in rows], "model_config string"))
+    assert [r[0] for r in df.select(config_faults("cfg")).collect()] == [[], ["B", "min_lr"], ["learning_rate", "warmup_steps"]]
+
+
 def test_validation_plan(spark, tmpdir_path):
     from shardwright.plans.validation import validate
 

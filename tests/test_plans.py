@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as E
 
 # these two materialise tables while being built (checkpoints, shard files)
-SIDE_EFFECTS = {"shard_roundtrip", "resume_build", "artifact_tables"}
+SIDE_EFFECTS = {"shard_roundtrip", "resume_build", "artifact_tables", "resume_source", "build_progress", "window_fetch", "published_files",
+                "rank_export", "metric_rows", "summary_file", "pinned_encoder"}
 
 
 def plan_of(df):
