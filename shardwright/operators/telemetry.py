@@ -37,7 +37,7 @@ def _block(col: str, width: int) -> Column:
 
 # ---------------------------------------------------------------- W1, W2
 def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | None = None,
-                 run: str = RUN, seeds: DataFrame | None = None) -> DataFrame:
+                 run: str = RUN, seeds: DataFrame | None = None, keep_seeds: bool = False) -> DataFrame:
     """Rate over the trailing ``window_s`` seconds of each counter sample.
 
     Samples restart after a rewind (units below the previous sample); the two
@@ -45,17 +45,17 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
     ≥ 0 and 0 with a single sample or no elapsed time. A null run is a run. A sample without
     a clock, or whose units are null or NaN, has rate 0 and is not seen by other samples.
     Adds ``rate`` (units/s) and ``elapsed_s``. ``seeds (run, us, units)`` are samples
-    known before the log starts (a resumed run); they are compared against but
-    not returned.
+    known before the log starts (a resumed run), in the order of ``seq`` if they have it; they are compared
+    against but not returned, unless ``keep_seeds`` asks for all rows with ``_seed``, ``_ok`` and the segment ``_seg``.
     """
     if window_s <= 0:
         raise ValueError("a rate needs a window longer than zero seconds")
     W = int(round(window_s * 1_000_000))
     blk = block_us or max(W, DEFAULT_BLOCK_US)
     if seeds is not None:
-        before = seeds.select(run, F.lit(-1).cast("long").alias("seq"), "us", "units", F.lit(True).alias("_seed"))
-        both = counters.withColumn("_seed", F.lit(False)).unionByName(before, allowMissingColumns=True)
-        return rolling_rate(both, window_s, block_us, run).where("not _seed").drop("_seed")
+        order = F.col("seq") if "seq" in seeds.columns else F.lit(-1)
+        before = seeds.select(run, order.cast("long").alias("seq"), "us", "units", F.lit(True).alias("_seed"))
+        counters = counters.withColumn("_seed", F.lit(False)).unionByName(before, allowMissingColumns=True)
     df = _prev_and_segments(counters, blk, run)
     # previous sample inside the same segment, else none
     same = F.col("_rs") == 0
@@ -78,8 +78,10 @@ def rolling_rate(counters: DataFrame, window_s: float = 30.0, block_us: int | No
     alone = j0.isNull() | ~F.col("_ok")
     out = got.withColumn("elapsed_s", F.when(alone, F.lit(0.0)).otherwise(F.greatest(elapsed, F.lit(0.0))))
     out = out.withColumn("rate", F.when(alone, F.lit(0.0)).otherwise(rate))
-    return out.drop("_tb", "_rs", "_seg", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first", "_ok",
-                    "prev_units", "prev_us", "prev_seq")
+    out = out.drop("_tb", "_rs", "_pus", "_pun", "_pseq", "_wb", "_halo", "_first", "prev_units", "prev_us", "prev_seq")
+    if keep_seeds:
+        return out if seeds is not None else out.withColumn("_seed", F.lit(False))
+    return (out if seeds is None else out.where("not _seed").drop("_seed")).drop("_seg", "_ok")
 
 
 def _measured() -> Column:

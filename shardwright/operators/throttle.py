@@ -137,9 +137,10 @@ def _per_row(df: DataFrame, out: str, each: Callable, keep: list[str]) -> DataFr
 
 
 def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, units: str = "units",
-             run: str = "run_id", block_gaps: int = 1024) -> DataFrame:
+             run: str = "run_id", block_gaps: int = 1024, after: DataFrame | None = None) -> DataFrame:
     """The rows a throttled emitter lets through: the first row of a run, every row at least ``gap_s`` after
-    the last one let through, and every row whose ``units`` reached ``target``."""
+    the last one let through, and every row whose ``units`` reached ``target``. ``after (run, last_us)`` tells when
+    the last row of a run was let through before these rows."""
     gap = int(round(gap_s * 1_000_000))
     if gap <= 0:
         raise ValueError("a throttle needs a gap longer than zero")
@@ -172,8 +173,8 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
             whole = composed(whole, t, gap)
         return [(whole[0].tolist(), whole[1].tolist(), whole[2])]
 
-    def along(ts):
-        return list(zip([t["g"] for t in ts], entries(tables_of(ts), None, gap)))
+    def along(ts, last0):
+        return list(zip([t["g"] for t in ts], entries(tables_of(ts), last0, gap)))
 
     def inside(ts, last):
         return list(zip([t["b"] for t in ts], entries(tables_of(ts), last, gap)))
@@ -188,8 +189,12 @@ def throttle(rows: DataFrame, gap_s: float = 0.5, target: float | None = None, u
     groups = small.groupBy(KEY, F.floor(F.col("b") / GROUP).alias("g")).agg(
         F.array_sort(F.collect_list(F.struct("b", "thresholds", "exits", "always"))).alias("ts"))
     wide = _per_row(groups, TABLE, compose, [KEY, "g"])
-    entered = _per_row(wide.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("g", "thresholds", "exits", "always"))).alias("ts")),
-                       "g long, last long", along, [KEY])
+    runs = wide.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("g", "thresholds", "exits", "always"))).alias("ts"))
+    if after is None:
+        runs = runs.withColumn("last0", F.lit(None).cast("long"))
+    else:
+        runs = runs.join(after.select(F.struct(run).alias(KEY), F.col("last_us").alias("last0")), KEY, "left")
+    entered = _per_row(runs, "g long, last long", along, [KEY])
     starts = _per_row(groups.join(entered, [KEY, "g"]).drop("g"), "b long, last long", inside, [KEY])
     chosen = _per_row(blocks.join(starts, [KEY, "b"]).select(KEY, "b", *clocks, "last"), "at array<int>", emit, [KEY, "b"])
     firsts = (blocks.select(KEY, "b", "e").join(chosen, [KEY, "b"])

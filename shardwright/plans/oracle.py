@@ -722,3 +722,6 @@ r AS (SELECT sha256(string_agg(x, ',' ORDER BY x)) AS revision FROM (SELECT id |
 w AS ({SQL["word_encode"]})
 SELECT doc_id, n_tokens, id_sum, revision FROM w, r
 """
+
+SQL["live_rate"] = SQL["rolling_rate"]
+SQL["live_throttle"] = SQL["throttle"]

@@ -1028,3 +1028,38 @@ def pinned_encoder(spark, sf):
     out = with_eos(enc.encode(d), enc.eos_id)
     return out.select("doc_id", "n_tokens", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
                       F.lit(enc.revision).alias("revision"))
+
+
+LIVE_CUTS = 3
+
+
+def _cuts(df):
+    """The rows in stretches of their clock, as micro-batches bring them."""
+    lo, hi = df.agg(F.min("us"), F.max("us")).first()
+    edges = [lo + (hi + 1 - lo) * k // LIVE_CUTS for k in range(LIVE_CUTS + 1)]
+    return [df.where((F.col("us") >= a) & (F.col("us") < b)) for a, b in zip(edges, edges[1:])]
+
+
+@query
+def live_rate(spark, sf):
+    """The rates of W1, micro-batch by micro-batch from a state table."""
+    from shardwright.operators.telemetry import eta
+    from shardwright.streaming.live_tables import LiveTable, rate_batch
+
+    out = _shared(spark, "live-rate")
+    for number, part in enumerate(_cuts(counters(spark, sf))):
+        rate_batch(part, number, out, RATE_WINDOW_S)
+    r = eta(LiveTable(spark, out).rows(), RATE_TARGET)
+    return r.select("run_id", "seq", F.col("units").cast("long").alias("units"), _round(F.col("rate") * 3600).alias("rate_per_hour"),
+                    _round(F.col("elapsed_s")).alias("elapsed_s"), "eta_s")
+
+
+@query
+def live_throttle(spark, sf):
+    """T4: the rows that W5 lets through, micro-batch by micro-batch from a state table."""
+    from shardwright.streaming.live_tables import LiveTable, throttle_batch
+
+    out = _shared(spark, "live-throttle")
+    for number, part in enumerate(_cuts(counters(spark, sf))):
+        throttle_batch(part, number, out, THROTTLE_GAP_S, THROTTLE_TARGET)
+    return LiveTable(spark, out).rows().select("run_id", "seq", "units")

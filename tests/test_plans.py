@@ -8,7 +8,7 @@ import __spark_entry__ as E
 
 # these two materialise tables while being built (checkpoints, shard files)
 SIDE_EFFECTS = {"shard_roundtrip", "resume_build", "artifact_tables", "resume_source", "build_progress", "window_fetch", "published_files",
-                "rank_export", "metric_rows", "summary_file", "pinned_encoder"}
+                "rank_export", "metric_rows", "summary_file", "pinned_encoder", "live_rate", "live_throttle"}
 
 
 def plan_of(df):
