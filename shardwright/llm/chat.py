@@ -131,15 +131,29 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds what the formatted text says: ``turns`` as ``(role, text)``, unescaped,
-    and ``loss_text``, the text under the loss mask."""
+    """Adds what the formatted text says: ``turns`` as ``(role, text, parts)``, unescaped, and ``loss_text``,
+    the text under the loss mask. ``parts`` are the typed parts ``(kind, text)`` in order: placeholders are told from
+    texts before these are unescaped, each by itself; ``text`` is that of the text parts. The n-th
+    placeholder of a turn is its n-th attachment. An empty text that is not next to a text leaves no trace."""
     whole = F.split("formatted", r"<\|im_end\|>\n")
     raw = formatted.withColumn("_raw", F.slice(whole, 1, F.size(whole) - 1))
 
+    marks = r"<\|(?:image|audio|document|other)\|>"             # escaped texts hold none of them
+
+    def typed(body: Column) -> Column:
+        def part(piece: Column) -> Column:
+            texts = F.transform(F.split(piece, SEP.replace("|", r"\|"), -1), lambda x: F.struct(F.lit("text").alias("kind"), unescape(x).alias("text")))
+            mark = F.array(F.struct(F.regexp_extract(piece, r"^<\|(\w+)", 1).alias("kind"), F.lit(None).cast("string").alias("text")))
+            return F.when(piece.rlike(f"^{marks}"), mark).otherwise(texts)
+
+        pieces = F.filter(F.split(body, f"(?<={marks})|(?={marks})"), lambda x: x != "")
+        return F.flatten(F.transform(pieces, part))
+
     def turn(s: Column) -> Column:
-        return let(F.position(F.lit("\n"), s), lambda at: F.struct(
+        return let(F.position(F.lit("\n"), s), lambda at: let(typed(F.substring(s, at + 1, F.char_length(s))), lambda parts: F.struct(
             unescape_role(F.substring(s, F.lit(len(START) + 1), at - F.lit(len(START) + 1))).alias("role"),
-            unescape(F.replace(F.substring(s, at + 1, F.char_length(s)), F.lit(SEP), F.lit(""))).alias("text")))
+            F.array_join(F.transform(F.filter(parts, lambda p: p["kind"] == "text"), lambda p: p["text"]), "").alias("text"),
+            parts.alias("parts"))))
 
     return (raw.withColumn("turns", F.transform("_raw", turn))
             .withColumn("loss_text", F.array_join(F.transform("loss", lambda x: unescape(F.substring(

@@ -21,9 +21,13 @@ def labelled_ids(labels: DataFrame, label: str, bound: int, learn: Column, doc_i
 
 
 def with_labels(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents of ``ids``. Their number is bounded where they are drawn (12 bytes a
-    row), so every task gets them all and no text is shuffled."""
-    return docs.join(F.broadcast(ids), doc_id)
+    """The documents of ``ids``, one for each: of rows that share an id the one whose text has the least hash
+    (ties: the least text), so the sample is as small as its bound says. The ids' number is bounded where they are
+    drawn (12 bytes a row), so every task gets them all; repeats of an id meet already on the map side."""
+    joined = docs.join(F.broadcast(ids), doc_id)
+    rest = [c for c in joined.columns if c != doc_id]
+    one = joined.groupBy(doc_id).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("_r"))
+    return one.select(doc_id, "_r.*")
 
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -1,7 +1,7 @@
 """Quality rules and a hashed logistic regression.
 
 Fixed rules on word statistics come first. What they leave is judged by a logistic
-regression over hashed word unigrams and bigrams and byte 3- and 5-grams, trained on
+regression over hashed word unigrams and bigrams and character 3- and 5-grams (code points), trained on
 a bounded sample of labelled documents, calibrated by Platt's method on a part of
 it that the weights were not fitted to, and compared with a fixed threshold.
 Documents are scored in Arrow batches; no row is shuffled.
@@ -24,7 +24,7 @@ from shardwright.llm.common import fold
 from shardwright.llm.labelled import fit_in_one_task, labelled_ids, with_labels
 from shardwright.llm.texts import SYMBOL, Texts, slices
 
-BITS = 16                  # buckets for words and as many for byte runs
+BITS = 16                  # buckets for words and as many for runs of characters
 GRAMS = (3, 5)
 SAMPLE = 2000              # labelled documents the model is fitted to, at most
 THRESHOLD = 0.5
@@ -40,18 +40,25 @@ def buckets(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     firsts = np.concatenate(([0], np.cumsum(t.count)))
     out = [((words >> cut).astype(np.int32), firsts),
            ((pairs >> cut).astype(np.int32), np.searchsorted(at, firsts))]
-    b = t.buf.astype(np.uint64)
+    c, off = code_points(t)
     for n in GRAMS:
-        m = max(0, len(b) - n + 1)
-        g = np.zeros(m, np.uint64)
-        for j in range(n):
-            g |= b[j:m + j] << np.uint64(8 * j)
-        g *= np.uint64(0x9E3779B97F4A7C15 + 2 * n)
-        stop = np.maximum(t.off[1:] - n + 1, t.off[:-1])                   # runs inside one text
-        out.append(((g >> cut).astype(np.int32), np.stack((np.minimum(t.off[:-1], m), np.minimum(stop, m)))))
+        m = max(0, len(c) - n + 1)
+        g = np.full(m, n, np.uint64)
+        for j in range(n):                                                 # three bytes hold any character
+            g = (g * np.uint64(0xBF58476D1CE4E5B9)) ^ c[j:m + j]
+        g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        stop = np.maximum(off[1:] - n + 1, off[:-1])                       # runs inside one text
+        out.append(((g >> cut).astype(np.int32), np.stack((np.minimum(off[:-1], m), np.minimum(stop, m)))))
     return out
 
 
+def code_points(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a slice as numbers, and where its texts end among them."""
+    first = (t.buf & 0xC0) != 0x80                                         # bytes that begin a character
+    off = np.concatenate(([0], np.cumsum(first)))[t.off]
+    return np.frombuffer(t.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), off
+
+
 GROUPS = 2 + len(GRAMS)
 
 

@@ -6,7 +6,9 @@ sizes. Drawing it from the multivariate hypergeometric law and then dealing the
 rows of each block in random order gives every assignment with those shard sizes
 the same probability, so no row needs to know of any other block's rows:
 
-1. count the rows of each block (hash of the row's identity, so every retry agrees);
+1. count equal rows first (map-side combined) and number the copies of each, in stretches of ``COPIES``; so
+   every row has an identity of its own, and copies of one row are dealt like different rows, however
+   many there are. Count the rows of each block (hash of that identity, so every retry agrees);
 2. draw the matrix by halving: a node of a binary tree over the blocks gives its left
    half a hypergeometric share of each shard's remaining places, the right half gets
    the rest. A level is a projection and a generate over the nodes; one row per block
@@ -18,7 +20,7 @@ the same probability, so no row needs to know of any other block's rows:
 
 Laws: ``rows`` (shard sizes at most one apart). Defined cases: a null text has size 1
 and the checksum of no bytes; null ids are identities like others; repeated rows are
-dealt like any two rows (fully equal ones are interchangeable); with fewer rows than
+dealt like any two rows (a third of all rows may be one row repeated); with fewer rows than
 shards some shards stay empty; an empty table gives an empty result; other columns
 of the input are ignored.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import let, staged, utf8
 
 BLOCK_ROWS = 4096          # rows of a block, about
+COPIES = 4096              # copies of one row that are written out by one row of a task
 SLOT_ROWS = 50_000         # rows of a sub-bucket of a shard, about
 MAX_BLOCKS = 1 << 15       # beyond, blocks grow instead: the counts of all blocks are one array
 
@@ -125,17 +128,27 @@ def communication_matrix(counts: DataFrame, n_blocks: int, sizes: list[int], see
     return nodes.select((F.col("node") - n_blocks).cast("int").alias("block"), "places")
 
 
+def with_copies(rows: DataFrame, identity: list[str]) -> DataFrame:
+    """Every row with the number of its copy: equal rows are counted, and their copies written out in
+    stretches that are dealt over the tasks."""
+    counted = rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("_m"))
+    stretches = counted.select(*identity, "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(COPIES).cast("long"))).alias("_at"))
+    return stretches.repartition(*identity, "_at").select(
+        *identity, F.explode(F.sequence("_at", F.least(F.col("_at") + COPIES, F.col("_m")) - 1)).alias("copy"))
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text",
                         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs``."""
     body = utf8(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
                        F.crc32(body).alias("text_crc32"))
-    n = docs.count()
+    rows = staged(with_copies(rows, ["doc_id", "size", "text_crc32"]), "shard-copies")
+    n = rows.count()
     n_blocks = min(MAX_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n) / block_rows)))) if n else 1
     sizes = [n // n_shards + (j < n % n_shards) for j in range(n_shards)]
-    identity = ("doc_id", "size", "text_crc32")
-    rows = staged(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(n_blocks)).cast("int")), "shard-rows")
+    identity = ("doc_id", "size", "text_crc32", "copy")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(n_blocks)).cast("int"))
     counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     places = staged(communication_matrix(counts, n_blocks, sizes, seed + 1), "shard-matrix")
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 2), *identity), *identity)
@@ -152,4 +165,4 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, doc_
     first = sums.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inner = Window.partitionBy("shard", "_b").orderBy("_k", *identity)
     return (dealt.withColumn("_r", F.row_number().over(inner)).join(first, ["shard", "_b"])
-            .select(*identity, "shard", (F.col("_first") + F.col("_r") - 1).cast("long").alias("slot")))
+            .select(*identity[:3], "shard", (F.col("_first") + F.col("_r") - 1).cast("long").alias("slot")))

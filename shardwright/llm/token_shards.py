@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -193,7 +194,7 @@ class Encoder:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes ``folder/shard-*.wm``; returns ``(shard, path, n_docs, n_tokens, start)``, one row a file."""
+    """Writes ``folder/shard-*.wm``, each attempt of a task under names of its own; returns the manifest ``(shard, path, n_docs, n_tokens, start)``, one row a file."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(1, math.ceil(total / shard_bytes))
@@ -213,7 +214,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             held.clear()
             ids, counts = encoder.encode(column.pop(), end_id)           # the encoder lets go of the texts when it has cut them
             give_back()
-            path = f"{folder}/shard-{number:012d}.wm"
+            path = f"{folder}/shard-{number:012d}-{uuid.uuid4().hex}.wm"          # of this attempt alone
             wavelet.write(path, ids, key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, end_id)
             row = pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "path": [path],
                                               "n_docs": pa.array([len(counts)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64())})

@@ -20,7 +20,6 @@ stored size in front) and the chunks.
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +39,8 @@ def _pack(raw: bytes) -> tuple[bytes, int]:
 
 
 def write(uri: str, ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, counts: np.ndarray, end_id: int) -> int:
-    """Writes ``ids`` under a temporary name and moves it to ``uri``; returns the bytes written.
-
-    A repeated task writes the same bytes to the same name."""
+    """Writes ``ids`` to ``uri`` and returns the bytes written. The name must be one that no other attempt
+    uses: nothing is moved or replaced, and a file counts when the manifest names it."""
     seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
     for part in np.array_split(ids, -(-len(ids) // (1 << 20)) or 1):     # indexing widens: not all at once
         seen[part] = True
@@ -75,14 +73,10 @@ def write(uri: str, ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray,
     after = len(front) + slots.nbytes + 12 + len(packed_docs)
     slots["at"] = (after + np.concatenate(([0], np.cumsum(slots["size"].ravel(), dtype=np.uint64)))[:-1]).reshape(slots.shape)
     store, path = place(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(path) as out:
         out.write(front + slots.tobytes() + struct.pack("<IIi", len(packed_docs), len(docs), flag) + packed_docs)
         for stored in body:
             out.write(stored)
-    if store.get_file_info(path).type != fs.FileType.NotFound:
-        store.delete_file(path)
-    store.move(part, path)
     return after + sum(map(len, body))
 
 

@@ -76,3 +76,17 @@ def test_typed_parts_become_ordered_placeholders(make):
     assert r["expanded_tokens"] == 3 + 63 + 768
     assert [r["formatted"][s["start"]:s["start"] + s["length"]] for s in r["loss"]] == ["read"]
     assert r["loss_text"] == "read" and r["turns"][2]["text"] == ""
+
+
+def test_typed_parts_come_back(make):
+    """Placeholders and texts that look like them are told apart."""
+    said = [[part("image", ref="a"), part("text", "literal <|image|> here")], [part("text", "<|image|>literal <|image|> here")],
+            [part("text", "a<"), part("text", "|sep|>"), part("text", ""), part("text", "b"), part("audio"), part("smell"), part("document"), part("text", "<\\|image|>")],
+            [part("image"), part("image"), part("text", "x\ny")], []]
+    rows = [(1, t, "user", parts) for t, parts in enumerate(said)]
+    r = C.read_back(C.format_conversations(make(rows, PARTS))).first()
+    want = [[(k if k in C.VISITORS else "other", t if k == "text" else None) for k, t, *_ in parts] for parts in said]
+    assert [[tuple(p) for p in t["parts"]] for t in r["turns"]] == want
+    assert [t["text"] for t in r["turns"]] == ["".join(t or "" for k, t, *_ in parts if k == "text") for parts in said]
+    marks = [(i, a[0]) for i, parts in enumerate(want) for a in parts if a[0] != "text"]
+    assert [(a["turn_no"], a["kind"] if a["kind"] in C.VISITORS else "other") for a in r["attachments"]] == marks

@@ -65,3 +65,47 @@ def test_every_place_is_as_likely_for_every_row(make):
 def test_plan_is_native(make):
     p = shuffle_into_shards(make([(1, "a")], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in p and "Arrow" not in p and "Pandas" not in p
+
+
+def test_one_row_repeated_is_dealt_over_all_blocks(make):
+    """A third of all rows is one row: its copies lie in every block and every sub-bucket."""
+    from shardwright.llm import sharding as S
+
+    df = make([(None, None)] * 20_000 + [(i, "t") for i in range(40_000)], SCHEMA)
+    rows = df.select("doc_id", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"))
+    copies = S.with_copies(rows, ["doc_id", "size", "text_crc32"])
+    got = copies.groupBy(F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "copy"), F.lit(16)).alias("b")).agg(
+        F.sum(F.col("doc_id").isNull().cast("int")).alias("hot"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 16 and max(r["hot"] for r in got) < 1500 and sum(r["n"] for r in got) == 60_000
+    assert copies.where("doc_id is null").select("copy").distinct().count() == 20_000
+    sizes = Counter(r["shard"] for r in shuffle_into_shards(df, block_rows=4096).select("shard").collect())
+    assert set(sizes.values()) == {3750}
+
+
+def test_against_a_reference_deal(make):
+    """The deal by definition, from the hashes and the matrix: blocks in hashed order against cumulated places, then
+    slots by a second hash."""
+    from shardwright.llm import sharding as S
+
+    rows = [(i % 90, "x" * (i % 4)) for i in range(300)]
+    df = make(rows, SCHEMA)
+    got = sorted(tuple(r) for r in shuffle_into_shards(df, block_rows=64, seed=7).collect())
+    base = S.with_copies(df.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32")),
+                         ["doc_id", "size", "text_crc32"])
+    own = ("doc_id", "size", "text_crc32", "copy")
+    hashed = base.select(*own, *(F.xxhash64(F.lit(7 + k), *own).alias(f"h{k}") for k in (0, 2, 3))).collect()
+    n_blocks, sizes = 8, [300 // 16 + (j < 300 % 16) for j in range(16)]
+    blocks = {}
+    for r in hashed:
+        blocks.setdefault(r["h0"] % n_blocks, []).append(r)
+    counts = base.sparkSession.createDataFrame([(b, len(v)) for b, v in blocks.items()], "block int, n long")
+    places = {r["block"]: r["places"] for r in communication_matrix(counts, n_blocks, sizes, 8).collect()}
+    shards_of = {}
+    for b, members in blocks.items():
+        order = sorted(members, key=lambda r: (r["h2"], r["doc_id"], r["size"], r["text_crc32"], r["copy"]))
+        dealt = [j for j, k in enumerate(places[b]) for _ in range(k)]
+        for r, j in zip(order, dealt):
+            shards_of.setdefault(j, []).append(r)
+    want = sorted((r["doc_id"], r["size"], r["text_crc32"], j, slot) for j, members in shards_of.items()
+                  for slot, r in enumerate(sorted(members, key=lambda r: (r["h3"], r["doc_id"], r["size"], r["text_crc32"], r["copy"]))))
+    assert [(i, s, c) for i, s, c, _, _ in got] == [(i, s, c) for i, s, c, _, _ in want] and got == want

@@ -129,3 +129,32 @@ def test_tree_arrays_agree_with_a_walk():
                 node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
             s += value[node - len(feature)]
         assert abs(1 / (1 + np.exp(-s)) - got) < 1e-6
+
+
+def test_a_sample_holds_one_row_for_each_id(make):
+    from shardwright.llm.labelled import labelled_ids, with_labels
+
+    docs = make([(5, f"text {i % 7}") for i in range(3000)] + [(6, None), (6, "x"), (7, "y")], "doc_id long, text string")
+    labels = make([(5, 1), (6, 0), (7, 1)], "doc_id long, quality int", extra=False)
+    ids = labelled_ids(labels, "quality", 2, language.F.lit(True))
+    got = with_labels(docs.select("doc_id", "text"), ids).collect()
+    assert len(got) == 2 and len({r["doc_id"] for r in got}) == 2
+    again = with_labels(docs.repartition(5).select("doc_id", "text"), ids).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_features_are_runs_of_characters():
+    """Character n-grams by definition: as many as the characters allow, equal where the characters are equal."""
+    body = ["äöü€𝒳äöü", "", "ab", "xxäöüxx"]
+    t = texts.Texts(pa.array(body)).split()
+    c, off = quality_rules.code_points(t)
+    assert [("".join(map(chr, c[a:b]))) for a, b in zip(off, off[1:])] == body
+    for n, (index, at) in zip(quality_rules.GRAMS, quality_rules.buckets(t)[2:]):
+        lo, hi = quality_rules.bounds(at)
+        grams = [[x[i:i + n] for i in range(max(0, len(x) - n + 1))] for x in body]
+        assert (hi - lo).tolist() == [len(g) for g in grams]
+        seen = {}
+        for g, a, b in zip(grams, lo, hi):
+            for name, bucket in zip(g, index[a:b].tolist()):
+                assert seen.setdefault(name, bucket) == bucket
+        assert len(set(seen.values())) == len(seen)
