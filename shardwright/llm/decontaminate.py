@@ -10,19 +10,22 @@ the document less place in the passage) at most ``e`` apart. So:
 3. hits are counted per document, passage and diagonal band. Bands are ``2 w`` wide and start every
    ``w`` diagonals, with ``w = e + 1`` of the passage itself: any ``e + 1`` neighbouring diagonals
    lie in one band, so no match is split;
+   Hits are walked in blocks of ``HITS``, each reduced to its distinct (band, passage q-gram) pairs, so a
+   run of one sign in a text and in a passage costs time but no memory;
 4. bands whose count of distinct passage q-grams meets the bound are verified: a banded
-   alignment of the passage against the band's stretch of its document, many at a time.
+   alignment of the passage against the band's stretch of its document, many at a time (at most ``CELLS``
+   cells of a row), or bit-parallel, one bit for each of its characters, for passages above ``LONG``.
    Places outside the document take no part, so a result does not depend on neighbours.
 
 Texts are compared lower-cased, with runs of white space as one space. Documents are
 cut into pieces of ``PIECE`` characters that overlap by more than the longest passage
 and its edits, so memory is bounded for any text and no match falls between pieces.
 Documents are not shuffled. The index is sent to the tasks only up to ``INDEX_BYTES``;
-a larger benchmark is taken in parts of that size, one pass over the documents each.
+a larger benchmark is taken in parts of that size, one pass over the documents each, whose hits
+are written before the next part is read.
 
 Defined cases: null and empty texts and passages match nothing; passages shorter than
-``q`` characters, or too short for the lemma to bound (``m + 1 - q * (e + 1) < 1`` with the
-budget lowered to 0), are left out; repeated rows are judged alike; repeated passages
+``q`` characters are matched exactly, as whole words, without edits; repeated rows are judged alike; repeated passages
 keep the least ``item_id``; an empty benchmark or table gives an empty result; extra columns are ignored.
 """
 
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.llm.common import staged
 from shardwright.llm.texts import slices
 
 Q = 12
@@ -43,6 +47,7 @@ EDIT_SHARE = 0.05          # edits allowed, as a share of the passage
 PIECE = 1 << 20
 INDEX_BYTES = 32 << 20
 TABLE_BITS = 24
+HITS, CELLS, LONG = 1 << 21, 1 << 18, 1024
 STEP = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start long, end long, edits int, passage_chars int"
 
@@ -82,11 +87,15 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE) -> None:
         seen: dict[str, int] = {}
+        short: dict[str, int] = {}
         for item, text in sorted(items):
             body = normal(text)
-            if len(body) >= q and budget(len(body), q, share) >= 0:
+            if len(body) >= q:
                 seen.setdefault(body, item)
-        self.q, self.items = q, np.array(list(seen.values()), np.int64)
+            elif body:
+                short.setdefault(body, item)
+        self.q, self.items = q, np.array([*seen.values(), *short.values()], np.int64)     # short ones behind
+        self.short = list(short)
         self.cps = [np.frombuffer(b.encode("utf-32-le"), np.uint32) for b in seen]
         self.chars = np.array([len(c) for c in self.cps], np.int64)
         self.edits = np.array([budget(m, q, share) for m in self.chars], np.int64)
@@ -108,6 +117,19 @@ class Index:
         np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
         return bits
 
+    def exact(self, whole: str) -> Iterator[tuple[int, int, int]]:
+        """Passage, start and end of each place of a short passage that no letter or digit touches."""
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for i, body in enumerate(self.short):
+            words.add_word(body, (len(self.cps) + i, len(body)))
+        words.make_automaton()
+        for last, (who, size) in words.iter(whole):
+            a, b = last + 1 - size, last + 1
+            if not (a and whole[a - 1].isalnum() or b < len(whole) and whole[b].isalnum()):
+                yield who, a, b
+
     def bands(self, cps: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
         """Passage, document, first diagonal and last diagonal of each band that meets its bound.
 
@@ -122,23 +144,39 @@ class Index:
         real = self.keys[near] == h[pos]
         pos, near = pos[real], near[real]
         n = self.size[near]
-        hit = np.repeat(self.first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        who = self.who[hit].astype(np.int64)
-        doc = np.repeat(np.searchsorted(begin, pos, "right") - 1, n)
-        # a pair with fewer hits than the bound has no band that meets it
-        _, pair, count = np.unique(who * len(begin) + doc, return_inverse=True, return_counts=True)
-        enough = count[pair] >= self.least[who]
-        hit, who, doc = hit[enough], who[enough], doc[enough]
+        total = np.cumsum(n)
+        owner = np.searchsorted(begin, pos, "right") - 1
         base = int(self.chars.max())
-        diagonal = np.repeat(pos, n)[enough] - self.at[hit] + base         # never negative
-        found = []
         spread = len(cps) + base + 2
-        w = self.width[who]
-        for shift in (0, 1):                                               # the two bands a diagonal lies in
-            band = (diagonal + shift * w) // (2 * w) * 2 + 1 - shift
-            keys, group = np.unique((who * len(begin) + doc) * spread + band, return_inverse=True)
-            cell = np.unique(group * len(self.hash) + hit)                 # an index entry counts once in a band
-            count = np.bincount(cell // len(self.hash), minlength=len(keys))
+
+        def blocks() -> Iterator[tuple[np.ndarray, ...]]:
+            """Index entry, passage, document and diagonal of the hits, ``HITS`` or one place's at a time."""
+            at = 0
+            while at < len(pos):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HITS, "right")))
+                k = n[at:to]
+                hit = np.repeat(self.first[near[at:to]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                yield hit, self.who[hit].astype(np.int64), np.repeat(owner[at:to], k), np.repeat(pos[at:to], k) - self.at[hit] + base
+                at = to
+
+        # a pair with fewer hits than the bound has no band that meets it
+        counted = [np.unique(who * len(begin) + doc, return_counts=True) for _, who, doc, _ in blocks()]
+        if not counted:
+            return none, none, none, none
+        pairs, group = np.unique(np.concatenate([p for p, _ in counted]), return_inverse=True)
+        pairs = pairs[np.bincount(group, np.concatenate([c for _, c in counted])) >= self.least[pairs // len(begin)]]
+        held: tuple[list, list] = ([], [])
+        for hit, who, doc, diagonal in blocks():                           # diagonals are never negative
+            pair = who * len(begin) + doc
+            enough = np.flatnonzero(np.isin(pair, pairs))
+            hit, pair, diagonal, w = hit[enough], pair[enough], diagonal[enough], self.width[who[enough]]
+            for shift in (0, 1):                                           # the two bands a diagonal lies in
+                band = (diagonal + shift * w) // (2 * w) * 2 + 1 - shift
+                held[shift].append(distinct(pair * spread + band, hit))    # an index entry counts once in a band
+        found = []
+        for parts_of in held:
+            band, _ = distinct(*(np.concatenate(x) for x in zip(*parts_of))) if len(parts_of) > 1 else parts_of[0]
+            keys, count = np.unique(band, return_counts=True)
             found.append(keys[count >= self.least[keys // spread // len(begin)]])
         keys = np.unique(np.concatenate(found))
         who, doc = np.divmod(keys // spread, len(begin))
@@ -152,10 +190,14 @@ class Index:
         Row i of the alignment is passage character i; column c is text place i + low + c - slack.
         Start and end are free between ``first`` and ``last``, the ends of the band's document
         in ``cps``; all bands of a batch advance row by row together."""
-        out = []
+        out = self.verify_long(cps, who, low, high, first, last)
         order = np.argsort(self.chars[who], kind="stable")
-        for at in range(0, len(order), 256):
-            pick = order[at:at + 256]
+        order = order[self.chars[who[order]] <= LONG]
+        at = 0
+        while at < len(order):
+            widest = int(self.width[who[order[min(at + 255, len(order) - 1)]]])
+            pick = order[at:at + max(1, min(256, CELLS // (4 * widest + 1)))]
+            at += len(pick)
             w = who[pick]
             slack = int(self.width[w].max())
             m, e = self.chars[w], self.edits[w]
@@ -196,6 +238,66 @@ class Index:
         return out
 
 
+    def verify_long(self, cps: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray,
+                    first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The same for long passages: touching bands of a passage in a document are one stretch."""
+        out, group = [], None
+        order = [int(b) for b in np.lexsort((low, first, who)) if self.chars[who[b]] > LONG]
+        for b in [*order, None]:
+            if group is not None and (b is None or (who[b], first[b]) != (who[group[0]], first[group[0]]) or low[b] > group[2] + 1):
+                k, w = group[0], int(who[group[0]])
+                e, m = int(self.edits[w]), int(self.chars[w])
+                a, z = max(int(first[k]), group[1] - e), min(int(last[k]), group[2] + m + e)
+                edits, start, end = bit_parallel(self.cps[w], cps[a:z])
+                if edits <= e:
+                    out.append((k, a + start, a + end, edits))
+                group = None
+            if b is not None:
+                group = (b, int(low[b]), int(high[b])) if group is None else (group[0], group[1], max(group[2], int(high[b])))
+        return out
+
+
+def distinct(key: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once."""
+    order = np.lexsort((entry, key))
+    key, entry = key[order], entry[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (entry[1:] != entry[:-1])
+    return key[new], entry[new]
+
+
+def bit_parallel(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Fewest edits of ``pattern`` against any stretch of ``text``, and the stretch, by bit-vectors of the
+    alignment's columns (one bit for each pattern character)."""
+    edits, end = _column_walk(pattern, text, free=True)
+    _, back = _column_walk(pattern[::-1], text[:end][::-1], free=False)
+    return edits, end - back, end
+
+
+def _column_walk(pattern: np.ndarray, text: np.ndarray, free: bool) -> tuple[int, int]:
+    """Least cost of the whole pattern against a stretch that ends at a text place, and the first such place; the
+    stretch begins anywhere (``free``) or at the text's start."""
+    m = len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    where: dict[int, int] = {}
+    for c in np.unique(pattern).tolist():
+        where[c] = int.from_bytes(np.packbits(pattern == c, bitorder="little").tobytes(), "little")
+    rise, fall, score = full, 0, m                                         # where a column goes up or down by one
+    best, at = m, 0
+    for j, c in enumerate(text.tolist(), 1):
+        eq = where.get(c, 0)
+        xv = eq | fall
+        xh = (((eq & rise) + rise) ^ rise) | eq
+        up, down = fall | (full & ~(xh | rise)), rise & xh
+        score += 1 if up & top else -1 if down & top else 0
+        up = (up << 1 | (not free)) & full
+        down = (down << 1) & full
+        rise, fall = down | (full & ~(xv | up)), up & xv
+        if score < best:
+            best, at = score, j
+    return best, at
+
+
 def pieces(cps: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
     at = 0
     while True:
@@ -215,6 +317,10 @@ def _search(index: Index):
             whole = np.frombuffer("\x00".join(texts).encode("utf-32-le", "replace"), np.uint32)
             begin = np.cumsum(size + 1) - size - 1
             rows: dict[tuple[int, int], tuple[int, int, int]] = {}
+            if index.short:
+                for who, a, b in index.exact("\x00".join(texts)):
+                    d = int(np.searchsorted(begin, a, "right")) - 1
+                    rows.setdefault((d, who), (0, int(a - begin[d]), int(b - begin[d])))
             for at, piece in pieces(whole, index.overlap):
                 near = int(np.searchsorted(begin, at, "right")) - 1         # documents of this piece
                 there = begin[near:int(np.searchsorted(begin, at + len(piece)))] - at
@@ -232,15 +338,15 @@ def _search(index: Index):
             yield pa.RecordBatch.from_arrays([
                 pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([int(index.items[i]) for _, i in keys], pa.int64()),
                 pa.array([rows[k][1] for k in keys], pa.int64()), pa.array([rows[k][2] for k in keys], pa.int64()),
-                pa.array([rows[k][0] for k in keys], pa.int32()), pa.array([int(index.chars[i]) for _, i in keys], pa.int32())],
+                pa.array([rows[k][0] for k in keys], pa.int32()), pa.array([rows[k][2] - rows[k][1] if k[1] >= len(index.chars) else int(index.chars[k[1]]) for k in keys], pa.int32())],
                 names=["doc_id", "item_id", "start", "end", "edits", "passage_chars"])
 
     return run
 
 
-def parts(benchmark: DataFrame, limit: int = INDEX_BYTES) -> list[list[tuple[int, str]]]:
-    """The passages in groups whose index stays below ``limit`` (16 bytes a character)."""
-    groups: list[list[tuple[int, str]]] = [[]]
+def parts(benchmark: DataFrame, limit: int = INDEX_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The passages in groups whose index stays below ``limit`` (16 bytes a character), one at a time."""
+    group: list[tuple[int, str]] = []
     room = limit
     rows = benchmark.where("item_id is not null and text is not null and length(text) > 0").select(F.col("item_id").cast("long"), "text")
     seen: set[int] = set()
@@ -248,22 +354,27 @@ def parts(benchmark: DataFrame, limit: int = INDEX_BYTES) -> list[list[tuple[int
         if hash(body := normal(text)) in seen:
             continue
         seen.add(hash(body))
-        if 16 * len(text) > room and groups[-1]:
-            groups.append([])
-            room = limit
-        groups[-1].append((item, text))
+        if 16 * len(text) > room and group:
+            yield group
+            group, room = [], limit
+        group.append((item, text))
         room -= 16 * len(text)
-    return groups
+    yield group
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_share: float = EDIT_SHARE) -> DataFrame:
     """One row per document and passage found in it: where (in the normalised text), and the
     edits of the best alignment."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= q)
-    found = None
-    for group in parts(benchmark):
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
+    found, groups = None, parts(benchmark)
+    group = next(groups)
+    while group is not None:
+        later = next(groups, None)
         hits = own.mapInArrow(_search(Index(group, q, edit_share)), RESULT)
+        if later is not None or found is not None:                         # one part at a time is held and run
+            hits = staged(hits, "contaminated")
         found = hits if found is None else found.unionByName(hits)
+        group = later
     return found
 
 

@@ -96,9 +96,9 @@ def test_small_pieces_lose_nothing(make, corpus, monkeypatch):
 def test_benchmark_in_parts_gives_the_same(make, corpus, monkeypatch):
     docs, items = corpus
     whole = found(make, docs, items)[1]
-    groups = D.parts(make(items, ITEMS), 8000)
+    groups = list(D.parts(make(items, ITEMS), 8000))
     assert len(groups) > 2 and sum(map(len, groups)) == 27     # 28 with a text, one twice
-    monkeypatch.setattr(D, "parts", lambda b: groups)
+    monkeypatch.setattr(D, "parts", lambda b: iter(groups))
     assert found(make, docs, items)[1] == whole
 
 
@@ -164,3 +164,63 @@ def test_edited_passage_at_every_offset():
     body = "\u00e9".join(passage[a:b] for a, b in zip(cuts, cuts[1:]))     # one character more between any two stretches
     docs = [(lead, "x" * lead + body) for lead in range(4 * k)]
     assert k > 3 and searched(docs, [(1, passage)])[1] == {(lead, 1): k for lead, _ in docs}
+
+
+def test_short_items_are_matched_exactly_as_words(make):
+    items = [(1, "Ab  c"), (2, "7"), (3, "ab c"), (4, "née"), (5, "a long item of more than twelve")]
+    docs = [(0, "x AB C y"), (1, "xab c"), (2, "ab c"), (3, "ab\nc."), (4, "77 8"), (5, "(7)"), (6, "NÉE"), (7, "abc"), (8, None), (9, "ab"), (10, "c 7 ab c ab c")]
+    rows, hits = found(make, docs, items)
+    assert set(hits) == {(0, 1), (2, 1), (3, 1), (5, 2), (6, 4), (10, 1), (10, 2)} and set(hits.values()) == {0}
+    text = dict(docs)
+    for r in rows:
+        body = D.normal(text[r["doc_id"]])[r["start"]:r["end"]]
+        assert body in ("ab c", "7", "née") and r["passage_chars"] == len(body)
+
+
+def test_a_run_of_one_sign_does_not_fill_memory():
+    """A passage with a rule of dashes against a page of them: hits are walked in blocks."""
+    import tracemalloc
+
+    rule = "-" * 200
+    index = D.Index([(1, "the title of the item " + rule), (2, rule)])
+    text = np.frombuffer(("a" * 50 + "-" * 100_000 + " and the title of the item " + rule).encode("utf-32-le"), np.uint32)
+    bits = index.table()
+    tracemalloc.start()
+    who, doc, low, high = index.bands(text, np.zeros(1, np.int64), bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(index.items[who].tolist()) == {1, 2} and peak < 700 << 20
+    monkey = D.HITS
+    try:
+        D.HITS = 1000
+        few = np.frombuffer(("b" + "-" * 700 + " the title of the item " + rule).encode("utf-32-le"), np.uint32)
+        small = [x.tolist() for x in index.bands(few, np.zeros(1, np.int64), bits)]
+        D.HITS = monkey
+        assert small == [x.tolist() for x in index.bands(few, np.zeros(1, np.int64), bits)] and small[0]
+    finally:
+        D.HITS = monkey
+
+
+@pytest.mark.parametrize("edits", [0, 1, 5, 40])
+def test_bit_parallel_alignment(edits):
+    rng = random.Random(edits)
+    codes = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    passage = "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 90)))
+    for _ in range(20):
+        text = "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60))) + edited(rng, passage + " ", edits) + "".join(rng.choice("abc") for _ in range(20))
+        k, a, b = D.bit_parallel(codes(passage), codes(text))
+        assert k == distance(passage, text)
+        whole = D._column_walk(codes(passage), codes(text[a:b]), free=False)
+        assert k in (len(passage), whole[0]) or a == b
+
+
+def test_a_very_long_passage_is_found_in_time(make):
+    import time
+
+    rng = random.Random(9)
+    passage = D.normal(prose(rng, 5000))[:20_000].strip()
+    docs = [(d, prose(rng, 30) + " " + edited(rng, passage, 30 * (d % 3)) + " " + prose(rng, 30)) for d in range(12)] + [(50, prose(rng, 4000))]
+    began = time.time()
+    rows, hits = found(make, docs, [(1, passage), (2, prose(rng, 20))])
+    assert {d for d, i in hits if i == 1} == set(range(12)) and time.time() - began < 60
+    assert all(hits[d, 1] <= 30 * (d % 3) for d in range(12)) and all(hits[d, 1] == 0 for d in range(0, 12, 3))
