@@ -10,13 +10,16 @@ a connected group of links.
    coordinate or two, and each entry moves on to the child named by its token there
    (the run of words with the least hash), so two sets go the same way with the
    probability of their similarity. Nodes of at most ``LIMIT`` entries are buckets; larger
-   ones split again, up to ``DEPTH`` times. The number of runs is worked out beforehand, not
-   measured: the least for which a single link exactly at the threshold, whose nodes stay
-   above ``LIMIT`` through all splits, meets in a bucket and agrees there with the chance
-   ``RECALL`` (20 runs for 0.8), over all ways in which its two vectors can agree, since runs
-   share one vector. Other members of a group find most links that its own paths miss.
+   ones split again, up to ``DEPTH`` times. The runs of a round are the least for which a
+   single link exactly at the threshold, whose nodes stay above ``LIMIT`` through all splits, meets
+   in a bucket and agrees there with the chance ``RECALL`` (20 runs for 0.8), over all ways in which
+   its two vectors can agree, since the runs of a round share one vector. Other members of a group
+   find most links that its own paths miss.
 3. Buckets are compared entry by entry on their vectors, and each gives the tree of
-   what it joins, not its pairs. The trees make candidate groups.
+   what it joins, not its pairs. The trees make candidate groups. Then recall is measured: the sets of
+   ``PROBES`` entries, drawn by a hash, are compared exactly with all rows, and a link of theirs is found
+   if its ends lie in one group. Rounds with vectors of their own are added until the measured
+   recall reaches ``TARGET``; the figure is logged.
 4. Candidate groups get their texts back and all their pairs are decided exactly, on the
    whole sets. Links are counted there and again only a tree leaves the task.
 
@@ -35,6 +38,7 @@ Sets are told apart by 64-bit digests, runs of words by 64-bit hashes.
 
 from __future__ import annotations
 
+import logging
 import math
 import random
 from collections.abc import Iterator
@@ -54,7 +58,9 @@ DEPTH = 6                  # splits of a node
 LIMIT = 2048               # entries of a bucket, compared by their vectors
 VERIFY = 512               # sets of a task, compared exactly
 SECOND = 4                 # one node in four samples a second coordinate
-_SCALE = np.random.default_rng(0xC0DE).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TARGET = 0.99              # recall of the sampled links at which rounds end
+PROBES, PROBE_RUNS = 512, 1 << 15      # sets that recall is measured on, and runs of words of one at most
+log = logging.getLogger(__name__)
 
 
 def agreements(similar: float) -> list[float]:
@@ -112,22 +118,34 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ RUN[15]).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, t in slices(batches, "text"):
-        runs, ends = word_sets(t)
-        held = np.flatnonzero(np.diff(ends))
-        vector = np.zeros((t.n, COORDS), np.uint32)
-        for c in range(COORDS if len(held) else 0):
-            vector[held, c] = np.minimum.reduceat(runs * _SCALE[c], ends[held]) >> np.uint64(32)
-        name = [None] * t.n
-        for d in held.tolist():
-            name[d] = digest(np.unique(runs[ends[d]:ends[d + 1]]))
-        raw = vector.tobytes()
-        w = COORDS * 4
-        yield pa.RecordBatch.from_arrays([
-            part.column("doc_id"), part.column("_h"), pa.array([x and x[0] for x in name], pa.int64()), pa.array([x and x[1] for x in name], pa.int64()),
-            pa.array([raw[d * w:(d + 1) * w] if name[d] else None for d in range(t.n)], pa.binary())],
-            names=["doc_id", "_h", "d1", "d2", "vector"])
+def _sketch(number: int):
+    """The sketches of a round: each has its own scrambles of the runs."""
+    scale = np.random.default_rng(0xC0DE + number).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in slices(batches, "text"):
+            runs, ends = word_sets(t)
+            held = np.flatnonzero(np.diff(ends))
+            vector = np.zeros((t.n, COORDS), np.uint32)
+            for c in range(COORDS if len(held) else 0):
+                vector[held, c] = np.minimum.reduceat(runs * scale[c], ends[held]) >> np.uint64(32)
+            name = [None] * t.n
+            for d in held.tolist():
+                name[d] = digest(np.unique(runs[ends[d]:ends[d + 1]]))
+            raw = vector.tobytes()
+            w = COORDS * 4
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), part.column("_h"), pa.array([x and x[0] for x in name], pa.int64()), pa.array([x and x[1] for x in name], pa.int64()),
+                pa.array([raw[d * w:(d + 1) * w] if name[d] else None for d in range(t.n)], pa.binary())],
+                names=["doc_id", "_h", "d1", "d2", "vector"])
+
+    return run
+
+
+def sketches(own: DataFrame, number: int = 0) -> DataFrame:
+    """``doc_id, _h, rid, vector`` of every row: ``rid`` names its set (null: none)."""
+    return staged(own.mapInArrow(_sketch(number), "doc_id long, _h long, d1 long, d2 long, vector binary")
+                  .withColumn("rid", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2"))), "sketch")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -315,22 +333,102 @@ def _verify(threshold: float):
     return run
 
 
+def probe_sets(own: DataFrame, entries: DataFrame) -> dict[int, np.ndarray]:
+    """The sets of ``PROBES`` entries drawn by a hash; those of more than ``PROBE_RUNS`` runs are not used."""
+    drawn = (entries.orderBy(F.xxhash64(F.lit(17), "rid"), "rid").limit(PROBES)
+             .select("rid", F.col("row.doc_id").alias("_id"), F.col("row._h").alias("_g")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in slices(batches, "text"):
+            runs, ends = word_sets(t)
+            sets = [np.unique(runs[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([s.tobytes() if len(s) <= PROBE_RUNS else None for s in sets], pa.binary())], ["rid", "runs"])
+
+    # a probe's row by its id and the hash of its text; both are bounded by PROBES
+    rows = own.join(F.broadcast(drawn), own["doc_id"].eqNullSafe(drawn["_id"]) & (own["_h"] == drawn["_g"])).select("rid", "text")
+    got = rows.mapInArrow(run, "rid long, runs binary").where("runs is not null").groupBy("rid").agg(F.first("runs").alias("runs")).collect()
+    return {r["rid"]: np.frombuffer(r["runs"], np.uint64) for r in got}
+
+
+def probed_links(own: DataFrame, probes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """``rid, probes``: for every set that is at least ``threshold`` similar to a probe's, the numbers of these
+    probes: one row for each set, decided on whole sets."""
+    sets = list(probes.values())
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], who[order]
+    keys, first = np.unique(every, return_index=True)
+    first = np.append(first, len(every))
+    size = np.array([len(x) for x in sets], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in slices(batches, "text"):
+            runs, ends = word_sets(t)
+            near = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            real = keys[near] == runs
+            matched = np.concatenate(([0], np.cumsum(real)))[ends]
+            out = []
+            for d in np.flatnonzero(matched[1:] > matched[:-1]).tolist():
+                a, b = ends[d], ends[d + 1]
+                own_set = np.unique(runs[a:b])
+                own_keys = np.unique(near[a:b][real[a:b]])
+                if len(own_keys) < threshold * len(own_set) - 1e-4:          # too few for any probe
+                    continue
+                both = np.bincount(np.concatenate([who[first[k]:first[k + 1]] for k in own_keys]), minlength=len(sets))
+                links = np.flatnonzero(both >= threshold * (size + len(own_set) - both) - 1e-4)
+                if len(links):
+                    out.append((*digest(own_set), links.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                                              pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["d1", "d2", "probes"])
+
+    hits = own.select("text").mapInArrow(run, "d1 long, d2 long, probes array<int>").select(F.xxhash64("d1", "d2").alias("rid"), "probes")
+    return hits.groupBy("rid").agg(F.first("probes").alias("probes"))
+
+
+def found_share(links: DataFrame, probes: list[int], groups: DataFrame) -> tuple[int, int]:
+    """Of the probes' links to other sets: how many lie in one candidate group, and how many there are."""
+    place = {r["rid"]: r["root"] for r in groups.where(F.col("rid").isin(probes)).select("rid", "root").collect()}
+    roots_of = F.array(*(F.lit(place.get(p)).cast("long") for p in probes))
+    names = F.array(*(F.lit(p).cast("long") for p in probes))
+    other = F.filter("probes", lambda i: F.get(names, i) != F.col("rid"))
+    held = F.filter(other, lambda i: F.get(roots_of, i) == F.col("root"))
+    got = links.join(groups, "rid", "left").agg(F.coalesce(F.sum(F.size(held)), F.lit(0)).alias("found"), F.coalesce(F.sum(F.size(other)), F.lit(0)).alias("all")).first()
+    return int(got["found"]), int(got["all"])
+
+
+def candidate_groups(own: DataFrame, entries: DataFrame, threshold: float, runs: int | None, target: float = TARGET) -> DataFrame:
+    """``rid, root``: groups that hold the links; rounds of chosen paths until ``target`` of the probed links is in them."""
+    agree = least_agreeing(threshold)
+    runs = runs or runs_needed(threshold, agree)
+    edges, links, probes, number, vectors = None, None, {}, 0, entries.select("rid", "vector")
+    while True:
+        buckets = chosen_paths(vectors, runs, 5 + 100 * number).join(vectors, "rid")
+        trees = buckets.repartition("key").sortWithinPartitions("key").select("key", "rid", "vector").mapInArrow(_bucket_trees(agree), "a long, b long")
+        edges = staged(trees if edges is None else trees.unionByName(edges), "trees")
+        groups = staged(components(edges), "groups")
+        if links is None:
+            probes = probe_sets(own, entries)
+            links = staged(probed_links(own, probes, threshold), "probed") if probes else None
+        found, every = found_share(links, list(probes), groups) if probes else (0, 0)
+        log.info("round %d of %d runs: %d of %d links of %d probed sets found", number + 1, runs, found, every, len(probes))
+        if found >= target * every:
+            return groups
+        number += 1
+        vectors = staged(sketches(own, number).where("rid is not null").groupBy("rid").agg(F.first("vector").alias("vector")), "vectors")
+
+
 def classes(docs: DataFrame, threshold: float = SIMILAR, runs: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` and ``_h`` (a hash of the text) for each row of ``docs``.
 
     ``class_id`` is the least ``doc_id`` of the class, ``n_links`` the number of other rows whose sets
-    are at least ``threshold`` similar. ``runs``: of chosen paths, by default as many as ``RECALL`` needs."""
-    agree = least_agreeing(threshold)
-    runs = runs or runs_needed(threshold, agree)
+    are at least ``threshold`` similar. ``runs``: of chosen paths in a round, by default as many as ``RECALL`` needs."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
-    sketch = staged(own.mapInArrow(_sketch, "doc_id long, _h long, d1 long, d2 long, vector binary")
-                    .withColumn("rid", F.when(F.col("d1").isNotNull(), F.xxhash64("d1", "d2"))), "sketch")
+    sketch = sketches(own)
     entries = staged(sketch.where("rid is not null").groupBy("rid").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "_h")).alias("row"), F.count(F.lit(1)).alias("copies"),
         F.first("vector").alias("vector")), "entries")
-    buckets = chosen_paths(entries.select("rid", "vector"), runs).join(entries.select("rid", "vector"), "rid")
-    trees = buckets.repartition("key").sortWithinPartitions("key").select("key", "rid", "vector").mapInArrow(_bucket_trees(agree), "a long, b long")
-    groups = staged(components(trees), "groups")
+    groups = candidate_groups(own, entries, threshold, runs)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = staged(groups.join(sizes, "root").join(entries.select("rid", "row", "copies"), "rid")
                      .select("rid", "copies", "root", "n", F.col("row.doc_id").alias("_id"), F.col("row._h").alias("_h")), "members")

@@ -164,3 +164,43 @@ def test_runs_reach_the_recall_under_one_shared_vector():
             found |= paths > 0
         found &= alike.sum(1) >= agree
         assert found.mean() > 0.9965
+
+
+def test_rounds_go_on_until_the_measured_recall_is_reached(make, monkeypatch, caplog):
+    """One run finds too few of the links; rounds with other vectors are added until the sampled links are found."""
+    import logging
+    import random as r
+
+    rng = r.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows, n = [], 0
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(120)]
+        for _ in range(2):
+            text = list(base)
+            text[rng.randrange(120)] = "new"
+            rows.append((n, " ".join(text)))
+            n += 1
+    monkeypatch.setattr(J, "LIMIT", 4)
+    seen = []
+    inner = J.chosen_paths
+    monkeypatch.setattr(J, "chosen_paths", lambda *a: seen.append(a[1]) or inner(*a))
+    with caplog.at_level(logging.INFO, logger=J.__name__):
+        got = J.classes(make(rows, "doc_id long, text string"), runs=1).collect()
+    links = sum(x["n_links"] for x in got)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    exact = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    assert len(seen) > 1 and links >= J.TARGET * exact and exact >= 60
+    assert f"{exact} links of 80 probed sets found" in caplog.text.replace(f"of {exact} links", f"{exact} links")
+
+
+def test_probed_links_are_exact(make):
+    docs = make([(i, " ".join(f"w{j}" for j in range(60)) + f" x{i % 4}" * (i % 3)) for i in range(20)] + [(30, None), (31, "a b"), (32, "a b")],
+                "doc_id long, text string")
+    own = docs.select("doc_id", "text", J.F.xxhash64("text").alias("_h"))
+    entries = J.sketches(own).where("rid is not null").groupBy("rid").agg(J.F.min(J.F.struct("doc_id", "_h")).alias("row"))
+    probes = J.probe_sets(own, entries)
+    got = {r["rid"]: sorted(r["probes"]) for r in J.probed_links(own, probes, 0.8).collect()}
+    sets = list(probes.values())
+    want = {rid: sorted(i for i, b in enumerate(sets) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))) for rid, a in probes.items()}
+    assert got == want and len(probes) == entries.count()
