@@ -12,7 +12,8 @@ its pre-tokens in a row. Texts of ASCII and Latin letters without two white-spac
 characters in a row are cut at their spaces, for a whole shard at once in Arrow: a
 piece with the space or line feed before it starts and ends with a pre-token. The library
 encodes every different word and tail of a piece once for the shard, many in one call, and
-numpy puts the ids of the pieces together. Any other text, and any text with ``<|``, goes
+numpy puts the ids of the pieces together. A Python worker keeps the ids of the words it has met
+for its next shards, up to ``KNOWN_BYTES`` for each lead. Any other text, and any text with ``<|``, goes
 through the library whole.
 
 Defined cases: a null text is an empty document (its end id alone); null ``doc_id``s come
@@ -22,6 +23,7 @@ interchangeable; an empty table writes no file and gives an empty result; other
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 import re
@@ -43,6 +45,7 @@ from shardwright.operators.ordering import prefix_sum
 
 SHARD_BYTES = 32 << 20
 END_ID = 2
+KNOWN_BYTES = 32 << 20
 PLAIN = re.compile("[\n -~À-ÖØ-öø-ſ]*")     # beyond ASCII letters only, none of them a number or space
 START = "\r"                                # stands before a text's first piece
 _BYTES = np.arange(256)
@@ -87,6 +90,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.feed = self.whole(["\n"])[0]
+        self.met: dict[str, tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, self.kind) for e in self.batch(texts, add_special_tokens=False)]
@@ -107,6 +111,29 @@ class Encoder:
             raise ValueError("a piece holds a line feed")
         return ids[~mark], np.diff(ends, prepend=-1) - 1
 
+    def known(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different pieces, each after ``lead``: a pool, and where each piece's ids stand in it.
+        Only pieces that no earlier call has met go through the library."""
+        held, pool, start, lens = self.met.get(lead, (words.slice(0, 0), np.zeros(0, self.kind), *np.zeros((2, 0), np.int64)))
+        at = pc.index_in(words, value_set=held)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        ids, n = self.pieces(words.take(pa.array(new)).to_pylist(), lead)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(held) + np.arange(len(new))
+        start, lens = np.append(start, len(pool) + np.cumsum(n) - n), np.append(lens, n)
+        pool = np.concatenate([pool, ids])
+        held = pa.concat_arrays([held, words.take(pa.array(new))])
+        size = lambda a, b: a.nbytes + b.nbytes + 16 * len(a)
+        if size(held, pool) <= KNOWN_BYTES:
+            self.met[lead] = held, pool, start, lens
+        else:                                                            # begin anew with what this shard has, if that is small enough
+            self.met.pop(lead, None)
+            n = lens[at]
+            own = stretches(pool, start, lens, at, int(n.sum()))
+            if size(words, own) <= KNOWN_BYTES:
+                self.met[lead] = words, own, np.cumsum(n) - n, n
+        return pool, start[at], lens[at]
+
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end id, and how many each has."""
         column = pc.fill_null(column, "").cast(pa.large_string())
@@ -135,7 +162,7 @@ class Encoder:
         entry = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
         own = np.ones(len(entry), bool)
         own[stop - 1] = own[stop[~plain] - 2] = False
-        entry[own] = index
+        entry[np.flatnonzero(own)] = index
         entry[stop - 1], entry[stop[~plain] - 2] = end, first + np.arange(len(odd))
         del coded, index, own
         counts = np.add.reduceat(lens.astype(np.int32)[entry], stop - per_text, dtype=np.int64) if len(stop) else np.zeros(0, np.int64)
@@ -167,9 +194,9 @@ class Encoder:
         def put(where: np.ndarray, slot: int, what: pa.Array, before: str) -> None:
             nonlocal at
             coded = what.dictionary_encode()
-            ids, lens = self.pieces(coded.dictionary.to_pylist(), before)
+            ids, start, lens = self.known(coded.dictionary, before)
             code = coded.indices.to_numpy()
-            place[where, slot], width[where, slot] = (at + np.cumsum(lens) - lens)[code], lens[code]
+            place[where, slot], width[where, slot] = at + start[code], lens[code]
             pool.append(ids)
             at += len(ids)
 
@@ -192,6 +219,12 @@ class Encoder:
         return table, np.cumsum(lens) - lens, lens
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, which serves one task after the other."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``folder/shard-*.wm``, each attempt of a task under names of its own; returns the manifest ``(shard, path, n_docs, n_tokens, start)``, one row a file."""
@@ -226,7 +259,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer or _default_path())
+                encoder = encoder_of(tokenizer or _default_path())
                 store, local = wavelet.place(folder)
                 store.create_dir(local, recursive=True)
             held.append(batch)

@@ -27,6 +27,7 @@ from pyarrow import fs
 
 MAGIC, HEAD, SLOT = b"WAVEMAT1", "<QQIIQQ", np.dtype([("at", "<u8"), ("size", "<u4"), ("packed", "<u4"), ("ones", "<u8")])
 CHUNK = 1 << 19            # bits of a chunk
+STEP = 1 << 16             # bits put back in one step
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -205,9 +206,15 @@ class Wavelet:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         seq = np.zeros(self.n, kind)
         for p in reversed(range(self.planes)):
-            ones = self.plane(p).view(bool)
-            up, z = np.empty(self.n, kind), int(self.zeros[p])
-            up[~ones], up[ones] = seq[:z], seq[z:] | kind(1 << (self.planes - 1 - p))
+            up, low, high, bit = np.empty(self.n, kind), 0, int(self.zeros[p]), kind(1 << (self.planes - 1 - p))
+            for c in range(self.per_plane):
+                bits = self._bits(p, c).view(bool)
+                for at in range(0, len(bits), STEP):                     # places as indices: far faster than by a mask
+                    part = bits[at:at + STEP]
+                    zero, one = np.flatnonzero(~part), np.flatnonzero(part)
+                    here = up[c * CHUNK + at:c * CHUNK + at + len(part)]
+                    here[zero], here[one] = seq[low:low + len(zero)], seq[high:high + len(one)] | bit
+                    low, high = low + len(zero), high + len(one)
             seq = up
         out = np.empty(self.n, "<u4")
         for at in range(0, self.n, 1 << 20):

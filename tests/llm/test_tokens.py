@@ -90,6 +90,20 @@ def test_random_plain_strings(library):
     assert encode([]) == [] and encode([None, "x\ty"]) == [[2], [*library.encode("x\ty").ids, 2]]
 
 
+@pytest.mark.parametrize("known_bytes", [0, 600, 32 << 20])
+def test_words_met_in_earlier_shards(library, monkeypatch, known_bytes):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "KNOWN_BYTES", known_bytes)
+    rng, e = random.Random(5), S.Encoder(TOKENIZERS.path("byte_bpe_50k.json"))
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(80)] + ["x" * 5000, "a1", "b2!"]
+    for _ in range(6):                                                   # shards of one worker
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) + rng.choice(["", ".", "!!\n"]) for _ in range(40)]
+        ids, n = e.encode(pa.array(texts, pa.string()), 2)
+        assert ids.tolist() == [i for x in library.encode_batch(texts, add_special_tokens=False) for i in [*x.ids, 2]]
+        assert sum(held.nbytes + pool.nbytes for held, pool, _, _ in e.met.values()) <= 2 * known_bytes
+
+
 def test_a_repeated_task_leaves_the_same_file(tmpdir_path):
     ids = np.random.default_rng(0).integers(0, 900, 5000).astype("<u2")
     docs = np.arange(3), np.zeros(3, bool), np.array([1000, 3000, 1000])
@@ -105,6 +119,7 @@ def test_a_repeated_task_leaves_the_same_file(tmpdir_path):
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (1, 50_000), (700, 2), (5000, 37), (3000, 50_257), (2000, 100_000)])
 def test_wavelet_matrix_answers_like_the_sequence(tmpdir_path, monkeypatch, n, top):
     monkeypatch.setattr(W, "CHUNK", 512)
+    monkeypatch.setattr(W, "STEP", 200)
     rng = np.random.default_rng(n)
     seq = (rng.zipf(1.4, n) % top).astype("<u2" if top < 1 << 16 else "<u4")
     W.write(f"{tmpdir_path}/s.wm", seq, np.array([7, 0]), np.array([False, True]), np.array([n, 0]), 2)
