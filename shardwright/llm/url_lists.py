@@ -8,8 +8,10 @@ key decides, ``allow`` lists before block lists at equal keys.
 
 Plan: intervals are cut at fixed spans of days, so the as-of condition becomes an
 equality on (key, span) and a key with a long history never meets all of its
-captures at once. A hot site is dealt over ``salts`` sub-keys on both sides of the
-join. Nothing is broadcast by hint.
+captures at once. Only spans between the first and the last fetch are made. A (key, span) with
+more than ``salt_rows`` captures, counted first, is dealt over as many sub-keys as that asks for
+on both sides of the join; any other keeps one. The table of hot ones is broadcast: a hot one
+holds more than 1 / ``MOST_HOT`` of all captures' keys, so there are fewer than ``MOST_HOT``, two numbers each.
 
 Defined cases: null or unparsable URLs and null days match nothing (``blocked``
 false); entries with a null key, day or action are ignored; several entries of a
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN_DAYS, SALTS = 32, 16
+SPAN_DAYS, SALT_ROWS, MOST_HOT = 32, 1 << 16, 1 << 16
 RESULT = ("blocked", "list_name", "list_key", "active_since", "n_active")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/"
@@ -55,21 +57,29 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def temporal_join(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_date",
-                  capture: str = "page_id", span_days: int = SPAN_DAYS, salts: int = SALTS) -> DataFrame:
+                  capture: str = "page_id", span_days: int = SPAN_DAYS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """The captures with ``blocked``, the deciding ``list_name`` and ``list_key``, since
     when that entry held (``active_since``) and how many entries were active."""
     base = captures.drop(*RESULT)
-    last = base.agg(F.max(day)).first()[0]                       # open intervals end after the last fetch
+    first, last, n_keys = base.agg(F.min(day), F.max(day), F.sum(F.size(keys(F.col(url))))).first()
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / F.lit(span_days)).cast("int")
-    end = F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast("date"))
-    spans = (intervals(entries).where(end >= F.col("valid_from"))
-             .withColumn("_span", F.explode(F.sequence(number(F.col("valid_from")), number(end))))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     narrow = base.select(F.col(capture).alias("_id"), F.col(url).alias("_url"), F.col(day).alias("_day")).distinct()
     probes = (narrow.where(F.col("_day").isNotNull())
-              .select("_id", "_url", "_day", F.explode(keys(F.col("_url"))).alias("key"),
-                      number(F.col("_day")).alias("_span"),
-                      F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int").alias("_salt")))
+              .select("_id", "_url", "_day", F.explode(keys(F.col("_url"))).alias("key"), number(F.col("_day")).alias("_span"))
+              .withColumn("_hash", F.xxhash64("key")))
+    limit = max(salt_rows, (n_keys or 0) // MOST_HOT)
+    hot = F.broadcast(probes.groupBy("_hash", "_span").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+                      .select("_hash", "_span", F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    probes = (probes.join(hot, ["_hash", "_span"], "left")
+              .withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), salts).cast("int")).drop("_hash", "_salts"))
+    # intervals within the days of the captures; open ones end with the last fetch
+    begin = F.greatest("valid_from", F.lit(first).cast("date"))
+    end = F.least(F.date_sub("valid_to", 1), F.lit(last).cast("date"))
+    spans = (intervals(entries).where(end >= begin)
+             .withColumn("_span", F.explode(F.sequence(number(begin), number(end)))).withColumn("_hash", F.xxhash64("key"))
+             .join(hot, ["_hash", "_span"], "left")
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hash", "_salts"))
     hits = (probes.join(spans, ["key", "_span", "_salt"])
             .where((F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))))
     verdict = hits.groupBy("_id", "_url", "_day").agg(

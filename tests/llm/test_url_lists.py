@@ -9,8 +9,8 @@ ENTRIES = "list_name string, key string, allow boolean, day date, action string"
 CAPTURES = "page_id long, url string, fetch_date date"
 
 
-def judge(make, captures, entries):
-    out = U.temporal_join(make(captures, CAPTURES), make(entries, ENTRIES, extra=False))
+def judge(make, captures, entries, **options):
+    out = U.temporal_join(make(captures, CAPTURES), make(entries, ENTRIES, extra=False), **options)
     return out, sorted(((r["page_id"], r["blocked"], r["list_name"], r["list_key"], r["active_since"], r["n_active"]) for r in out.collect()), key=str)
 
 
@@ -71,3 +71,15 @@ def test_hot_site_with_a_long_history(make):
     captures = [(k, "http://hot.example.org/p", D(2022, 1, 1) + dt.timedelta(days=k % 450)) for k in range(900)]
     out, got = judge(make, captures, entries)
     assert got == brute(captures, entries)
+
+
+@pytest.mark.parametrize("salt_rows", [1, 10, 60])
+def test_only_hot_keys_are_dealt(make, salt_rows):
+    entries = [("old", "hot.example.org", False, D(1990, 1, 1), "add"), ("old", "cold.example.com", False, D(1990, 1, 1), "add"),
+               ("new", "hot.example.org", False, D(2022, 1, 20), "add"), ("new", "hot.example.org", False, D(2030, 1, 1), "remove"),
+               ("late", "example.org", False, D(2040, 1, 1), "add"), ("past", "example.org", False, D(1980, 1, 1), "add"),
+               ("past", "example.org", False, D(1981, 1, 1), "remove")]
+    captures = [(k, "http://hot.example.org/p", D(2022, 1, 1) + dt.timedelta(days=k % 40)) for k in range(200)]
+    captures += [(1000 + k, "http://cold.example.com/q", D(2022, 1, 1) + dt.timedelta(days=9 * k)) for k in range(5)] + [(0, "http://hot.example.org/p", None)]
+    out, got = judge(make, captures, entries, salt_rows=salt_rows)
+    assert got == brute(captures, entries)
