@@ -9,7 +9,7 @@ children's. A leaf's budget is filled from seeded epochs: whole epochs first, th
 the prefix, by tokens, of the next epoch's order.
 
 The tables of nodes have one row per node. Only the partial epoch is ordered, by the
-md5 of seed, epoch and id: token sums per leaf and leading hex digits find the one
+md5 of seed, epoch and id: token sums per leaf and leading hex digits (as many as the leaf's rows ask for) find the one
 stretch of keys in which a leaf's budget ends, and rows are ordered inside that stretch only.
 Each leaf is left with a last key; documents are then picked in a pass that shuffles
 no text (the join brings one row per leaf).
@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import staged
+from shardwright.operators.ordering import prefix_aggs
 
-PREFIX_DIGITS = 2          # 256 stretches of keys for each leaf: a window of that many rows, however hot the leaf
+STRETCH_ROWS = 1 << 16     # a leaf's keys are parted by as many hex digits as make its stretches smaller than this
+RATIO_STEPS = 64           # stretches of cap / weight for each power of two
 RESULT = ("n_tokens", "epoch", "epoch_key")
 NONE = "(none)"
 SEP = "\x1f"              # between the names of a path: no two paths can be confused
@@ -44,22 +46,22 @@ def water_fill(nodes: DataFrame, parent: str = "parent") -> DataFrame:
     Children fill up in the order cap / weight. With those before it full, the next
     child's fair share is ``rest * weight / weights left``; the first child that its
     share does not fill, and all after it, get that share. Whole tokens: a share is
-    rounded down."""
-    w = Window.partitionBy(parent).orderBy(F.col("cap") / F.col("weight"), "node")
-    full = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    live = nodes.where(F.col("weight") > 0)
-    rest = F.col("budget") - F.coalesce(F.sum("cap").over(full), F.lit(0))
-    t = (live.withColumn("_rest", rest).withColumn("_left", F.sum("weight").over(after))
-         .withColumn("_open", F.col("_rest").cast("decimal(38,0)") * F.col("weight") < F.col("cap").cast("decimal(38,0)") * F.col("_left")))
-    # the first open child fixes the level for itself and all after it
-    at = Window.partitionBy(parent).orderBy(F.col("cap") / F.col("weight"), "node").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first(F.when(F.col("_open"), F.struct("_rest", "_left")), ignorenulls=True).over(at)
-    t = t.withColumn("_first", first)
-    fair = F.expr("cast(_first._rest as decimal(30,0)) * weight div _first._left")
-    return (t.withColumn("share", F.when(F.col("_first").isNull(), F.col("cap"))
-                         .otherwise(F.least(F.col("cap"), F.greatest(fair.cast("long"), F.lit(0)))).cast("long"))
-            .drop("_rest", "_left", "_open", "_first"))
+    rounded down. Children of one ratio are full or open together, so sums before a child are
+    taken over different ratios, in two levels: no window holds all children of a parent."""
+    live = nodes.where(F.col("weight") > 0).withColumn("_ratio", F.col("cap") / F.col("weight"))
+    alike = live.groupBy(parent, "budget", "_ratio").agg(F.sum("cap").alias("_c"), F.sum("weight").alias("_w"))
+    alike = prefix_aggs(alike, [("_cap_before", "_c", "sum", False), ("_weight_before", "_w", "sum", False)], "_ratio",
+                        F.floor(F.log2("_ratio") * RATIO_STEPS).cast("long"), parent)
+    alike = (alike.join(live.groupBy(parent).agg(F.sum("weight").alias("_all")), parent)
+             .withColumn("_rest", F.col("budget") - F.col("_cap_before")).withColumn("_left", F.col("_all") - F.col("_weight_before")))
+    is_open = F.col("_rest").cast("decimal(38,0)") * F.col("_w") < F.col("_c").cast("decimal(38,0)") * F.col("_left")
+    # the first open children fix the level for themselves and all after them
+    level = alike.where(is_open).groupBy(parent).agg(F.min(F.struct("_ratio", "_rest", "_left")).alias("_at"))
+    fair = F.expr("cast(_at._rest as decimal(30,0)) * weight div _at._left")
+    return (live.join(level, parent, "left")
+            .withColumn("share", F.when(F.col("_at").isNull() | (F.col("_ratio") < F.col("_at._ratio")), F.col("cap"))
+                        .otherwise(F.least(F.col("cap"), F.greatest(fair.cast("long"), F.lit(0)))).cast("long"))
+            .drop("_ratio", "_at"))
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: str) -> DataFrame:
@@ -69,15 +71,14 @@ def budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: st
     ``(level, name, weight)`` with whole weights up to 10^7; a name without a row has
     weight 1. ``budget``: SQL for that of the whole tree, from its ``cap`` and ``tokens``."""
     path = lambda k: F.concat_ws(SEP, *levels[:k])
-    grown = leaves
-    upper = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap")).select(
-        F.lit("").alias("parent"), F.least("cap", F.expr(budget)).cast("long").alias("budget"))
+    upper = staged(leaves.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap")).select(
+        F.lit("").alias("parent"), F.least("cap", F.expr(budget)).cast("long").alias("budget")), "mix-root")
     for k, level in enumerate(levels, 1):
-        here = grown.groupBy(path(k).alias("node"), path(k - 1).alias("parent") if k > 1 else F.lit("").alias("parent"),
+        here = leaves.groupBy(path(k).alias("node"), path(k - 1).alias("parent") if k > 1 else F.lit("").alias("parent"),
                              F.col(level).alias("name")).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         named = weights.where(F.col("level") == level).select("name", "weight")
         here = here.join(named, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
-        shared = water_fill(here.join(upper, "parent"))
+        shared = water_fill(staged(here.join(upper, "parent"), "mix-nodes"))
         upper = shared.select(F.col("node").alias("parent"), F.col("share").alias("budget"))
     return shared.select("node", "tokens", "share")
 
@@ -99,16 +100,18 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: tu
     node = F.concat_ws(SEP, *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in levels))
     narrow = staged(base.select(F.col(doc_id).alias("_id"), node.alias("node"), count.alias("n_tokens"),
                                 *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in levels)), "mix-rows")
-    leaves = (narrow.groupBy("node", *levels).agg(F.sum("n_tokens").alias("tokens"))
-              .withColumn("cap", F.col("tokens") * max_epochs))
+    leaves = staged(narrow.groupBy("node", *levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+                    .withColumn("cap", F.col("tokens") * max_epochs), "mix-leaves")
     num, den = budget_share
     share = budgets(leaves, levels, weights, f"tokens * {num} div {den}")
-    plan = staged(share.select("node", F.expr("cast(share div tokens as int)").alias("_full"),
-                               (F.col("share") % F.col("tokens")).alias("_rest")), "mix-plan")
+    digits = F.when(F.col("rows") < STRETCH_ROWS, 0).otherwise(F.length(F.hex(F.expr(f"rows div {STRETCH_ROWS}"))))
+    plan = staged(share.join(leaves.select("node", "rows"), "node")
+                  .select("node", F.expr("cast(share div tokens as int)").alias("_full"),
+                          (F.col("share") % F.col("tokens")).alias("_rest"), digits.alias("_digits")), "mix-plan")
     # the last key of each leaf's partial epoch
     keyed = (narrow.join(plan.where("_rest > 0"), "node")
-             .select("node", "_rest", "n_tokens", key_of(seed, F.col("_full"), F.col("_id")).alias("_key")))
-    keyed = keyed.withColumn("_bin", F.substring("_key", 1, PREFIX_DIGITS))
+             .select("node", "_rest", "_digits", "n_tokens", key_of(seed, F.col("_full"), F.col("_id")).alias("_key")))
+    keyed = keyed.withColumn("_bin", F.substring(F.col("_key"), F.lit(1), F.col("_digits")))
     sums = keyed.groupBy("node", "_rest", "_bin").agg(F.sum("n_tokens").alias("_t"), F.max("_key").alias("_top"))
     below = Window.partitionBy("node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = staged(sums.withColumn("_base", F.coalesce(F.sum("_t").over(below), F.lit(0))), "mix-bins")

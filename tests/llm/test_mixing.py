@@ -4,6 +4,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from shardwright.llm import mixing
 from shardwright.llm.mixing import mix
 
 SCHEMA = "doc_id long, domain string, lang string, source string, text string"
@@ -104,6 +105,28 @@ def test_one_row_for_each_document_without_repeats(spark, make):
     assert max(Counter(r[0] for r in got).values()) == 1
 
 
+def test_a_leaf_is_parted_by_its_own_rows(spark, make, monkeypatch):
+    rows = [(i, "d0", "en", "hot", "y" * (i % 90)) for i in range(700)] + docs(60)
+    whole = sorted((r["doc_id"], r["source"], r["epoch"]) for r in check(spark, make, rows))
+    for stretch in (1, 40):
+        monkeypatch.setattr(mixing, "STRETCH_ROWS", stretch)
+        assert sorted((r["doc_id"], r["source"], r["epoch"]) for r in check(spark, make, rows)) == whole
+
+
+def test_one_parent_with_many_children(spark):
+    """Ties, close ratios, full and open children, a parent that all fill and one without budget."""
+    nodes, want = [], {}
+    for parent, budget in (("a", 40_000), ("b", 10 ** 9), ("c", 0), ("d", 123_457)):
+        caps = {f"{parent}{i}": (100 if i % 3 == 0 else 1 + i * i % 977) for i in range(600)}
+        weights = {k: (0 if i % 50 == 7 else 1 + i % 4) for i, k in enumerate(caps)}
+        nodes += [(parent, k, budget, caps[k], weights[k]) for k in caps]
+        want |= {k: v for k, v in shares(caps, weights, budget).items() if weights[k]}
+    got = mixing.water_fill(spark.createDataFrame(nodes, "parent string, node string, budget long, cap long, weight long")).collect()
+    assert {r["node"] for r in got} == set(want)
+    for r in got:
+        assert want[r["node"]] - 1 <= r["share"] <= want[r["node"]] + Fraction(1, 1000), r
+
+
 def test_plan_is_native(spark, make):
     p = run(spark, make, docs(5))._jdf.queryExecution().toString()
     assert "Python" not in p and "Arrow" not in p
