@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +68,26 @@ def grams(cps: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each bucket, and documents in all. Tasks emit one vector of
-    ``2**BITS`` counts each, summed by bucket."""
+    """Documents that hold each bucket, and documents in all. A task emits one row, its packed vector
+    of counts; vectors are added in a tree of two levels, one held at a time."""
+    layout = "task int, counts binary"
+
+    def packed(task: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()),
+                                           "counts": pa.array([pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+    def unpacked(counts: bytes) -> np.ndarray:
+        size = 8 * (1 + (1 << BITS))
+        return np.frombuffer(pa.decompress(counts, decompressed_size=size, codec="zstd", asbytes=True), "<i8")
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column("counts"):
+                total = unpacked(row.as_py()) + (0 if total is None else total)
+        if total is not None:
+            yield packed(TaskContext.get().partitionId(), total)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for _, t in slices(batches, "text"):
@@ -82,14 +101,15 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                     held[np.repeat(np.arange(to - at), size), np.concatenate([index[lo[d]:hi[d]] for d in range(at, to)])] = True
                 total += held.sum(0)
             n += t.n
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(-1, 1 << BITS, dtype=np.int32)),
-                                          "n": pa.array(np.concatenate(([n], total)))})
-
-    sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()                                                                # 2**BITS + 1 rows
-    df = np.zeros(1 << BITS, np.int64)
-    df[got.bucket[got.bucket >= 0]] = got.n[got.bucket >= 0]
-    return df, int(got.n[got.bucket < 0].sum())
+        if n:
+            yield packed(TaskContext.get().partitionId(), np.concatenate(([n], total)))
+
+    parts = docs.select("text").mapInArrow(run, layout)
+    whole = parts.repartition("task").mapInArrow(added, layout).repartition(1).mapInArrow(added, layout).first()
+    if whole is None:
+        return np.zeros(1 << BITS, np.int64), 0
+    counts = unpacked(bytes(whole["counts"]))
+    return counts[1:], int(counts[0])
 
 
 def fit_with(idf: np.ndarray):

@@ -158,3 +158,25 @@ def test_features_are_runs_of_characters():
             for name, bucket in zip(g, index[a:b].tolist()):
                 assert seen.setdefault(name, bucket) == bucket
         assert len(set(seen.values())) == len(seen)
+
+
+def buckets(text):
+    """Buckets of all runs of one to three characters, by definition."""
+    held, t = set(), (text or "").lower()
+    for n in (1, 2, 3):
+        for i in range(len(t) - n + 1):
+            g = n
+            for c in t[i:i + n]:
+                g = (g + ord(c)) * 0x9E3779B97F4A7C15 % 2 ** 64
+                g ^= g >> 31
+            held.add(g >> 64 - language.BITS)
+    return held
+
+
+def test_document_frequencies_are_counted_over_all_rows(make):
+    rows = ["", None, "Ab", "abab", "ß日", "x" * 50_000, "the end"] * 9 + [f"w{i} {i % 7}" for i in range(300)]
+    df, n = language.document_frequency(make(list(enumerate(rows)), "doc_id long, text string").repartition(7))
+    want = Counter(b for text in rows for b in buckets(text))
+    assert n == len(rows) and {i: int(df[i]) for i in np.flatnonzero(df)} == want
+    df, n = language.document_frequency(make([], "doc_id long, text string"))
+    assert n == 0 and not df.any()
