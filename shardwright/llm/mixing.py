@@ -9,7 +9,7 @@ children's. A leaf's budget is filled from seeded epochs: whole epochs first, th
 the prefix, by tokens, of the next epoch's order.
 
 The tables of nodes have one row per node. Only the partial epoch is ordered, by the
-md5 of seed, epoch and id: token sums per leaf and leading hex digits (as many as the leaf's rows ask for) find the one
+md5 of seed, epoch and id: token sums per leaf and leading hex digits (as many as the root of the leaf's rows asks for) find the one
 stretch of keys in which a leaf's budget ends, and rows are ordered inside that stretch only.
 Each leaf is left with a last key; documents are then picked in a pass that shuffles
 no text (the join brings one row per leaf).
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import staged
 from shardwright.operators.ordering import prefix_aggs
 
-STRETCH_ROWS = 1 << 16     # a leaf's keys are parted by as many hex digits as make its stretches smaller than this
 RATIO_STEPS = 64           # stretches of cap / weight for each power of two
 RESULT = ("n_tokens", "epoch", "epoch_key")
 NONE = "(none)"
@@ -88,6 +87,12 @@ def key_of(seed: int, epoch: Column, doc_id: Column) -> Column:
                  .cast("binary"))
 
 
+def stretch_digits(rows: Column) -> Column:
+    """Leading hex digits that part a leaf's keys: one for each byte of its number of rows, so that the
+    stretches, and the rows of one, are both fewer than 16 times the root of that number."""
+    return F.ceil(F.length(F.hex(rows)) / 2).cast("int")
+
+
 def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: tuple[int, int] = (1, 2),
         max_epochs: int = 2, seed: int = 11, doc_id: str = "doc_id", text: str = "text",
         tokens: Column | None = None) -> DataFrame:
@@ -104,10 +109,9 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame, budget_share: tu
                     .withColumn("cap", F.col("tokens") * max_epochs), "mix-leaves")
     num, den = budget_share
     share = budgets(leaves, levels, weights, f"tokens * {num} div {den}")
-    digits = F.when(F.col("rows") < STRETCH_ROWS, 0).otherwise(F.length(F.hex(F.expr(f"rows div {STRETCH_ROWS}"))))
     plan = staged(share.join(leaves.select("node", "rows"), "node")
                   .select("node", F.expr("cast(share div tokens as int)").alias("_full"),
-                          (F.col("share") % F.col("tokens")).alias("_rest"), digits.alias("_digits")), "mix-plan")
+                          (F.col("share") % F.col("tokens")).alias("_rest"), stretch_digits(F.col("rows")).alias("_digits")), "mix-plan")
     # the last key of each leaf's partial epoch
     keyed = (narrow.join(plan.where("_rest > 0"), "node")
              .select("node", "_rest", "_digits", "n_tokens", key_of(seed, F.col("_full"), F.col("_id")).alias("_key")))

@@ -108,11 +108,18 @@ def test_one_row_for_each_document_without_repeats(spark, make):
 def test_a_leaf_is_parted_by_its_own_rows(spark, make, monkeypatch):
     rows = [(i, "d0", "en", "hot", "y" * (i % 90)) for i in range(700)] + docs(60)
     whole = sorted((r["doc_id"], r["source"], r["epoch"]) for r in check(spark, make, rows))
-    for stretch in (1, 40):
-        monkeypatch.setattr(mixing, "STRETCH_ROWS", stretch)
+    for digits in (0, 4):
+        monkeypatch.setattr(mixing, "stretch_digits", lambda rows, n=digits: F.least(rows, F.lit(n)).cast("int"))
         assert sorted((r["doc_id"], r["source"], r["epoch"]) for r in check(spark, make, rows)) == whole
 
 
+def test_stretches_grow_with_the_root(spark):
+    n = [1, 255, 256, 65_535, 65_536, 10 ** 9, 3 * 10 ** 10]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").orderBy("n").select(mixing.stretch_digits(F.col("n"))).collect()]
+    assert got == [1, 1, 2, 2, 3, 4, 5]
+    assert all(x / 16 ** d < 16 ** d <= 16 * x ** 0.5 * (1 if x > 1 else 16) for x, d in zip(n, got))
+
+
 def test_one_parent_with_many_children(spark):
     """Ties, close ratios, full and open children, a parent that all fill and one without budget."""
     nodes, want = [], {}
