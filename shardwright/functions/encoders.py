@@ -1,7 +1,7 @@
 """Text → token ids as Spark jobs.
 
 Encoders add ``ids ARRAY<INT>`` (without EOS; ``with_eos`` appends it) and are
-applied per partition: the byte encoder is vectorised over whole Arrow batches,
+applied per partition: the byte encoder is vectorised over slices of Arrow batches,
 the word encoder stays in the JVM, and a tokenizer library runs once per Python
 worker over Arrow batches. No document is ever gathered on the driver.
 """
@@ -13,6 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ BYTE_VOCAB = 257
 WORD_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"   # letters/digits runs, or one symbol
 WORD_EOS = 0                   # word encoder: 0 = EOS, 1 = unknown, 2.. by frequency
 WORD_UNK = 1
+# What a Python worker works on at a time, of an Arrow batch of any size.
+PIECE_BYTES = 1 << 20          # of texts or packed ids
+PIECE_VALUES = 1 << 18         # words or ids
 
 
 class Encoder(Protocol):
@@ -51,6 +55,22 @@ def _ids_schema(df: DataFrame, out: str) -> T.StructType:
     return T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
 
+def pieces(batches, col: str, most: int):
+    """The batches in slices of rows that hold about ``most`` bytes (of a list: values) of a column; a longer
+    row is a slice of its own. What a worker makes of a slice is gone before the next one is made."""
+    for rb in batches:
+        c = rb.column(col)
+        listed = pa.types.is_list(c.type) or pa.types.is_large_list(c.type)
+        n = (pc.list_value_length if listed else pc.binary_length)(c)
+        ends = np.cumsum(n.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield rb.slice(at, to - at)
+            at = to
+
+
 def _utf8_bytes_to_ids(text: pa.Array) -> pa.Array:
     """One list of byte ids per string, vectorised over the Arrow buffers."""
     if text.null_count:
@@ -114,7 +134,7 @@ class ByteEncoder:
         names = df.columns
 
         def run(batches):
-            for rb in batches:
+            for rb in pieces(batches, text_col, PIECE_BYTES):
                 ids = _utf8_bytes_to_ids(rb.column(text_col))
                 cols = [rb.column(c) for c in names] + [ids]
                 yield pa.RecordBatch.from_arrays(cols, names=names + [out])
@@ -268,7 +288,7 @@ class TokenizerEncoder:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_str(artifact)
-            for rb in batches:
+            for rb in pieces(batches, text_col, PIECE_BYTES):
                 texts = rb.column(text_col).to_pylist()
                 if any(t is None for t in texts):
                     raise ValueError("document text is null; null text is not a document")
