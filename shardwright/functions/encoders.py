@@ -223,32 +223,24 @@ class WordEncoder:
         return encoder
 
     def encode(self, df: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
-        """Words are split in the JVM; ids come from a hash lookup over whole
+        """Words are split in the JVM; ids come from a hash lookup over slices of
         Arrow batches (``pyarrow.compute.index_in``). The vocabulary travels
         with the task; its size is bounded by ``vocab_size`` ≤ 65,535."""
         rows = self.vocab.select("word", "id").collect()
         if len(rows) > self.vocab_size:
             raise ValueError("vocabulary larger than vocab_size")
         words = pa.array([r["word"] for r in rows], pa.string())
-        ids = np.array([r["id"] for r in rows], dtype=np.int32)
+        ids = np.array([r["id"] for r in rows] + [WORD_UNK], dtype=np.int32)     # the last: of words not found
         df = _spread(df)
         split = df.withColumn("_words", self.words(text_col))
         names = df.columns
         schema = _ids_schema(df, out)
 
         def run(batches):
-            import pyarrow.compute as pc
-
-            for rb in batches:
+            for rb in pieces(batches, "_words", PIECE_VALUES):
                 lists = rb.column("_words")
-                if isinstance(lists, pa.ChunkedArray):
-                    lists = lists.combine_chunks()
-                flat = lists.flatten()
-                pos = pc.index_in(flat, value_set=words).to_numpy(zero_copy_only=False)
-                found = ~np.isnan(pos.astype(np.float64)) if pos.dtype.kind == "f" else pos >= 0
-                vals = np.full(len(flat), WORD_UNK, dtype=np.int32)
-                idx = np.nan_to_num(pos.astype(np.float64), nan=0).astype(np.int64)
-                vals[found] = ids[idx[found]]
+                pos = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                vals = ids[pos]
                 offs = np.asarray(lists.offsets)
                 arr = pa.ListArray.from_arrays(pa.array(offs - offs[0], pa.int32()), pa.array(vals))
                 yield pa.RecordBatch.from_arrays([rb.column(c) for c in names] + [arr],

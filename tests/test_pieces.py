@@ -57,6 +57,16 @@ def test_byte_encoder_works_in_slices(spark, runs):
     assert all(bytes(np.asarray(x.values, dtype=np.uint8)) == s.encode() for x, s in zip(t["ids"], some))
 
 
+def test_words_are_looked_up_in_slices(spark, runs):
+    vocab = spark.createDataFrame([("ab", 2, 3), ("cd", 3, 1)], "word string, id int, count long")
+    E.WordEncoder(vocab, 4).encode(spark.createDataFrame([(0, "a")], "doc_id long, text string"))
+    words = [["ab", "zz", "cd"] * (100 + i % 5) for i in range(3000)]
+    words[3] = []
+    rb = batch(doc_id=list(range(3000)), text=[""] * 3000, _words=words)
+    t = check(list(runs[0](iter([rb]))), "ids", 2 * MB, 0)
+    assert t["ids"].to_pylist() == [[{"ab": 2, "cd": 3}.get(w, 1) for w in row] for row in words]
+
+
 def test_build_of_texts_longer_than_a_slice(spark, tmpdir_path):
     from shardwright.plans import corpus
 
