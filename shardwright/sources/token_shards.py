@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual,
                                     In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 
+from shardwright.functions.encoders import PIECE_BYTES, pieces
 from shardwright.sources import commits, store
 
 SHARD_GLOB = "shard_*.bin"
@@ -217,8 +218,8 @@ class TokenShardWriter(DataSourceArrowWriter):
         self.size = int(options["shard_size"]) if "shard_size" in options else None
 
     def write(self, batches):
-        """Rows arrive sorted by (shard, pos) as Arrow batches; tokens of each
-        batch are flattened once and cut by shard with NumPy."""
+        """Rows arrive sorted by (shard, pos) as Arrow batches; tokens of a slice of a
+        batch at a time are flattened once and cut by shard with NumPy."""
         folder = commits.attempt_folder()
         where, path = store.place(store.below(self.path, folder))
         done, fh, cur, expect, crc = [], None, None, 0, 0
@@ -229,7 +230,7 @@ class TokenShardWriter(DataSourceArrowWriter):
                 raise ValueError(f"shard {cur} has {expect} tokens, expected {self.size}")
             done.append(commits.ShardFile(cur, 2 * expect, crc, f"{folder}/{shard_name(cur)}"))
 
-        for rb in batches:
+        for rb in pieces(batches, "tokens", PIECE_BYTES):
             shards = rb.column("shard").to_numpy(zero_copy_only=False)
             poss = rb.column("pos").to_numpy(zero_copy_only=False)
             tokens = rb.column("tokens")

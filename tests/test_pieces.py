@@ -1,5 +1,7 @@
 """A Python worker holds slices of Arrow batches: what it makes of one does not grow with the batch."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardwright.config import PackingConfig
 from shardwright.functions import encoders as E
-from shardwright.sources.token_shards import read_windows
+from shardwright.sources.token_shards import TokenShardWriter, list_shards, read_windows
 
 MB = 1 << 20
 
@@ -67,6 +69,23 @@ def test_words_are_looked_up_in_slices(spark, runs):
     assert t["ids"].to_pylist() == [[{"ab": 2, "cd": 3}.get(w, 1) for w in row] for row in words]
 
 
+def test_writer_holds_a_slice_of_a_batch(tmpdir_path):
+    n, size = 4000, 2000
+    flat = (np.arange(n * size, dtype=np.int64) % 50000).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size), pa.int32()), pa.array(flat))
+    pos = np.arange(n, dtype=np.int64) * size % 50000
+    rb = pa.RecordBatch.from_arrays([pa.array((np.arange(n) // 25).astype(np.int32)), pa.array(pos), lists], names=["shard", "pos", "tokens"])
+    w = TokenShardWriter({"path": tmpdir_path, "shard_size": "50000"}, False)
+    tracemalloc.start()
+    done = w.write(iter([rb]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    w.commit([done])
+    assert peak < 6 * MB, peak                                        # the batch has 31 MB, as 16-bit numbers 15 MB
+    assert len(list_shards(tmpdir_path)) == n // 25
+    assert all(open(p, "rb").read() == flat[i * 50000:(i + 1) * 50000].astype("<u2").tobytes() for i, (p, _) in enumerate(list_shards(tmpdir_path)))
+
+
 def test_build_of_texts_longer_than_a_slice(spark, tmpdir_path):
     from shardwright.plans import corpus
 
