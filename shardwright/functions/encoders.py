@@ -101,7 +101,7 @@ def pack_ids(df: DataFrame, ids_col: str = "ids", out: str = "tokens") -> DataFr
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        for rb in batches:
+        for rb in pieces(batches, ids_col, PIECE_VALUES):
             lists = rb.column(ids_col)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             if flat.size and (flat.min() < 0 or flat.max() > UINT16_MAX):
@@ -149,7 +149,7 @@ class ByteEncoder:
         schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.BinaryType())])
 
         def run(batches):
-            for rb in batches:
+            for rb in pieces(batches, text_col, PIECE_BYTES):
                 lists = _utf8_bytes_to_ids(rb.column(text_col))
                 n = np.diff(np.asarray(lists.offsets).astype(np.int64))
                 ends = np.cumsum(n + 1)

@@ -59,6 +59,21 @@ def test_byte_encoder_works_in_slices(spark, runs):
     assert all(bytes(np.asarray(x.values, dtype=np.uint8)) == s.encode() for x, s in zip(t["ids"], some))
 
 
+def test_packed_bytes_are_made_in_slices(spark, runs):
+    E.ByteEncoder().encode_packed(spark.createDataFrame([(0, "a")], "doc_id long, text string"), out="ids")
+    some = texts()
+    t = check(list(runs[0](iter([batch(doc_id=list(range(len(some))), text=some)]))), "ids", 3 * MB)
+    assert t["doc_id"].to_pylist() == list(range(len(some)))
+    assert all(np.frombuffer(x.as_py(), "<u2").tolist() == [*s.encode(), 256] for x, s in zip(t["ids"][:300], some))
+
+
+def test_ids_are_packed_in_slices(spark, runs):
+    E.pack_ids(spark.createDataFrame([(0, [1])], "doc_id long, ids array<int>"), out="ids")
+    some = [[i % 60000] * 700 for i in range(3000)]
+    t = check(list(runs[0](iter([batch(doc_id=list(range(3000)), ids=pa.array(some, pa.list_(pa.int32())))]))), "ids", MB, 0)
+    assert [np.frombuffer(x.as_py(), "<u2").tolist() for x in t["ids"]] == some
+
+
 def test_words_are_looked_up_in_slices(spark, runs):
     vocab = spark.createDataFrame([("ab", 2, 3), ("cd", 3, 1)], "word string, id int, count long")
     E.WordEncoder(vocab, 4).encode(spark.createDataFrame([(0, "a")], "doc_id long, text string"))
